@@ -18,6 +18,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tablegrist.functions.vectors import l2_norm, l2_normalise
 from tablegrist.operators.kinds import NUMBER, columns_of
@@ -143,7 +145,7 @@ def _search_shipped(
 ) -> DataFrame:
     """Every task scans its part of the corpus against all query vectors."""
     queries = corpus.sparkSession.sparkContext.broadcast(_by_group(shipped))
-    names = ["query_id", "chunk_id", "score"]
+    arrow = to_arrow_schema(T._parse_datatype_string(schema))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def unpack():
@@ -159,7 +161,7 @@ def _search_shipped(
 
         out = _table(_scan(unpack(), queries.value, k, metric), metric)
         if len(out):
-            yield pa.RecordBatch.from_pandas(out[names], preserve_index=False)
+            yield pa.RecordBatch.from_pandas(out, schema=arrow, preserve_index=False)
 
     return corpus.mapInArrow(scan, schema)
 
@@ -175,7 +177,7 @@ def _search_blocks(
         "shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
     )
     c = corpus.withColumn("shard", F.pmod(F.xxhash64("chunk_id"), F.lit(shards)).cast("int")).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint")
+        "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
     )
 
     def meet(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
