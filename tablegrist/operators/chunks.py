@@ -7,6 +7,7 @@ writes the same id and re-ingest replaces instead of duplicating.
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -20,6 +21,7 @@ from tablegrist.operators import profile as P
 from tablegrist.operators import timeseries as TS
 from tablegrist.operators.kinds import DATETIME, NUMBER, TEXT, column_kinds, columns_of
 from tablegrist.operators.vectors import Scaler, scaled_vector
+from tablegrist.session import small_table
 
 SCHEMA_VERSION = 2
 MAX_ROW_CHUNKS = 500
@@ -53,7 +55,9 @@ CHUNK_TYPES = (
 
 def file_id(file: Column | str) -> Column:
     """Stable twelve-character id of a logical file name."""
-    return F.substring(F.sha2(F.lit(file) if isinstance(file, str) else file, 256), 1, 12)
+    if isinstance(file, str):
+        return F.lit(Source(file).file_id)
+    return F.substring(F.sha2(file, 256), 1, 12)
 
 
 def chunk_id(fid: Column, chunk_type: str, place: Column) -> Column:
@@ -68,6 +72,10 @@ class Source:
     sheet: str | None = None
     time: dt.datetime | None = None
 
+    @property
+    def file_id(self) -> str:
+        return hashlib.sha256(self.file.encode()).hexdigest()[:12]
+
     @property
     def moment(self) -> Column:
         return F.current_timestamp() if self.time is None else F.lit(self.time)
@@ -83,7 +91,7 @@ def as_chunks(
 ) -> DataFrame:
     """``df`` as chunk rows: the mandatory fields plus the given ones."""
     name = F.lit(source.file) if file is None else file
-    fid = file_id(name)
+    fid = file_id(source.file if file is None else file)
     given = {
         "chunk_id": chunk_id(fid, chunk_type, place),
         "file": name,
@@ -169,7 +177,8 @@ def profile_table(df: DataFrame, order_by: str, hidden: Sequence[str] = ()) -> T
     top: dict[str, list] = {c: [] for c in texts}
     for r in P.top_values(P.value_frequencies(view, texts), 5).orderBy("column", "rank").collect():
         top[r["column"]].append((r["value"], r["n"]))
-    ranges = {r["column"]: (r["lo"], r["hi"]) for r in P.date_ranges(view).collect()}
+    dated = columns_of(view, DATETIME)
+    ranges = {r["column"]: (r["lo"], r["hi"]) for r in P.date_ranges(view).collect()} if dated else {}
     samples: dict[str, list] = {}
     shown = P.head_middle_tail(df, order_by)
     cells = F.array(*[F.coalesce(X.cell_text(n, t), F.lit("")) for n, t in fields.items()])
@@ -236,7 +245,7 @@ def summary_text(p: TableProfile, file: str, report: dict | None = None) -> str:
 
 
 def _one_text(spark: SparkSession, chunk_type: str, source: Source, text: str) -> DataFrame:
-    one = spark.createDataFrame([(text,)], "_text string")
+    one = small_table(spark, [(text,)], "_text string")
     return as_chunks(one, chunk_type, source, F.lit("0"), text=F.col("_text"))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tablegrist.functions.text import WHITESPACE_RUN, strip
 from tablegrist.operators.kinds import TEXT, column_kinds, kind_of
+from tablegrist.session import small_table
 
 # Cells that mean "missing".
 NULL_TOKENS = ("", "-", "--", "n/a", "na", "none", "null", "nan", "#n/a")
@@ -180,8 +181,7 @@ def clean(df: DataFrame, share: float = PARSE_SHARE) -> tuple[DataFrame, dict]:
 def report_rows(df: DataFrame, table: str, share: float = PARSE_SHARE) -> DataFrame:
     """The cleaning report as one row."""
     r = infer_typing(df, share).report()
-    return df.sparkSession.createDataFrame(
-        [
+    return small_table(df.sparkSession, [
             (
                 table,
                 r["rows_dropped"],

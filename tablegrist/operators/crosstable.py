@@ -11,6 +11,7 @@ from tablegrist.functions import questions as Q
 from tablegrist.functions.text import name_tokens
 from tablegrist.operators.kinds import NUMBER, columns_of
 from tablegrist.operators.query import DEFAULT_LIMIT, query_table
+from tablegrist.session import small_table
 
 SOURCE = "Source File"
 
@@ -21,7 +22,7 @@ def column_catalogue(tables: dict[str, DataFrame]) -> DataFrame:
     rows = [
         (t, c, i) for t, df in tables.items() for i, c in enumerate(columns_of(df, NUMBER))
     ]
-    return spark.createDataFrame(rows, "table string, column string, position int")
+    return small_table(spark, rows, "table string, column string, position int")
 
 
 def resolve_columns(questions: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -70,7 +71,7 @@ def threshold_search(
         return None
     spark = next(iter(tables.values())).sparkSession
     # Reading one question and the schemas: a handful of values.
-    asked = spark.createDataFrame([(0, question)], "query_id int, question string")
+    asked = small_table(spark, [(0, question)], "query_id int, question string")
     plan = asked.select(*[c.alias(n) for n, c in Q.plan_columns("question").items()]).first()
     if plan["intent"] != "numeric_threshold":
         return None
@@ -95,8 +96,7 @@ def threshold_search(
         rows = rows.unionByName(p, allowMissingColumns=True)
     # At most ``limit`` rows per table.
     counted = {r[SOURCE]: r["n"] for r in rows.groupBy(SOURCE).agg(F.count(F.lit(1)).alias("n")).collect()}
-    counts = spark.createDataFrame(
-        [(t, c, counted.get(t, 0)) for t, c in columns.items()], "table string, column string, rows bigint"
+    counts = small_table(spark, [(t, c, counted.get(t, 0)) for t, c in columns.items()], "table string, column string, rows bigint"
     )
     contributing = [t for t in columns if counted.get(t)]
     if len(contributing) == 1:

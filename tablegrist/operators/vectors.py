@@ -23,6 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tablegrist.functions.vectors import l2_norm, l2_normalise
 from tablegrist.operators.kinds import NUMBER, columns_of
+from tablegrist.session import small_table
 
 MAX_SHIPPED_QUERIES = 2048
 CORPUS_ROWS_PER_BLOCK = 50_000
@@ -126,7 +127,7 @@ def top_k(
         f"query_id {q_type.simpleString()}, chunk_id {c_type.simpleString()}, score double"
     )
     if k <= 0:
-        return queries.sparkSession.createDataFrame([], schema + ", rank int")
+        return small_table(queries.sparkSession, [], schema + ", rank int")
     grp = F.col(group).cast("string") if group else F.lit("")
     q = queries.select("query_id", "vec", grp.alias("grp")).filter(F.col("vec").isNotNull())
     c = corpus.select("chunk_id", "vec", grp.alias("grp")).filter(F.col("vec").isNotNull())
@@ -210,8 +211,7 @@ class Scaler:
 
     def table(self, df: DataFrame) -> DataFrame:
         """``(file_id, column, position, mean, std)``, the form that is stored."""
-        return df.sparkSession.createDataFrame(
-            [(self.file_id, c, i, self.mean[c], self.std[c]) for i, c in enumerate(self.columns)],
+        return small_table(df.sparkSession, [(self.file_id, c, i, self.mean[c], self.std[c]) for i, c in enumerate(self.columns)],
             "file_id string, column string, position int, mean double, std double",
         )
 

@@ -17,6 +17,7 @@ from tablegrist.operators import timeseries as TS
 from tablegrist.operators.boilerplate import repeated_lines, strip_repeated
 from tablegrist.operators.kinds import NUMBER, columns_of
 from tablegrist.operators.vectors import fit_scaler
+from tablegrist.session import small_table
 
 ALIAS_SCHEMA = "canonical_id string, alias string"
 SCALER_SCHEMA = "file_id string, column string, position int, mean double, std double"
@@ -72,14 +73,14 @@ def table_family(
         C.enumeration_chunks(df, source, hidden),
         C.row_chunks(rows, source, order_by, hidden),
     ]
-    own = E.alias_table(df, name_col) if name_col else spark.createDataFrame([], ALIAS_SCHEMA)
+    own = E.alias_table(df, name_col) if name_col else small_table(spark, [], ALIAS_SCHEMA)
     known = own if aliases is None else E.register_aliases(aliases, own)
     if name_col:
         parts.append(C.entity_chunks(df, source, name_col, order_by, known, hidden))
     numbers = columns_of(seen, NUMBER)
-    scalers = spark.createDataFrame([], SCALER_SCHEMA)
-    vectors = spark.createDataFrame([], VECTOR_SCHEMA)
-    fid = spark.range(1).select(C.file_id(source.file)).first()[0]
+    scalers = small_table(spark, [], SCALER_SCHEMA)
+    vectors = small_table(spark, [], VECTOR_SCHEMA)
+    fid = source.file_id
     if numbers:
         scaler = fit_scaler(df, fid, numbers)
         scalers = scaler.table(df)
@@ -92,7 +93,7 @@ def table_family(
     chunks = C.union_all(parts)
     cells = P.cell_postings(rows, [c for c in seen.columns])
     postings = P.id_postings(chunks).unionByName(P.enum_postings(chunks)).unionByName(cells)
-    stats = spark.createDataFrame([(fid, source.file, facts.rows)], "file_id string, filename string, row_count bigint")
+    stats = small_table(spark, [(fid, source.file, facts.rows)], "file_id string, filename string, row_count bigint")
     return Family(
         chunks, postings, vectors, scalers, known,
         stats.withColumn("ingestion_time", source.moment), name_col, date_col,
@@ -125,13 +126,13 @@ def document_family(
         tidy, source, name, text, header=header,
         page=F.col(page).cast("int") if paged else None, size=size, overlap=overlap,
     )
-    known = spark.createDataFrame([], VECTOR_SCHEMA)
+    known = small_table(spark, [], VECTOR_SCHEMA)
     if vectors is not None:
         known = chunks.select("chunk_id", "file_id").join(vectors, "chunk_id")
     return Family(
-        chunks, spark.createDataFrame([], POSTING_SCHEMA), known,
-        spark.createDataFrame([], SCALER_SCHEMA), spark.createDataFrame([], ALIAS_SCHEMA),
-        spark.createDataFrame([], STAT_SCHEMA),
+        chunks, small_table(spark, [], POSTING_SCHEMA), known,
+        small_table(spark, [], SCALER_SCHEMA), small_table(spark, [], ALIAS_SCHEMA),
+        small_table(spark, [], STAT_SCHEMA),
     )
 
 

@@ -14,6 +14,7 @@ from tablegrist.operators import timeseries as TS
 from tablegrist.operators.query import filter_rows, query_table, run_query_request
 from tablegrist.operators.vectors import fit_scaler
 from tablegrist.plans.reports import report, sql_canonical, table
+from tablegrist.session import small_table
 
 DAY = "yyyy-MM-dd"
 
@@ -340,7 +341,7 @@ NAMED = {
 )
 def name_columns(spark: SparkSession, sf: str) -> DataFrame:
     picked = [(t, P.pick_name_column(table(spark, sf, t))) for t in NAMED]
-    return spark.createDataFrame(picked, "`table` string, name_column string")
+    return small_table(spark, picked, "`table` string, name_column string")
 
 
 def _sql_describe(t: str, cols: list[str]) -> str:
@@ -490,7 +491,7 @@ def timeseries_columns(spark: SparkSession, sf: str) -> DataFrame:
         ("orders", TS.detect_timeseries(customer_orders(spark, sf), "customer")),
         ("events", TS.detect_timeseries(events, "event")),
     ]
-    return spark.createDataFrame(found, "`table` string, date_column string")
+    return small_table(spark, found, "`table` string, date_column string")
 
 
 def _sql_windows(rows: str) -> str:

@@ -19,6 +19,7 @@ from tablegrist.sources.grid_files import write_grids
 from tablegrist.sources.store import ChunkStore, load_aliases, save_aliases
 from tablegrist.sources.tables import read_tables
 from tablegrist.streaming.ingest import ingest_stream
+from tablegrist.session import small_table
 
 # --- families ---------------------------------------------------------------
 
@@ -275,8 +276,7 @@ def _titled_csv(spark: SparkSession, sf: str) -> str:
             F.when(F.col("c_nationkey") == 0, "n/a").otherwise(F.col("c_mktsegment")),
         ).alias("value")
     )
-    title = spark.createDataFrame(
-        [(0, "Customer report,,,"), (1, ",,,"), (2, "key,Customer Name,balance,segment")], "i int, value string"
+    title = small_table(spark, [(0, "Customer report,,,"), (1, ",,,"), (2, "key,Customer Name,balance,segment")], "i int, value string"
     ).orderBy("i").select("value")
     title.coalesce(1).unionByName(customers.coalesce(1)).coalesce(1).write.text(f"{path}/customers")
     suppliers = table(spark, sf, "supplier").orderBy("s_suppkey").select("s_suppkey", "s_name", "s_acctbal")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -56,3 +59,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = new_dir(spark, "stage")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few known rows as a frame made of literals: no Python worker and no
+    parallelised collection behind it, and an empty one folds away in plans."""
+    if not rows:
+        fields = T._parse_datatype_string(schema).fields
+        return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
+    names = [f.name for f in T._parse_datatype_string(schema).fields]
+    known = json.dumps([dict(zip(names, r)) for r in rows], default=str)
+    parsed = F.from_json(F.lit(known), f"array<struct<{_struct_ddl(schema)}>>")
+    return spark.range(0, 1, 1, 1).select(F.inline(parsed))
+
+
+def _struct_ddl(schema: str) -> str:
+    return ", ".join(
+        f"`{f.name}`: {f.dataType.simpleString()}" for f in T._parse_datatype_string(schema).fields
+    )

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tablegrist.operators.vectors import append_vectors
 from tablegrist.plans.ingest import TABLES, Family
+from tablegrist.session import small_table
 
 COMMIT_SCHEMA = "version bigint, paths map<string,string>, removed bigint"
 # How each table is laid out: directories to prune by, columns to sort by so
@@ -60,7 +61,7 @@ class ChunkStore:
 
     def _commit(self, version: int, paths: dict[str, str], removed: int = 0) -> None:
         row = json.dumps({"version": version, "paths": paths, "removed": removed})
-        self.spark.createDataFrame([(row,)], "value string").coalesce(1).write.mode("append").text(
+        small_table(self.spark, [(row,)], "value string").coalesce(1).write.mode("append").text(
             f"{self.root}/commits"
         )
 
@@ -70,8 +71,8 @@ class ChunkStore:
     def read(self, table: str) -> DataFrame:
         path = self._current()[1].get(table)
         if path is None:
-            return self.spark.createDataFrame([], TABLES[table])
-        schema = self.spark.createDataFrame([], TABLES[table]).schema
+            return small_table(self.spark, [], TABLES[table])
+        schema = small_table(self.spark, [], TABLES[table]).schema
         return self.spark.read.schema(schema).parquet(path).select(*schema.names)
 
     def _write(self, table: str, df: DataFrame) -> str:
