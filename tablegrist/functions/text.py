@@ -24,6 +24,9 @@ WHITESPACE_RUN = (
     r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 )
+NOT_BLANK = "[^" + WHITESPACE_RUN[1:-1]
+RARE_BREAK = r"[\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+BLANKS = WHITESPACE_RUN[:-1] + "*"
 LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 
 # Tokens that do not distinguish one entity name from another.
@@ -44,8 +47,8 @@ LOOKALIKES = {
 }
 ELLIPSIS = "\u2026"
 
-# Fixed value: a line that is only a page number.
-PAGE_NUMBER_LINE = r"(?i)^\s*(?:page\s*)?\d+(?:\s*(?:of|/)\s*\d+)?\s*$"
+# Fixed value: a line that is only a page number ("~" stands for blanks).
+PAGE_NUMBER_LINE = r"(?i)^~(?:page~)?\d+(?:~(?:of|/)~\d+)?~$".replace("~", BLANKS)
 
 DEFAULT_WINDOW = 180
 DEFAULT_OVERLAP = 40
@@ -73,6 +76,14 @@ def strip(c: Column | str) -> Column:
     return F.btrim(_col(c), F.lit(WHITESPACE))
 
 
+def strip_cell(c: Column | str) -> Column:
+    """``strip`` for short text. A cell that starts and ends with a visible
+    ASCII character, the usual case, is left alone at once."""
+    c = _col(c)
+    visible = F.ascii(c).between(33, 126) & F.ascii(F.right(c, F.lit(1))).between(33, 126)
+    return F.when(visible, c).otherwise(F.btrim(c, F.lit(WHITESPACE)))
+
+
 def words(c: Column | str) -> Column:
     """Whitespace-separated words; blank text gives an empty array."""
     trimmed = strip(c)
@@ -82,9 +93,21 @@ def words(c: Column | str) -> Column:
 
 
 def lines(c: Column | str) -> Column:
-    """Lines without their breaks; a final break opens no further line."""
-    body = F.regexp_replace(_col(c), f"(?:{LINE_BREAK})\\z", "")
-    return F.split(body, LINE_BREAK)
+    """Lines without their breaks; a final break opens no further line. Text
+    whose only breaks are newlines is cut by the plain one-character split."""
+    c = _col(c)
+    rare = c.rlike(RARE_BREAK)
+    plain = F.when(c.endswith("\n"), _chop(c)).otherwise(c)
+    odd = F.regexp_replace(c, f"(?:{LINE_BREAK})\\z", "")
+    return F.when(rare, F.split(odd, LINE_BREAK)).otherwise(F.split(plain, "\n"))
+
+
+def _chop(c: Column) -> Column:
+    return F.substring(c, F.lit(1), F.length(c) - 1)
+
+
+def trimmed_lines(c: Column | str) -> Column:
+    return F.transform(lines(c), strip_cell)
 
 
 def normalise_text(c: Column | str) -> Column:
@@ -132,7 +155,7 @@ def excerpt(c: Column | str, limit: int = 120) -> Column:
 
 
 def is_page_number(line: Column) -> Column:
-    return strip(line).rlike(PAGE_NUMBER_LINE)
+    return line.rlike(PAGE_NUMBER_LINE)
 
 
 def name_tokens(c: Column | str) -> Column:

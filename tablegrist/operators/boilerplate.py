@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablegrist.functions.text import is_page_number, lines, strip
+from tablegrist.functions.text import is_page_number, lines, strip, trimmed_lines
 
 MIN_REPEAT = 3
 MIN_LENGTH = 3
@@ -21,7 +21,7 @@ def repeated_lines(
     characters on ``min_repeat`` pages or more. ``pages`` has one row per page,
     so after removing repeats within the row a plain count is a page count and
     a line on every page is combined before the shuffle."""
-    seen = F.array_distinct(F.transform(lines(text), strip))
+    seen = F.array_distinct(trimmed_lines(text))
     return (
         pages.select(document, F.explode(seen).alias("line"))
         .filter(F.length("line") >= MIN_LENGTH)

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablegrist.functions.text import WHITESPACE_RUN, strip
+from tablegrist.functions.text import WHITESPACE, strip_cell
 from tablegrist.operators.kinds import TEXT, column_kinds, kind_of
 from tablegrist.session import small_table
 
@@ -25,21 +25,23 @@ NUMBER_SIGNS = "$£€₹,"
 DATE_HINTS = ("date", "month", "year", "period", "as of", "asof")
 PARSE_SHARE = 0.8
 
-NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
-INTEGER = r"^[+-]?\d{1,18}$"
+# Cells worth parsing; text is turned away by its first characters. Letters
+# other than the exponent cannot pass, so the cast that follows is strict.
+PLAIN_NUMBER = r"^[+-]?[0-9]+(?:\.[0-9]+)?$"
+NUMBER_SHAPE = r"^[\s$£€₹,+-]*\.?\d[\s$£€₹,.\deE+-]*%*$"
+INTEGER_SHAPE = r"^[\s$£€₹,+-]*\d[\s$£€₹,\d]*$"
+FRACTION_MARKS = "[.eE%]"
+MAX_INTEGER_DIGITS = 18
+ISO_DATE = r"^\d{4}-\d{1,2}(?:-\d{1,2}(?:[ T]\d{1,2}:\d{2}:\d{2})?)?$"
 # Shape of a cell and the format that reads it; the shape is tested first since
 # a failed parse costs an exception per cell.
 DATE_SHAPES = (
-    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
-    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2}$", "yyyy-M-d H:mm:ss"),
-    (r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{2}:\d{2}$", "yyyy-M-d'T'H:mm:ss"),
     (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
     (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
     (r"^\d{1,2}-[A-Z][a-z]{2}-\d{4}$", "d-MMM-yyyy"),
     (r"^\d{1,2} [A-Z][a-z]{2} \d{4}$", "d MMM yyyy"),
     (r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$", "MMM d, yyyy"),
     (r"^[A-Z][a-z]{2} \d{4}$", "MMM yyyy"),
-    (r"^\d{4}-\d{1,2}$", "yyyy-M"),
 )
 
 
@@ -75,45 +77,46 @@ def trim_names(df: DataFrame) -> DataFrame:
 
 
 def null_tokens(c: Column) -> Column:
-    """Trimmed text, with the tokens that mean "missing" as NULL."""
-    t = strip(c)
-    return F.when(~F.lower(t).isin(*NULL_TOKENS), t)
+    """Trimmed text with the tokens that mean "missing" as NULL."""
+    return F.when(~F.lower(c).isin(*NULL_TOKENS), c)
 
 
 def tidy_cells(df: DataFrame) -> DataFrame:
     """Null tokens in text columns and NaN in floating columns become NULL."""
-    out = []
+    trimmed, out = [], []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if kind_of(f.dataType) == TEXT:
+            trimmed.append(strip_cell(c).alias(f.name))
             c = null_tokens(c)
-        elif f.dataType.typeName() in ("double", "float"):
-            c = F.when(~F.isnan(c), c)
+        else:
+            trimmed.append(c)
+            if f.dataType.typeName() in ("double", "float"):
+                c = F.when(~F.isnan(c), c)
         out.append(c.alias(f.name))
-    return df.select(*out)
+    # Two projections: a trimmed cell is used twice and computed once.
+    return df.select(*trimmed).select(*out)
 
 
 def _digits(c: Column) -> Column:
-    bare = F.regexp_replace(F.translate(c, NUMBER_SIGNS, ""), WHITESPACE_RUN, "")
-    return F.regexp_replace(bare, "%+$", "")
+    return F.rtrim(F.translate(c, NUMBER_SIGNS + WHITESPACE, ""), F.lit("%"))
 
 
 def parse_number(c: Column) -> Column:
     """Number in a text cell; a percentage becomes a fraction, junk NULL."""
-    bare = _digits(c)
-    value = F.when(bare.rlike(NUMBER), bare.try_cast("double"))
-    return F.when(c.endswith("%"), value / 100).otherwise(value)
+    unit = F.when(c.endswith("%"), 100.0).otherwise(1.0)
+    return F.when(c.rlike(PLAIN_NUMBER), c.try_cast("double")).when(
+        c.rlike(NUMBER_SHAPE), _digits(c).try_cast("double") / unit
+    )
 
 
 def parse_integer(c: Column) -> Column:
-    bare = _digits(c)
-    return F.when(bare.rlike(INTEGER), bare.try_cast("bigint"))
+    return F.when(c.rlike(INTEGER_SHAPE), _digits(c).try_cast("bigint"))
 
 
 def parse_date(c: Column) -> Column:
-    shape, fmt = DATE_SHAPES[0]
-    out = F.when(c.rlike(shape), F.try_to_timestamp(c, F.lit(fmt)))
-    for shape, fmt in DATE_SHAPES[1:]:
+    out = F.when(c.rlike(ISO_DATE), c.try_cast("timestamp"))
+    for shape, fmt in DATE_SHAPES:
         out = out.when(c.rlike(shape), F.try_to_timestamp(c, F.lit(fmt)))
     return out
 
@@ -127,14 +130,18 @@ def infer_typing(df: DataFrame, share: float = PARSE_SHARE) -> Typing:
     tidy = tidy_cells(trim_names(df))
     kinds = column_kinds(tidy)
     some_cell = F.coalesce(*[F.col(f"`{c}`").cast("string") for c in tidy.columns])
+    texts = {n: i for i, (n, k) in enumerate(kinds.items()) if k == TEXT}
+    # Numbers are parsed in a projection of their own, once for both votes.
+    tidy = tidy.select("*", *[parse_number(F.col(f"`{n}`")).alias(f"_num{i}") for n, i in texts.items()])
     votes = [F.count(F.lit(1)).alias("rows"), F.count(some_cell).alias("filled")]
     for i, (name, kind) in enumerate(kinds.items()):
         c = F.col(f"`{name}`")
         votes.append(F.count(c).alias(f"n{i}"))
         if kind == TEXT:
-            votes.append(F.count(parse_number(c)).alias(f"num{i}"))
-            votes.append(F.count(parse_integer(c)).alias(f"int{i}"))
-            votes.append(F.count(F.when(c.endswith("%"), 1)).alias(f"pct{i}"))
+            number = F.col(f"_num{i}")
+            whole = ~c.rlike(FRACTION_MARKS) & (F.length(c) <= MAX_INTEGER_DIGITS)
+            votes.append(F.count(number).alias(f"num{i}"))
+            votes.append(F.count_if(number.isNotNull() & whole).alias(f"int{i}"))
             if _dated(name):
                 votes.append(F.count(parse_date(c)).alias(f"date{i}"))
     got = tidy.agg(*votes).first().asDict()
@@ -150,7 +157,7 @@ def infer_typing(df: DataFrame, share: float = PARSE_SHARE) -> Typing:
         if kind != TEXT:
             continue
         if got[f"num{i}"] / n >= share:
-            whole = got[f"int{i}"] == got[f"num{i}"] and got[f"pct{i}"] == 0
+            whole = got[f"int{i}"] == got[f"num{i}"]
             (typing.integers if whole else typing.decimals).append(name)
         elif got.get(f"date{i}", 0) / n >= share:
             typing.dates.append(name)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablegrist.functions.text import WHITESPACE_RUN, strip
+from tablegrist.functions.text import NOT_BLANK, WHITESPACE_RUN, strip
 
 MAX_EMPTY_SHARE = 0.7
 MAX_TITLE_ROWS = 3
@@ -19,52 +19,49 @@ ROWS_PER_TEXT = 10_000
 
 
 def clean_cell(c: Column) -> Column:
-    return strip(F.regexp_replace(F.coalesce(c, F.lit("")), WHITESPACE_RUN, " "))
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), WHITESPACE_RUN, " "))
 
 
-def renumber(grids: DataFrame) -> DataFrame:
-    """Rows of each table as 0, 1, 2… in their order. Rows are ranked inside
-    blocks of the old number and shifted by the running count of the blocks
-    before, so no task holds a whole table."""
-    blocked = grids.withColumn("_block", F.floor(F.col("row") / ROWS_PER_BLOCK))
-    before = Window.partitionBy("table_id").orderBy("_block").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    offsets = (
-        blocked.groupBy("table_id", "_block")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select("table_id", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    )
-    rank = F.row_number().over(Window.partitionBy("table_id", "_block").orderBy("row"))
-    return (
-        blocked.withColumn("_rank", rank)
-        .join(offsets, ["table_id", "_block"])
-        .withColumn("row", (F.col("_offset") + F.col("_rank") - 1).cast("bigint"))
-        .drop("_block", "_rank", "_offset")
-    )
+def _has_text(c: Column) -> Column:
+    """Whether anything is left of a raw cell once it is cleaned."""
+    return F.coalesce(c.rlike(NOT_BLANK), F.lit(False))
 
 
 def clean_grids(grids: DataFrame) -> DataFrame:
-    """Folded cells, without empty rows and columns, padded to one width."""
-    cells = grids.select(
-        "table_id", F.col("row").cast("bigint").alias("row"),
-        F.transform("cells", clean_cell).alias("cells"),
-    ).filter(F.exists("cells", lambda c: c != ""))
-    filled = (
-        cells.select("table_id", F.explode(_filled_positions(F.col("cells"))).alias("pos"))
+    """Folded cells, without empty rows and columns, padded to one width, rows
+    renumbered 0, 1, 2… within their table.
+
+    What each table keeps is found from the raw cells, block of rows by block:
+    how many rows stay and which columns hold text. Rows are then ranked inside
+    their block and shifted by the blocks before, so no task holds a table, and
+    cells are cleaned once."""
+    block = F.floor(F.col("row") / ROWS_PER_BLOCK).alias("_block")
+    rows = grids.filter(F.exists("cells", _has_text)).select("table_id", "row", "cells", block)
+    marked = F.array_compact(F.transform("cells", lambda c, i: F.when(_has_text(c), i)))
+    blocks = (
+        rows.select("table_id", "_block", marked.alias("_filled"))
+        .groupBy("table_id", "_block")
+        .agg(F.count(F.lit(1)).alias("_n"), F.flatten(F.collect_set("_filled")).alias("_filled"))
+    )
+    before = Window.partitionBy("table_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select(
+        "table_id", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
+    )
+    columns = (
+        blocks.select("table_id", F.explode(F.array_distinct("_filled")).alias("_pos"))
         .groupBy("table_id")
-        .agg(F.sort_array(F.collect_set("pos")).alias("_keep"))
+        .agg(F.sort_array(F.collect_set("_pos")).alias("_keep"))
     )
-    padded = cells.join(filled, "table_id").select(
-        "table_id", "row",
-        F.transform("_keep", lambda i: F.coalesce(F.get("cells", i), F.lit(""))).alias("cells"),
+    rank = F.row_number().over(Window.partitionBy("table_id", "_block").orderBy("row"))
+    return (
+        rows.withColumn("_rank", rank)
+        .join(offsets.join(columns, "table_id"), ["table_id", "_block"])
+        .select(
+            "table_id",
+            (F.col("_offset") + F.col("_rank") - 1).cast("bigint").alias("row"),
+            F.transform("_keep", lambda i: clean_cell(F.get("cells", i))).alias("cells"),
+        )
     )
-    return renumber(padded)
-
-
-def _filled_positions(cells: Column) -> Column:
-    marked = F.transform(cells, lambda c, i: F.when(c != "", i))
-    return F.array_compact(marked)
 
 
 def grid_facts(grids: DataFrame) -> DataFrame:

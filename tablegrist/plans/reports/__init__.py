@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tablegrist.session import spread
+
 Run = Callable[[SparkSession, str], DataFrame]
 
 
@@ -29,8 +31,10 @@ def report(sql: str | None = None) -> Callable[[Run], Run]:
     return add
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, costly: bool = False) -> DataFrame:
+    """A sample table; ``costly`` where much work per row follows."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if costly else df
 
 
 def sql_canonical(text: str) -> str:

@@ -203,7 +203,7 @@ def dearest_parts(spark: SparkSession, sf: str) -> DataFrame:
 
 def messy_lineitems(spark: SparkSession, sf: str) -> DataFrame:
     """Line items the way a spreadsheet export writes them."""
-    li = table(spark, sf, "lineitem")
+    li = table(spark, sf, "lineitem", costly=True)
 
     def cell(c):
         return F.when(F.col("l_quantity") == 50, F.lit(" -- ")).otherwise(c)

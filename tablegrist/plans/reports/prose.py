@@ -42,7 +42,7 @@ def worn_documents(spark: SparkSession, sf: str) -> DataFrame:
     worn = F.replace(worn, F.lit(", "), F.lit("\u2026 \u2013 "))
     worn = F.replace(worn, F.lit(" the "), F.lit(" \u201cthe\u201d "))
     worn = F.replace(worn, F.lit(" de "), F.lit(" d-\ne \t\n\n\n\n"))
-    return table(spark, sf, "documents").select("doc_id", worn.alias("text"))
+    return table(spark, sf, "documents", costly=True).select("doc_id", worn.alias("text"))
 
 
 @report(
@@ -73,7 +73,7 @@ def normalised_documents(spark: SparkSession, sf: str) -> DataFrame:
     """
 )
 def document_windows(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
+    docs = table(spark, sf, "documents", costly=True)
     name = F.col("doc_id").cast("string")
     header = F.concat(F.lit("["), "source", F.lit("] "), name)
     chunks = C.text_chunks(docs, C.Source("documents"), name, "text", header=header)
@@ -88,7 +88,7 @@ def document_windows(spark: SparkSession, sf: str) -> DataFrame:
     """
 )
 def document_excerpts(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", X.excerpt("text").alias("excerpt"))
+    return table(spark, sf, "documents", costly=True).select("doc_id", X.excerpt("text").alias("excerpt"))
 
 
 SQL_REPEATED = f"""
@@ -101,7 +101,7 @@ SQL_REPEATED = f"""
 
 @report(f"WITH {SQL_REPEATED} SELECT source, line, pages FROM repeated")
 def repeated_source_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return B.repeated_lines(table(spark, sf, "documents"), "source", "text")
+    return B.repeated_lines(table(spark, sf, "documents", costly=True), "source", "text")
 
 
 SQL_STRIPPED = f"""
@@ -118,7 +118,7 @@ SQL_STRIPPED = f"""
 
 @report(SQL_STRIPPED)
 def documents_without_repeats(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("source", "doc_id", "text")
+    docs = table(spark, sf, "documents", costly=True).select("source", "doc_id", "text")
     repeated = B.repeated_lines(docs, "source", "text")
     return B.strip_repeated(docs, "source", "doc_id", "text", repeated).select("doc_id", "text")
 
@@ -126,7 +126,7 @@ def documents_without_repeats(spark: SparkSession, sf: str) -> DataFrame:
 @report(SQL_STRIPPED)
 def documents_without_repeats_by_join(spark: SparkSession, sf: str) -> DataFrame:
     """The way of a repeated-line table too large to send to every task."""
-    docs = table(spark, sf, "documents").select("source", "doc_id", "text")
+    docs = table(spark, sf, "documents", costly=True).select("source", "doc_id", "text")
     repeated = B.repeated_lines(docs, "source", "text")
     return B._strip_by_join(docs, "source", "doc_id", "text", repeated).select("doc_id", "text")
 
@@ -187,7 +187,7 @@ def conversation_transcripts(spark: SparkSession, sf: str) -> DataFrame:
 
 def document_grids(spark: SparkSession, sf: str) -> DataFrame:
     """Every document as a ragged grid: a row per line, a cell per comma."""
-    docs = table(spark, sf, "documents")
+    docs = table(spark, sf, "documents", costly=True)
     rows = docs.select("doc_id", F.posexplode(X.lines("text")).alias("row", "line"))
     return rows.select(
         F.col("doc_id").alias("table_id"), "row", F.split("line", ",").alias("cells")

@@ -118,7 +118,7 @@ def order_window_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 @report()
 def document_chunk_family(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("source", "doc_id", "text")
+    docs = table(spark, sf, "documents", costly=True).select("source", "doc_id", "text")
     family = document_family(docs, C.Source("documents"), "source", "doc_id", "text")
     return family.chunks.select("chunk_id", "file", "page", "row_number", "text")
 
@@ -334,7 +334,7 @@ def written_grid_files(spark: SparkSession, sf: str) -> DataFrame:
 def streamed_document_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """The documents arrive as four files, are ingested file by file, and the
     stream is then run again over the same checkpoint: nothing changes."""
-    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("file"), "text")
+    docs = table(spark, sf, "documents", costly=True).select(F.col("doc_id").cast("string").alias("file"), "text")
     drop = new_dir(spark, "incoming")
     docs.repartition(4, "file").write.parquet(drop)
     store, checkpoint = _store(spark), new_dir(spark, "checkpoint")

@@ -23,6 +23,9 @@ def local_session(app: str = "tablegrist", cores: str = "*", **conf: str) -> Spa
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        # Beyond 8000 bytes a generated method is no longer compiled to machine
+        # code; such a stage is faster as separate, smaller methods.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -61,6 +64,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a small file over all cores. A file below the split size,
+    or of one row group, is one task however costly its rows are; an input that
+    already comes in as many splits as there are cores is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A few known rows as a frame made of literals: no Python worker and no
     parallelised collection behind it, and an empty one folds away in plans."""
