@@ -505,10 +505,11 @@ def _sql_windows(rows: str) -> str:
              floor((epoch_us(max(d)) - epoch_us(min(d))) / 86400000000.0) AS days
       FROM slab GROUP BY 1, 2)
     SELECT canonical_id, win AS "window", round(mean * n, 2) AS total, round(std, 5) AS std, mn AS min, mx AS max,
-           n AS count,
-           round(ln(CASE WHEN win = '365d' AND n >= 2 AND first > 0 AND last >= 0 AND days > 0
-                      THEN pow(last / first, 365.25 / days) END), 6) AS log_growth
-    FROM stats WHERE rows >= 2 AND n > 0
+           n AS count, CASE WHEN g < 1000000 THEN round(g, 6) END AS growth,
+           CASE WHEN g >= 1000000 THEN round(ln(g), 6) END AS log_growth
+    FROM (SELECT *, CASE WHEN win = '365d' AND n >= 2 AND first > 0 AND last >= 0 AND days > 0
+                         THEN pow(last / first, 365.25 / days) - 1 END AS g FROM stats)
+    WHERE rows >= 2 AND n > 0
     """
 
 
@@ -516,7 +517,8 @@ def _rounded_windows(df: DataFrame) -> DataFrame:
     return df.select(
         "canonical_id", "window", F.round(F.col("mean") * F.col("count"), 2).alias("total"),
         F.round("std", 5).alias("std"), "min", "max", "count",
-        F.round(F.ln(F.col("cagr") + 1), 6).alias("log_growth"),
+        F.when(F.col("cagr") < 1_000_000, F.round("cagr", 6)).alias("growth"),
+        F.when(F.col("cagr") >= 1_000_000, F.round(F.ln("cagr"), 6)).alias("log_growth"),
     )
 
 
