@@ -88,22 +88,26 @@ def entity_phrases(q: Column) -> Column:
     after of/for/about/regarding, then runs of capitalised words. A question
     word that opens the text is cut off its run."""
     text = strip(q)
-    referred = F.transform(F.regexp_extract_all(text, F.lit(REFERRED_ENTITY), F.lit(1)), strip)
-    runs = F.transform(F.regexp_extract_all(text, F.lit(CAPITALISED_RUN), F.lit(1)), strip)
-    fresh = F.filter(runs, lambda p: ~F.array_contains(referred, p))
-
-    def without_starter(p: Column, i: Column) -> Column:
-        first = F.lower(F.regexp_extract(p, r"^\S+", 0))
-        rest = F.regexp_replace(F.regexp_replace(p, r"^\S+\s*", ""), r"\s+", " ")
-        opens = (i == 0) & F.startswith(text, p) & first.isin(*SENTENCE_STARTERS)
-        return F.when(opens, rest).otherwise(p)
-
-    # The run at index 0 of all runs is the only one that can open the text.
-    trimmed = F.transform(runs, without_starter)
-    kept = F.when(F.size(fresh) == F.size(runs), trimmed).otherwise(
-        F.filter(trimmed, lambda p: ~F.array_contains(referred, p))
+    found = F.struct(
+        text.alias("text"),
+        F.transform(F.regexp_extract_all(text, F.lit(REFERRED_ENTITY), F.lit(1)), strip).alias("named"),
+        F.transform(F.regexp_extract_all(text, F.lit(CAPITALISED_RUN), F.lit(1)), strip).alias("runs"),
     )
-    return F.array_distinct(F.filter(F.concat(referred, kept), lambda p: p != ""))
+
+    def merged(m: Column) -> Column:
+        def without_starter(p: Column, i: Column) -> Column:
+            first = F.lower(F.regexp_extract(p, r"^\S+", 0))
+            rest = F.regexp_replace(F.regexp_replace(p, r"^\S+\s*", ""), r"\s+", " ")
+            # Only the first run can open the text.
+            opens = (i == 0) & F.startswith(m["text"], p) & first.isin(*SENTENCE_STARTERS)
+            known = F.array_contains(m["named"], p)
+            return F.when(known, F.lit("")).when(opens, rest).otherwise(p)
+
+        fresh = F.transform(m["runs"], without_starter)
+        return F.array_distinct(F.filter(F.concat(m["named"], fresh), lambda p: p != ""))
+
+    # Both pattern scans are bound to one value, so each runs once per text.
+    return F.transform(F.array(found), merged)[0]
 
 
 def merged_phrases(literal: Column, rewritten: Column) -> Column:

@@ -63,7 +63,9 @@ def _nfkc_series(values: pd.Series) -> pd.Series:
     return values.str.normalize("NFKC")
 
 
-_nfkc_udf = F.pandas_udf(_nfkc_series, T.StringType())
+# Declared non-deterministic so that a filter on a normalised name is not
+# copied below its projection, which would run the normalisation twice.
+_nfkc_udf = F.pandas_udf(_nfkc_series, T.StringType()).asNondeterministic()
 
 
 def nfkc(c: Column | str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -50,8 +50,9 @@ def by_id(chunks: DataFrame, chunk_id: str) -> DataFrame:
     return chunks.filter(F.col("chunk_id") == chunk_id)
 
 
-def total_rows(file_stats: DataFrame) -> DataFrame:
-    return file_stats.agg(F.coalesce(F.sum("row_count"), F.lit(0)).alias("total_rows"))
+def total_rows(file_stats: DataFrame, *more: Column) -> DataFrame:
+    """Rows of all stored tables, 0 without any; ``more`` aggregates beside it."""
+    return file_stats.agg(F.coalesce(F.sum("row_count"), F.lit(0)).alias("total_rows"), *more)
 
 
 def snapshot(chunks: DataFrame, postings: DataFrame, vectors: DataFrame, scalers: DataFrame, file_stats: DataFrame) -> DataFrame:

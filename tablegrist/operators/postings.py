@@ -54,25 +54,28 @@ def enum_postings(chunks: DataFrame) -> DataFrame:
     )
 
 
-def lookup_keys(requests: DataFrame) -> DataFrame:
-    """``(query_id, kind, column, value)`` requests as posting keys: names and
-    cell values normalised, columns lower-cased."""
+def lookup_keys(requests: DataFrame, *carry: str) -> DataFrame:
+    """``(query_id, kind, column, value)`` requests as distinct posting keys:
+    names and cell values normalised, columns lower-cased. ``carry`` names
+    further request columns to keep."""
     is_id, is_cell = F.col("kind") == "id", F.col("kind") == "cell"
     return requests.select(
         "query_id",
         "kind",
         F.when(is_id, F.col("value")).otherwise(F.lower("column")).alias("key"),
         F.when(is_cell, canonical_name("value")).otherwise(F.lit("")).alias("value"),
-    )
+        *carry,
+    ).distinct()
+
+
+def matches(postings: DataFrame, keys: DataFrame) -> DataFrame:
+    """Every posting of every key, with the columns of the key."""
+    return postings.join(keys, ["kind", "key", "value"]).drop("key", "value")
 
 
 def lookup(postings: DataFrame, keys: DataFrame) -> DataFrame:
     """``(query_id, kind, chunk_id)``, each once."""
-    return (
-        postings.join(keys.distinct(), ["kind", "key", "value"])
-        .select("query_id", "kind", "chunk_id")
-        .distinct()
-    )
+    return matches(postings, keys).select("query_id", "kind", "chunk_id").distinct()
 
 
 def total_postings(postings: DataFrame) -> DataFrame:

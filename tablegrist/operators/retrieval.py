@@ -68,38 +68,33 @@ def linear_score(
 def exact_requests(questions: DataFrame) -> DataFrame:
     """Posting keys a question asks for: its entity and its cell predicates."""
     ids = questions.filter(F.col("canonical_id") != "").select(
-        "query_id", F.lit("id").alias("kind"), F.lit("").alias("column"), F.col("canonical_id").alias("value")
+        "query_id", "intent", F.lit("id").alias("kind"), F.lit("").alias("column"),
+        F.col("canonical_id").alias("value"),
     )
     cells = questions.select(
-        "query_id", F.explode(Q.cell_predicates(F.col("question"))).alias("p")
-    ).select("query_id", F.lit("cell").alias("kind"), "p.column", "p.value")
+        "query_id", "intent", F.explode(Q.cell_predicates(F.col("question"))).alias("p")
+    ).select("query_id", "intent", F.lit("cell").alias("kind"), "p.column", "p.value")
     return ids.unionByName(cells)
 
 
+def _signals(df: DataFrame, **given: Column) -> DataFrame:
+    none = F.lit(None).cast("double")
+    no = F.lit(False)
+    values = {"exact_id": no, "exact_cell": no, "text_sim": none, "numeric_dist": none, **given}
+    return df.select("query_id", "chunk_id", "intent", *[c.alias(n) for n, c in values.items()])
+
+
 def merge_signals(exact: DataFrame, similar: DataFrame, distant: DataFrame | None = None) -> DataFrame:
-    """One row per (query, chunk) with all its signals."""
-    parts = exact.select(
-        "query_id", "chunk_id",
-        (F.col("kind") == "id").alias("exact_id"),
-        (F.col("kind") == "cell").alias("exact_cell"),
-        F.lit(None).cast("double").alias("text_sim"),
-        F.lit(None).cast("double").alias("numeric_dist"),
-    ).unionByName(
-        similar.select(
-            "query_id", "chunk_id",
-            F.lit(False).alias("exact_id"), F.lit(False).alias("exact_cell"),
-            F.col("score").alias("text_sim"), F.lit(None).cast("double").alias("numeric_dist"),
-        )
+    """One row per (query, chunk) with all its signals. The key holds the chunk,
+    so the many hits of one hot posting spread over all tasks."""
+    kind = F.col("kind")
+    parts = _signals(exact, exact_id=kind == "id", exact_cell=kind == "cell").unionByName(
+        _signals(similar, text_sim=F.col("score"))
     )
     if distant is not None:
-        parts = parts.unionByName(
-            distant.select(
-                "query_id", "chunk_id",
-                F.lit(False).alias("exact_id"), F.lit(False).alias("exact_cell"),
-                F.lit(None).cast("double").alias("text_sim"), F.col("score").alias("numeric_dist"),
-            )
-        )
+        parts = parts.unionByName(_signals(distant, numeric_dist=F.col("score")))
     return parts.groupBy("query_id", "chunk_id").agg(
+        F.first("intent").alias("intent"),
         F.bool_or("exact_id").alias("exact_id"),
         F.bool_or("exact_cell").alias("exact_cell"),
         F.coalesce(F.max("text_sim"), F.lit(0.0)).alias("text_sim"),
@@ -110,25 +105,32 @@ def merge_signals(exact: DataFrame, similar: DataFrame, distant: DataFrame | Non
 def candidates(
     questions: DataFrame, postings: DataFrame, vectors: DataFrame, k: int, distant: DataFrame | None = None
 ) -> DataFrame:
-    """Entity hits, cell hits and the ``max(4k, 20)`` most similar chunks."""
-    exact = P.lookup(postings, P.lookup_keys(exact_requests(questions)))
+    """Entity hits, cell hits and the ``max(4k, 20)`` most similar chunks of
+    ``questions(query_id, question, canonical_id, intent, vec)``. The intent
+    travels with each hit, so no later join gathers the hits of a question."""
+    exact = P.matches(postings, P.lookup_keys(exact_requests(questions), "intent"))
+    intents = questions.select("query_id", "intent")
     similar = top_k(questions.select("query_id", "vec"), vectors, max(k * OVERFETCH, MIN_FETCH))
-    return merge_signals(exact, similar, distant)
+    if distant is not None:
+        distant = distant.join(intents, "query_id")
+    return merge_signals(exact, similar.join(intents, "query_id"), distant)
+
+
+def score_candidates(found: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Candidates with chunk type and linear score; unknown chunks drop out.
+    Only the type is read here, the text of a chunk follows once it is ranked."""
+    return found.join(chunks.select("chunk_id", "chunk_type"), "chunk_id").withColumn(
+        "score",
+        linear_score(
+            F.col("exact_id"), F.col("exact_cell"), F.col("text_sim"), F.col("numeric_dist"),
+            F.col("intent"), F.col("chunk_type"),
+        ),
+    )
 
 
-def score_candidates(found: DataFrame, questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Candidates with their chunk and linear score; unknown chunks drop out."""
-    return (
-        found.join(chunks, "chunk_id")
-        .join(questions.select("query_id", "question", "intent"), "query_id")
-        .withColumn(
-            "score",
-            linear_score(
-                F.col("exact_id"), F.col("exact_cell"), F.col("text_sim"), F.col("numeric_dist"),
-                F.col("intent"), F.col("chunk_type"),
-            ),
-        )
-    )
+def hydrate(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Ranked rows with the rest of their chunk."""
+    return ranked.join(chunks.drop("chunk_type"), "chunk_id")
 
 
 def _rank_by(*order: Column) -> Column:
@@ -165,12 +167,14 @@ def _column_list(numeric_columns: Column) -> Column:
 
 def second_stage(
     scored: DataFrame,
+    questions: DataFrame,
+    chunks: DataFrame,
     k: int,
     scorer: Callable[[Column, Column], Column] = shared_words,
     rows: int = SECOND_STAGE_ROWS,
 ) -> DataFrame:
     """Entity matches first in linear order; of the rest only the best ``rows``
-    stay, in the order of the second score. Cut to k."""
+    stay, in the order of the second score. Cut to k, chunks included."""
     first = Window.partitionBy("query_id", "exact_id").orderBy(F.desc("score"), F.asc("chunk_id"))
     # The constant bound lets each task cut before the shuffle.
     kept = (
@@ -179,7 +183,8 @@ def second_stage(
         .filter(F.col("_place") <= F.when(F.col("exact_id"), k).otherwise(F.lit(rows)))
     )
     body = stand_in_text(*[F.col(c) for c in ("text", "chunk_type", "canonical_id", "numeric_columns", "window")])
-    again = kept.withColumn("ce_score", F.when(~F.col("exact_id"), scorer(F.col("question"), body)))
+    full = hydrate(kept, chunks).join(questions.select("query_id", "question"), "query_id")
+    again = full.withColumn("ce_score", F.when(~F.col("exact_id"), scorer(F.col("question"), body)))
     order = _rank_by(F.desc("exact_id"), F.desc("ce_score"), F.asc("_place"))
     return again.withColumn("rank", order).filter(F.col("rank") <= k).drop("_place")
 

@@ -65,14 +65,20 @@ def trailing_windows(
     rows are neither copied per window nor shuffled more than once; the longest
     cutoff is a scan filter."""
     columns = list(dict.fromkeys([date_col, order_by, *value_cols]))
-    rows = _entity_rows(df, name_col, columns)
-    anchor = rows.agg(F.max(f"`{date_col}`")).scalar()
     d = F.col(f"`{date_col}`")
+    # One value, put into the plan as a literal so that the cutoff prunes files.
+    latest = (
+        _entity_rows(df, name_col, [date_col])
+        .agg(F.unix_micros(F.max(d).cast("timestamp")).alias("at"))
+        .first()["at"]
+    )
+    anchor = F.timestamp_micros(F.lit(latest).cast("bigint"))
 
     def within(days: int) -> Column:
         return d >= anchor - F.make_interval(days=F.lit(days))
 
-    recent = rows.filter(within(max(WINDOWS.values()))).select(
+    # The cutoff comes before the names are normalised.
+    recent = _entity_rows(df.filter(within(max(WINDOWS.values()))), name_col, columns).select(
         "*", *[within(days).alias(f"in_{w}") for w, days in WINDOWS.items()]
     )
     aggs = [F.count_if(F.col(f"in_{w}")).alias(f"rows_{w}") for w in WINDOWS]

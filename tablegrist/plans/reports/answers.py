@@ -339,10 +339,10 @@ def merged_candidates(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def scored_candidates(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def scored_candidates(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     questions, chunks, postings, vectors = retrieval_inputs(spark, sf)
     found = R.candidates(questions, postings, vectors, K)
-    return questions, R.score_candidates(found, questions, chunks)
+    return R.score_candidates(found, chunks), questions, chunks
 
 
 @report(
@@ -350,15 +350,15 @@ def scored_candidates(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFram
     SELECT query_id, chunk_id, intent, round(score, 4) AS score, rank::INT AS rank FROM linear WHERE rank <= {K}"""
 )
 def linear_ranking(spark: SparkSession, sf: str) -> DataFrame:
-    _, scored = scored_candidates(spark, sf)
+    scored, _, _ = scored_candidates(spark, sf)
     return R.linear_top_k(scored, K).select(
         "query_id", "chunk_id", "intent", F.round("score", 4).alias("score"), "rank"
     )
 
 
 def final_ranking(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    questions, scored = scored_candidates(spark, sf)
-    return questions, R.second_stage(scored, K)
+    scored, questions, chunks = scored_candidates(spark, sf)
+    return questions, R.second_stage(scored, questions, chunks, K)
 
 
 @report(

@@ -238,7 +238,7 @@ def stored_table_rows(spark: SparkSession, sf: str) -> DataFrame:
     for family in (customer_family(spark, sf), supplier_family(spark, sf), supplier_family(spark, sf)):
         store.upsert(file_stats=family.file_stats)
     stats = store.read("file_stats")
-    return stats.agg(F.count_distinct("filename").alias("files")).join(K.total_rows(stats))
+    return K.total_rows(stats, F.count_distinct("filename").alias("files"))
 
 
 @report(f"SELECT DISTINCT {sql_canonical('p_brand')} AS canonical_id, p_brand AS alias FROM part")

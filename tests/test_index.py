@@ -180,8 +180,8 @@ def test_retrieval_end_to_end(spark, family):
         "query_id int, question string, canonical_id string, intent string, vec array<double>",
     )
     found = R.candidates(asked, family.postings, vec, 5)
-    scored = R.score_candidates(found, asked, family.chunks)
-    ranked = R.second_stage(scored, 5)
+    scored = R.score_candidates(found, family.chunks)
+    ranked = R.second_stage(scored, asked, family.chunks, 5)
     top = ranked.filter("query_id = 1 and rank = 1").first()
     assert top["chunk_type"] == "row" and top["canonical_id"] == "hdfc top 100" and top["ce_score"] is None
     first = ranked.filter("query_id = 1").orderBy("rank").collect()
@@ -198,11 +198,13 @@ def test_retrieval_end_to_end(spark, family):
 
 def test_second_stage_keeps_exact_rows_first(spark):
     rows = [(1, "a", True, 0.2, "x", "alpha"), (1, "b", False, 0.9, "x", "alpha beta"), (1, "c", False, 0.1, "x", "alpha beta gamma"), (1, "d", True, 0.5, "x", "")]
-    scored = spark.createDataFrame(rows, "query_id int, chunk_id string, exact_id boolean, score double, chunk_type string, text string").selectExpr(
-        "*", "'Alpha beta GAMMA' question", "cast(null as string) canonical_id", "cast(null as array<string>) numeric_columns", "cast(null as string) window")
-    got = [r["chunk_id"] for r in R.second_stage(scored, 10).orderBy("rank").collect()]
+    df = spark.createDataFrame(rows, "query_id int, chunk_id string, exact_id boolean, score double, chunk_type string, text string")
+    scored = df.drop("text")
+    chunks = df.selectExpr("chunk_id", "chunk_type", "text", "cast(null as string) canonical_id", "cast(null as array<string>) numeric_columns", "cast(null as string) window")
+    asked = spark.createDataFrame([(1, "Alpha beta GAMMA")], "query_id int, question string")
+    got = [r["chunk_id"] for r in R.second_stage(scored, asked, chunks, 10).orderBy("rank").collect()]
     assert got == ["d", "a", "c", "b"]
-    assert [r["chunk_id"] for r in R.second_stage(scored, 10, rows=1).orderBy("rank").collect()] == ["d", "a", "b"]
+    assert [r["chunk_id"] for r in R.second_stage(scored, asked, chunks, 10, rows=1).orderBy("rank").collect()] == ["d", "a", "b"]
 
 
 def test_source_scores_and_distance(spark):
@@ -226,7 +228,7 @@ def test_hot_posting_key(spark):
     asked = spark.createDataFrame([(i, "xx, k = hot", None, "filter_rows", [1.0]) for i in range(3)], "query_id int, question string, canonical_id string, intent string, vec array<double>").withColumn("question", F.lit("kk = hot"))
     posts = posts.withColumn("key", F.lit("kk"))
     none = spark.createDataFrame([], "chunk_id string, vec array<double>")
-    top = R.linear_top_k(R.score_candidates(R.candidates(asked, posts, none, 4), asked, chunks), 4)
+    top = R.linear_top_k(R.score_candidates(R.candidates(asked, posts, none, 4), chunks), 4)
     for q in range(3):
         assert [r["chunk_id"] for r in top.filter(F.col("query_id") == q).orderBy("rank").collect()] == [f"c{i:06d}" for i in (0, 3, 6, 9)]
 
