@@ -227,7 +227,10 @@ def store_after_delete(spark: SparkSession, sf: str) -> DataFrame:
 def rebuilt_store(spark: SparkSession, sf: str) -> DataFrame:
     store = _store(spark)
     store.add(supplier_family(spark, sf))
-    return store.rebuild([customer_family(spark, sf), supplier_family(spark, sf)])
+    report = store.rebuild(
+        {"customer": lambda: customer_family(spark, sf), "supplier": lambda: supplier_family(spark, sf)}
+    )
+    return report.select("file", "chunk_type", "chunks")
 
 
 @report(

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from tablegrist.operators.grids import csv_line, fix_headers, strip_titles
 
 
-def write_grids(grids: DataFrame, path: str, files: int = 8) -> None:
+def write_grids(grids: DataFrame, path: str) -> None:
     """One folder ``table_id=…`` per table. Rows are ranged by (table, row), so
     a small table is one file and a huge one a run of files in row order; no
     task has to hold a table."""
     ready = fix_headers(strip_titles(grids))
     lines = ready.select("table_id", "row", csv_line(F.col("cells")).alias("value"))
     (
-        lines.repartitionByRange(files, "table_id", "row")
+        lines.repartitionByRange("table_id", "row")
         .sortWithinPartitions("table_id", "row")
         .select("table_id", "value")
         .write.partitionBy("table_id")

@@ -1,7 +1,7 @@
 """The stored chunk tables.
 
 Spark cannot overwrite a path it reads, so each change writes new directories
-and then appends one commit row that names, for every table, the directory in
+and then appends one commit row that names, for every table, the directories in
 force. Readers follow the latest commit; a job that dies before its commit row
 leaves the store as it was.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from tablegrist.operators.vectors import append_vectors
 from tablegrist.plans.ingest import TABLES, Family
 from tablegrist.session import small_table
 
-COMMIT_SCHEMA = "version bigint, paths map<string,string>, removed bigint"
+COMMIT_SCHEMA = "version bigint, paths map<string,array<string>>, removed bigint"
 # How each table is laid out: directories to prune by, columns to sort by so
 # that Parquet min/max statistics narrow point look-ups.
 PARTITIONS = {"chunks": ["chunk_type"], "postings": ["kind"]}
@@ -27,6 +28,9 @@ SORTED = {
     "postings": ["key", "value"],
     "vectors": ["file_id", "chunk_id"],
 }
+# Tables dealt by key range before they are written, so that a look-up opens few
+# files; the chunk at the end of the key lets one hot posting fill many of them.
+RANGED = {"postings": ["kind", "key", "value", "chunk_id"]}
 KEYS = {
     "chunks": ["chunk_id"],
     "postings": ["kind", "key", "value", "chunk_id"],
@@ -49,7 +53,7 @@ class ChunkStore:
     def _commits(self) -> DataFrame:
         return self.spark.read.schema(COMMIT_SCHEMA).json(f"{self.root}/commits")
 
-    def _current(self) -> tuple[int, dict[str, str]]:
+    def _current(self) -> tuple[int, dict[str, list[str]]]:
         try:
             # One short row per change.
             last = self._commits().orderBy(F.desc("version")).limit(1).collect()
@@ -59,7 +63,7 @@ class ChunkStore:
             last = []
         return (last[0]["version"], dict(last[0]["paths"])) if last else (0, {})
 
-    def _commit(self, version: int, paths: dict[str, str], removed: int = 0) -> None:
+    def _commit(self, version: int, paths: dict[str, list[str]], removed: int = 0) -> None:
         row = json.dumps({"version": version, "paths": paths, "removed": removed})
         small_table(self.spark, [(row,)], "value string").coalesce(1).write.mode("append").text(
             f"{self.root}/commits"
@@ -69,14 +73,21 @@ class ChunkStore:
         return self._current()[0]
 
     def read(self, table: str) -> DataFrame:
-        path = self._current()[1].get(table)
-        if path is None:
-            return small_table(self.spark, [], TABLES[table])
-        schema = small_table(self.spark, [], TABLES[table]).schema
-        return self.spark.read.schema(schema).parquet(path).select(*schema.names)
-
-    def _write(self, table: str, df: DataFrame) -> str:
-        path = f"{self.root}/{table}/{uuid.uuid4().hex}"
+        return self._read(table, self._current()[1].get(table, []))
+
+    def _read(self, table: str, paths: list[str]) -> DataFrame:
+        empty = small_table(self.spark, [], TABLES[table])
+        if not paths:
+            return empty
+        reader = self.spark.read.schema(empty.schema)
+        if len(paths) > 1:  # parts of one rebuild lie side by side
+            reader = reader.option("basePath", paths[0].rsplit("/", 1)[0])
+        return reader.parquet(*paths).select(*empty.columns)
+
+    def _write(self, table: str, df: DataFrame, part: str = "") -> list[str]:
+        path = f"{self.root}/{table}/{part or uuid.uuid4().hex}"
+        if table in RANGED:
+            df = df.repartitionByRange(*RANGED[table])
         ordered = df
         if table in SORTED:
             ordered = df.sortWithinPartitions(*PARTITIONS.get(table, []), *SORTED[table])
@@ -84,7 +95,7 @@ class ChunkStore:
         if table in PARTITIONS:
             writer = writer.partitionBy(*PARTITIONS[table])
         writer.parquet(path)
-        return path
+        return [path]
 
     # -- changes --
 
@@ -109,14 +120,29 @@ class ChunkStore:
     def add(self, family: Family) -> int:
         return self.upsert(**family.tables())
 
-    def rebuild(self, families: list[Family]) -> DataFrame:
-        """Replace everything; returns the per-file, per-type report."""
-        from tablegrist.plans.ingest import union_families
-
+    def rebuild(self, sources: dict[str, Callable[[], Family]]) -> DataFrame:
+        """Replace everything by the given sources and report chunks per file
+        and type. A source that fails is reported with its error and leaves the
+        others alone; the old version stays in force until all are written."""
         version, _ = self._current()
-        whole = union_families(families).tables()
-        self._commit(version + 1, {t: self._write(t, df) for t, df in whole.items()})
-        return self.read("chunks").groupBy("file", "chunk_type").agg(F.count(F.lit(1)).alias("chunks"))
+        paths: dict[str, list[str]] = {t: [] for t in TABLES}
+        failed = []
+        whole = uuid.uuid4().hex
+        for i, (name, build) in enumerate(sources.items()):
+            try:
+                tables = build().tables()
+                written = {t: self._write(t, df, f"{whole}/source={i}") for t, df in tables.items()}
+            except Exception as e:
+                failed.append((name, None, None, f"{type(e).__name__}: {e}"[:500]))
+                continue
+            for t, p in written.items():
+                paths[t] += p
+        if paths["aliases"]:
+            paths["aliases"] = self._write("aliases", self._read("aliases", paths["aliases"]).distinct())
+        self._commit(version + 1, paths)
+        counts = self.read("chunks").groupBy("file", "chunk_type").agg(F.count(F.lit(1)).alias("chunks"))
+        errors = small_table(self.spark, failed, "file string, chunk_type string, chunks bigint, error string")
+        return counts.withColumn("error", F.lit(None).cast("string")).unionByName(errors)
 
     def append_vectors(self, new: DataFrame, dim: int) -> int:
         version, paths = self._current()

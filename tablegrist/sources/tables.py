@@ -7,7 +7,9 @@ import io
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -81,21 +83,23 @@ def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, n = None, 0
+        last, following = None, 0  # block of the row before, next number in it
         for b in batches:
-            values, files, blocks = (b.column(i).to_pylist() for i in range(3))
-            keep, places = [], []
-            for i, value in enumerate(values):
-                if not value:
-                    continue
-                here = (files[i], blocks[i])
-                n = n + 1 if here == at else 0
-                at = here
-                keep.append(i)
-                places.append(n)
-            out = b.take(pa.array(keep, pa.int32()))
+            b = b.filter(pc.greater(pc.binary_length(b.column(0)), 0))
+            n = b.num_rows
+            if not n:
+                continue
+            names = b.column(1).dictionary_encode()
+            file, block = names.indices.to_numpy(), b.column(2).to_numpy()
+            opens = np.ones(n, dtype=bool)
+            opens[1:] = (file[1:] != file[:-1]) | (block[1:] != block[:-1])
+            opens[0] = (b.column(1)[0].as_py(), int(block[0])) != last
+            at = np.arange(n)
+            first = np.maximum.accumulate(np.where(opens, at, -1))
+            place = np.where(first < 0, at + following, at - first)
+            last, following = (b.column(1)[n - 1].as_py(), int(block[-1])), int(place[-1]) + 1
             yield pa.RecordBatch.from_arrays(
-                [*out.columns, pa.array(places, pa.int64())], names=["value", "file", "block", "place"]
+                [*b.columns, pa.array(place, pa.int64())], names=["value", "file", "block", "place"]
             )
 
     return lines.mapInArrow(number, "value string, file string, block bigint, place bigint")
@@ -113,7 +117,9 @@ def read_tables(
     Title rows above the header are found from the first lines of each file, so
     only those lines reach the driver. ``names`` maps a base file name to
     ``(logical name, sheet)``. Rows keep their file order in ``_ordinal``. Quoted
-    line breaks are not supported, so files stay splittable."""
+    line breaks are not supported, so files stay splittable. The numbered lines
+    stay persisted on disk for the returned frames (``spark.catalog.clearCache``
+    lets them go)."""
     numbered = _numbered_lines(spark, path).persist(StorageLevel.DISK_ONLY)
     heads = numbered.filter((F.col("block") == 0) & (F.col("place") <= HEADER_ROWS)).groupBy("file").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("lines")

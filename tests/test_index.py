@@ -252,8 +252,13 @@ def test_store(spark, tmp_path, family, funds):
     assert store.read("chunks").count() == n and store.read("postings").count() == other.postings.count()
     assert store.read("scalers").select("file_id").distinct().count() == 1
     assert K.total_rows(store.read("file_stats")).first()[0] == 5
-    report = store.rebuild([family])
-    assert report.count() == 6 and store.read("aliases").count() == 4
+    def broken():
+        raise ValueError("unreadable")
+
+    report = store.rebuild({"funds": lambda: family, "bad": broken, "other": lambda: other}).collect()
+    assert [(r["file"], r["error"]) for r in report if r["error"]] == [("bad", "ValueError: unreadable")]
+    assert len(report) == 13 and store.read("aliases").count() == 4
+    assert store.read("chunks").count() == 2 * n
     assert K.total_rows(store.read("file_stats").limit(0)).first()[0] == 0
 
 
