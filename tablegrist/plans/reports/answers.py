@@ -82,9 +82,9 @@ def nearest_to_label_means_in_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """
     WITH s AS (SELECT avg(l_quantity) AS mq, stddev_pop(l_quantity) AS sq, avg(l_extendedprice) AS mp,
                       stddev_pop(l_extendedprice) AS sp, avg(l_discount) AS md, stddev_pop(l_discount) AS sd FROM lineitem)
-    SELECT l_orderkey, l_linenumber, round((l_quantity - mq) / sq, 3) AS quantity,
-           round(CASE WHEN l_returnflag = 'N' THEN 0 ELSE (l_extendedprice - mp) / sp END, 3) AS price,
-           round((l_discount - md) / sd, 3) AS discount
+    SELECT l_orderkey, l_linenumber, round(((l_quantity - mq) / sq)::FLOAT::DOUBLE, 5) AS quantity,
+           round(CASE WHEN l_returnflag = 'N' THEN 0 ELSE ((l_extendedprice - mp) / sp)::FLOAT::DOUBLE END, 5) AS price,
+           round(((l_discount - md) / sd)::FLOAT::DOUBLE, 5) AS discount
     FROM lineitem, s
     """
 )
@@ -95,7 +95,7 @@ def scaled_lineitems(spark: SparkSession, sf: str) -> DataFrame:
     scaled = gaps.select("l_orderkey", "l_linenumber", V.scaled_vector(gaps, scaler).alias("vec"))
     return scaled.select(
         "l_orderkey", "l_linenumber",
-        *[F.round(F.col("vec")[i].cast("double"), 3).alias(n) for i, n in enumerate(("quantity", "price", "discount"))],
+        *[F.round(F.col("vec")[i].cast("double"), 5).alias(n) for i, n in enumerate(("quantity", "price", "discount"))],
     )
 
 

@@ -253,7 +253,7 @@ def saved_aliases(spark: SparkSession, sf: str) -> DataFrame:
 
 @report(
     """
-    SELECT c_custkey, round((c_acctbal - (SELECT avg(c_acctbal) FROM customer)) / (SELECT stddev_pop(c_acctbal) FROM customer), 3) AS balance
+    SELECT c_custkey, round(((c_acctbal - (SELECT avg(c_acctbal) FROM customer)) / (SELECT stddev_pop(c_acctbal) FROM customer))::FLOAT::DOUBLE, 5) AS balance
     FROM customer
     """
 )
@@ -263,7 +263,7 @@ def vectors_from_stored_scaler(spark: SparkSession, sf: str) -> DataFrame:
     store.upsert(scalers=V.fit_scaler(df, "customers", ["c_acctbal"]).table(df))
     scaler = V.Scaler.load(store.read("scalers"), "customers")
     vec = V.scaled_vector(df, scaler)
-    return df.select("c_custkey", F.round(vec[0].cast("double"), 3).alias("balance"))
+    return df.select("c_custkey", F.round(vec[0].cast("double"), 5).alias("balance"))
 
 
 # --- files ------------------------------------------------------------------
