@@ -428,7 +428,16 @@ BALANCE_QUESTION = "Accounts with balance greater than 9,000"
     """
 )
 def balances_across_tables(spark: SparkSession, sf: str) -> DataFrame:
-    return CT.threshold_search(BALANCE_QUESTION, *_balance_tables(spark, sf)).rows
+    tables, order_by = _balance_tables(spark, sf)
+    answer = CT.threshold_search(BALANCE_QUESTION, tables, order_by)
+    rows = answer.rows
+    # A single contributing table comes without its name; the report keeps one
+    # set of columns either way.
+    if CT.SOURCE not in rows.columns:
+        only = answer.counts.filter(F.col("rows") > 0).first()["table"]
+        rows = rows.withColumn(CT.SOURCE, F.lit(only))
+    absent = [c for c in answer.columns.values() if c not in rows.columns]
+    return rows.withColumns({c: F.lit(None).cast("double") for c in absent})
 
 
 @report(
