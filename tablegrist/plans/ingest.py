@@ -134,9 +134,3 @@ def document_family(
         small_table(spark, [], SCALER_SCHEMA), small_table(spark, [], ALIAS_SCHEMA),
         small_table(spark, [], STAT_SCHEMA),
     )
-
-
-def union_families(families: Sequence[Family]) -> Family:
-    merged = {t: C.union_all([getattr(f, t) for f in families]) for t in TABLES}
-    merged["aliases"] = merged["aliases"].distinct()
-    return Family(**merged)

@@ -105,7 +105,7 @@ class ChunkStore:
         version, paths = self._current()
         merged = {}
         for table, new in tables.items():
-            old = self.read(table)
+            old = self._read(table, paths.get(table, []))
             new = new.select(*old.columns).dropDuplicates(KEYS[table])
             if table in paths:
                 gone = ["chunk_id"] if table == "postings" else KEYS[table]
@@ -140,13 +140,13 @@ class ChunkStore:
         if paths["aliases"]:
             paths["aliases"] = self._write("aliases", self._read("aliases", paths["aliases"]).distinct())
         self._commit(version + 1, paths)
-        counts = self.read("chunks").groupBy("file", "chunk_type").agg(F.count(F.lit(1)).alias("chunks"))
+        counts = self._read("chunks", paths["chunks"]).groupBy("file", "chunk_type").agg(F.count(F.lit(1)).alias("chunks"))
         errors = small_table(self.spark, failed, "file string, chunk_type string, chunks bigint, error string")
         return counts.withColumn("error", F.lit(None).cast("string")).unionByName(errors)
 
     def append_vectors(self, new: DataFrame, dim: int) -> int:
         version, paths = self._current()
-        path = self._write("vectors", append_vectors(self.read("vectors"), new, dim))
+        path = self._write("vectors", append_vectors(self._read("vectors", paths.get("vectors", [])), new, dim))
         self._commit(version + 1, {**paths, "vectors": path})
         return version + 1
 
@@ -154,18 +154,19 @@ class ChunkStore:
         """Remove a file from every table; returns the number of its chunks.
         Scalers go when their file has no chunk left."""
         version, paths = self._current()
-        chunks = self.read("chunks")
+        tables = {t: self._read(t, paths.get(t, [])) for t in TABLES}
+        chunks = tables["chunks"]
         deleted = chunks.filter(F.col("file") == file).select("chunk_id")
         removed = deleted.count()
-        new = {"file_stats": self.read("file_stats").filter(F.col("filename") != file)}
+        new = {"file_stats": tables["file_stats"].filter(F.col("filename") != file)}
         if removed:
             stay = chunks.filter(F.col("file") != file)
             new["chunks"] = stay
             for table in ("vectors", "postings"):
-                old = self.read(table)
+                old = tables[table]
                 new[table] = old.join(deleted, "chunk_id", "left_anti").select(*old.columns)
             live = stay.select("file_id").distinct()
-            new["scalers"] = self.read("scalers").join(live, "file_id", "left_semi")
+            new["scalers"] = tables["scalers"].join(live, "file_id", "left_semi")
         paths = {**paths, **{t: self._write(t, df) for t, df in new.items()}}
         self._commit(version + 1, paths, removed)
         return removed
