@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablegrist.functions import text as X
 from tablegrist.operators import catalog as K
 from tablegrist.operators import chunks as C
 from tablegrist.operators import entities as E
