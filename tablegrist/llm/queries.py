@@ -7,6 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablegrist.llm.exact_dedup import grouped
+from tablegrist.llm.mixing import by_rank, mix
+from tablegrist.llm.rows import located
+from tablegrist.llm.sentence_pieces import with_tokens
+
 Run = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Run] = {}
@@ -25,8 +30,6 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
-    from tablegrist.llm.sentence_pieces import with_tokens
-
     out = with_tokens(_table(spark, sf_dir, "documents"))
     return out.select(
         "doc_id",
@@ -34,3 +37,40 @@ def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group and survivor of every document among equal texts."""
+    out = grouped(located(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return out.select(
+        F.col("id").alias("doc_id"), "keep_id", "group_size", "kept",
+        F.lower(F.hex("digest")).alias("text_sha256"),
+    )
+
+
+SQL["op5_exact_dedup"] = r"""
+with d as (
+  select doc_id, coalesce(text, '') as t,
+         regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') as n
+  from documents
+)
+select doc_id,
+       first_value(doc_id) over w as keep_id,
+       count(*) over (partition by n) as group_size,
+       row_number() over w = 1 as kept,
+       sha256(n) as text_sha256
+from d
+window w as (partition by n order by length(t) desc, doc_id
+             rows between unbounded preceding and unbounded following)
+"""
+
+
+@query
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix with weights 1, 2, 3 takes of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    out = mix(located(docs), by_rank(docs))
+    return out.select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "position"
+    )
