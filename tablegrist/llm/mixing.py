@@ -21,9 +21,10 @@ from tablegrist.session import cut_lineage
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 #: Mean number of documents in a slice whose sizes are summed up in one task.
 SLICE_ROWS = 1000
-#: Documents over 1/200 of their source's target fill it first, so that a small
-#: document stands at its end.
-LARGE = 200
+#: Documents over 1/50 of what is left of a source's target after whole passes,
+#: or of a twentieth of the source if that is more, are chosen before the small
+#: ones, so that the target ends with a small document.
+LARGE, LARGE_SHARE = 50, 0.05
 
 
 def n_words(text: Column) -> Column:
@@ -121,34 +122,62 @@ def mix(
 
 
 def _placed(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """Rows with what is taken of them, from the words that come before each."""
-    # Large documents are slice -1, the rest are sliced by rank.
-    large = F.col("size") * LARGE > F.greatest(F.col("target"), F.col("source_size") * 0.01)
-    part = F.when(large, -1).otherwise(F.pmod(F.col("rank"), F.col("slices"))).cast("long")
+    """Rows with what is taken of them: whole passes over the source, and of the
+    rest of the target one more pass over some of the documents."""
+    plan = plan.withColumn("passes", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)))
+    plan = plan.withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
     rows = rows.alias("r").join(
         plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source"))
-    ).select("r.*", "source_size", "target", "weight", "steps", part.alias("slice"))
-    sums = rows.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
+    ).drop(F.col("p.source"))
+    large = F.col("size") * LARGE > F.greatest(F.col("rest"), F.col("source_size") * LARGE_SHARE)
+    rows = rows.withColumns({
+        "slice": F.pmod(F.col("rank"), F.col("slices")),
+        "small": F.when(large, 0).otherwise(F.col("size")),
+    })
+    first = _large_first(rows.filter(large))
+    rows = rows.join(first.select(FILE, ROW, F.lit(True).alias("first")), [FILE, ROW], "left")
+    left = first.groupBy("source").agg(F.min("left").alias("left"))
+    sums = rows.groupBy("source", "slice").agg(
+        F.sum("size").alias("slice_size"), F.sum("small").alias("slice_small")
+    )
     ahead = W.partitionBy("source").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select("source", "slice", F.coalesce(F.sum("slice_size").over(ahead), F.lit(0)).alias("ahead"))
-    within = W.partitionBy("source", "slice").orderBy("rank", "id", FILE, ROW)
-    rows = rows.withColumn(
-        "earlier",
-        F.coalesce(F.sum("size").over(within.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
+    sums = sums.select(
+        "source", "slice",
+        F.coalesce(F.sum("slice_size").over(ahead), F.lit(0)).alias("ahead"),
+        F.coalesce(F.sum("slice_small").over(ahead), F.lit(0)).alias("small_ahead"),
     )
+    sums = sums.alias("s").join(
+        left.alias("l"), F.col("s.source").eqNullSafe(F.col("l.source")), "left"
+    ).drop(F.col("l.source"))
+    within = W.partitionBy("source", "slice").orderBy("rank", "id", FILE, ROW).rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumns({
+        "earlier": F.coalesce(F.sum("size").over(within), F.lit(0)),
+        "small_earlier": F.coalesce(F.sum("small").over(within), F.lit(0)),
+    })
     rows = rows.alias("r").join(
         sums.alias("s"),
         F.col("r.source").eqNullSafe(F.col("s.source")) & (F.col("r.slice") == F.col("s.slice")),
-    ).select("r.*", (F.col("ahead") + F.col("earlier")).alias("begin"))
-    # A pass takes a document if its middle lies within the target.
-    fits = F.floor((F.col("target") - F.col("begin") - F.col("size") / 2) / F.col("source_size")) + 1
-    repeats = F.when(F.col("size") > 0, F.greatest(fits, F.lit(0))).otherwise(0).cast("int")
+    ).select(
+        "r.*", (F.col("ahead") + F.col("earlier")).alias("begin"),
+        (F.col("small_ahead") + F.col("small_earlier")).alias("small_begin"),
+        F.coalesce("left", "rest").alias("left"),
+    )
+    # A small document is in if its middle lies within what is left.
+    fits = (F.col("small") > 0) & (F.col("small_begin") + F.col("small") / 2 <= F.col("left"))
+    more = F.coalesce("first", F.lit(False)) | fits
+    repeats = F.when(F.col("size") > 0, F.col("passes") + more.cast("int")).otherwise(0).cast("int")
+
+    def demand(p: Column) -> Column:
+        """The words of the target that come before the document in pass ``p``."""
+        stretch = F.when(p < F.col("passes"), 1.0).otherwise(F.col("rest") / F.col("source_size"))
+        return p * F.col("source_size") + F.col("begin") * stretch
+
     rows = rows.withColumn("repeats", repeats)
     positions = F.when(
         F.col("repeats") > 0,
         F.transform(
             F.sequence(F.lit(0), F.col("repeats") - 1),
-            lambda p: _position((p * F.col("source_size") + F.col("begin")) / F.col("target") * F.col("weight")),
+            lambda p: _position(demand(p) / F.col("target") * F.col("weight")),
         ),
     ).otherwise(F.array().cast("array<double>"))
     return (
@@ -163,6 +192,26 @@ def _placed(rows: DataFrame, plan: DataFrame) -> DataFrame:
     )
 
 
+def _large_first(rows: DataFrame) -> DataFrame:
+    """Of the large documents those that are in the last pass, the largest first
+    as long as they fit, with what is ``left`` of the source's target after them.
+    A source has at most LARGE / LARGE_SHARE of them."""
+    one = F.struct((-F.col("size")).alias("minus"), "rank", "id", FILE, ROW)
+    lists = rows.groupBy("source").agg(
+        F.sort_array(F.collect_list(one)).alias("docs"), F.first("rest").alias("rest")
+    )
+    place = f"struct<{FILE}:string,{ROW}:bigint>"
+    start = F.struct(F.col("rest").alias("left"), F.array().cast(f"array<{place}>").alias("taken"))
+
+    def next_one(so_far: Column, d: Column) -> Column:
+        taken = F.concat(so_far["taken"], F.array(F.struct(d[FILE].alias(FILE), d[ROW].alias(ROW)).cast(place)))
+        with_it = F.struct((so_far["left"] + d["minus"]).alias("left"), taken.alias("taken"))
+        return F.when(-d["minus"] <= so_far["left"], with_it).otherwise(so_far)
+
+    chosen = lists.select("source", F.aggregate("docs", start, next_one).alias("end"))
+    return chosen.select("source", "end.left", F.inline_outer("end.taken"))
+
+
 def _position(area: Column) -> Column:
     """The time at which the integral of a source's schedule reaches ``area``."""
     step = F.element_at(F.filter("steps", lambda s: s["begun"] <= area), -1)
