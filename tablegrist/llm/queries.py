@@ -11,6 +11,7 @@ from tablegrist.llm.exact_dedup import grouped
 from tablegrist.llm.mixing import by_rank, mix
 from tablegrist.llm.rows import located
 from tablegrist.llm.sentence_pieces import with_tokens
+from tablegrist.llm.url_filter import Rule, judged
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -74,3 +75,19 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "position"
     )
+
+
+URL_RULES = [
+    Rule("allow", "com", "/"),
+    Rule("block", "example.com", "/en/"),
+    Rule("allow", "www.example.com", "/en/"),
+    Rule("block", "net", "/es/"),
+    Rule("block", "net", "/fr/"),
+]
+
+
+@query
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the URL of every page."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return judged(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
