@@ -12,6 +12,7 @@ from tablegrist.llm.mixing import by_rank, mix
 from tablegrist.llm.rows import located
 from tablegrist.llm.sentence_pieces import with_tokens
 from tablegrist.llm.url_filter import Rule, judged
+from tablegrist.llm.warc import archived
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -91,3 +92,13 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on the URL of every page."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     return judged(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record after writing archives and reading them back."""
+    out = archived(_table(spark, sf_dir, "pages"))
+    return out.select(
+        F.col("id").alias("page_id"), "payload_bytes", "payload_digest",
+        F.col("type").alias("record_type"), "refers_to",
+    )
