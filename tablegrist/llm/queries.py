@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablegrist.llm.cover_tree import top_k
 from tablegrist.llm.exact_dedup import grouped
 from tablegrist.llm.mixing import by_rank, mix
 from tablegrist.llm.rows import located
@@ -102,3 +103,27 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("page_id"), "payload_bytes", "payload_digest",
         F.col("type").alias("record_type"), "refers_to",
     )
+
+
+@query
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth one by integer inner product."""
+    return top_k(_table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+SQL["op2_top_k"] = r"""
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+  from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+s as (
+  select q.vec_id as query_id, d.vec_id as vec_id,
+         cast(list_dot_product(cast(q.v as double[]), cast(d.v as double[])) as bigint) as score
+  from v as q join v as d on q.vec_id % 50 = 0 and d.vec_id <> q.vec_id and len(q.v) = len(d.v)
+)
+select query_id, cast(rank as integer) as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+where rank <= 5
+"""
