@@ -110,13 +110,11 @@ class Search:
         self.queries, self.query_ids, self.k = queries, query_ids, k
         self.score = np.full((len(query_ids), k), -np.inf)
         self.id = np.full((len(query_ids), k), np.iinfo(np.int64).max)
-        self.below = [self._below(n) for n in range(len(queries.center))]
-
-    def _below(self, node: int) -> np.ndarray:
-        q = self.queries
-        if not len(q.children[node]):
-            return q.members[node]
-        return np.concatenate([self.below[c] for c in q.children[node]])
+        #: The rows below each node; a node's number is above its children's.
+        self.below: list[np.ndarray] = []
+        for children, members in zip(queries.children, queries.members):
+            rows = [self.below[c] for c in children]
+            self.below.append(np.concatenate(rows) if rows else members)
 
     def add(self, data: CoverTree, data_ids: np.ndarray) -> None:
         if data.root >= 0 and self.queries.root >= 0:
