@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablegrist.llm import toxicity
 from tablegrist.llm.cover_tree import top_k
 from tablegrist.llm.exact_dedup import grouped
 from tablegrist.llm.language_id import held_out, identified
 from tablegrist.llm.mixing import by_rank, mix
 from tablegrist.llm.rows import located
 from tablegrist.llm.sentence_pieces import with_tokens
+from tablegrist.llm.toxicity import scored
 from tablegrist.llm.url_filter import Rule, judged
 from tablegrist.llm.warc import archived
 
@@ -135,3 +137,13 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document."""
     out = identified(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept_out = held_out(F.col("doc_id"))
+    labels = _table(spark, sf_dir, "labels").filter(~kept_out)
+    out = scored(docs, toxicity.fit(docs, labels))
+    return out.select("doc_id", kept_out.alias("held_out"), "score", "predicted")
