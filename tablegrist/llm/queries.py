@@ -14,6 +14,7 @@ from tablegrist.llm.language_id import held_out, identified
 from tablegrist.llm.mixing import by_rank, mix
 from tablegrist.llm.rows import located
 from tablegrist.llm.sentence_pieces import with_tokens
+from tablegrist.llm.super_minhash import near_duplicates
 from tablegrist.llm.toxicity import scored
 from tablegrist.llm.url_filter import Rule, judged
 from tablegrist.llm.warc import archived
@@ -147,3 +148,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _table(spark, sf_dir, "labels").filter(~kept_out)
     out = scored(docs, toxicity.fit(docs, labels))
     return out.select("doc_id", kept_out.alias("held_out"), "score", "predicted")
+
+
+@query
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document among those that share 80 of 100 word pairs."""
+    out = near_duplicates(_table(spark, sf_dir, "documents"), width=2, percent=80)
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
