@@ -25,8 +25,12 @@ BLANKS = r"[\x20\x09-\x0D]+"
 #: Up to so many rows with a repeated digest are found again by a broadcast of
 #: their places (about 150 bytes each); more are joined by shuffling.
 BROADCAST_HITS = 100_000
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # Else every partition's store sets aside megabytes for its logs.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -59,7 +63,7 @@ def update_state(spark: SparkSession, log_dir: str, state_dir: str) -> DataFrame
     kept = lines.groupBy("digest").agg(
         F.count("*").alias("group_size"), F.max(best).alias("best")
     )
-    with _setting(spark, PROVIDER, ROCKSDB):
+    with _settings(spark, STATE_SETTINGS):
         stream = (
             kept.writeStream.outputMode("update")
             .format("noop")
@@ -81,13 +85,15 @@ def update_state(spark: SparkSession, log_dir: str, state_dir: str) -> DataFrame
 
 
 @contextmanager
-def _setting(spark: SparkSession, name: str, value: str):
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, value)
+def _settings(spark: SparkSession, settings: dict[str, str]):
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before) if before else spark.conf.unset(name)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def grouped(
