@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablegrist.llm import toxicity
+from tablegrist.llm import html_text, toxicity
 from tablegrist.llm.cover_tree import top_k
 from tablegrist.llm.exact_dedup import grouped
 from tablegrist.llm.language_id import held_out, identified
@@ -155,3 +155,11 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document among those that share 80 of 100 word pairs."""
     out = near_duplicates(_table(spark, sf_dir, "documents"), width=2, percent=80)
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
+@query
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    out = html_text.with_main_text(pages, html_text.fit(pages))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
