@@ -249,8 +249,10 @@ class _Composer:
         for _ in range(r.choice([0, 0, 0, 1, 2])):
             inner.insert(r.randrange(len(inner) + 1), self.other())
         core = self.tagged(r.choice(self.MAIN), "".join(inner), "main")
-        before = [self.other() for _ in range(r.randint(0, 4))]
-        after = [self.other() for _ in range(r.randint(0, 4))]
+        # Every fifth page is nothing but its main text.
+        most = r.choice([0, 4, 4, 4, 4])
+        before = [self.other() for _ in range(r.randint(0, most))]
+        after = [self.other() for _ in range(r.randint(0, most))]
         if r.random() < 0.3:
             wrap = r.choice(["div", 'div class="wrapper"', 'div id="page"', 'div class="container"', 'main class="site"'])
             core = f"<{wrap}>{''.join(before[:1])}{core}{''.join(after[:1])}</{wrap.split()[0]}>"
