@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,15 +39,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
-    out = with_tokens(_table(spark, sf_dir, "documents"))
-    return out.select(
-        "doc_id",
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    return with_tokens(
+        _table(spark, sf_dir, "documents"), derive=_digests,
+        columns="n_tokens bigint, ids_sha256 string, decoded_sha256 string",
     )
 
 
+def _digests(ids: list[bytes], decoded: list[str]) -> list[pa.Array]:
+    sha256 = lambda x: hashlib.sha256(x).hexdigest()
+    return [
+        pa.array([len(x) // 4 for x in ids], pa.int64()),
+        pa.array([sha256(x) for x in ids]),
+        pa.array([sha256(x.encode()) for x in decoded]),
+    ]
+
+
 @query
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group and survivor of every document among equal texts."""

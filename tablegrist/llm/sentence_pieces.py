@@ -17,7 +17,7 @@ from __future__ import annotations
 import gc
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -30,8 +30,8 @@ from sentencepiece import sentencepiece_model_pb2
 BLANK = "▁"
 MODEL = "piece_bpe_32k.model"
 #: Words and pairs of pieces kept in memory by each Python worker.
-CACHED_WORDS = 300_000
-CACHED_PAIRS = 1_000_000
+CACHED_WORDS = 150_000
+CACHED_PAIRS = 300_000
 
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
@@ -70,7 +70,7 @@ class PieceModel:
         self.automaton.make_automaton()
         self.chars = {p for p in self.id_of if len(p) == 1}
         self.words = _WordCache(self)
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
 
     def _raw(self, i: int) -> bytes:
         if self.kind[i] == BYTE:
@@ -98,7 +98,7 @@ class PieceModel:
     def fits(self, left: int, right: int) -> bool:
         """Whether two tokens stay as they are when their text is merged anew.
         A negative left one stands for the start."""
-        known = self.pairs.get((left, right))
+        known = self.pairs.get(left << 32 | right)
         if known is None:
             if len(self.pairs) >= CACHED_PAIRS:
                 self.pairs.clear()
@@ -106,7 +106,7 @@ class PieceModel:
                 known = self.merged(self.piece[right]) == [right]
             else:
                 known = self.merged(self.piece[left] + self.piece[right]) == [left, right]
-            self.pairs[left, right] = known
+            self.pairs[left << 32 | right] = known
         return known
 
     def run(self, text: str) -> list[int]:
@@ -126,7 +126,7 @@ class PieceModel:
                 t = here[choice]
                 to = at + length[t]
                 if not failed[to >> 3] >> (to & 7) & 1:
-                    known = pairs.get((left, t))
+                    known = pairs.get(left << 32 | t)
                     if known or known is None and self.fits(left, t):
                         break
                 choice -= 1
@@ -242,36 +242,47 @@ def _loaded(serialized: bytes) -> PieceModel:
     return _MODELS[key]
 
 
+Derive = Callable[[list[bytes], list[str]], list[pa.Array]]
+
+
+def full(ids: list[bytes], decoded: list[str]) -> list[pa.Array]:
+    return [pa.array(ids, pa.binary()), pa.array(decoded, pa.string())]
+
+
 def with_tokens(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    path: str | None = None,
+    derive: Derive = full,
+    columns: str = "ids binary, decoded string",
 ) -> DataFrame:
     """``key`` with the packed ids of the text (``ids``, binary, little-endian
-    unsigned 32-bit) and the text these ids decode to (``decoded``).
+    unsigned 32-bit) and the text these ids decode to (``decoded``), or with the
+    ``columns`` that ``derive`` makes of both where they are made, so that long
+    values need not leave the Python workers.
 
     A null text is read as an empty one, whose ids are begin and end. Rows and
     keys may repeat or be null; each row is encoded on its own. Other columns
     are not read. The model file is read on the driver and sent to the workers.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model_file(path))
-    schema = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    key_type = schema.schema["key"].dataType.simpleString()
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    key_type = rows.schema["key"].dataType.simpleString()
+    names = ["key", *(c.split()[0] for c in columns.split(","))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _loaded(shipped.value)
         for batch in batches:
             for part in _bounded(batch):
                 ids = [model.encode(t.as_py() or "") for t in part.column("text")]
-                decoded = [model.decode(x) for x in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("key"), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())],
-                    ["key", "ids", "decoded"],
-                )
+                made = derive(ids, [model.decode(x) for x in ids])
+                yield pa.RecordBatch.from_arrays([part.column("key"), *made], names)
 
-    out = schema.mapInArrow(run, f"key {key_type}, ids binary, decoded string")
-    return out.select(F.col("key").alias(key), "ids", "decoded")
+    return rows.mapInArrow(run, f"key {key_type}, {columns}").withColumnRenamed("key", key)
 
 
-def _bounded(batch: pa.RecordBatch, most: int = 256) -> Iterator[pa.RecordBatch]:
+def _bounded(batch: pa.RecordBatch, most: int = 64) -> Iterator[pa.RecordBatch]:
     for at in range(0, batch.num_rows, most):
         yield batch.slice(at, most)
 
