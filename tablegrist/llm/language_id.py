@@ -175,21 +175,27 @@ def predicted(docs: DataFrame, model: LanguageModel, text: str = "text") -> Data
     centroids the first language by name wins. Columns of ``docs`` with the
     names of the new ones are replaced; repeated rows are judged alike.
     """
-    new = ("lang_pred", "score", "rejected")
-    kept = [c for c in docs.columns if c.lower() not in new]
+    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "rejected")]
+    found = _judged(docs.select(*[F.col(f"`{c}`") for c in kept]), model, text)
+    return found.select(
+        *[F.col(f"`{c}`") for c in kept], F.col("__found.lang").alias("lang_pred"),
+        F.col("__found.score").alias("score"), F.col("__found.rejected").alias("rejected"),
+    )
+
+
+def _judged(docs: DataFrame, model: LanguageModel, text: str) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double, rejected boolean")
     def judge(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
             parts = [shipped.value.predict(batch.iloc[i : i + 64].tolist()) for i in range(0, len(batch), 64)]
-            yield pd.concat(parts, ignore_index=True)
+            yield pd.concat(parts, ignore_index=True) if parts else _NOTHING
 
-    found = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn("__found", judge(F.col(text)))
-    return found.select(
-        *[F.col(f"`{c}`") for c in kept], F.col("__found.lang").alias("lang_pred"),
-        F.col("__found.score").alias("score"), F.col("__found.rejected").alias("rejected"),
-    )
+    return docs.withColumn("__found", judge(F.col(text)))
+
+
+_NOTHING = pd.DataFrame({"lang": [], "score": [], "rejected": []}).astype({"lang": str, "score": float, "rejected": bool})
 
 
 def held_out(key: Column) -> Column:
@@ -202,3 +208,9 @@ def identified(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: s
     """``docs`` with predictions of a model learnt from those not held out."""
     model = fit(docs.filter(~held_out(F.col(key))), key, text, lang)
     return predicted(docs, model, text)
+
+
+def accepted(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that are not rejected, with all their columns."""
+    model = fit(docs.filter(~held_out(F.col(key))), key, text, lang)
+    return _judged(docs, model, text).filter("not __found.rejected").drop("__found")
