@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablegrist.functions.text import is_page_number, lines, strip, trimmed_lines
+from tablegrist.session import cut_lineage
 
 MIN_REPEAT = 3
 MIN_LENGTH = 3
@@ -38,8 +39,8 @@ def strip_repeated(
 
     A small repeated-line table (measured, not assumed) is joined as one list
     per document and the text never leaves its task. A larger one is matched by
-    an anti-join on (document, line) and the pages are put together again by
-    their key."""
+    an anti-join on (document, line) and the pages are put together again row
+    by row. Both ways give the same; a null text stays null."""
     size = (
         repeated.groupBy(document)
         .agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("line")).alias("chars"))
@@ -48,7 +49,7 @@ def strip_repeated(
     )
     if (size["n"] or 0) <= BROADCAST_LINES_PER_DOC and (size["chars"] or 0) <= BROADCAST_CHARS:
         return _strip_in_place(pages, document, text, repeated)
-    return _strip_by_join(pages, document, page, text, repeated)
+    return _strip_by_join(pages, document, text, repeated)
 
 
 def _strip_in_place(pages: DataFrame, document: str, text: str, repeated: DataFrame) -> DataFrame:
@@ -59,25 +60,25 @@ def _strip_in_place(pages: DataFrame, document: str, text: str, repeated: DataFr
         return ~(F.array_contains(F.col("_known"), strip(line)) | is_page_number(line))
 
     joined = pages.join(F.broadcast(lists), document, "left").withColumn("_known", known)
-    kept = F.array_join(F.filter(lines(text), stays), "\n")
+    kept = F.when(F.col(text).isNotNull(), F.array_join(F.filter(lines(text), stays), "\n"))
     return joined.withColumn(text, kept).drop("_repeated", "_known")
 
 
-def _strip_by_join(
-    pages: DataFrame, document: str, page: str, text: str, repeated: DataFrame
-) -> DataFrame:
-    each = pages.select(document, page, F.posexplode(lines(text)).alias("_pos", "_line")).filter(
+def _strip_by_join(pages: DataFrame, document: str, text: str, repeated: DataFrame) -> DataFrame:
+    # A key of its own for each row: pages may repeat within a document.
+    pages = cut_lineage(pages.withColumn("_row", F.monotonically_increasing_id()))
+    each = pages.select("_row", document, F.posexplode(lines(text)).alias("_pos", "_line")).filter(
         ~is_page_number(F.col("_line"))
     )
     each = each.withColumn("line", strip("_line"))
     kept = each.join(repeated.select(document, "line"), [document, "line"], "left_anti")
-    texts = kept.groupBy(document, page).agg(
+    texts = kept.groupBy("_row").agg(
         F.array_join(
             F.transform(F.sort_array(F.collect_list(F.struct("_pos", "_line"))), lambda x: x["_line"]), "\n"
         ).alias("_text")
     )
     return (
-        pages.join(texts, [document, page], "left")
-        .withColumn(text, F.coalesce("_text", F.lit("")))
-        .drop("_text")
+        pages.join(texts, "_row", "left")
+        .withColumn(text, F.when(F.col(text).isNotNull(), F.coalesce("_text", F.lit(""))))
+        .drop("_text", "_row")
     )

@@ -55,7 +55,10 @@ def total_rows(file_stats: DataFrame, *more: Column) -> DataFrame:
     return file_stats.agg(F.coalesce(F.sum("row_count"), F.lit(0)).alias("total_rows"), *more)
 
 
-def snapshot(chunks: DataFrame, postings: DataFrame, vectors: DataFrame, scalers: DataFrame, file_stats: DataFrame) -> DataFrame:
+def snapshot(
+    chunks: DataFrame, postings: DataFrame, text_vectors: DataFrame, numeric_vectors: DataFrame, scalers: DataFrame,
+    file_stats: DataFrame,
+) -> DataFrame:
     """Size of every table as ``(metric, name, value)`` rows."""
 
     def metric(name: str, df: DataFrame, value, key=None) -> DataFrame:
@@ -74,7 +77,8 @@ def snapshot(chunks: DataFrame, postings: DataFrame, vectors: DataFrame, scalers
         .unionByName(metric("chunks_by_type", chunks, n, F.col("chunk_type")))
         .unionByName(metric("chunks_by_file", chunks, n, F.col("file")))
         .unionByName(metric("postings", postings, n))
-        .unionByName(metric("text_vectors", vectors, n))
+        .unionByName(metric("text_vectors", text_vectors, n))
+        .unionByName(metric("numeric_vectors", numeric_vectors, n))
         .unionByName(metric("scalers", scalers, F.count_distinct("file_id")))
         .unionByName(metric("table_rows", file_stats, F.coalesce(F.sum("row_count"), F.lit(0))))
     )

@@ -24,7 +24,6 @@ from tablegrist.operators.vectors import Scaler, scaled_vector
 from tablegrist.session import small_table
 
 SCHEMA_VERSION = 2
-MAX_ROW_CHUNKS = 500
 STATS = "struct<mean:double,std:double,min:double,max:double,count:bigint,cagr:double>"
 # Chunk columns in order, with their types.
 FIELDS = {
@@ -259,9 +258,11 @@ def summary_chunk(spark: SparkSession, p: TableProfile, source: Source, report:
 
 def enumeration_chunks(df: DataFrame, source: Source, hidden: Sequence[str] = ()) -> DataFrame:
     listed = P.enumerations(df.drop(*hidden), source.file)
-    return as_chunks(
-        listed, "enumeration", source, F.col("column"), text=F.col("text"), column_names=F.array("column")
+    # The first part of a list keeps the place of the column alone.
+    place = F.when(F.col("part") == 1, F.col("column")).otherwise(
+        F.concat("column", F.lit("#"), F.col("part").cast("string"))
     )
+    return as_chunks(listed, "enumeration", source, place, text=F.col("text"), column_names=F.array("column"))
 
 
 def _shown(df: DataFrame, hidden: Sequence[str]) -> list[T.StructField]:
@@ -269,7 +270,7 @@ def _shown(df: DataFrame, hidden: Sequence[str]) -> list[T.StructField]:
 
 
 def row_frame(
-    df: DataFrame, source: Source, order_by: str, name_col: str | None, cap: int | None = MAX_ROW_CHUNKS
+    df: DataFrame, source: Source, order_by: str, name_col: str | None, cap: int | None = None
 ) -> DataFrame:
     """The rows that become row chunks, with their chunk id and entity."""
     rows = E.first_rows(df, order_by, cap)

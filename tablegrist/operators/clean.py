@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablegrist.functions.text import WHITESPACE, strip_cell
+from tablegrist.functions.text import WHITESPACE, WHITESPACE_RUN, strip_cell
 from tablegrist.operators.kinds import TEXT, column_kinds, kind_of
 from tablegrist.session import small_table
 
@@ -25,23 +25,40 @@ NUMBER_SIGNS = "$£€₹,"
 DATE_HINTS = ("date", "month", "year", "period", "as of", "asof")
 PARSE_SHARE = 0.8
 
+# The inside of a character class of all blanks.
+BLANK = WHITESPACE_RUN[1:-2]
 # Cells worth parsing; text is turned away by its first characters. Letters
 # other than the exponent cannot pass, so the cast that follows is strict.
 PLAIN_NUMBER = r"^[+-]?[0-9]+(?:\.[0-9]+)?$"
-NUMBER_SHAPE = r"^[\s$£€₹,+-]*\.?\d[\s$£€₹,.\deE+-]*%*$"
-INTEGER_SHAPE = r"^[\s$£€₹,+-]*\d[\s$£€₹,\d]*$"
+NUMBER_SHAPE = rf"^[{BLANK}$£€₹,+-]*\.?\d[{BLANK}$£€₹,.\deE+-]*%*$"
+INTEGER_SHAPE = rf"^[{BLANK}$£€₹,+-]*\d[{BLANK}$£€₹,\d]*$"
 FRACTION_MARKS = "[.eE%]"
+# Beyond so many digits a whole number may not fit a bigint.
 MAX_INTEGER_DIGITS = 18
-ISO_DATE = r"^\d{4}-\d{1,2}(?:-\d{1,2}(?:[ T]\d{1,2}:\d{2}:\d{2})?)?$"
+ISO_DATE = (
+    r"^\d{4}-\d{1,2}(?:-\d{1,2}(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?(?:Z|[+-]\d{2}:?\d{2})?)?)?$"
+)
+# A day that cannot be a month, so the day comes first.
+DAY = r"(?:1[3-9]|2\d|3[01])"
 # Shape of a cell and the format that reads it; the shape is tested first since
 # a failed parse costs an exception per cell.
 DATE_SHAPES = (
     (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
+    (rf"^{DAY}/\d{{1,2}}/\d{{4}}$", "d/M/yyyy"),
     (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
+    (rf"^{DAY}/\d{{1,2}}/\d{{2}}$", "d/M/yy"),
+    (r"^\d{1,2}/\d{1,2}/\d{2}$", "M/d/yy"),
+    (rf"^{DAY}-\d{{1,2}}-\d{{4}}$", "d-M-yyyy"),
+    (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-yyyy"),
+    (r"^\d{8}$", "yyyyMMdd"),
     (r"^\d{1,2}-[A-Z][a-z]{2}-\d{4}$", "d-MMM-yyyy"),
     (r"^\d{1,2} [A-Z][a-z]{2} \d{4}$", "d MMM yyyy"),
     (r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$", "MMM d, yyyy"),
     (r"^[A-Z][a-z]{2} \d{4}$", "MMM yyyy"),
+    (r"^[A-Z][a-z]{2}-\d{4}$", "MMM-yyyy"),
+    (r"^\d{1,2} [A-Z][a-z]{3,8} \d{4}$", "d MMMM yyyy"),
+    (r"^[A-Z][a-z]{3,8} \d{1,2}, \d{4}$", "MMMM d, yyyy"),
+    (r"^[A-Z][a-z]{3,8} \d{4}$", "MMMM yyyy"),
 )
 
 
@@ -98,6 +115,11 @@ def tidy_cells(df: DataFrame) -> DataFrame:
     return df.select(*trimmed).select(*out)
 
 
+def _bare(c: Column) -> Column:
+    """The cell without currency signs, blanks, plus and minus."""
+    return F.translate(c, NUMBER_SIGNS + WHITESPACE + "+-", "")
+
+
 def _digits(c: Column) -> Column:
     return F.rtrim(F.translate(c, NUMBER_SIGNS + WHITESPACE, ""), F.lit("%"))
 
@@ -139,7 +161,7 @@ def infer_typing(df: DataFrame, share: float = PARSE_SHARE) -> Typing:
         votes.append(F.count(c).alias(f"n{i}"))
         if kind == TEXT:
             number = F.col(f"_num{i}")
-            whole = ~c.rlike(FRACTION_MARKS) & (F.length(c) <= MAX_INTEGER_DIGITS)
+            whole = ~c.rlike(FRACTION_MARKS) & (F.length(_bare(c)) <= MAX_INTEGER_DIGITS)
             votes.append(F.count(number).alias(f"num{i}"))
             votes.append(F.count_if(number.isNotNull() & whole).alias(f"int{i}"))
             if _dated(name):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tablegrist.functions import questions as Q
 from tablegrist.functions.text import name_tokens
 from tablegrist.operators.kinds import NUMBER, columns_of
-from tablegrist.operators.query import DEFAULT_LIMIT, query_table
+from tablegrist.operators.query import filter_rows, query_table
 from tablegrist.session import small_table
 
 SOURCE = "Source File"
@@ -61,12 +62,13 @@ class ThresholdAnswer:
 
 
 def threshold_search(
-    question: str, tables: dict[str, DataFrame], order_by: dict[str, str], limit: int = DEFAULT_LIMIT
+    question: str, tables: dict[str, DataFrame], order_by: dict[str, str], limit: int | None = None
 ) -> ThresholdAnswer | None:
-    """Filter all tables by the threshold a question states, at most ``limit``
-    rows per table in its row order, or None when the question states none or no
-    table has a fitting column. With two or more contributing tables every row
-    carries its source."""
+    """Filter all tables by the threshold a question states, or None when the
+    question states none or no table has a fitting column. With ``limit``, at
+    most so many rows per table in its row order; the counts are of all rows
+    either way. With two or more contributing tables every row carries its
+    source, and the columns are those of the contributing tables."""
     if not tables:
         return None
     spark = next(iter(tables.values())).sparkSession
@@ -80,27 +82,56 @@ def threshold_search(
     columns = {t: fits[t] for t in tables if t in fits}
     if not columns:
         return None
-    hits = {
-        t: query_table(
-            tables[t],
-            [{"column": c, "op": op, "value": value}],
-            sort_by=order_by[t],
-            sort_desc=False,
-            limit=limit,
+    filters = {t: [{"column": c, "op": op, "value": value}] for t, c in columns.items()}
+    counting = [
+        filter_rows(tables[t], filters[t]).agg(F.count(F.lit(1)).alias("rows")).select(
+            F.lit(t).alias("table"), F.lit(c).alias("column"), "rows"
         )
         for t, c in columns.items()
-    }
-    pieces = [df.withColumn(SOURCE, F.lit(t)) for t, df in hits.items()]
-    rows = pieces[0]
-    for p in pieces[1:]:
-        rows = rows.unionByName(p, allowMissingColumns=True)
-    # At most ``limit`` rows per table.
-    counted = {r[SOURCE]: r["n"] for r in rows.groupBy(SOURCE).agg(F.count(F.lit(1)).alias("n")).collect()}
-    counts = small_table(spark, [(t, c, counted.get(t, 0)) for t, c in columns.items()], "table string, column string, rows bigint"
+    ]
+    # One number per table.
+    counted = {r["table"]: r["rows"] for r in reduce(DataFrame.unionByName, counting).collect()}
+    counts = small_table(
+        spark, [(t, c, counted[t]) for t, c in columns.items()], "table string, column string, rows bigint"
     )
-    contributing = [t for t in columns if counted.get(t)]
+    hits = {
+        t: filter_rows(tables[t], filters[t]) if limit is None
+        else query_table(tables[t], filters[t], sort_by=order_by[t], sort_desc=False, limit=limit)
+        for t in columns
+    }
+    contributing = [t for t in columns if counted[t]] or list(columns)
     if len(contributing) == 1:
-        rows = hits[contributing[0]]
-    else:
-        rows = rows.select(F.col(SOURCE), *[f"`{c}`" for c in rows.columns if c != SOURCE])
+        return ThresholdAnswer(op, value, columns, hits[contributing[0]], counts)
+    pieces = [hits[t].withColumn(SOURCE, F.lit(t)) for t in contributing]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), pieces)
+    rows = rows.select(F.col(SOURCE), *[F.col(f"`{c}`") for c in rows.columns if c != SOURCE])
     return ThresholdAnswer(op, value, columns, rows, counts)
+
+
+def threshold_hits(questions: DataFrame, tables: dict[str, DataFrame], order_by: dict[str, str]) -> DataFrame:
+    """``(query_id, table, column, row, value)`` for every row that a question of
+    ``questions(query_id, question)`` with a threshold asks for, in each table
+    with a fitting column; ``row`` is the table's ``order_by`` value as text.
+    Numeric columns are made long once per table and met by equality on the
+    column, so any number of questions costs one pass over each table."""
+    plans = questions.select("query_id", *[c.alias(n) for n, c in Q.plan_columns("question").items()])
+    plans = plans.filter("intent = 'numeric_threshold'").select("query_id", "threshold_op", "threshold_value")
+    asked = resolve_columns(questions, column_catalogue(tables)).join(plans, "query_id")
+    long = []
+    for t, df in tables.items():
+        numbers = columns_of(df, NUMBER)
+        if numbers:
+            cells = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("value")) for c in numbers]
+            long.append(df.select(
+                F.lit(t).alias("table"), F.col(f"`{order_by[t]}`").cast("string").alias("row"),
+                F.inline(F.array(*cells)),
+            ))
+    v, limit, op = F.col("value"), F.col("threshold_value"), F.col("threshold_op")
+    holds = (
+        ((op == ">") & (v > limit)) | ((op == ">=") & (v >= limit)) | ((op == "<") & (v < limit)) | ((op == "<=") & (v <= limit))
+        | ((op == "==") & (v == limit))
+    )
+    cells = reduce(DataFrame.unionByName, long)
+    return cells.join(asked.drop("score"), ["table", "column"]).filter(holds).select(
+        "query_id", "table", "column", "row", "value"
+    )

@@ -31,12 +31,14 @@ def transcripts(
     role: str = "role",
     content: str = "content",
     history_turns: int = HISTORY_TURNS,
+    chars: int | None = CONTENT_CHARS,
 ) -> DataFrame:
-    """One ``role: content`` line per recent message, blank ones left out."""
+    """One ``role: content`` line per recent message, blank ones left out;
+    of each the first ``chars`` characters (``None``: all)."""
     recent = last_messages(messages, session, order_by, history_turns)
     body = strip(content)
     line = F.concat(
-        F.coalesce(F.col(role), F.lit("?")), F.lit(": "), F.substring(body, 1, CONTENT_CHARS)
+        F.coalesce(F.col(role), F.lit("?")), F.lit(": "), body if chars is None else F.substring(body, 1, chars)
     )
     said = recent.filter(F.length(body) > 0).select(session, F.struct(order_by, line.alias("line")).alias("m"))
     return said.groupBy(session).agg(

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablegrist.operators.kinds import DATETIME, NUMBER, TEXT, column_kinds, columns_of
-from tablegrist.operators.ranks import DIRECT_ROWS, exact_quantiles, order_statistics
-from tablegrist.session import small_table
+from tablegrist.operators.ranks import exact_quantiles, value_at
+from tablegrist.session import cut_lineage, small_table
 
-ENUM_MIN, ENUM_MAX = 2, 500
+ENUM_MIN, PART_VALUES = 2, 500
 NAME_SHARE = 0.8
 QUARTILES = (0.25, 0.5, 0.75)
 FREQUENCY_SCHEMA = "column string, value string, n bigint"
@@ -68,49 +68,63 @@ def top_values(frequencies: DataFrame, k: int = 5) -> DataFrame:
     )
 
 
-def _small_columns(df: DataFrame, columns: Sequence[str], limit: int) -> list[str]:
-    """Columns that may hold at most ``limit`` distinct values. The sketch only
-    drops columns it puts at ten times the limit; the rest is counted exactly."""
-    if not columns:
-        return []
-    got = df.agg(
-        *[F.approx_count_distinct(f"`{c}`").alias(f"d{i}") for i, c in enumerate(columns)]
-    ).first()
-    return [c for i, c in enumerate(columns) if got[f"d{i}"] <= 10 * limit]
-
-
 def enumerations(
     df: DataFrame,
     table: str,
     columns: Sequence[str] | None = None,
     low: int = ENUM_MIN,
-    high: int = ENUM_MAX,
+    part_values: int = PART_VALUES,
+    high: int | None = None,
 ) -> DataFrame:
-    """Sorted distinct values of every text column with ``low``..``high`` of them."""
+    """Sorted distinct values of every text column with ``low`` of them or more,
+    a longer list in numbered parts of ``part_values``. With ``high``, columns
+    with more values are left out.
+
+    Values are placed by range: they are sorted in slices of the order, and a
+    value's number is its place in the slice plus the sizes of the slices before,
+    so no column is sorted in one task."""
     columns = list(columns) if columns is not None else columns_of(df, TEXT)
-    freq = value_frequencies(df, _small_columns(df, columns, high))
-    # Rank within the column first: no list ever exceeds high + 1 values.
-    ranked = freq.withColumn(
-        "rank", F.row_number().over(Window.partitionBy("column").orderBy("value"))
-    ).filter(F.col("rank") <= high + 1)
-    return (
-        ranked.groupBy("column")
-        .agg(F.count(F.lit(1)).alias("n_values"), F.sort_array(F.collect_list("value")).alias("values"))
-        .filter(F.col("n_values").between(low, high))
-        .select(
-            "column",
-            "n_values",
-            "values",
-            F.concat(
-                F.lit("All distinct values in column '"),
-                F.col("column"),
-                F.lit(f"' from {table} ("),
-                F.col("n_values").cast("string"),
-                F.lit(" total): "),
-                F.array_join("values", ", "),
-                F.lit("."),
-            ).alias("text"),
-        )
+    values = value_frequencies(df, columns).select("column", "value")
+    sliced = cut_lineage(
+        values.repartitionByRange("column", "value").withColumn("_slice", F.spark_partition_id())
+    )
+    sizes = sliced.groupBy("column", "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("column").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("column")
+    sizes = sizes.select(
+        "column", "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+        F.sum("_n").over(whole).alias("n_values"),
+    ).filter(F.col("n_values") >= low)
+    if high is not None:
+        sizes = sizes.filter(F.col("n_values") <= high)
+    within = Window.partitionBy("column", "_slice").orderBy("value")
+    placed = sliced.join(sizes, ["column", "_slice"]).withColumn(
+        "_place", F.col("_before") + F.row_number().over(within) - 1
+    )
+    parts = placed.groupBy(
+        "column", "n_values", (F.floor(F.col("_place") / part_values) + 1).cast("int").alias("part")
+    ).agg(F.sort_array(F.collect_list("value")).alias("values"))
+    n_parts = F.ceil(F.col("n_values") / part_values)
+    which = F.when(
+        n_parts > 1,
+        F.concat(F.lit(", part "), F.col("part").cast("string"), F.lit(" of "), n_parts.cast("string")),
+    ).otherwise("")
+    return parts.select(
+        "column",
+        "n_values",
+        "part",
+        "values",
+        F.concat(
+            F.lit("All distinct values in column '"),
+            F.col("column"),
+            F.lit(f"' from {table} ("),
+            F.col("n_values").cast("string"),
+            F.lit(" total"),
+            which,
+            F.lit("): "),
+            F.array_join("values", ", "),
+            F.lit("."),
+        ).alias("text"),
     )
 
 
@@ -146,9 +160,7 @@ def _exact_share(df: DataFrame, column: str, n: int) -> float:
     return df.agg(F.count_distinct(F.col(f"`{column}`"))).first()[0] / n
 
 
-def describe_numbers(
-    df: DataFrame, columns: Sequence[str] | None = None, direct_rows: int = DIRECT_ROWS
-) -> DataFrame:
+def describe_numbers(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Count, mean, sample deviation, minimum, exact quartiles, maximum."""
     columns = list(columns) if columns is not None else columns_of(df, NUMBER)
     spark = df.sparkSession
@@ -172,16 +184,7 @@ def describe_numbers(
     # Column statistics are one row per column, so they may be held here.
     stats = df.agg(F.array(*basics).alias("s")).first()["s"]
     counts = {r["column"]: r["count"] for r in stats}
-    if max(counts.values()) <= direct_rows:
-        got = df.agg(
-            *[
-                F.percentile(F.col(f"`{c}`"), F.array(*[F.lit(p) for p in QUARTILES])).alias(f"q{i}")
-                for i, c in enumerate(columns)
-            ]
-        ).first()
-        quartiles = {c: got[f"q{i}"] or [None] * 3 for i, c in enumerate(columns)}
-    else:
-        quartiles = exact_quantiles(df, counts, QUARTILES)
+    quartiles = exact_quantiles(df, counts, QUARTILES)
     return small_table(spark, [
             (r["column"], r["count"], r["mean"], r["std"], r["min"], *quartiles[r["column"]], r["max"])
             for r in stats
@@ -221,8 +224,9 @@ def head_middle_tail(df: DataFrame, order_by: str) -> DataFrame:
     out = head.unionByName(tail)
     if n > 30:
         start = n // 2 - 2
-        at = order_statistics(df.select(order_by), {order_by: [start]})[order_by, start]
-        dtype = df.schema[order_by].dataType
-        middle = df.filter(o >= F.lit(at).cast(dtype)).orderBy(o.asc()).limit(5)
+        at = F.lit(value_at(df, order_by, start))
+        # Rows that share the value but come before the middle are passed over.
+        skip = start - df.filter(o < at).count()
+        middle = df.filter(o >= at).orderBy(o.asc()).offset(skip).limit(5)
         out = out.unionByName(middle.withColumn("sample", part("middle")))
     return out

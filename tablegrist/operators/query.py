@@ -86,19 +86,21 @@ def query_table(
     sort_by: str | None = None,
     sort_desc: bool = True,
     select_columns: Sequence[str] | None = None,
-    limit: int | None = DEFAULT_LIMIT,
+    limit: int | None = None,
     tie_break: Sequence[str] = (),
     regex: bool = False,
 ) -> DataFrame:
-    """Filter, sort (NULL last both ways), cut, then project. Sort and limit
-    run as one bounded top-k per task, never as a full sort."""
+    """Filter, sort (NULL last both ways), cut, then project; without a limit
+    (or a negative one) all rows. Sort and limit run as one bounded top-k per
+    task, never as a full sort."""
     out = filter_rows(df, filters, regex)
     if sort_by:
         require_column(df, sort_by, "Sort column")
         c = F.col(f"`{sort_by}`")
         order = c.desc_nulls_last() if sort_desc else c.asc_nulls_last()
         out = out.orderBy(order, *[F.col(f"`{t}`").asc_nulls_last() for t in tie_break])
-    out = out.limit(DEFAULT_LIMIT if limit is None or limit < 0 else limit)
+    if limit is not None and limit >= 0:
+        out = out.limit(limit)
     chosen = [c for c in (select_columns or []) if c in df.columns]
     return out.select(*[f"`{c}`" for c in chosen]) if chosen else out
 

@@ -1,10 +1,10 @@
 """Exact order statistics without a global sort.
 
-``percentile`` keeps every distinct value of a column in one reducer. Beyond a
-row bound the wanted ranks are instead found by narrowing: each pass counts the
-rows of a bracket in equal-width buckets (map-side combined, at most ``BUCKETS``
-rows per bracket leave the cluster) and goes on with the one bucket that holds
-the rank, until that bucket holds a single value.
+A quantile sketch brackets every wanted rank between two values of the column.
+One pass counts the rows below and inside the brackets; a bracket with few
+distinct values is counted value by value, a larger one is bracketed again from
+its own rows, which makes it smaller by about half the sketch's accuracy each
+time. NaN and infinite values are counted apart, so brackets are finite.
 """
 
 from __future__ import annotations
@@ -13,11 +13,12 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 512
-DIRECT_ROWS = 2_000_000
+ACCURACY = 10_000
+#: Distinct values of all brackets of one pass that are counted one by one.
+COUNTED_VALUES = 200_000
 
 
 @dataclass
@@ -25,66 +26,139 @@ class _Bracket:
     column: str
     lo: float
     hi: float
-    below: int  # rows under lo
-    ranks: list[int]
+    below: int  # finite rows of the column under lo
+    rank: int  # among the finite rows
 
 
 def order_statistics(df: DataFrame, ranks: dict[str, list[int]]) -> dict[tuple[str, int], float]:
-    """The values at 0-based ``ranks`` of each (numeric) column's non-NULL values."""
+    """The values at 0-based ``ranks`` of each (numeric) column's non-NULL values
+    as doubles, -inf first, inf and then NaN last."""
     wanted = {c: sorted(set(r)) for c, r in ranks.items() if r}
     if not wanted:
         return {}
-    rows = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in wanted])
-    ends = rows.agg(
-        *[F.min(f"`{c}`").alias(f"lo{i}") for i, c in enumerate(wanted)],
-        *[F.max(f"`{c}`").alias(f"hi{i}") for i, c in enumerate(wanted)],
-    ).first()
+    rows = df.select(*[F.col(f"`{c}`").cast("double").alias(f"v{i}") for i, c in enumerate(wanted)])
+    named = {f"v{i}": c for i, c in enumerate(wanted)}
+    inf = float("inf")
+    ends = rows.agg(*[
+        F.struct(
+            F.count_if(F.col(v) == -inf).alias("low"), F.count_if(_finite(v)).alias("finite"),
+            F.count_if(F.col(v) == inf).alias("high"),
+            F.min(F.when(_finite(v), F.col(v))).alias("lo"), F.max(F.when(_finite(v), F.col(v))).alias("hi"),
+        ).alias(v)
+        for v in named
+    ]).first()
     found: dict[tuple[str, int], float] = {}
     open_: list[_Bracket] = []
-
-    def settle(b: _Bracket) -> None:
-        if b.lo == b.hi:
-            found.update({(b.column, r): b.lo for r in b.ranks})
-        else:
-            open_.append(b)
-
-    for i, (c, r) in enumerate(wanted.items()):
-        if ends[f"lo{i}"] is not None:
-            settle(_Bracket(c, ends[f"lo{i}"], ends[f"hi{i}"], 0, r))
+    for v, c in named.items():
+        e = ends[v]
+        for r in wanted[c]:
+            at = r - e["low"]
+            if at < 0:
+                found[c, r] = -inf
+            elif at < e["finite"]:
+                open_.append(_Bracket(v, e["lo"], e["hi"], 0, at))
+            else:
+                found[c, r] = inf if at < e["finite"] + e["high"] else math.nan
+    low = {v: ends[v]["low"] for v in named}
     while open_:
-        brackets, open_ = open_, []
-        for k, counted in _count_buckets(rows, brackets).items():
-            b = brackets[k]
-            below = b.below
-            for _, n, lo, hi in counted:
-                inside = [r for r in b.ranks if below <= r < below + n]
-                if inside:
-                    settle(_Bracket(b.column, lo, hi, below, inside))
-                below += n
+        open_ = _narrowed(rows, open_)
+        sizes = _sizes(rows, open_)
+        for b, (below, _) in zip(open_, sizes):
+            b.below = below
+        settled = [b for b in open_ if b.lo == b.hi]
+        few, held = [], 0
+        for b, (_, distinct) in sorted(zip(open_, sizes), key=lambda x: x[1][1]):
+            if b.lo < b.hi and held + distinct <= COUNTED_VALUES:
+                few.append(b)
+                held += distinct
+        for b in settled:
+            found[named[b.column], b.rank + low[b.column]] = b.lo
+        for b, value in zip(few, _counted(rows, few)):
+            found[named[b.column], b.rank + low[b.column]] = value
+        open_ = [b for b in open_ if b.lo < b.hi and b not in few]
     return found
 
 
-def _count_buckets(rows: DataFrame, brackets: list[_Bracket]) -> dict[int, list]:
-    hits = []
-    for k, b in enumerate(brackets):
-        v = F.col(f"`{b.column}`")
-        bucket = F.least(
-            F.floor((v - F.lit(b.lo)) / F.lit(b.hi - b.lo) * BUCKETS), F.lit(BUCKETS - 1)
-        )
-        hits.append(
-            F.when(
-                v.between(b.lo, b.hi),
-                F.struct(F.lit(k).alias("k"), bucket.alias("bucket"), v.alias("v")),
-            )
+def _finite(v: str) -> Column:
+    return F.col(v).isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+
+
+def _narrowed(rows: DataFrame, brackets: list[_Bracket]) -> list[_Bracket]:
+    """Each bracket between the sketched values around its rank. A sketch may be
+    off by one part in ACCURACY, so a few parts are left on both sides; the counts
+    that follow tell whether the rank is inside."""
+    spans = sorted({(b.column, b.lo, b.hi) for b in brackets})
+    counts = rows.agg(*[
+        F.count_if(F.col(v).between(lo, hi)).alias(f"n{i}") for i, (v, lo, hi) in enumerate(spans)
+    ]).first()
+    size = {s: counts[f"n{i}"] for i, s in enumerate(spans)}
+    asked = []
+    for b in brackets:
+        n, at = size[b.column, b.lo, b.hi], b.rank - b.below
+        share = at / max(1, n - 1)
+        asked.append([min(1.0, max(0.0, share + d)) for d in (-4 / ACCURACY, 4 / ACCURACY)])
+    got = rows.agg(*[
+        F.percentile_approx(
+            F.when(F.col(b.column).between(b.lo, b.hi), F.col(b.column)), F.array(*map(F.lit, p)), ACCURACY
+        ).alias(f"q{i}")
+        for i, (b, p) in enumerate(zip(brackets, asked))
+    ]).first()
+    out = []
+    for i, (b, p) in enumerate(zip(brackets, asked)):
+        lo = b.lo if p[0] == 0 else got[f"q{i}"][0]
+        hi = b.hi if p[1] == 1 else got[f"q{i}"][1]
+        out.append(_Bracket(b.column, lo, hi, b.below, b.rank))
+    inside = _sizes(rows, out, distinct=False)
+    for b, new, (below, n) in zip(brackets, out, inside):
+        # A sketch that missed the rank leaves the part that holds it.
+        if b.rank < below:
+            new.lo, new.hi = b.lo, new.lo
+        elif b.rank >= below + n:
+            new.lo, new.hi = new.hi, b.hi
+    return out
+
+
+def _sizes(rows: DataFrame, brackets: list[_Bracket], distinct: bool = True) -> list[tuple[int, int]]:
+    """Finite rows below each bracket, and its distinct values or its rows."""
+    if not brackets:
+        return []
+    aggregates = []
+    for i, b in enumerate(brackets):
+        v = F.col(b.column)
+        inside = v.between(b.lo, b.hi)
+        aggregates.append(F.count_if((v < b.lo) & (v > -float("inf"))).alias(f"b{i}"))
+        aggregates.append(
+            (F.approx_count_distinct(F.when(inside, v)) if distinct else F.count_if(inside)).alias(f"n{i}")
         )
-    counted = (
+    got = rows.agg(*aggregates).first()
+    return [(got[f"b{i}"], got[f"n{i}"]) for i in range(len(brackets))]
+
+
+def _counted(rows: DataFrame, brackets: list[_Bracket]) -> list[float]:
+    """The value at each bracket's rank from the counts of its values."""
+    if not brackets:
+        return []
+    hits = [
+        F.when(F.col(b.column).between(b.lo, b.hi), F.struct(F.lit(k).alias("k"), F.col(b.column).alias("v")))
+        for k, b in enumerate(brackets)
+    ]
+    counts = (
         rows.select(F.explode(F.array_compact(F.array(*hits))).alias("h"))
-        .groupBy("h.k", "h.bucket")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("h.v").alias("lo"), F.max("h.v").alias("hi"))
+        .groupBy("h.k", "h.v")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .collect()
     )
-    out: dict[int, list] = {}
-    for r in sorted(counted.collect(), key=lambda r: (r["k"], r["bucket"])):
-        out.setdefault(r["k"], []).append((r["bucket"], r["n"], r["lo"], r["hi"]))
+    listed: list[list[tuple[float, int]]] = [[] for _ in brackets]
+    for r in counts:
+        listed[r["k"]].append((r["v"], r["n"]))
+    out = []
+    for b, values in zip(brackets, listed):
+        at = b.below
+        for value, n in sorted(values):
+            at += n
+            if at > b.rank:
+                out.append(value)
+                break
     return out
 
 
@@ -112,6 +186,30 @@ def exact_quantiles(
                 continue
             low, high, part = ends(n, p)
             a, b = values[c, low], values[c, high]
-            row.append(a + (b - a) * part)
+            # Equal ends need no step, which for infinite ones would be NaN.
+            row.append(a if part == 0 or a == b else a + (b - a) * part)
         out[c] = row
     return out
+
+
+def value_at(df: DataFrame, column: str, rank: int):
+    """The value at a 0-based rank of a column without NULLs, in its own type.
+    Whole numbers, dates and moments are ranked by their upper 32 bits and then
+    by the lower ones, each exact as a double; other types by a bounded sort."""
+    c, kind = F.col(f"`{column}`"), df.schema[column].dataType
+    whole = {
+        "byte": c, "short": c, "integer": c, "long": c,
+        "date": F.unix_date(c) if kind.typeName() == "date" else c,
+        "timestamp": F.unix_micros(c) if kind.typeName() == "timestamp" else c,
+    }.get(kind.typeName())
+    if whole is None and kind.typeName() in ("double", "float"):
+        return order_statistics(df.select(c.alias("x")), {"x": [rank]})["x", rank]
+    if whole is None:
+        return df.select(c.alias("x")).orderBy("x").limit(rank + 1).orderBy(F.desc("x")).first()["x"]
+    whole = whole.cast("bigint")
+    halves = df.select(F.shiftright(whole, 32).alias("up"), whole.bitwiseAND(0xFFFFFFFF).alias("down"), c.alias("x"))
+    up = int(order_statistics(halves.select("up"), {"up": [rank]})["up", rank])
+    rank -= halves.filter(F.col("up") < up).count()
+    same = halves.filter(F.col("up") == up)
+    down = int(order_statistics(same.select("down"), {"down": [rank]})["down", rank])
+    return same.filter(F.col("down") == down).select("x").first()["x"]

@@ -103,14 +103,15 @@ def merge_signals(exact: DataFrame, similar: DataFrame, distant: DataFrame | Non
 
 
 def candidates(
-    questions: DataFrame, postings: DataFrame, vectors: DataFrame, k: int, distant: DataFrame | None = None
+    questions: DataFrame, postings: DataFrame, vectors: DataFrame, k: int, distant: DataFrame | None = None,
+    fetch: int | None = None,
 ) -> DataFrame:
-    """Entity hits, cell hits and the ``max(4k, 20)`` most similar chunks of
+    """Entity hits, cell hits and the ``fetch`` (else ``max(4k, 20)``) most similar chunks of
     ``questions(query_id, question, canonical_id, intent, vec)``. The intent
     travels with each hit, so no later join gathers the hits of a question."""
     exact = P.matches(postings, P.lookup_keys(exact_requests(questions), "intent"))
     intents = questions.select("query_id", "intent")
-    similar = top_k(questions.select("query_id", "vec"), vectors, max(k * OVERFETCH, MIN_FETCH))
+    similar = top_k(questions.select("query_id", "vec"), vectors, fetch or max(k * OVERFETCH, MIN_FETCH))
     if distant is not None:
         distant = distant.join(intents, "query_id")
     return merge_signals(exact, similar.join(intents, "query_id"), distant)
@@ -173,19 +174,20 @@ def second_stage(
     scorer: Callable[[Column, Column], Column] = shared_words,
     rows: int = SECOND_STAGE_ROWS,
 ) -> DataFrame:
-    """Entity matches first in linear order; of the rest only the best ``rows``
-    stay, in the order of the second score. Cut to k, chunks included."""
+    """Entity matches first in linear order, then the best ``rows`` of the rest in
+    the order of the second score, then what is left in linear order. Cut to k,
+    chunks included."""
     first = Window.partitionBy("query_id", "exact_id").orderBy(F.desc("score"), F.asc("chunk_id"))
     # The constant bound lets each task cut before the shuffle.
     kept = (
         scored.withColumn("_place", F.row_number().over(first))
         .filter(F.col("_place") <= max(k, rows))
-        .filter(F.col("_place") <= F.when(F.col("exact_id"), k).otherwise(F.lit(rows)))
     )
     body = stand_in_text(*[F.col(c) for c in ("text", "chunk_type", "canonical_id", "numeric_columns", "window")])
     full = hydrate(kept, chunks).join(questions.select("query_id", "question"), "query_id")
-    again = full.withColumn("ce_score", F.when(~F.col("exact_id"), scorer(F.col("question"), body)))
-    order = _rank_by(F.desc("exact_id"), F.desc("ce_score"), F.asc("_place"))
+    judged = ~F.col("exact_id") & (F.col("_place") <= rows)
+    again = full.withColumn("ce_score", F.when(judged, scorer(F.col("question"), body)))
+    order = _rank_by(F.desc("exact_id"), F.desc_nulls_last("ce_score"), F.asc("_place"))
     return again.withColumn("rank", order).filter(F.col("rank") <= k).drop("_place")
 
 

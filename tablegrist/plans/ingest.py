@@ -27,7 +27,8 @@ POSTING_SCHEMA = "kind string, key string, value string, chunk_id string"
 TABLES = {
     "chunks": C.CHUNK_SCHEMA,
     "postings": POSTING_SCHEMA,
-    "vectors": VECTOR_SCHEMA,
+    "text_vectors": VECTOR_SCHEMA,
+    "numeric_vectors": VECTOR_SCHEMA,
     "scalers": SCALER_SCHEMA,
     "aliases": ALIAS_SCHEMA,
     "file_stats": STAT_SCHEMA,
@@ -40,7 +41,8 @@ class Family:
 
     chunks: DataFrame
     postings: DataFrame
-    vectors: DataFrame
+    text_vectors: DataFrame
+    numeric_vectors: DataFrame
     scalers: DataFrame
     aliases: DataFrame
     file_stats: DataFrame
@@ -58,10 +60,13 @@ def table_family(
     hidden: Sequence[str] = (),
     aliases: DataFrame | None = None,
     report: dict | None = None,
-    row_cap: int | None = C.MAX_ROW_CHUNKS,
+    row_cap: int | None = None,
+    text_vectors: DataFrame | None = None,
 ) -> Family:
     """All table chunk types of one cleaned table. The builders read ``df``
-    several times, so pass a stored or persisted frame."""
+    several times, so pass a stored or persisted frame. ``text_vectors(chunk_id,
+    vec)`` of chunks with a text come from an embedder outside, keyed by the
+    stable chunk id."""
     spark = df.sparkSession
     seen = df.drop(*hidden)
     name_col = profile.pick_name_column(seen)
@@ -95,11 +100,18 @@ def table_family(
     postings = P.id_postings(chunks).unionByName(P.enum_postings(chunks)).unionByName(cells)
     stats = small_table(spark, [(fid, source.file, facts.rows)], "file_id string, filename string, row_count bigint")
     return Family(
-        chunks, postings, vectors, scalers, known,
+        chunks, postings, _of_chunks(chunks, text_vectors), vectors, scalers, known,
         stats.withColumn("ingestion_time", source.moment), name_col, date_col,
     )
 
 
+def _of_chunks(chunks: DataFrame, vectors: DataFrame | None) -> DataFrame:
+    """Text vectors of the chunks they belong to."""
+    if vectors is None:
+        return small_table(chunks.sparkSession, [], VECTOR_SCHEMA)
+    return chunks.select("chunk_id", "file_id").join(vectors, "chunk_id")
+
+
 def document_family(
     pages: DataFrame,
     source: C.Source,
@@ -124,13 +136,10 @@ def document_family(
         header = F.concat(header, F.lit(" page "), F.col(page).cast("string"))
     chunks = C.text_chunks(
         tidy, source, name, text, header=header,
-        page=F.col(page).cast("int") if paged else None, size=size, overlap=overlap,
+        page=F.col(page).try_cast("int") if paged else None, size=size, overlap=overlap,
     )
-    known = small_table(spark, [], VECTOR_SCHEMA)
-    if vectors is not None:
-        known = chunks.select("chunk_id", "file_id").join(vectors, "chunk_id")
     return Family(
-        chunks, small_table(spark, [], POSTING_SCHEMA), known,
+        chunks, small_table(spark, [], POSTING_SCHEMA), _of_chunks(chunks, vectors), small_table(spark, [], VECTOR_SCHEMA),
         small_table(spark, [], SCALER_SCHEMA), small_table(spark, [], ALIAS_SCHEMA),
         small_table(spark, [], STAT_SCHEMA),
     )

@@ -296,15 +296,18 @@ def table_shapes(spark: SparkSession, sf: str) -> DataFrame:
 
 def _sql_enumeration(t: str, c: str) -> str:
     return f"""
-    SELECT '{c}' AS "column", count(*) AS n_values,
-           'All distinct values in column ''{c}'' from {t} (' || count(*) || ' total): '
+    SELECT '{c}' AS "column", n AS n_values, p::INT AS part,
+           'All distinct values in column ''{c}'' from {t} (' || n || ' total'
+             || CASE WHEN n > 500 THEN ', part ' || p || ' of ' || ((n + 499) // 500) ELSE '' END || '): '
              || string_agg({c}, ', ' ORDER BY {c}) || '.' AS text
-    FROM (SELECT DISTINCT {c} FROM {t} WHERE {c} IS NOT NULL) HAVING count(*) BETWEEN 2 AND 500"""
+    FROM (SELECT {c}, count(*) OVER () AS n, (row_number() OVER (ORDER BY {c}) - 1) // 500 + 1 AS p
+          FROM (SELECT DISTINCT {c} FROM {t} WHERE {c} IS NOT NULL))
+    WHERE n > 1 GROUP BY n, p"""
 
 
 @report(" UNION ALL ".join(_sql_enumeration("part", c) for c in ("p_name", "p_brand", "p_type")))
 def part_enumerations(spark: SparkSession, sf: str) -> DataFrame:
-    return P.enumerations(table(spark, sf, "part"), "part").select("column", "n_values", "text")
+    return P.enumerations(table(spark, sf, "part"), "part").select("column", "n_values", "part", "text")
 
 
 @report(
@@ -313,7 +316,7 @@ def part_enumerations(spark: SparkSession, sf: str) -> DataFrame:
     )
 )
 def customer_enumerations(spark: SparkSession, sf: str) -> DataFrame:
-    return P.enumerations(table(spark, sf, "customer"), "customer").select("column", "n_values", "text")
+    return P.enumerations(table(spark, sf, "customer"), "customer").select("column", "n_values", "part", "text")
 
 
 NAMED = {

@@ -14,6 +14,7 @@ from tablegrist.operators import entities as E
 from tablegrist.operators import postings as P
 from tablegrist.operators import retrieval as R
 from tablegrist.operators import vectors as V
+from tablegrist.session import small_table
 from tablegrist.plans.reports import report, sql_canonical, table
 
 # --- vectors ----------------------------------------------------------------
@@ -190,7 +191,7 @@ SQL_POSTINGS = f"""
       SELECT 'cell' AS kind, key, value, chunk_id FROM cells WHERE value <> ''
       UNION ALL SELECT 'id', {sql_canonical('p_name')}, '', chunk_id FROM src WHERE {sql_canonical('p_name')} <> ''
       UNION ALL
-      {' UNION ALL '.join(f"SELECT 'enum', '{c}', '', sha256(left(sha256('part.parquet'), 12) || '|enumeration|{c}') FROM (SELECT count(DISTINCT {c}) AS d FROM part) WHERE d BETWEEN 2 AND 500" for c in ('p_name', 'p_brand', 'p_type'))})
+      {' UNION ALL '.join(f"SELECT 'enum', '{c}', '', sha256(left(sha256('part.parquet'), 12) || '|enumeration|{c}') FROM (SELECT count(DISTINCT {c}) AS d FROM part) WHERE d > 1" for c in ('p_name', 'p_brand', 'p_type'))})
 """
 
 
@@ -421,10 +422,10 @@ BALANCE_QUESTION = "Accounts with balance greater than 9,000"
     """
     SELECT * FROM (SELECT 'customers.csv' AS "Source File", c_custkey::VARCHAR AS id, c_name AS name,
                           c_acctbal AS "Account Balance (USD)", NULL::DOUBLE AS "Balance"
-                   FROM customer WHERE c_acctbal > 9000 ORDER BY c_name LIMIT 50)
+                   FROM customer WHERE c_acctbal > 9000)
     UNION ALL
     SELECT * FROM (SELECT 'suppliers.csv', s_suppkey::VARCHAR, s_name, NULL, s_acctbal
-                   FROM supplier WHERE s_acctbal > 9000 ORDER BY s_name LIMIT 50)
+                   FROM supplier WHERE s_acctbal > 9000)
     """
 )
 def balances_across_tables(spark: SparkSession, sf: str) -> DataFrame:
@@ -440,11 +441,32 @@ def balances_across_tables(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumns({c: F.lit(None).cast("double") for c in absent})
 
 
+BALANCE_QUESTIONS = [
+    (1, BALANCE_QUESTION), (2, "balance below -900"), (3, "Which accounts have a balance above 5000?"), (4, "hello there"),
+]
+
+
+@report(
+    """
+    WITH q(query_id, low, high) AS (VALUES (1, 9000.0, NULL), (2, NULL, -900.0), (3, 5000.0, NULL))
+    SELECT query_id, 'customers.csv' AS "table", 'Account Balance (USD)' AS "column", c_name AS row, c_acctbal AS value
+    FROM q JOIN customer ON c_acctbal > low OR c_acctbal < high
+    UNION ALL
+    SELECT query_id, 'suppliers.csv', 'Balance', s_name, s_acctbal FROM q JOIN supplier ON s_acctbal > low OR s_acctbal < high
+    """
+)
+def balance_questions_across_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """A table of questions against all tables at once."""
+    tables, order_by = _balance_tables(spark, sf)
+    questions = small_table(spark, BALANCE_QUESTIONS, "query_id int, question string")
+    return CT.threshold_hits(questions, tables, order_by)
+
+
 @report(
     """
     SELECT 'customers.csv' AS "table", 'Account Balance (USD)' AS "column",
-           least(50, (SELECT count(*) FROM customer WHERE c_acctbal > 9000)) AS rows
-    UNION ALL SELECT 'suppliers.csv', 'Balance', least(50, (SELECT count(*) FROM supplier WHERE s_acctbal > 9000))
+           (SELECT count(*) FROM customer WHERE c_acctbal > 9000) AS rows
+    UNION ALL SELECT 'suppliers.csv', 'Balance', (SELECT count(*) FROM supplier WHERE s_acctbal > 9000)
     """
 )
 def balance_counts_across_tables(spark: SparkSession, sf: str) -> DataFrame:

@@ -128,7 +128,7 @@ def documents_without_repeats_by_join(spark: SparkSession, sf: str) -> DataFrame
     """The way of a repeated-line table too large to send to every task."""
     docs = table(spark, sf, "documents", costly=True).select("source", "doc_id", "text")
     repeated = B.repeated_lines(docs, "source", "text")
-    return B._strip_by_join(docs, "source", "doc_id", "text", repeated).select("doc_id", "text")
+    return B._strip_by_join(docs, "source", "text", repeated).select("doc_id", "text")
 
 
 @report(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablegrist.functions.text import WHITESPACE_RUN as SPARK_BLANKS
 from tablegrist.operators import catalog as K
 from tablegrist.operators import chunks as C
 from tablegrist.operators import entities as E
@@ -35,7 +36,8 @@ def _sql_family(t: str, key: str, name: str, texts: list[str]) -> str:
     """Chunks of one named table without dates: type, place, entity."""
     fid = f"left(sha256('{t}.parquet'), 12)"
     enums = " UNION ALL ".join(
-        f"SELECT 'enumeration', '{c}', NULL, NULL FROM (SELECT count(DISTINCT {c}) AS d FROM {t}) WHERE d BETWEEN 2 AND 500"
+        f"""SELECT 'enumeration', '{c}' || CASE WHEN p > 0 THEN '#' || (p + 1) ELSE '' END, NULL, NULL
+            FROM (SELECT unnest(range(0, (count(DISTINCT {c}) + 499) // 500)) AS p, count(DISTINCT {c}) AS d FROM {t}) WHERE d > 1"""
         for c in texts
     )
     return f"""
@@ -44,7 +46,7 @@ def _sql_family(t: str, key: str, name: str, texts: list[str]) -> str:
     FROM (SELECT 'synopsis' AS chunk_type, '0' AS place, NULL::BIGINT AS row_number, NULL::VARCHAR AS canonical_id
           UNION ALL SELECT 'tabular_summary', '0', NULL, NULL
           UNION ALL {enums}
-          UNION ALL (SELECT 'row', {key}::VARCHAR, {key}, {sql_canonical(name)} FROM {t} ORDER BY {key} LIMIT 500)
+          UNION ALL (SELECT 'row', {key}::VARCHAR, {key}, {sql_canonical(name)} FROM {t})
           UNION ALL SELECT DISTINCT 'entity', {sql_canonical(name)}, NULL::BIGINT, {sql_canonical(name)} FROM {t}
           UNION ALL SELECT 'numeric_vector', {key}::VARCHAR, {key}, {sql_canonical(name)} FROM {t})"""
 
@@ -85,7 +87,7 @@ def customer_entities(spark: SparkSession, sf: str) -> DataFrame:
 
 @report(
     f"""WITH {SQL_FAMILIES}, cells AS (
-      {' UNION ALL '.join(f"SELECT c_custkey FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 500) WHERE {sql_canonical(c + '::VARCHAR')} <> ''" for c in ('c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment'))})
+      {' UNION ALL '.join(f"SELECT c_custkey FROM customer WHERE {sql_canonical(c + '::VARCHAR')} <> ''" for c in ('c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment'))})
     SELECT 'id' AS kind, count(*) AS postings FROM chunks WHERE canonical_id <> '' AND file = 'customer.parquet'
     UNION ALL SELECT 'enum', count(*) FROM chunks WHERE chunk_type = 'enumeration' AND file = 'customer.parquet'
     UNION ALL SELECT 'cell', count(*) FROM cells"""
@@ -196,20 +198,21 @@ def upserted_chunks(spark: SparkSession, sf: str) -> DataFrame:
     suppliers = supplier_family(spark, sf)
     store.add(customer_family(spark, sf))
     store.add(suppliers)
-    store.upsert(chunks=suppliers.chunks.withColumn("version", F.lit(3)), postings=suppliers.postings)
+    store.put(chunks=suppliers.chunks.withColumn("version", F.lit(3)), postings=suppliers.postings)
     return store.read("chunks").select("chunk_id", "chunk_type", "version")
 
 
 @report(
     f"""WITH {SQL_FAMILIES}, stay AS (SELECT * FROM chunks WHERE file <> 'customer.parquet'),
-    cells AS (SELECT 1 AS x FROM (SELECT * FROM supplier ORDER BY s_suppkey LIMIT 500) s, range(4)
+    cells AS (SELECT 1 AS x FROM supplier s, range(4)
               WHERE range < 3 OR s_acctbal IS NOT NULL)
     SELECT 'chunks' AS metric, '' AS name, count(*) AS value FROM stay
     UNION ALL SELECT 'chunks_by_type', chunk_type, count(*) FROM stay GROUP BY 2
     UNION ALL SELECT 'chunks_by_file', file, count(*) FROM stay GROUP BY 2
     UNION ALL SELECT 'postings', '', (SELECT count(*) FROM cells) + (SELECT count(*) FROM stay WHERE canonical_id <> '')
                                      + (SELECT count(*) FROM stay WHERE chunk_type = 'enumeration')
-    UNION ALL SELECT 'text_vectors', '', (SELECT count(*) FROM supplier)
+    UNION ALL SELECT 'text_vectors', '', 0
+    UNION ALL SELECT 'numeric_vectors', '', (SELECT count(*) FROM supplier)
     UNION ALL SELECT 'scalers', '', 1
     UNION ALL SELECT 'table_rows', '', (SELECT count(*) FROM supplier)"""
 )
@@ -219,7 +222,36 @@ def store_after_delete(spark: SparkSession, sf: str) -> DataFrame:
     store.add(customer_family(spark, sf))
     store.add(supplier_family(spark, sf))
     store.delete_file("customer.parquet")
-    return K.snapshot(*[store.read(t) for t in ("chunks", "postings", "vectors", "scalers", "file_stats")])
+    return K.snapshot(*[store.read(t) for t in ("chunks", "postings", "text_vectors", "numeric_vectors", "scalers", "file_stats")])
+
+
+@report(
+    f"""
+    WITH w AS (SELECT doc_id, {sql_words('text')} AS words FROM documents),
+    n AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN least(len(words), 10) ELSE len(words) END AS n FROM w)
+    SELECT doc_id::VARCHAR AS file, count(*) AS chunks, count(*) AS vectors
+    FROM (SELECT doc_id, unnest(range(0, n, 140)) AS s FROM n) GROUP BY 1
+    """
+)
+def replaced_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents are stored with a vector for each chunk, then every second one
+    comes again cut to ten words: no chunk and no vector of the longer form stays."""
+    docs = table(spark, sf, "documents", costly=True).select(
+        F.col("doc_id").cast("string").alias("file"), F.lit(None).cast("int").alias("page"), "text"
+    )
+    short = docs.filter(F.col("file").cast("bigint") % 2 == 0).withColumn(
+        "text", F.array_join(F.slice(F.filter(F.split("text", SPARK_BLANKS), lambda w: w != ""), 1, 10), " ")
+    )
+    store = _store(spark)
+    for batch in (docs, short):
+        family = document_family(batch, C.Source("documents"), "file", "page", "text", paged=False)
+        unit = F.array(F.lit(1.0), F.lit(0.0)).cast("array<float>")
+        vectors = family.chunks.select("chunk_id", unit.alias("vec"))
+        store.add(document_family(batch, C.Source("documents"), "file", "page", "text", paged=False, vectors=vectors))
+    chunks, vectors = store.read("chunks"), store.read("text_vectors").select("chunk_id", F.lit(1).alias("v"))
+    return chunks.join(vectors, "chunk_id", "left").groupBy("file").agg(
+        F.count(F.lit(1)).alias("chunks"), F.count("v").alias("vectors")
+    )
 
 
 @report(f"WITH {SQL_FAMILIES} SELECT file, chunk_type, count(*) AS chunks FROM chunks GROUP BY 1, 2")
@@ -238,7 +270,7 @@ def rebuilt_store(spark: SparkSession, sf: str) -> DataFrame:
 def stored_table_rows(spark: SparkSession, sf: str) -> DataFrame:
     store = _store(spark)
     for family in (customer_family(spark, sf), supplier_family(spark, sf), supplier_family(spark, sf)):
-        store.upsert(file_stats=family.file_stats)
+        store.put(file_stats=family.file_stats)
     stats = store.read("file_stats")
     return K.total_rows(stats, F.count_distinct("filename").alias("files"))
 
@@ -259,7 +291,7 @@ def saved_aliases(spark: SparkSession, sf: str) -> DataFrame:
 def vectors_from_stored_scaler(spark: SparkSession, sf: str) -> DataFrame:
     df = table(spark, sf, "customer")
     store = _store(spark)
-    store.upsert(scalers=V.fit_scaler(df, "customers", ["c_acctbal"]).table(df))
+    store.put(scalers=V.fit_scaler(df, "customers", ["c_acctbal"]).table(df))
     scaler = V.Scaler.load(store.read("scalers"), "customers")
     vec = V.scaled_vector(df, scaler)
     return df.select("c_custkey", F.round(vec[0].cast("double"), 5).alias("balance"))

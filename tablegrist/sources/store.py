@@ -1,175 +1,173 @@
-"""The stored chunk tables.
+"""The stored chunk tables: plain Parquet folders that only grow.
 
-Spark cannot overwrite a path it reads, so each change writes new directories
-and then appends one commit row that names, for every table, the directories in
-force. Readers follow the latest commit; a job that dies before its commit row
-leaves the store as it was.
+Every write adds rows under a new ingest number; the ``files`` table says which
+ingest of a file is in force. Replacing or deleting a file is one row in ``files``
+and touches nothing else, so the cost of a write is that of its own rows. Readers
+see an ingest only after its ``files`` rows, which are written last. Rows out of
+force stay until ``compact`` writes the rows in force to another folder.
 """
 
 from __future__ import annotations
 
-import json
+import time
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablegrist.operators.vectors import append_vectors
 from tablegrist.plans.ingest import TABLES, Family
 from tablegrist.session import small_table
 
-COMMIT_SCHEMA = "version bigint, paths map<string,array<string>>, removed bigint"
+FILES_SCHEMA = "file string, seq bigint, ingest string"
 # How each table is laid out: directories to prune by, columns to sort by so
 # that Parquet min/max statistics narrow point look-ups.
 PARTITIONS = {"chunks": ["chunk_type"], "postings": ["kind"]}
 SORTED = {
     "chunks": ["canonical_id", "chunk_id"],
     "postings": ["key", "value"],
-    "vectors": ["file_id", "chunk_id"],
+    "text_vectors": ["file_id", "chunk_id"],
+    "numeric_vectors": ["file_id", "chunk_id"],
 }
 # Tables dealt by key range before they are written, so that a look-up opens few
 # files; the chunk at the end of the key lets one hot posting fill many of them.
 RANGED = {"postings": ["kind", "key", "value", "chunk_id"]}
-KEYS = {
-    "chunks": ["chunk_id"],
-    "postings": ["kind", "key", "value", "chunk_id"],
-    "vectors": ["chunk_id"],
-    "scalers": ["file_id", "column"],
-    "aliases": ["canonical_id", "alias"],
-    "file_stats": ["file_id"],
-}
+FILE, INGEST = "_file", "_ingest"
 
 
 class ChunkStore:
-    """A folder of versioned tables; its one mutable thing is the commit log."""
+    """A folder of tables. ``aliases`` belong to no file and are only added to."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
 
-    # -- versions --
-
-    def _commits(self) -> DataFrame:
-        return self.spark.read.schema(COMMIT_SCHEMA).json(f"{self.root}/commits")
+    # -- reading --
 
-    def _current(self) -> tuple[int, dict[str, list[str]]]:
+    def _stored(self, table: str, schema: str) -> DataFrame:
+        empty = small_table(self.spark, [], schema)
         try:
-            # One short row per change.
-            last = self._commits().orderBy(F.desc("version")).limit(1).collect()
-        except Exception as e:  # no commit folder yet
-            if "PATH_NOT_FOUND" not in str(e):
+            return self.spark.read.schema(empty.schema).parquet(f"{self.root}/{table}").select(*empty.columns)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            last = []
-        return (last[0]["version"], dict(last[0]["paths"])) if last else (0, {})
+            return empty
 
-    def _commit(self, version: int, paths: dict[str, list[str]], removed: int = 0) -> None:
-        row = json.dumps({"version": version, "paths": paths, "removed": removed})
-        small_table(self.spark, [(row,)], "value string").coalesce(1).write.mode("append").text(
-            f"{self.root}/commits"
+    def _in_force(self) -> DataFrame:
+        """``_file`` and ``_ingest`` of every file that is not deleted."""
+        last = self._stored("files", FILES_SCHEMA).groupBy(F.col("file").alias(FILE)).agg(
+            F.max(F.struct("seq", "ingest")).alias("last")
         )
-
-    def version(self) -> int:
-        return self._current()[0]
+        return last.select(FILE, F.col("last.ingest").alias(INGEST)).filter(F.col(INGEST).isNotNull())
 
     def read(self, table: str) -> DataFrame:
-        return self._read(table, self._current()[1].get(table, []))
+        """The rows of a table that are in force."""
+        columns = small_table(self.spark, [], TABLES[table]).columns
+        if table == "aliases":
+            return self._stored(table, TABLES[table]).distinct()
+        rows = self._stored(table, f"{TABLES[table]}, {FILE} string, {INGEST} string")
+        return rows.join(self._in_force(), [FILE, INGEST], "left_semi").select(*columns)
 
-    def _read(self, table: str, paths: list[str]) -> DataFrame:
-        empty = small_table(self.spark, [], TABLES[table])
-        if not paths:
-            return empty
-        reader = self.spark.read.schema(empty.schema)
-        if len(paths) > 1:  # parts of one rebuild lie side by side
-            reader = reader.option("basePath", paths[0].rsplit("/", 1)[0])
-        return reader.parquet(*paths).select(*empty.columns)
+    # -- writing --
 
-    def _write(self, table: str, df: DataFrame, part: str = "") -> list[str]:
-        path = f"{self.root}/{table}/{part or uuid.uuid4().hex}"
+    def _append(self, table: str, df: DataFrame) -> None:
         if table in RANGED:
             df = df.repartitionByRange(*RANGED[table])
-        ordered = df
         if table in SORTED:
-            ordered = df.sortWithinPartitions(*PARTITIONS.get(table, []), *SORTED[table])
-        writer = ordered.write
+            df = df.sortWithinPartitions(*PARTITIONS.get(table, []), *SORTED[table])
+        writer = df.write.mode("append")
         if table in PARTITIONS:
             writer = writer.partitionBy(*PARTITIONS[table])
-        writer.parquet(path)
-        return [path]
-
-    # -- changes --
-
-    def upsert(self, **tables: DataFrame) -> int:
-        """Add rows to the given tables, the last write of a key winning. Rows of
-        re-written chunks leave the postings with their old version."""
-        version, paths = self._current()
-        merged = {}
-        for table, new in tables.items():
-            old = self._read(table, paths.get(table, []))
-            new = new.select(*old.columns).dropDuplicates(KEYS[table])
-            if table in paths:
-                gone = ["chunk_id"] if table == "postings" else KEYS[table]
-                written = tables.get("chunks", new) if table == "postings" else new
-                stay = old.join(written.select(*gone).distinct(), gone, "left_anti")
-                new = stay.select(*old.columns).unionByName(new)
-            merged[table] = new
-        paths = {**paths, **{t: self._write(t, df) for t, df in merged.items()}}
-        self._commit(version + 1, paths)
-        return version + 1
-
-    def add(self, family: Family) -> int:
-        return self.upsert(**family.tables())
+        writer.parquet(f"{self.root}/{table}")
+
+    def _write(self, tables: dict[str, DataFrame]) -> DataFrame:
+        """Append all tables under one new ingest; the ``files`` rows that put it
+        in force, still to be written."""
+        ingest, seq = uuid.uuid4().hex, time.time_ns()
+        written = []
+        chunks = None
+        for table in sorted(tables, key=lambda t: t != "chunks"):
+            df = tables[table].select(*small_table(self.spark, [], TABLES[table]).columns)
+            if table == "aliases":
+                self._append(table, df)
+                continue
+            if table == "text_vectors":
+                self._check_length(df)
+            df = _with_file(table, df, chunks).withColumn(INGEST, F.lit(ingest))
+            self._append(table, df)
+            stored = self._stored(table, f"{TABLES[table]}, {FILE} string, {INGEST} string")
+            stored = stored.filter(F.col(INGEST) == ingest)
+            if table == "chunks":
+                chunks = stored
+            if chunks is None or table in ("chunks", "file_stats"):
+                written.append(stored.select(FILE))
+        files = small_table(self.spark, [], f"{FILE} string")
+        for w in written:
+            files = files.unionByName(w)
+        return files.distinct().select(F.col(FILE).alias("file"), F.lit(seq).alias("seq"), F.lit(ingest).alias("ingest"))
+
+    def _check_length(self, new: DataFrame) -> None:
+        """All text vectors of a store have one length, or none can be searched."""
+        lengths = new.select(F.size("vec").alias("n")).unionByName(
+            self.read("text_vectors").select(F.size("vec").alias("n"))
+        )
+        if lengths.distinct().count() > 1:
+            raise ValueError("text vectors of different lengths")
+
+    def put(self, **tables: DataFrame) -> None:
+        """Add rows to the given tables. They replace all rows of the files they
+        belong to, in every table."""
+        self._append("files", self._write(tables))
+
+    def add(self, family: Family) -> None:
+        self.put(**family.tables())
+
+    def delete_file(self, file: str) -> int:
+        """Take a file out of every table; returns the number of its chunks."""
+        removed = self.read("chunks").filter(F.col("file") == file).count()
+        gone = small_table(self.spark, [(file, time.time_ns(), None)], FILES_SCHEMA)
+        self._append("files", gone)
+        return removed
 
     def rebuild(self, sources: dict[str, Callable[[], Family]]) -> DataFrame:
         """Replace everything by the given sources and report chunks per file
         and type. A source that fails is reported with its error and leaves the
-        others alone; the old version stays in force until all are written."""
-        version, _ = self._current()
-        paths: dict[str, list[str]] = {t: [] for t in TABLES}
-        failed = []
-        whole = uuid.uuid4().hex
-        for i, (name, build) in enumerate(sources.items()):
+        others alone; what was in force stays so until all are written."""
+        failed, fresh = [], small_table(self.spark, [], FILES_SCHEMA)
+        for name, build in sources.items():
             try:
-                tables = build().tables()
-                written = {t: self._write(t, df, f"{whole}/source={i}") for t, df in tables.items()}
+                fresh = fresh.unionByName(self._write(build().tables()))
             except Exception as e:
-                failed.append((name, None, None, f"{type(e).__name__}: {e}"[:500]))
-                continue
-            for t, p in written.items():
-                paths[t] += p
-        if paths["aliases"]:
-            paths["aliases"] = self._write("aliases", self._read("aliases", paths["aliases"]).distinct())
-        self._commit(version + 1, paths)
-        counts = self._read("chunks", paths["chunks"]).groupBy("file", "chunk_type").agg(F.count(F.lit(1)).alias("chunks"))
+                failed.append((name, None, None, f"{type(e).__name__}: {e}"))
+        old = self._in_force().select(F.col(FILE).alias("file")).join(fresh.select("file"), "file", "left_anti")
+        gone = old.select("file", F.lit(time.time_ns()).alias("seq"), F.lit(None).cast("string").alias("ingest"))
+        self._append("files", fresh.unionByName(gone))
+        counts = self.read("chunks").groupBy("file", "chunk_type").agg(F.count(F.lit(1)).alias("chunks"))
         errors = small_table(self.spark, failed, "file string, chunk_type string, chunks bigint, error string")
         return counts.withColumn("error", F.lit(None).cast("string")).unionByName(errors)
 
-    def append_vectors(self, new: DataFrame, dim: int) -> int:
-        version, paths = self._current()
-        path = self._write("vectors", append_vectors(self._read("vectors", paths.get("vectors", [])), new, dim))
-        self._commit(version + 1, {**paths, "vectors": path})
-        return version + 1
-
-    def delete_file(self, file: str) -> int:
-        """Remove a file from every table; returns the number of its chunks.
-        Scalers go when their file has no chunk left."""
-        version, paths = self._current()
-        tables = {t: self._read(t, paths.get(t, [])) for t in TABLES}
-        chunks = tables["chunks"]
-        deleted = chunks.filter(F.col("file") == file).select("chunk_id")
-        removed = deleted.count()
-        new = {"file_stats": tables["file_stats"].filter(F.col("filename") != file)}
-        if removed:
-            stay = chunks.filter(F.col("file") != file)
-            new["chunks"] = stay
-            for table in ("vectors", "postings"):
-                old = tables[table]
-                new[table] = old.join(deleted, "chunk_id", "left_anti").select(*old.columns)
-            live = stay.select("file_id").distinct()
-            new["scalers"] = tables["scalers"].join(live, "file_id", "left_semi")
-        paths = {**paths, **{t: self._write(t, df) for t, df in new.items()}}
-        self._commit(version + 1, paths, removed)
-        return removed
+    def compact(self, root: str) -> ChunkStore:
+        """A store under another folder with the rows in force only."""
+        other = ChunkStore(self.spark, root)
+        other.put(**{t: self.read(t) for t in TABLES})
+        return other
+
+
+def _with_file(table: str, df: DataFrame, chunks: DataFrame | None) -> DataFrame:
+    """``df`` with the file each row belongs to: its own name, that of its chunk,
+    or that of its file id, which stands for itself where no chunk has it."""
+    own: dict[str, Column] = {"chunks": F.col("file"), "file_stats": F.col("filename")}
+    if table in own:
+        return df.withColumn(FILE, own[table])
+    if chunks is None:
+        if "file_id" not in df.columns:
+            raise ValueError(f"{table} are stored together with the chunks they belong to")
+        return df.withColumn(FILE, F.col("file_id"))
+    key = "chunk_id" if "chunk_id" in df.columns else "file_id"
+    known = chunks.select(key, F.col("file").alias(FILE)).distinct()
+    joined = df.join(known, key, "left")
+    return joined.withColumn(FILE, F.coalesce(FILE, "file_id")) if key == "file_id" else joined
 
 
 def save_aliases(aliases: DataFrame, path: str) -> None:

@@ -152,7 +152,7 @@ def test_family(family):
     for r in family.chunks.collect():
         assert all(r[c] is not None for c in ("chunk_id", "file", "file_id", "chunk_type", "ingestion_time", "version"))
     assert family.chunks.select("chunk_id").distinct().count() == family.chunks.count()
-    assert family.vectors.count() == 5
+    assert family.numeric_vectors.count() == 5 and family.text_vectors.count() == 0
 
 
 def test_postings(spark, family):
@@ -238,11 +238,11 @@ def test_hot_posting_key(spark):
 
 def test_store(spark, tmp_path, family, funds):
     store = ChunkStore(spark, str(tmp_path / "s"))
-    assert store.version() == 0 and store.read("chunks").count() == 0
+    assert store.read("chunks").count() == 0
     n = family.chunks.count()
     store.add(family)
     store.add(family)  # again: nothing doubles
-    assert store.version() == 2 and store.read("chunks").count() == n
+    assert store.read("chunks").count() == n
     assert store.read("postings").count() == family.postings.count()
     other = table_family(funds, C.Source("other.csv"), "_o", hidden=["_o"])
     store.add(other)
@@ -260,6 +260,26 @@ def test_store(spark, tmp_path, family, funds):
     assert len(report) == 13 and store.read("aliases").count() == 4
     assert store.read("chunks").count() == 2 * n
     assert K.total_rows(store.read("file_stats").limit(0)).first()[0] == 0
+    # Compaction keeps what is in force and nothing else.
+    store.delete_file("other.csv")
+    small = store.compact(str(tmp_path / "compact"))
+    for t in ("chunks", "postings", "numeric_vectors", "file_stats"):
+        assert small.read(t).count() == store.read(t).count() == spark.read.parquet(f"{small.root}/{t}").count()
+
+
+def test_text_vectors_have_one_length(spark, tmp_path, funds):
+    ids = table_family(funds, C.Source("v.csv"), "_o", hidden=["_o"]).chunks.filter("chunk_type = 'row'").select("chunk_id")
+
+    def embedded(n):
+        vec = F.array(*[F.lit(1.0)] * n).cast("array<float>")
+        return table_family(funds, C.Source("v.csv"), "_o", hidden=["_o"], text_vectors=ids.withColumn("vec", vec))
+
+    store = ChunkStore(spark, str(tmp_path / "v"))
+    store.add(embedded(3))
+    assert store.read("text_vectors").count() == 5 and store.read("numeric_vectors").count() == 5
+    with pytest.raises(ValueError):
+        store.add(embedded(4))
+    assert store.read("text_vectors").count() == 5
 
 
 def test_aliases_round_trip(spark, tmp_path):

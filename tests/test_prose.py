@@ -273,7 +273,7 @@ def test_boilerplate(spark):
     repeated = B.repeated_lines(pages, "doc", "text")
     assert [(r["doc"], r["line"], r["pages"]) for r in repeated.collect()] == [("d", "Secret — keep", 3)]
     want = {("d", 1): "first\na", ("d", 2): "second\na", ("d", 3): "third\na", ("e", 1): "Secret — keep\n  alone  \npage of text"}
-    for way in (B._strip_in_place(pages, "doc", "text", repeated), B._strip_by_join(pages, "doc", "page", "text", repeated)):
+    for way in (B._strip_in_place(pages, "doc", "text", repeated), B._strip_by_join(pages, "doc", "text", repeated)):
         assert {(r["doc"], r["page"]): r["text"] for r in way.collect()} == want
 
 

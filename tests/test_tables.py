@@ -146,11 +146,36 @@ def test_clean_dates_need_a_hint(spark):
     assert dict(tidy.dtypes)["label"] == "string"
 
 
+def test_more_dates_and_blanks_in_numbers(spark):
+    dates = {
+        "2024-01-05 10:00": "2024-01-05 10:00:00", "2024-01-05T10:00:00Z": "2024-01-05 10:00:00",
+        "2024-01-05T10:00:00+02:00": "2024-01-05 08:00:00", "2024-01-05 10:00:00.250": "2024-01-05 10:00:00",
+        "25/12/2024": "2024-12-25 00:00:00", "12/11/2024": "2024-12-11 00:00:00", "January 5, 2024": "2024-01-05 00:00:00",
+        "5 January 2024": "2024-01-05 00:00:00", "Jan-2024": "2024-01-01 00:00:00", "05-01-2024": "2024-05-01 00:00:00",
+        "20240105": "2024-01-05 00:00:00", "1/5/24": "2024-01-05 00:00:00", "25/1/24": "2024-01-25 00:00:00",
+        "31-12-2024": "2024-12-31 00:00:00", "May 2024": "2024-05-01 00:00:00", "March 2024": "2024-03-01 00:00:00",
+    }
+    df = spark.createDataFrame([(d,) for d in dates], "d string")
+    got = {r[0]: r[1] for r in df.select("d", F.date_format(CL.parse_date(F.col("d")), "yyyy-MM-dd HH:mm:ss")).collect()}
+    assert got == dates
+    numbers = {"1\xa0234": 1234.0, "\u202f5": 5.0, "12\u2009345,5": 123455.0, "1\xa0234%": 12.34}
+    df = spark.createDataFrame([(n,) for n in numbers], "n string")
+    assert {r[0]: r[1] for r in df.select("n", CL.parse_number(F.col("n"))).collect()} == numbers
+    # Signs and marks do not count as digits: the column stays whole.
+    tidy, _ = CL.clean(spark.createDataFrame([("$1,234,567,890,123,456",), ("2",)], "n string"))
+    assert tidy.dtypes == [("n", "bigint")]
+
+
 def test_enumerations(spark):
     df = spark.createDataFrame([(f"v{i % 3}", "same", f"u{i}") for i in range(600)], "a string, b string, c string")
-    got = P.enumerations(df, "t.csv").collect()
+    got = P.enumerations(df, "t.csv", high=500).collect()
     assert [(r["column"], r["n_values"], r["values"]) for r in got] == [("a", 3, ["v0", "v1", "v2"])]
     assert got[0]["text"] == "All distinct values in column 'a' from t.csv (3 total): v0, v1, v2."
+    # A long list comes in numbered parts that together hold every value.
+    parts = sorted((r["part"], r["n_values"], r["values"], r["text"]) for r in P.enumerations(df, "t.csv").collect() if r["column"] == "c")
+    values = sorted(f"u{i}" for i in range(600))
+    assert [p[:3] for p in parts] == [(1, 600, values[:500]), (2, 600, values[500:])]
+    assert parts[1][3].startswith("All distinct values in column 'c' from t.csv (600 total, part 2 of 2): u")
 
 
 def test_name_column(spark):
@@ -162,6 +187,28 @@ def test_name_column(spark):
     assert P.pick_name_column(spark.createDataFrame([("a",)], "x string")) is None
 
 
+def test_order_statistics_end_on_odd_values(spark):
+    inf, nan = float("inf"), float("nan")
+    values = [1e-100, 1e99, -inf, inf, nan, 0.0, -0.0, 5e-324, -1e308, *[7.0] * 50, *map(float, range(100))]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    want = sorted(values, key=lambda v: (v != v, v))
+    ranks = [0, 1, 2, 3, 4, 5, 6, 40, 90, 155, 156, 157, 158]
+    got = order_statistics(df, {"x": ranks})
+    assert repr([got["x", r] + 0.0 for r in ranks]) == repr([want[r] + 0.0 for r in ranks])
+
+
+def test_middle_of_wide_ordinals(spark):
+    start = 2**60
+    for kind in ("bigint", "timestamp", "string"):
+        rows = spark.range(100).selectExpr("id", f"cast({start if kind == 'bigint' else 10**9} + id as {'bigint' if kind != 'timestamp' else 'timestamp'}) as o")
+        if kind == "string":
+            rows = rows.selectExpr("id", "concat('k', o) as o")
+        middle = P.head_middle_tail(rows, "o").filter("sample = 'middle'").collect()
+        assert sorted(r["id"] for r in middle) == [48, 49, 50, 51, 52]
+    tied = spark.createDataFrame([(1, i) for i in range(60)] + [(2, i) for i in range(40)], "o int, id int")
+    assert P.head_middle_tail(tied, "o").filter("sample = 'middle'").count() == 5
+
+
 def test_order_statistics_match_sorting(spark):
     values = [((i * 7919) % 1000) / 7 for i in range(3000)] + [5.0] * 1000 + [1e12, -3.5]
     df = spark.createDataFrame([(v,) for v in values], "x double")
@@ -175,11 +222,11 @@ def test_order_statistics_match_sorting(spark):
     assert q == pytest.approx(list(np.quantile(values, [0.25, 0.5, 0.75])))
 
 
-def test_both_ways_to_quartiles_agree(spark):
+def test_quartiles_match_the_built_in_percentile(spark):
     df = spark.createDataFrame([(float(i * i % 97), i) for i in range(500)], "x double, y int")
-    a = P.describe_numbers(df).collect()
-    b = P.describe_numbers(df, direct_rows=0).collect()
-    assert a == b
+    got = {r["column"]: [r["p25"], r["p50"], r["p75"]] for r in P.describe_numbers(df).collect()}
+    for c in ("x", "y"):
+        assert got[c] == df.agg(F.percentile(c, F.array(*map(F.lit, P.QUARTILES)))).first()[0]
 
 
 @pytest.mark.parametrize("n,want", [(7, {"all": 7}), (20, {"head": 5, "tail": 5}), (50, {"head": 5, "tail": 5, "middle": 5})])
