@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablegrist.session import cut_lineage
+from tablegrist.llm.reuse import compacted
 
 
 class UnionFind:
@@ -58,10 +58,10 @@ def components(links: DataFrame) -> DataFrame:
     Links with a null or to itself do not count.
     """
     links = links.filter("a is not null and b is not null and a <> b").mapInArrow(_stars, "a bigint, b bigint")
-    links = cut_lineage(links.distinct())
+    links = compacted(links.distinct())
     before = None
     while True:
-        links = cut_lineage(_small_star(_large_star(links)))
+        links = compacted(_small_star(_large_star(links)))
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return links.select(F.col("a").alias("node"), F.col("b").alias("label"))

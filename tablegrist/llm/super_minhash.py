@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tablegrist.llm.components import UnionFind, components
 from tablegrist.llm.grams import mixed
+from tablegrist.llm.reuse import compacted
 from tablegrist.session import cut_lineage
 
 #: Bands and their rows. A pair of similarity 0.8 shares no band with a
@@ -181,23 +182,23 @@ def near_duplicates(
 
     Two texts are linked if 100 * |common shingles| >= percent * |all shingles|.
     Null and blank texts have no shingles and no links. A row without an id is
-    linked with nothing, has no component and is kept. Rows that repeat an id are
-    one document, linked by what any of them is linked with; all of them are kept
-    or dropped. An empty table gives no rows.
+    linked with nothing, has no component and is kept. Rows that repeat an id have
+    the component of their own text each; two texts with the same smallest id
+    count as linked. An empty table gives no rows.
     """
     rows = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
     signed = cut_lineage(_signed(rows, width))
-    classes = cut_lineage(
+    classes = compacted(
         signed.filter("class is not null and id is not null").groupBy("class").agg(F.min("id").alias("rep"))
     )
     firsts = signed.join(
         classes.select(F.col("class"), F.col("rep").alias("id")), ["class", "id"], "left_semi"
     )
-    members = cut_lineage(_members(firsts))
+    members = compacted(_members(firsts))
     texts = rows.filter("text is not null and id is not null")
-    first_links = cut_lineage(_hub_links(members, texts, width, percent))
+    first_links = compacted(_hub_links(members, texts, width, percent))
     labels = components(first_links)
-    more = cut_lineage(_block_links(members, labels, firsts, texts, width, percent))
+    more = compacted(_block_links(members, labels, firsts, texts, width, percent))
     if not more.isEmpty():
         labels = components(first_links.unionByName(more))
     named = classes.join(labels, F.col("rep") == F.col("node"), "left").select(
@@ -223,7 +224,7 @@ def _members(firsts: DataFrame) -> DataFrame:
 
 def _sets_of(ids: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """``id`` and ``shingles`` (packed) of the documents named in ``ids``."""
-    ids = cut_lineage(ids.distinct())
+    ids = compacted(ids.distinct())
     small = ids.count() <= BROADCAST_IDS
     chosen = texts.join(F.broadcast(ids) if small else ids, "id", "left_semi")
 
@@ -250,7 +251,7 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 def _hub_links(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Links between the members of buckets and their hubs, checked on full sets."""
-    pairs = cut_lineage(members.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
+    pairs = compacted(members.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
     sets = _sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), texts, width)
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("of_a")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b")), "b")
@@ -277,13 +278,13 @@ def _block_links(
     others = members.filter("id <> hub").join(
         labels.select(F.col("node").alias("id"), "label"), "id", "left"
     ).select("bucket", "id", F.coalesce("label", "id").alias("label"))
-    others = cut_lineage(others)
+    others = compacted(others)
     apart = others.groupBy("bucket").agg(
         F.min("label").alias("main"), F.max("label").alias("top")
     ).filter("main < top")
     # Many buckets hold the same documents; equal lists of them are compared once.
     apart = apart.select("bucket", "main")
-    placed = cut_lineage(others.join(apart, "bucket"))
+    placed = compacted(others.join(apart, "bucket"))
     if placed.isEmpty():
         return placed.select(F.col("id").alias("a"), F.col("id").alias("b"))
     in_main = F.col("label") == F.col("main")
