@@ -168,9 +168,13 @@ def _placed(rows: DataFrame, plan: DataFrame) -> DataFrame:
     repeats = F.when(F.col("size") > 0, F.col("passes") + more.cast("int")).otherwise(0).cast("int")
 
     def demand(p: Column) -> Column:
-        """The words of the target that come before the document in pass ``p``."""
-        stretch = F.when(p < F.col("passes"), 1.0).otherwise(F.col("rest") / F.col("source_size"))
-        return p * F.col("source_size") + F.col("begin") * stretch
+        """The words of the target that come before the document in pass ``p``.
+        In the last pass the small documents that are in fill the rest in their
+        order, the large ones stand among them by theirs."""
+        last = F.when(F.col("small") > 0, F.col("small_begin") * F.try_divide("rest", "left")).otherwise(
+            F.col("begin") * F.try_divide("rest", "source_size")
+        )
+        return p * F.col("source_size") + F.when(p < F.col("passes"), F.col("begin")).otherwise(last)
 
     rows = rows.withColumn("repeats", repeats)
     positions = F.when(
