@@ -30,8 +30,8 @@ from sentencepiece import sentencepiece_model_pb2
 BLANK = "▁"
 MODEL = "piece_bpe_32k.model"
 #: Words and pairs of pieces kept in memory by each Python worker.
-CACHED_WORDS = 150_000
-CACHED_PAIRS = 300_000
+CACHED_WORDS = 100_000
+CACHED_PAIRS = 200_000
 
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
@@ -278,6 +278,9 @@ def with_tokens(
                 ids = [model.encode(t.as_py() or "") for t in part.column("text")]
                 made = derive(ids, [model.decode(x) for x in ids])
                 yield pa.RecordBatch.from_arrays([part.column("key"), *made], names)
+            pa.default_memory_pool().release_unused()
+        # Workers outlive their tasks; what they keep must leave room for others.
+        model.words.older = {}
 
     return rows.mapInArrow(run, f"key {key_type}, {columns}").withColumnRenamed("key", key)
 
