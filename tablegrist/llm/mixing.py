@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablegrist.llm.rows import FILE, ROW, located
+from tablegrist.llm.reuse import compacted
 from tablegrist.session import cut_lineage
 
 #: Blanks between words: `[\x20\x09-\x0D]`.
@@ -103,7 +104,7 @@ def mix(
         )
     )
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    sizes = cut_lineage(sizes)
+    sizes = compacted(sizes)
     shares = integrated(schedule)
     weighted = sizes.join(shares, sizes["source"].eqNullSafe(shares["source"]), "left").select(
         sizes["source"], "source_size", F.coalesce("weight", F.lit(0.0)).alias("weight"), "steps"
@@ -112,7 +113,7 @@ def mix(
     plan = weighted.drop("weight", "source_size").alias("w").join(
         targets.alias("t"), F.col("w.source").eqNullSafe(F.col("t.source")), "left"
     ).select("w.source", "steps", "weight", F.coalesce("target", F.lit(0.0)).alias("target"))
-    plan = cut_lineage(
+    plan = compacted(
         sizes.alias("s").join(plan.alias("p"), F.col("s.source").eqNullSafe(F.col("p.source"))).select(
             "s.source", "source_size", "steps", "weight", "target",
             F.greatest(F.lit(1), F.ceil(F.col("n") / SLICE_ROWS)).alias("slices"),
