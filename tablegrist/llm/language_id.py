@@ -139,14 +139,14 @@ def fit(labelled: DataFrame, key: str, text: str, lang: str, sample: int = SAMPL
                 keep = letters > 0
                 yield pa.RecordBatch.from_arrays(
                     [part.column("lang").filter(pa.array(keep)),
-                     pa.array([x.tobytes() for x in table[keep].astype(np.float16)], pa.binary())],
+                     pa.array([x.tobytes() for x in table[keep]], pa.binary())],
                     ["lang", "counts"],
                 )
 
     found = cut_lineage(chosen.mapInArrow(vectors, "lang string, counts binary")).toArrow()
     langs = np.array(found.column("lang").to_pylist(), dtype=object)
-    table = np.stack([np.frombuffer(x, np.float16) for x in found.column("counts").to_pylist()] or
-                     [np.zeros(BUCKETS, np.float16)]).astype(np.float32)
+    table = np.stack([np.frombuffer(x, np.float32) for x in found.column("counts").to_pylist()] or
+                     [np.zeros(BUCKETS, np.float32)])
     # The order in which tasks end must not matter.
     order = np.array(sorted(range(len(langs)), key=lambda i: (langs[i], table[i].tobytes())), dtype=np.int64)
     return trained(langs[order], table[order])

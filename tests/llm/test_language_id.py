@@ -71,3 +71,14 @@ def test_windows_count_like_the_whole(monkeypatch):
     parts = L.counts([text])[0]
     # Only grams at the seams may differ.
     assert np.abs(whole - parts).sum() < 0.2 * whole.sum()
+
+
+def test_a_very_long_text_teaches_like_the_others(spark):
+    # Its blanks and vowels are counted over 65,520 times; all rows are in the sample.
+    long = (1000, "the quick house and of with that " * 40_000, "en", "x")
+    model = L.fit(spark.createDataFrame(rows() + [long], SCHEMA), "doc_id", "text", "lang")
+    assert np.isfinite(model.centroids).all()
+    out = model.predict([r[1] for r in rows()])
+    assert out["lang"].tolist() == [r[2] for r in rows()]
+    assert np.isfinite(out["score"]).all() and not out["rejected"].any()
+    assert model.predict(["привет как дела мой друг"])["rejected"].all()
