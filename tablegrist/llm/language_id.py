@@ -4,8 +4,9 @@ A text is a vector of its letter n-grams (hashed, one to three characters, words
 bounded by blanks), weighted by 1 + log of the count and inverse document
 frequency, of length one. Every language has several centroids, found by
 spherical k-means over a bounded sample of its texts. The language of the nearest
-centroid by cosine is predicted; a text that is farther from it than any text of
-the sample was by a margin is rejected.
+centroid by cosine is predicted. Every language has a bound, a margin below what
+nearly all texts of its sample reach with centroids they had no part in; a text
+whose cosine is below the bound of its language is rejected.
 
 The sample is the only thing that is bounded: about ``SAMPLE`` rows of each
 language, chosen by a hash of the key over all rows.
@@ -30,9 +31,11 @@ ORDERS = (1, 2, 3)
 SAMPLE = 400
 CENTROIDS = 4
 ROUNDS = 10
-#: Rejected is what is farther from all centroids than this share of the cosine
-#: of the worst text of the sample to its own language.
-MARGIN = 0.25
+#: Rejected is what has less than MARGIN of the cosine that all but a share of LOW
+#: of a language's sample have to it, each text left out with its fold.
+LOW, MARGIN, FOLDS = 0.02, 0.6, 4
+#: The bound if no language has two different texts.
+ALONE = 0.25
 UNKNOWN = "und"
 
 
@@ -67,7 +70,8 @@ class LanguageModel:
     """The language of each centroid."""
     centroids: np.ndarray
     idf: np.ndarray
-    reject_below: float
+    reject_below: np.ndarray
+    """The bound of each centroid's language."""
 
     def vectors(self, table: np.ndarray) -> np.ndarray:
         return unit(np.log1p(table) * self.idf)
@@ -77,14 +81,16 @@ class LanguageModel:
         table, letters = counts([t or "" for t in texts])
         if not self.names:
             cosine, best = np.zeros(len(texts)), np.full(len(texts), -1)
+            far = np.ones(len(texts), bool)
         else:
             similar = self.vectors(table) @ self.centroids.T
             best = similar.argmax(axis=1)
             cosine = np.clip(similar.max(axis=1).astype(np.float64), 0, 1)
+            far = cosine < self.reject_below[best]
         none = (letters == 0) | (best < 0)
         lang = [UNKNOWN if n else self.names[b] for n, b in zip(none, best)]
         cosine[none] = 0.0
-        return pd.DataFrame({"lang": lang, "score": cosine, "rejected": none | (cosine < self.reject_below)})
+        return pd.DataFrame({"lang": lang, "score": cosine, "rejected": none | far})
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -127,7 +133,7 @@ def fit(labelled: DataFrame, key: str, text: str, lang: str, sample: int = SAMPL
     # Every language has its share of the 2^64 hash values.
     share = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], min(1.0, sample / r["count"]))])
     if not sizes:
-        return LanguageModel([], np.zeros((0, BUCKETS)), np.zeros(BUCKETS), 0.0)
+        return LanguageModel([], np.zeros((0, BUCKETS)), np.zeros(BUCKETS), np.zeros(0))
     place = (F.col("rank") / F.lit(2.0**64)) + 0.5
     chosen = rows.filter(place <= share[F.col("lang")]).select("lang", "text")
 
@@ -154,17 +160,41 @@ def fit(labelled: DataFrame, key: str, text: str, lang: str, sample: int = SAMPL
 
 def trained(langs: np.ndarray, table: np.ndarray) -> LanguageModel:
     if not len(langs):
-        return LanguageModel([], np.zeros((0, BUCKETS)), np.zeros(BUCKETS), 0.0)
+        return LanguageModel([], np.zeros((0, BUCKETS)), np.zeros(BUCKETS), np.zeros(0))
     idf = np.log((1 + len(table)) / (1 + (table > 0).sum(axis=0))).astype(np.float32) + 1
     x = unit(np.log1p(table) * idf)
-    names, centers, worst = [], [], 1.0
+    names, centers, bounds = [], [], []
     for name in sorted(set(langs)):
         own = x[langs == name]
-        c = clusters(own, CENTROIDS)
+        reached = left_out(own)
+        bound = MARGIN * float(np.quantile(reached, LOW)) if len(reached) else np.nan
+        # What would be rejected itself must not draw its like in.
+        c = clusters(own if np.isnan(bound) else own[_first_of_equals(own)][reached >= bound], CENTROIDS)
         names += [name] * len(c)
         centers.append(c)
-        worst = min(worst, float((own @ c.T).max(axis=1).min()))
-    return LanguageModel(names, np.concatenate(centers).astype(np.float32), idf, MARGIN * worst)
+        bounds += [bound] * len(c)
+    # A language with one text has the least bound of the others.
+    known = [b for b in bounds if not np.isnan(b)]
+    reject_below = np.nan_to_num(np.array(bounds), nan=min(known, default=ALONE))
+    return LanguageModel(names, np.concatenate(centers).astype(np.float32), idf, reject_below)
+
+
+def _first_of_equals(x: np.ndarray) -> np.ndarray:
+    """Whether a row of ``x``, whose equal rows stand together, is the first of its equals."""
+    return np.append(True, (x[1:] != x[:-1]).any(axis=1))
+
+
+def left_out(own: np.ndarray) -> np.ndarray:
+    """The cosine of each distinct row to the nearest centroid of those in other
+    folds; nothing if there are fewer than two."""
+    x = own[_first_of_equals(own)]
+    if len(x) < 2:
+        return np.zeros(0)
+    fold = np.arange(len(x)) % FOLDS
+    out = np.zeros(len(x))
+    for f in range(min(FOLDS, len(x))):
+        out[fold == f] = (x[fold == f] @ clusters(x[fold != f], CENTROIDS).T).max(axis=1)
+    return out
 
 
 def predicted(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:

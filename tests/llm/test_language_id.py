@@ -1,3 +1,6 @@
+import base64
+import random
+
 import numpy as np
 import pytest
 
@@ -6,6 +9,8 @@ from tablegrist.llm import language_id as L
 SCHEMA = "doc_id long, text string, lang string, score string"
 WORDS = {"en": "the quick house and of with that", "de": "der schnelle und nicht haus ist eine",
          "es": "el rápido casa y que los una"}
+MORE = {"en": "this there which would people before other their think through", "de": "auch schon wird durch zwischen menschen gegen werden nicht ihrer",
+        "es": "pero cuando también había nosotros entre después muchos ellos donde"}
 
 
 def rows():
@@ -82,3 +87,32 @@ def test_a_very_long_text_teaches_like_the_others(spark):
     assert out["lang"].tolist() == [r[2] for r in rows()]
     assert np.isfinite(out["score"]).all() and not out["rejected"].any()
     assert model.predict(["привет как дела мой друг"])["rejected"].all()
+
+
+def test_gibberish_and_unseen_latin_languages_go_and_clean_texts_stay():
+    rng = random.Random(4)
+
+    def clean(lang):
+        return " ".join(rng.choices(WORDS[lang].split() + MORE[lang].split(), k=rng.choice([8, 20, 60])))
+
+    # One text of each hundred is none of its language.
+    sample = [(lang, clean(lang)) for lang in sorted(WORDS) for _ in range(99)]
+    sample += [(lang, base64.b64encode(rng.randbytes(90)).decode()) for lang in sorted(WORDS)]
+    table, _ = L.counts([t for _, t in sample])
+    order = sorted(range(len(sample)), key=lambda i: (sample[i][0], table[i].tobytes()))
+    model = L.trained(np.array([sample[i][0] for i in order], dtype=object), table[order])
+    held_out = [(lang, clean(lang)) for lang in WORDS for _ in range(50)]
+    out = model.predict([t for _, t in held_out])
+    assert out["lang"].tolist() == [lang for lang, _ in held_out] and not out["rejected"].any()
+    odd = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz   ", k=n)) for n in (60, 200, 1000)]
+    odd += [base64.b64encode(rng.randbytes(n)).decode() for n in (60, 200, 1000)]
+    odd += ["Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan",
+            "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw",
+            "Bütün insanlar hür haysiyet ve haklar bakımından eşit doğarlar"]
+    assert model.predict(odd)["rejected"].all()
+
+
+def test_a_language_with_one_text_has_the_least_bound():
+    table, _ = L.counts(["the quick house", "the quick house", "el rápido casa que", "el casa y que los", "los una casa que"])
+    model = L.trained(np.array(["en", "en", "es", "es", "es"], dtype=object), table)
+    assert (model.reject_below == model.reject_below[-1]).all() and model.reject_below[0] > 0
