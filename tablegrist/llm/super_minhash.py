@@ -60,27 +60,35 @@ _UP, _DOWN = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
 
 
 def word_hashes(text: str) -> np.ndarray:
-    """A 64-bit hash of each word, A-Z in lower case."""
+    """A 64-bit hash of each word, A-Z in lower case. The sum of a word that goes
+    on in the next window is carried there, so cuts do not show."""
     raw = text.encode("utf-8", "surrogatepass").lower()
-    found, at = [], 0
-    while at < len(raw):
-        end = min(len(raw), at + _WINDOW)
-        if end < len(raw):
-            # Cut at a blank; a word longer than the window is hashed in parts.
-            last = max(raw.rfind(bytes([c]), at, end) for c in (32, 10, 9, 11, 12, 13))
-            end = last + 1 if last > at else end
-        found.append(_hashed(np.frombuffer(raw, np.uint8, end - at, at)))
-        at = end
+    found, begun, length = [], 0, 0
+    for at in range(0, len(raw), _WINDOW):
+        b = np.frombuffer(raw, np.uint8, min(_WINDOW, len(raw) - at), at)
+        starts, words = _sums(b)
+        if length and not _BLANK[b[0]]:
+            # Its bytes stand behind those of the windows before.
+            words[0] = (begun + pow(_BASE, length, 1 << 64) * int(words[0])) % (1 << 64)
+        elif length:
+            words, length = np.append(np.uint64(begun), words), 0
+        if at + len(b) < len(raw) and not _BLANK[b[-1]]:
+            length = len(b) - int(starts[-1]) + (length if len(starts) == 1 and starts[0] == 0 else 0)
+            begun, words = int(words[-1]), words[:-1]
+        else:
+            length = 0
+        found.append(mixed(words))
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
-def _hashed(b: np.ndarray) -> np.ndarray:
+def _sums(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and sum of each run without a blank."""
     blank = _BLANK[b]
     edges = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8)))
     starts, ends = edges[0::2], edges[1::2]
     sums = np.zeros(len(b) + 1, np.uint64)
     np.cumsum(_BYTE[b] * _UP[: len(b)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * _DOWN[starts])
+    return starts, (sums[ends] - sums[starts]) * _DOWN[starts]
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:

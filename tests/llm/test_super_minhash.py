@@ -147,3 +147,18 @@ def test_components_of_chains_and_stars(spark):
     out = {r.node: r.label for r in components(links).collect()}
     assert out == {i: 0 for i in range(1, 201)} | {i: 1000 for i in range(1001, 1100)}
     assert components(links.limit(0)).collect() == []
+
+
+def test_a_word_of_any_length_has_one_hash(spark, monkeypatch):
+    rng = random.Random(8)
+    run = "".join(rng.choices("abcdefghijklmnop", k=3 << 20))
+    other = run[: 11 * S._WINDOW] + "".join(rng.choices("qrstuvwxyz", k=S._WINDOW))
+    rows = [(1, run, 1, "x"), (2, other, 1, "x"), (3, run.upper() + " ", 1, "x"), (4, f"a {run} b", 1, "x")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert got(df, width=2) == [(1, 1, 1, True), (2, 1, 2, True), (3, 1, 1, False), (4, 2, 4, True)]
+    text = "".join(rng.choices("ab\t ", weights=[6, 6, 1, 1], k=3000))
+    whole = S.word_hashes(text)
+    assert len(whole) == len(text.split())
+    for window in (1, 2, 7, 64):
+        monkeypatch.setattr(S, "_WINDOW", window)
+        assert (S.word_hashes(text) == whole).all()
