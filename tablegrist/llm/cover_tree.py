@@ -7,6 +7,10 @@ parent. For a group of queries around c with radius r and a node around d with
 radius s, no inner product is over <c,d> + s|c| + r|d| + rs, so the pair is left
 out when that is below the worst k-th score of the group.
 
+Components are whole numbers. Where a sum of products may not be exact in a
+double, trees only prune, with room for rounding, and what is left is scored in
+exact whole numbers.
+
 On Spark the queries go in blocks: each block is indexed on the driver and sent
 to all tasks, which cut their rows into blocks, index these and search them. The
 best of all tasks are merged per query.
@@ -38,7 +42,12 @@ class CoverTree:
     numbers; a node without children has its points in ``members``."""
 
     def __init__(self, points: np.ndarray):
-        self.points = points.astype(np.float64)
+        #: Whole numbers too large for a double come as Python integers.
+        self.whole = points
+        self.points = _doubles(points)
+        self.largest = float(np.abs(self.points).max(initial=0))
+        self.length = points.shape[1] if points.ndim == 2 else 0
+        self.exact = self.length * self.largest**2 < 2**53 if self.largest < 2**500 else False
         self.square = np.einsum("ij,ij->i", self.points, self.points)
         self.norm = np.sqrt(self.square)
         self.center: list[int] = []
@@ -53,6 +62,11 @@ class CoverTree:
         self.radii = np.array(self.radius)
 
     def _distance(self, p: int, others: np.ndarray) -> np.ndarray:
+        if not self.exact:
+            # Differences of squares would cancel; never less than the distance.
+            with np.errstate(all="ignore"):
+                d = self.points[others] - self.points[p]
+                return np.sqrt(np.einsum("ij,ij->i", d, d)) * (1 + _rounding(self.length))
         d = self.square[others] + self.square[p] - 2 * (self.points[others] @ self.points[p])
         return np.sqrt(np.maximum(d, 0))
 
@@ -68,6 +82,8 @@ class CoverTree:
         Levels without a split are passed over, so depth is bounded by the
         spread of distances, not by the number of points."""
         radius = float(far.max())
+        if not np.isfinite(radius):
+            return self._node(p, np.inf, [], inside)
         if len(inside) <= BUCKET or radius == 0:
             return self._node(p, radius, [], inside)
         reach = radius * SCALE
@@ -112,13 +128,22 @@ class Search:
         self.id = np.full((len(query_ids), k), np.iinfo(np.int64).max)
         #: The rows below each node; a node's number is above its children's.
         self.below: list[np.ndarray] = []
+        #: From the first block that is not exact in doubles on, the k best of each
+        #: query in Python integers; ``score`` is then no more than they are.
+        self.best: list[list[tuple[int, int]]] | None = None
         for children, members in zip(queries.children, queries.members):
             rows = [self.below[c] for c in children]
             self.below.append(np.concatenate(rows) if rows else members)
 
     def add(self, data: CoverTree, data_ids: np.ndarray) -> None:
         if data.root >= 0 and self.queries.root >= 0:
-            self._visit(self.queries.root, np.array([data.root]), data, data_ids)
+            q = self.queries
+            if self.best is None and not data.length * q.largest * data.largest < 2**53:
+                self.best = [
+                    [(int(s), int(i)) for s, i in zip(*both) if s > -np.inf] for both in zip(self.score, self.id)
+                ]
+            with np.errstate(all="ignore"):
+                self._visit(q.root, np.array([data.root]), data, data_ids)
 
     def _visit(self, group: int, nodes: np.ndarray, data: CoverTree, ids: np.ndarray) -> None:
         """A query group against a frontier of data nodes: drop what cannot reach
@@ -132,7 +157,8 @@ class Search:
             centers, radii = data.centers[nodes], data.radii[nodes]
             bound = data.points[centers] @ c + radii * c_norm + r * data.norm[centers] + r * radii
             # Equal scores count, as a smaller id wins; the margin is for rounding.
-            keep = bound >= worst - 1e-6 * (1 + abs(bound))
+            # What is too large for a bound stays.
+            keep = ~(bound < worst - self._room(bound, c_norm + r, data.norm[centers] + radii))
             nodes, bound = nodes[keep], bound[keep]
             if not len(nodes):
                 return
@@ -153,13 +179,19 @@ class Search:
                 worst = self.score[self.below[group], self.k - 1].min()
                 centers, radii = data.centers[some], data.radii[some]
                 bound = data.points[centers] @ c + radii * c_norm + r * data.norm[centers] + r * radii
-                some = some[bound >= worst - 1e-6 * (1 + abs(bound))]
+                some = some[~(bound < worst - self._room(bound, c_norm + r, data.norm[centers] + radii))]
             if len(some):
                 self._score(self.below[group], np.concatenate([data.members[n] for n in some]), data, ids)
 
+    def _room(self, bound: np.ndarray, one: float, other: np.ndarray) -> np.ndarray:
+        return 1e-6 * (1 + abs(bound)) + _rounding(self.queries.length) * one * other
+
     def _score(self, rows: np.ndarray, members: np.ndarray, data: CoverTree, ids: np.ndarray) -> None:
         scores = self.queries.points[rows] @ data.points[members].T
         candidates = ids[members]
+        if self.best is not None:
+            self._score_whole(rows, members, scores, candidates, data)
+            return
         scores[candidates[None, :] == self.query_ids[rows][:, None]] = -np.inf
         better = scores >= self.score[rows, self.k - 1][:, None]
         better &= scores > -np.inf
@@ -172,6 +204,34 @@ class Search:
                 found = found[scores[i, found] >= least]
             self._merge(int(rows[i]), scores[i, found], candidates[found])
 
+    def _score_whole(self, rows, members, scores, candidates, data: CoverTree) -> None:
+        """Exact scores of what can reach a query's worst k-th one by ``scores``."""
+        small = data.length * self.queries.largest * data.largest < 2**62
+        distinct = len(np.unique(candidates)) == len(candidates)
+        for i, row in enumerate(rows.tolist()):
+            room = _rounding(data.length) * self.queries.norm[row] * data.norm[members]
+            least = self.score[row, self.k - 1]
+            other = candidates != self.query_ids[row]
+            sure = (scores[i] - room)[other]
+            if distinct and len(sure) > self.k and np.isfinite(sure).all():
+                least = max(least, np.partition(sure, -self.k)[-self.k])
+            found = np.nonzero(other & ~(scores[i] + room < least))[0]
+            if not len(found):
+                continue
+            a, b = self.queries.whole[row], data.whole[members[found]]
+            if small:
+                exact = (b.astype(np.int64) @ a.astype(np.int64)).tolist()
+            else:
+                a = [int(x) for x in a]
+                exact = [sum(int(x) * y for x, y in zip(v, a)) for v in b]
+            most = dict((d, s) for s, d in self.best[row])
+            for s, d in zip(exact, candidates[found].tolist()):
+                most[d] = max(s, most.get(d, s))
+            best = sorted(((s, d) for d, s in most.items()), key=lambda x: (-x[0], x[1]))[: self.k]
+            self.best[row] = best
+            if len(best) == self.k:
+                self.score[row, self.k - 1] = _not_over(best[-1][0])
+
     def _merge(self, row: int, scores: np.ndarray, ids: np.ndarray) -> None:
         s, d = np.concatenate([self.score[row], scores]), np.concatenate([self.id[row], ids])
         order = np.lexsort((d, -s))
@@ -181,22 +241,60 @@ class Search:
         self.score[row], self.id[row] = -np.inf, np.iinfo(np.int64).max
         self.score[row, : len(first)], self.id[row, : len(first)] = s[first], d[first]
 
-    def results(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        row, place = np.nonzero(self.score > -np.inf)
-        return self.query_ids[row], self.id[row, place], self.score[row, place].astype(np.int64)
+    def results(self) -> tuple[list, list, list, list]:
+        """Query, id, score and what orders scores that are no bigint."""
+        if self.best is None:
+            row, place = np.nonzero(self.score > -np.inf)
+            found = self.query_ids[row], self.id[row, place], self.score[row, place].astype(np.int64)
+            return (*(x.tolist() for x in found), [FITS] * len(row))
+        all_ = [(int(q), d, s) for q, best in zip(self.query_ids, self.best) for s, d in best]
+        return (
+            [x[0] for x in all_], [x[1] for x in all_],
+            [min(max(s, -(2**63)), 2**63 - 1) for *_, s in all_], [_over(s) for *_, s in all_],
+        )
+
+
+FOUND = "query_id bigint, vec_id bigint, score bigint, over binary"
+FITS = b"\x01"
+
 
+def _over(score: int) -> bytes:
+    """Orders scores beyond the same end of bigint as bytes; FITS for all others."""
+    if -(2**63) <= score < 2**63:
+        return FITS
+    size = (abs(score).bit_length() + 7) // 8
+    key = size.to_bytes(2, "big") + abs(score).to_bytes(size, "big")
+    return b"\x02" + key if score > 0 else b"\x00" + bytes(255 - x for x in key)
 
-FOUND = "query_id bigint, vec_id bigint, score bigint"
+
+def _rounding(length: int) -> float:
+    """More than the relative error of a sum of so many products of doubles."""
+    return (length + 16) * 2.0**-50
+
+
+def _not_over(number: int) -> float:
+    """A double that is not over ``number``."""
+    try:
+        return float(np.nextafter(float(number), -np.inf))
+    except OverflowError:
+        return float(np.finfo(np.float64).max) if number > 0 else -np.inf
+
+
+def _doubles(points: np.ndarray) -> np.ndarray:
+    if points.dtype != object:
+        return points.astype(np.float64)
+    return np.array([[float(x) if abs(x) < 2**1023 else np.copysign(np.inf, x >= 0 or -1) for x in v] for v in points])
 
 
 def quantised(vector: Column) -> Column:
-    """floor(256 x) of each component; null where the vector is null, empty or
-    holds a null, NaN or infinite component, or one too large to score exactly."""
+    """floor(256 x) / 256 of each component, which a double holds exactly; null
+    where the vector is null, empty or holds a null, NaN or infinite component."""
     number = F.transform(vector, lambda x: x.cast("double"))
-    # 2^20 for each component keeps sums of up to 8192 products exact in a double.
-    bad = F.exists(number, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) >= 4096))
+    bad = F.exists(number, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     fine = vector.isNotNull() & (F.size(vector) > 0) & ~bad
-    return F.when(fine, F.transform(number, lambda x: F.floor(x * 256).cast("int")))
+    # From 2^44 on 256 x is whole anyway.
+    whole = lambda x: F.when(F.abs(x) < 2.0**44, F.floor(x * 256).cast("double") / 256).otherwise(x)
+    return F.when(fine, F.transform(number, whole))
 
 
 def top_k(
@@ -209,7 +307,8 @@ def top_k(
     compared with those of their own length. Rows that repeat a key are one
     candidate with its best score, and none of them is a partner of that key; as
     a query, such a key has the smallest of its vectors. Ties go to the smaller
-    id. No query or no candidate gives no rows.
+    id. No query or no candidate gives no rows. A score beyond bigint counts in
+    full for the rank and is shown as null.
     """
     rows = vectors.select(F.col(key).cast("bigint").alias("id"), quantised(F.col(vector)).alias("v")).filter(
         "id is not null and v is not null"
@@ -229,33 +328,48 @@ def top_k(
         return rows.limit(0).select(
             none.alias("query_id"), none.cast("int").alias("rank"), none.alias("vec_id"), none.alias("score")
         )
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = found.groupBy("query_id", "vec_id").agg(F.max(F.struct("score", "over")).alias("s")).select(
+        "query_id", "vec_id", "s.score", "s.over"
+    )
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("over"), "vec_id")
     ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    score = F.when(F.col("over") == F.lit(FITS), F.col("score"))
+    return ranked.select("query_id", "rank", "vec_id", score.alias("score"))
 
 
 def _found(rows: DataFrame, block: DataFrame, k: int) -> DataFrame:
     """The k best of each query of ``block`` in each task's rows."""
     table = block.toArrow().combine_chunks()
     shipped = rows.sparkSession.sparkContext.broadcast(
-        (table.column("id").to_numpy(), _matrix(table.column("v").combine_chunks()))
+        (table.column("id").to_numpy(), _whole(_matrix(table.column("v").combine_chunks())))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, points = shipped.value
         search = Search(CoverTree(points), query_ids, k)
         for ids, data in _blocks(batches):
-            search.add(CoverTree(data), ids)
+            search.add(CoverTree(_whole(data)), ids)
+        query, vec, score, over = search.results()
         yield pa.RecordBatch.from_arrays(
-            [pa.array(x, pa.int64()) for x in search.results()], ["query_id", "vec_id", "score"]
+            [*(pa.array(x, pa.int64()) for x in (query, vec, score)), pa.array(over, pa.binary())],
+            ["query_id", "vec_id", "score", "over"],
         )
 
     return rows.mapInArrow(run, FOUND)
 
 
 def _matrix(lists: pa.ListArray) -> np.ndarray:
-    return lists.flatten().to_numpy().reshape(len(lists), -1).astype(np.int32)
+    return lists.flatten().to_numpy().reshape(len(lists), -1)
+
+
+def _whole(v: np.ndarray) -> np.ndarray:
+    """256 times ``v`` as whole numbers of the smallest fitting kind."""
+    most = np.abs(v).max(initial=0)
+    if most < 2**22:
+        return (v * 256).astype(np.int32)
+    if most < 2.0**54:
+        return (v * 256).astype(np.int64)
+    return np.array([[int(x) * 256 if abs(x) >= 2**44 else int(x * 256) for x in row] for row in v.tolist()], dtype=object)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -277,6 +391,6 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
 def _distinct(ids: list[np.ndarray], data: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     i, d = np.concatenate(ids), np.concatenate(data)
     if len(np.unique(i)) < len(i):
-        both = np.unique(np.column_stack([i, d.astype(np.int64)]), axis=0)
-        i, d = both[:, 0], both[:, 1:]
+        both = np.unique(np.column_stack([i, np.ascontiguousarray(d).view(np.int64)]), axis=0)
+        i, d = both[:, 0], np.ascontiguousarray(both[:, 1:]).view(np.float64)
     return i, d

@@ -1,4 +1,5 @@
 import math
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -79,3 +80,19 @@ def test_pruning_leaves_out_far_blocks():
     search._score = lambda *a: scored.append(a)
     search.add(CoverTree(far), np.arange(500) + 1000)
     assert not scored
+
+
+@pytest.mark.parametrize("kind,scale", [("float", 5e3), ("float", 1e6), ("double", 3e12), ("double", 1e25), ("double", 1e200), ("double", 1.7e308)])
+def test_every_finite_vector_takes_part(spark, kind, scale):
+    rng = np.random.default_rng(6)
+    whole = lambda x: x.numerator * 256 // x.denominator
+    values = rng.uniform(-1, 1, (240, 4)) * np.where(np.arange(240) % 3, 1.0, scale)[:, None]
+    values[100:110] = values[99]  # ties of large scores
+    rows = [(i, [float(np.float32(x)) if kind == "float" else float(x) for x in v]) for i, v in enumerate(values)]
+    exact = [[whole(Fraction(x)) for x in v] for _, v in rows]
+    want = []
+    for q in range(0, 240, 5):
+        scores = [(-sum(a * b for a, b in zip(exact[q], exact[d])), d) for d in range(240) if d != q]
+        want += [(q, r + 1, d, -s if -(2**63) <= -s < 2**63 else None) for r, (s, d) in enumerate(sorted(scores)[:5])]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").repartition(3)
+    assert got(df, k=5, every=5) == want
