@@ -26,6 +26,8 @@ ENDS = {
     "option": (("option",), ("select",)),
     "body": (("head",), ("html",)),
 }
+#: Elements that open no body; all others and text outside a body do.
+NO_BODY = frozenset("html head body title base link meta style script noscript template".split())
 NO_P_INSIDE = BLOCKS - frozenset("body html head td th tr caption li dd dt option select button textarea legend title".split())
 P_BOUNDS = frozenset("button td th caption table body html object".split())
 
@@ -71,8 +73,31 @@ def read_page(html: str) -> Page:
                 return 0
         return 0
 
+    def begin(name: str, attributes: dict[str, str]) -> int:
+        if name in BLOCKS:
+            page.flow.append(None)
+        i = len(page.tag)
+        page.tag.append(name)
+        page.parent.append(stack[-1])
+        page.end.append(i + 1)
+        page.attributes.append(attributes)
+        if name not in VOID:
+            stack.append(i)
+        return i
+
+    def body() -> None:
+        """Open the html and body that the page leaves out, if outside a body."""
+        if page.tag[stack[-1]] == "head":
+            close(len(stack) - 1)
+        if len(stack) == 1:
+            begin("html", {})
+        if page.tag[stack[-1]] == "html":
+            begin("body", {})
+
     def text(upto: int) -> None:
         if upto > at:
+            if len(stack) <= 3 and page.tag[stack[-1]] in ("", "html", "head") and html[at:upto].strip():
+                body()
             page.flow.append((stack[-1], unescape(html[at:upto])))
 
     last_quote = max(html.rfind('"'), html.rfind("'"))
@@ -93,6 +118,9 @@ def read_page(html: str) -> Page:
         name = m[2] and m[2].lower() if m.re is _MARKUP or m.re is _LOOSE else None
         if not name:
             continue
+        if m[1] and name in ("html", "body"):
+            page.flow.append(None)  # what follows belongs to them still
+            continue
         if m[1]:
             k = open_place((name,), ("td", "th", "table") if name not in ("td", "th", "tr", "table", "body", "html") else ())
             if k:
@@ -108,20 +136,23 @@ def read_page(html: str) -> Page:
             k = open_place(*ENDS[name])
             if k:
                 close(k)
-        if name in BLOCKS:
-            page.flow.append(None)
-        i = len(page.tag)
-        page.tag.append(name)
-        page.parent.append(stack[-1])
-        page.end.append(i + 1)
-        page.attributes.append({
+        attributes = {
             a[1].lower(): unescape(a[2] or a[3] or a[4] or "") for a in _ATTRIBUTE.finditer(m[3])
-        } if m[3] else {})
+        } if m[3] else {}
+        if name not in NO_BODY and page.tag[stack[-1]] in ("", "html", "head"):
+            body()
+        elif name == "body" and len(stack) == 1:
+            begin("html", {})
+        if name in ("html", "body"):
+            again = next((i for i in stack[1:3] if page.tag[i] == name), None)
+            if again is not None:
+                page.attributes[again] = attributes | page.attributes[again]
+                continue
+        i = begin(name, attributes)
         if name in VOID:
             if name == "br":
                 page.flow.append((i, " "))
             continue
-        stack.append(i)
         if name in RAW:
             stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
             upto = stop.start() if stop else size

@@ -241,8 +241,22 @@ class _Composer:
                              f"&copy; {self.words(20)}"])
         return self.tagged(start, body, "cut")
 
+    def loose(self) -> str:
+        """A page or fragment with main text in the body itself."""
+        r = self.rng
+        own = lambda: escape(r.choice(self.paragraphs)) if r.random() < 0.6 else self.words(25)
+        inner = [own() + r.choice(["", "\n", "<br><br>"])]
+        for _ in range(r.choice([0, 0, 1, 2, 4, 8])):
+            inner.insert(r.randrange(len(inner) + 1), r.choice([own, self.paragraph])() + r.choice(["", "\n", "<br>"]))
+        for _ in range(r.choice([0, 0, 0, 1, 2])):
+            inner.insert(r.randrange(len(inner) + 1), self.other())
+        head = r.choice(["", f"<head><title>{self.words(9)}</title></head>"])
+        return f'<html>{head}<body data-part="main">{"".join(inner)}</body></html>'
+
     def page(self) -> str:
         r = self.rng
+        if r.random() < 0.15:
+            return self.loose()
         inner = [self.paragraph() for _ in range(r.choice([0, 1, 1, 2, 3, 5, 8, 14]))]
         if r.random() < 0.7:
             inner.insert(0, f"<h1>{self.words(10)}</h1>")
@@ -257,6 +271,8 @@ class _Composer:
             wrap = r.choice(["div", 'div class="wrapper"', 'div id="page"', 'div class="container"', 'main class="site"'])
             core = f"<{wrap}>{''.join(before[:1])}{core}{''.join(after[:1])}</{wrap.split()[0]}>"
             before, after = before[1:], after[1:]
+        if r.random() < 0.1:
+            before.insert(0, f"{self.words(4)} ")
         head = f"<head><title>{self.words(9)}</title><style>p{{}}</style><script>var t='</p>';</script></head>"
         return f"<!DOCTYPE html><html>{head}<body>{''.join(before)}{core}{''.join(after)}</body></html>"
 

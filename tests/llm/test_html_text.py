@@ -68,3 +68,15 @@ def test_fit_on_table(spark):
     out = X.with_main_text(df, X.fit(df)).collect()
     assert {r.page_id: r.text for r in out} == dict(enumerate(PARAGRAPHS))
     X.fit(df.limit(0))
+
+
+def test_text_outside_elements_is_main(model):
+    a, b, c = PARAGRAPHS[:3]
+    assert model.texts([a, f"{a} <p>{b}</p> {c}", f"<title>T</title>{a}<br>{b}", f"{a}<nav><ul><li><a href='/'>Home</a></li></ul></nav>"]) == [
+        a, "\n".join([a, b, c]), f"{a} {b}", a,
+    ]
+
+
+def test_one_html_and_one_body_are_open():
+    for html in ("a <p>b</p> c", "<p>a</p><body class=x>b</body> c", "<head><title>t</title><p>a</html>b", "<html><html><body><body>a"):
+        assert [t for t in read_page(html).tag if t in ("html", "body")] == ["html", "body"]
