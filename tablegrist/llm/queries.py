@@ -16,6 +16,7 @@ from tablegrist.llm.language_id import held_out, identified
 from tablegrist.llm.mixing import by_rank, mix
 from tablegrist.llm.rows import located
 from tablegrist.llm.sentence_pieces import with_tokens
+from tablegrist.llm.spelling import spelling_variants
 from tablegrist.llm.super_minhash import near_duplicates
 from tablegrist.llm.toxicity import scored
 from tablegrist.llm.url_filter import Rule, judged
@@ -171,3 +172,9 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
     out = html_text.with_main_text(pages, html_text.fit(pages))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form and root of every word of the documents."""
+    return spelling_variants(_table(spark, sf_dir, "documents"))
