@@ -18,6 +18,7 @@ from tablegrist.llm.rows import located
 from tablegrist.llm.sentence_pieces import with_tokens
 from tablegrist.llm.spelling import spelling_variants
 from tablegrist.llm.super_minhash import near_duplicates
+from tablegrist.llm.token_alignment import aligned_documents
 from tablegrist.llm.toxicity import scored
 from tablegrist.llm.url_filter import Rule, judged
 from tablegrist.llm.warc import archived
@@ -178,3 +179,9 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Form and root of every word of the documents."""
     return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aligned tokens of every document and how common their pairs are."""
+    return aligned_documents(_table(spark, sf_dir, "documents"))
