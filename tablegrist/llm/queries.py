@@ -15,6 +15,7 @@ from tablegrist.llm.exact_dedup import grouped
 from tablegrist.llm.language_id import held_out, identified
 from tablegrist.llm.mixing import by_rank, mix
 from tablegrist.llm.rows import located
+from tablegrist.llm.segment_join import jaccard_components
 from tablegrist.llm.sentence_pieces import with_tokens
 from tablegrist.llm.spelling import spelling_variants
 from tablegrist.llm.super_minhash import near_duplicates
@@ -185,3 +186,36 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aligned tokens of every document and how common their pairs are."""
     return aligned_documents(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document among those that share 85 of 100 runs of four words."""
+    out = jaccard_components(_table(spark, sf_dir, "documents"), width=4, percent=85)
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+SQL["op11_jaccard_join"] = r"""
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from documents
+),
+s as (
+  select doc_id, case when len(w) < 4 then list_filter([array_to_string(w, ' ')], lambda x: x <> '')
+                      else list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) end as s
+  from w
+),
+d as (select doc_id, len(s) as n, md5(array_to_string(list_sort(s), '|')) as class, s from s),
+c as (select class, min(doc_id) as rep, any_value(n) as n, any_value(s) as s from d where n > 0 group by class),
+e as (select rep, n, unnest(s) as e from c),
+links as (
+  select a.rep as a, b.rep as b from e as a join e as b on a.e = b.e and a.rep <> b.rep
+  group by a.rep, b.rep, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))
+),
+reach(a, b) as (select rep, rep from c union select reach.a, links.b from reach join links on reach.b = links.a),
+least as (select a, min(b) as component from reach group by a)
+select d.doc_id, d.n as n_shingles, coalesce(least.component, d.doc_id) as component_id
+from d left join c on d.class = c.class and d.n > 0 left join least on least.a = c.rep
+"""

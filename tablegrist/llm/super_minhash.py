@@ -20,13 +20,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablegrist.llm.components import UnionFind, components
 from tablegrist.llm.grams import mixed
 from tablegrist.llm.reuse import compacted
+from tablegrist.llm.shingles import alike, shingle_set, slices
 from tablegrist.session import cut_lineage
 
 #: Bands and their rows. A pair of similarity 0.8 shares no band with a
@@ -41,67 +41,8 @@ BLOCK = 512
 #: Up to so many documents are found again by a broadcast of their ids.
 BROADCAST_IDS = 200_000
 
-_WINDOW = 1 << 18
-_RANDOM = np.random.default_rng(20240229)
-_BYTE = _RANDOM.integers(1, 2**63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
-_GOLD = np.uint64(0x9E3779B97F4A7C15)
-#: The blanks between words, `[\x20\x09-\x0D]`.
-_BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
-
-
-def _powers(base: int) -> np.ndarray:
-    steps = np.full(_WINDOW + 1, base, np.uint64)
-    steps[0] = 1
-    return np.multiply.accumulate(steps)
-
-
-_UP, _DOWN = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
-
-
-def word_hashes(text: str) -> np.ndarray:
-    """A 64-bit hash of each word, A-Z in lower case. The sum of a word that goes
-    on in the next window is carried there, so cuts do not show."""
-    raw = text.encode("utf-8", "surrogatepass").lower()
-    found, begun, length = [], 0, 0
-    for at in range(0, len(raw), _WINDOW):
-        b = np.frombuffer(raw, np.uint8, min(_WINDOW, len(raw) - at), at)
-        starts, words = _sums(b)
-        if length and not _BLANK[b[0]]:
-            # Its bytes stand behind those of the windows before.
-            words[0] = (begun + pow(_BASE, length, 1 << 64) * int(words[0])) % (1 << 64)
-        elif length:
-            words, length = np.append(np.uint64(begun), words), 0
-        if at + len(b) < len(raw) and not _BLANK[b[-1]]:
-            length = len(b) - int(starts[-1]) + (length if len(starts) == 1 and starts[0] == 0 else 0)
-            begun, words = int(words[-1]), words[:-1]
-        else:
-            length = 0
-        found.append(mixed(words))
-    return np.concatenate(found) if found else np.zeros(0, np.uint64)
-
-
-def _sums(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and sum of each run without a blank."""
-    blank = _BLANK[b]
-    edges = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8)))
-    starts, ends = edges[0::2], edges[1::2]
-    sums = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(_BYTE[b] * _UP[: len(b)], out=sums[1:])
-    return starts, (sums[ends] - sums[starts]) * _DOWN[starts]
-
-
-def shingle_set(text: str | None, width: int) -> np.ndarray:
-    """Sorted hashes of the distinct runs of ``width`` words; of a text with fewer
-    words, its only run; empty without words."""
-    words = word_hashes(text or "")
-    if not len(words):
-        return words
-    width = min(width, len(words))
-    run = words[: len(words) - width + 1]
-    for k in range(1, width):
-        run = mixed(run * _GOLD + words[k : len(words) - width + 1 + k])
-    return np.unique(run + np.uint64(width))
+_GOLD = np.uint64(_BASE)
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -155,7 +96,7 @@ def _signed(rows: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch):
                 sets = [shingle_set(t.as_py(), width) for t in part.column("text")]
                 full = [i for i, s in enumerate(sets) if len(s)]
                 sign = signatures([sets[i] for i in full])
@@ -172,16 +113,6 @@ def _signed(rows: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, SIGNED)
 
 
-def _slices(batch: pa.RecordBatch, bytes_each: int = 1 << 19) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of about so many bytes of text."""
-    sizes = pa.compute.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False)
-    group = np.cumsum(sizes) // bytes_each
-    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
-    for a, b in zip(cuts, cuts[1:]):
-        if b > a:
-            yield batch.slice(a, b - a)
-
-
 def near_duplicates(
     docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -238,7 +169,7 @@ def _sets_of(ids: DataFrame, texts: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch):
                 sets = [shingle_set(t.as_py(), width).tobytes() for t in part.column("text")]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), pa.array(sets, pa.binary())], ["id", "shingles"]
@@ -247,16 +178,6 @@ def _sets_of(ids: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return cut_lineage(chosen.mapInArrow(run, "id bigint, shingles binary"))
 
 
-def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether two sorted sets are similar enough."""
-    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-        return False
-    both = np.concatenate([a, b])
-    both.sort()
-    common = int((both[1:] == both[:-1]).sum())
-    return 100 * common >= percent * (len(a) + len(b) - common)
-
-
 def _hub_links(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Links between the members of buckets and their hubs, checked on full sets."""
     pairs = compacted(members.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())

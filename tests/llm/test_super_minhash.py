@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from tablegrist.llm import shingles as H
 from tablegrist.llm import super_minhash as S
 from tablegrist.llm.components import UnionFind, components
 
@@ -134,9 +135,9 @@ def test_estimates_vary_less_than_independent_hashes():
 
 def test_word_hashes_do_not_depend_on_the_window(monkeypatch):
     text = "".join(random.Random(3).choices(["a", "B ", "\n", "É", "  ", "word "], k=3000))
-    whole = S.word_hashes(text)
-    monkeypatch.setattr(S, "_WINDOW", 100)
-    assert (S.word_hashes(text) == whole).all()
+    whole = H.word_hashes(text)
+    monkeypatch.setattr(H, "_WINDOW", 100)
+    assert (H.word_hashes(text) == whole).all()
     assert len(whole) == len(re.findall(r"[^\x20\x09-\x0D]+", text))
 
 
@@ -152,13 +153,24 @@ def test_components_of_chains_and_stars(spark):
 def test_a_word_of_any_length_has_one_hash(spark, monkeypatch):
     rng = random.Random(8)
     run = "".join(rng.choices("abcdefghijklmnop", k=3 << 20))
-    other = run[: 11 * S._WINDOW] + "".join(rng.choices("qrstuvwxyz", k=S._WINDOW))
+    other = run[: 11 * H._WINDOW] + "".join(rng.choices("qrstuvwxyz", k=H._WINDOW))
     rows = [(1, run, 1, "x"), (2, other, 1, "x"), (3, run.upper() + " ", 1, "x"), (4, f"a {run} b", 1, "x")]
     df = spark.createDataFrame(rows, SCHEMA)
     assert got(df, width=2) == [(1, 1, 1, True), (2, 1, 2, True), (3, 1, 1, False), (4, 2, 4, True)]
     text = "".join(rng.choices("ab\t ", weights=[6, 6, 1, 1], k=3000))
-    whole = S.word_hashes(text)
+    whole = H.word_hashes(text)
     assert len(whole) == len(text.split())
     for window in (1, 2, 7, 64):
-        monkeypatch.setattr(S, "_WINDOW", window)
-        assert (S.word_hashes(text) == whole).all()
+        monkeypatch.setattr(H, "_WINDOW", window)
+        assert (H.word_hashes(text) == whole).all()
+
+
+def test_words_of_a_regular_build_stay_apart(spark):
+    """Words whose letters cancel out in a polynomial modulo 2^64."""
+    ab = "a"
+    while len(ab) < 1024:
+        ab += ab.translate({97: 98, 98: 97})
+    ba = ab.translate({97: 98, 98: 97})
+    assert H.word_hashes(ab)[0] != H.word_hashes(ba)[0]
+    rows = [(1, ab, 1, "x"), (2, ba, 1, "x"), (3, ab, 1, "x")]
+    assert got(spark.createDataFrame(rows, SCHEMA), width=2) == [(1, 1, 1, True), (2, 1, 2, True), (3, 1, 1, False)]
