@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablegrist.llm.reuse import compacted
+from tablegrist.llm.tidy import tidy
 
 
 class UnionFind:
@@ -57,7 +58,7 @@ def components(links: DataFrame) -> DataFrame:
     logarithm of the longest chain. Rounds are written to the shared folder.
     Links with a null or to itself do not count.
     """
-    links = links.filter("a is not null and b is not null and a <> b").mapInArrow(_stars, "a bigint, b bigint")
+    links = links.filter("a is not null and b is not null and a <> b").mapInArrow(tidy(_stars), "a bigint, b bigint")
     links = compacted(links.distinct())
     before = None
     while True:

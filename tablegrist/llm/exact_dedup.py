@@ -30,6 +30,11 @@ STATE_SETTINGS = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # Else every partition's store sets aside megabytes for its logs.
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    # The stores of an executor share so much memory outside the heap, and those
+    # that no query needs any more are closed soon.
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "5s",
 }
 
 

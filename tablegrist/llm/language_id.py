@@ -24,11 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablegrist.llm.grams import code_points, is_letter, mixed, windows
-from tablegrist.session import cut_lineage
+from tablegrist.llm.tidy import give_back, tidy
+from tablegrist.session import cut_lineage, small_table
 
 BUCKETS = 8192
 ORDERS = (1, 2, 3)
 SAMPLE = 400
+#: Rows of all languages together.
+MOST_SAMPLED = 10_000
 CENTROIDS = 4
 ROUNDS = 10
 #: Rejected is what has less than MARGIN of the cosine that all but a share of LOW
@@ -122,20 +125,25 @@ def fit(labelled: DataFrame, key: str, text: str, lang: str, sample: int = SAMPL
     """A model from the rows of ``labelled`` with a language and a letter.
 
     The sample is chosen by a hash of key and text, evenly from all rows of a
-    language, so its expected size is ``sample``. Its n-gram counts come to the
-    driver: at most 32 KB for each of ``sample`` rows per language.
+    language, so its expected size is ``sample``; rows that repeat both count once,
+    and the languages share ``MOST_SAMPLED`` rows if they are many. Of its n-gram
+    counts only those above 0 come to the driver: 6 bytes for each n-gram of a text,
+    48 KB at most.
     """
     rows = labelled.filter(F.col(lang).isNotNull()).select(
         F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"),
-        F.xxhash64(F.col(key), F.length(text)).alias("rank"),
+        F.xxhash64(F.col(key), F.col(text)).alias("rank"),
     ).filter("text is not null")
     sizes = rows.groupBy("lang").count().collect()
     # Every language has its share of the 2^64 hash values.
-    share = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], min(1.0, sample / r["count"]))])
     if not sizes:
         return LanguageModel([], np.zeros((0, BUCKETS)), np.zeros(BUCKETS), np.zeros(0))
+    sample = min(sample, max(1, MOST_SAMPLED // len(sizes)))
+    share = small_table(
+        labelled.sparkSession, [(r["lang"], min(1.0, sample / r["count"])) for r in sizes], "lang string, share double"
+    )
     place = (F.col("rank") / F.lit(2.0**64)) + 0.5
-    chosen = rows.filter(place <= share[F.col("lang")]).select("lang", "text")
+    chosen = rows.join(share, "lang").filter(place <= F.col("share")).dropDuplicates(["lang", "rank"]).select("lang", "text")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,14 +153,16 @@ def fit(labelled: DataFrame, key: str, text: str, lang: str, sample: int = SAMPL
                 keep = letters > 0
                 yield pa.RecordBatch.from_arrays(
                     [part.column("lang").filter(pa.array(keep)),
-                     pa.array([x.tobytes() for x in table[keep]], pa.binary())],
-                    ["lang", "counts"],
+                     pa.array([np.flatnonzero(x).astype(np.uint16).tobytes() for x in table[keep]], pa.binary()),
+                     pa.array([x[x > 0].tobytes() for x in table[keep]], pa.binary())],
+                    ["lang", "slots", "counts"],
                 )
 
-    found = cut_lineage(chosen.mapInArrow(vectors, "lang string, counts binary")).toArrow()
+    found = cut_lineage(chosen.mapInArrow(tidy(vectors), "lang string, slots binary, counts binary")).toArrow()
     langs = np.array(found.column("lang").to_pylist(), dtype=object)
-    table = np.stack([np.frombuffer(x, np.float32) for x in found.column("counts").to_pylist()] or
-                     [np.zeros(BUCKETS, np.float32)])
+    table = np.zeros((max(1, len(langs)), BUCKETS), np.float32)
+    for row, slots, counted in zip(table, found.column("slots").to_pylist(), found.column("counts").to_pylist()):
+        row[np.frombuffer(slots, np.uint16)] = np.frombuffer(counted, np.float32)
     # The order in which tasks end must not matter.
     order = np.array(sorted(range(len(langs)), key=lambda i: (langs[i], table[i].tobytes())), dtype=np.int64)
     return trained(langs[order], table[order])
@@ -221,6 +231,7 @@ def _judged(docs: DataFrame, model: LanguageModel, text: str) -> DataFrame:
         for batch in texts:
             parts = [shipped.value.predict(batch.iloc[i : i + 64].tolist()) for i in range(0, len(batch), 64)]
             yield pd.concat(parts, ignore_index=True) if parts else _NOTHING
+        give_back()
 
     return docs.withColumn("__found", judge(F.col(text)))
 

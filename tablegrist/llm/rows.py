@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablegrist.session import cut_lineage
@@ -26,6 +26,19 @@ def _with_place(df: DataFrame) -> DataFrame:
     return df.withColumns({FILE: place["file_path"], ROW: place["row_index"]})
 
 
+def in_written_order(docs: DataFrame, name: str = "position") -> DataFrame:
+    """``docs`` with ``name``, the place of each row, from 0 on, in the order its
+    files were written in: parts by their number, rows as they stand in them. For
+    range-sorted rows that were written and read again it is their rank. Only
+    one row per file passes through one task."""
+    docs = located(docs)
+    part = F.regexp_extract(FILE, r"part-(\d+)[^/]*$", 1).try_cast("bigint")
+    files = docs.groupBy(FILE).agg(F.count("*").alias("__rows")).withColumn("__part", part)
+    before = Window.orderBy(F.col("__part").asc_nulls_first(), FILE).rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select(FILE, F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__start"))
+    return docs.join(starts, FILE).withColumn(name, F.col("__start") + F.col(ROW)).drop(FILE, ROW, "__start")
+
+
 def at_places(located_docs: DataFrame, places: DataFrame) -> DataFrame:
     """The rows of ``located_docs`` that stand in ``places``, without the place."""
     return located_docs.join(places.select(FILE, ROW), [FILE, ROW], "left_semi").drop(FILE, ROW)

@@ -31,6 +31,7 @@ from tablegrist.llm.grams import mixed
 from tablegrist.llm.reuse import compacted
 from tablegrist.llm.rows import FILE, ROW, located
 from tablegrist.llm.shingles import alike, shingle_set, slices
+from tablegrist.llm.tidy import tidy
 from tablegrist.session import cut_lineage
 
 #: Segments at the front whose one-deletion neighbourhoods are indexed, too.
@@ -132,7 +133,7 @@ def _sized(rows: DataFrame, width: int) -> DataFrame:
                     ["node", "id", "n", "class"],
                 )
 
-    return rows.mapInArrow(run, "node bigint, id bigint, n bigint, class binary")
+    return rows.mapInArrow(tidy(run), "node bigint, id bigint, n bigint, class binary")
 
 
 def _signed(rows: DataFrame, width: int, of: Bands) -> DataFrame:
@@ -162,7 +163,7 @@ def _signed(rows: DataFrame, width: int, of: Bands) -> DataFrame:
                 ], ["id", "band", "exact", "without", "firsts", "n", "sketch"])
 
     return rows.mapInArrow(
-        run, "id bigint, band int, exact array<bigint>, without array<bigint>, firsts int, n bigint, sketch binary"
+        tidy(run), "id bigint, band int, exact array<bigint>, without array<bigint>, firsts int, n bigint, sketch binary"
     )
 
 
@@ -204,7 +205,7 @@ def _sets_of(wanted: DataFrame, texts: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(sets, pa.binary())], [*names, "shingles"])
 
     kinds = ", ".join(f"{c} bigint" for c in names)
-    return rows.mapInArrow(run, f"{kinds}, shingles binary")
+    return rows.mapInArrow(tidy(run), f"{kinds}, shingles binary")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -226,7 +227,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
             ]
             yield batch.select(["a", "b"]).filter(pa.array(fine, pa.bool_()))
 
-    return compacted(both.select("a", "b", "of_a", "of_b").mapInArrow(run, "a bigint, b bigint"))
+    return compacted(both.select("a", "b", "of_a", "of_b").mapInArrow(tidy(run), "a bigint, b bigint"))
 
 
 def _apart(members: DataFrame, labels: DataFrame, of: Bands) -> DataFrame:

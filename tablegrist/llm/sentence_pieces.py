@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
+from tablegrist.llm.tidy import tidy
+
 BLANK = "▁"
 MODEL = "piece_bpe_32k.model"
 #: Words and pairs of pieces kept in memory by each Python worker.
@@ -242,9 +244,21 @@ def _loaded(serialized: bytes) -> PieceModel:
     return _MODELS[key]
 
 
+def _forget() -> None:
+    """What a task leaves to the next one are the words it met last."""
+    for model in _MODELS.values():
+        model.words.older = {}
+        model.pairs.clear()
+
+
 Derive = Callable[[list[bytes], list[str]], list[pa.Array]]
 
 
+def counted(ids: list[bytes], decoded: list[str]) -> list[pa.Array]:
+    """How many ids, and the ids."""
+    return [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+
+
 def full(ids: list[bytes], decoded: list[str]) -> list[pa.Array]:
     return [pa.array(ids, pa.binary()), pa.array(decoded, pa.string())]
 
@@ -256,6 +270,7 @@ def with_tokens(
     path: str | None = None,
     derive: Derive = full,
     columns: str = "ids binary, decoded string",
+    carried: tuple[str, ...] = (),
 ) -> DataFrame:
     """``key`` with the packed ids of the text (``ids``, binary, little-endian
     unsigned 32-bit) and the text these ids decode to (``decoded``), or with the
@@ -263,13 +278,13 @@ def with_tokens(
     values need not leave the Python workers.
 
     A null text is read as an empty one, whose ids are begin and end. Rows and
-    keys may repeat or be null; each row is encoded on its own. Other columns
-    are not read. The model file is read on the driver and sent to the workers.
+    keys may repeat or be null; each row is encoded on its own. An empty table gives
+    no rows, texts may be of any length. Of the other columns those ``carried`` follow
+    the key. The model file is read on the driver and sent to the workers.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model_file(path))
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    key_type = rows.schema["key"].dataType.simpleString()
-    names = ["key", *(c.split()[0] for c in columns.split(","))]
+    rows = docs.select(F.col(key).alias("key"), *carried, F.col(text).alias("text"))
+    names = ["key", *carried, *(c.split()[0] for c in columns.split(","))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _loaded(shipped.value)
@@ -277,12 +292,11 @@ def with_tokens(
             for part in _bounded(batch):
                 ids = [model.encode(t.as_py() or "") for t in part.column("text")]
                 made = derive(ids, [model.decode(x) for x in ids])
-                yield pa.RecordBatch.from_arrays([part.column("key"), *made], names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names)
             pa.default_memory_pool().release_unused()
-        # Workers outlive their tasks; what they keep must leave room for others.
-        model.words.older = {}
 
-    return rows.mapInArrow(run, f"key {key_type}, {columns}").withColumnRenamed("key", key)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("text").schema.fields)
+    return rows.mapInArrow(tidy(run, _forget), f"{schema}, {columns}").withColumnRenamed("key", key)
 
 
 def _bounded(batch: pa.RecordBatch, most: int = 64) -> Iterator[pa.RecordBatch]:

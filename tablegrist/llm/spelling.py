@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablegrist.llm.reuse import compacted
+from tablegrist.llm.tidy import tidy
 from tablegrist.session import cut_lineage
 
 #: What a word is made of; only A-Z are lower-cased.
@@ -90,7 +91,7 @@ def counted_words(docs: DataFrame, key: str = "doc_id", text: str = "text", one_
         yield _counts(found)
 
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(tidy(run), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _counts(found: Counter[str]) -> pa.RecordBatch:
@@ -139,7 +140,7 @@ def _nodes(words: DataFrame, spelled: Column, name: str) -> DataFrame:
 
     spelled = words.select("word", spelled.alias("spelled"))
     placed = spelled.repartition(F.substring("spelled", 1, SHALLOW)).sortWithinPartitions("spelled")
-    return placed.mapInArrow(run, f"word string, {name} binary")
+    return placed.mapInArrow(tidy(run), f"word string, {name} binary")
 
 
 #: Kinds of pairs: a left-out character, and a gap between two characters.
@@ -172,7 +173,7 @@ def _pairs(words: DataFrame) -> DataFrame:
                     ["id", "n", "front", "back", "kind", "first"],
                 )
 
-    return words.mapInArrow(run, "id bigint, n bigint, front bigint, back bigint, kind tinyint, first boolean")
+    return words.mapInArrow(tidy(run), "id bigint, n bigint, front bigint, back bigint, kind tinyint, first boolean")
 
 
 def neighbours(words: DataFrame) -> DataFrame:

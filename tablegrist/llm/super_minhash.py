@@ -27,6 +27,7 @@ from tablegrist.llm.components import UnionFind, components
 from tablegrist.llm.grams import mixed
 from tablegrist.llm.reuse import compacted
 from tablegrist.llm.shingles import alike, shingle_set, slices
+from tablegrist.llm.tidy import tidy
 from tablegrist.session import cut_lineage
 
 #: Bands and their rows. A pair of similarity 0.8 shares no band with a
@@ -110,7 +111,7 @@ def _signed(rows: DataFrame, width: int) -> DataFrame:
                     pa.array([brief[place[i]].tobytes() if i in place else None for i in range(len(sets))], pa.binary()),
                 ], ["id", "n", "class", "bands", "brief"])
 
-    return rows.mapInArrow(run, SIGNED)
+    return rows.mapInArrow(tidy(run), SIGNED)
 
 
 def near_duplicates(
@@ -175,7 +176,7 @@ def _sets_of(ids: DataFrame, texts: DataFrame, width: int) -> DataFrame:
                     [part.column("id"), pa.array(sets, pa.binary())], ["id", "shingles"]
                 )
 
-    return cut_lineage(chosen.mapInArrow(run, "id bigint, shingles binary"))
+    return cut_lineage(chosen.mapInArrow(tidy(run), "id bigint, shingles binary"))
 
 
 def _hub_links(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -194,7 +195,7 @@ def _hub_links(members: DataFrame, texts: DataFrame, width: int, percent: int) -
             ]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(fine, pa.bool_()))
 
-    return both.select("a", "b", "of_a", "of_b").mapInArrow(run, "a bigint, b bigint").distinct()
+    return both.select("a", "b", "of_a", "of_b").mapInArrow(tidy(run), "a bigint, b bigint").distinct()
 
 
 def _block_links(

@@ -34,6 +34,7 @@ from tablegrist.llm.grams import mixed
 from tablegrist.llm.perfect_hash import PerfectHash
 from tablegrist.llm.reuse import compacted
 from tablegrist.llm.rows import FILE, ROW, located
+from tablegrist.llm.tidy import tidy
 from tablegrist.session import cut_lineage
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -254,7 +255,7 @@ def counted_pairs(docs: DataFrame, text: str, a_path: str, b_path: str) -> DataF
         yield from flush()
 
     rows = docs.select(F.col(text).alias("text"))
-    return rows.mapInArrow(run, "pair bigint, n bigint")
+    return rows.mapInArrow(tidy(run), "pair bigint, n bigint")
 
 
 class PairNumbers:
@@ -428,7 +429,7 @@ def _second_pass(rows: DataFrame, a_path: str, b_path: str, counts=None) -> Data
     named = [c for c in rows.columns if c != "text"]
     names = [*named, *(c.split()[0] for c in _COLUMNS.split(", ")), *(["links"] if links else [])]
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in named) + f", {_COLUMNS}"
-    return rows.mapInArrow(run, schema + (", links array<struct<pair: bigint, times: bigint>>" if links else ""))
+    return rows.mapInArrow(tidy(run), schema + (", links array<struct<pair: bigint, times: bigint>>" if links else ""))
 
 
 _LINKS = pa.list_(pa.struct([("pair", pa.int64()), ("times", pa.int64())]))

@@ -86,4 +86,30 @@ def test_ids_are_the_librarys(steps):
 
 
 def test_run(spark):
-    assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "n_tokens", "ids"]
+    assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "position", "n_tokens", "ids"]
+
+
+def test_rows_stay_in_training_order(spark, tmp_path):
+    """Ten files of range-sorted rows, the smallest ones first."""
+    from pyspark.sql import functions as F
+
+    from tablegrist.llm.rows import in_written_order
+
+    docs = spark.range(3000).selectExpr("id as doc_id", "repeat('some words ', 1 + cast(id % 7 as int)) as text", "id as n_chars")
+    path = str(tmp_path / "sorted")
+    cut = F.when(F.col("doc_id") < 30, F.col("doc_id")).otherwise(30 + F.col("doc_id") / 200)
+    docs.withColumn("__cut", cut).repartitionByRange(10, "__cut").sortWithinPartitions("doc_id").drop("__cut").write.parquet(path)
+    read = spark.read.parquet(path)
+    assert len(read.inputFiles()) == 10
+    placed = in_written_order(read).select("doc_id", "position").collect()
+    assert [r["doc_id"] for r in sorted(placed, key=lambda r: r["position"])] == list(range(3000))
+    assert sorted(r["position"] for r in placed) == list(range(3000))
+    out = corpus_pipeline.encoded(spark, read, SF)
+    assert all(r["doc_id"] == r["position"] for r in out.select("doc_id", "position").collect())
+
+
+def test_empty_tables(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        assert docs.collect() == [] and docs.columns[0] == "doc_id", name
