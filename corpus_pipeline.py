@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tablegrist.llm.exact_dedup import deduplicated
 from tablegrist.llm.language_id import accepted
 from tablegrist.llm.mixing import by_rank, mixed_documents
-from tablegrist.llm.sentence_pieces import with_tokens
+from tablegrist.llm.rows import in_written_order
+from tablegrist.llm.sentence_pieces import counted, with_tokens
 from tablegrist.llm.super_minhash import one_of_each
 from tablegrist.session import cut_lineage
 
@@ -35,12 +35,11 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each row, packed as little-endian unsigned 32-bit numbers."""
-    return with_tokens(docs, derive=_counted, columns="n_tokens bigint, ids binary")
-
-
-def _counted(ids: list[bytes], decoded: list[str]) -> list[pa.Array]:
-    return [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+    """Token ids of each row, packed as little-endian unsigned 32-bit numbers, and
+    its ``position`` in training order, which is the order the rows were written in.
+    An empty table gives no rows; null and empty texts have begin and end only."""
+    ordered = in_written_order(docs.drop("position"))
+    return with_tokens(ordered, derive=counted, columns="n_tokens bigint, ids binary", carried=("position",))
 
 
 STAGES = [
