@@ -19,7 +19,7 @@ import os
 import pickle
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,11 +39,11 @@ from tablegrist.session import cut_lineage
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 BLANK = "▁"
-#: Distinct parts a task holds before it passes their results on and starts anew,
-#: and the characters of those encoded in one call.
-PARTS, CALL = 300_000, 1 << 17
+#: Distinct parts a worker holds before it starts anew (some 250 bytes each), and
+#: the characters of those encoded in one call.
+PARTS, CALL = 700_000, 1 << 17
 #: Characters of the texts that are taken apart at once.
-GROUP = 1 << 21
+GROUP = 1 << 22
 #: Pairs of one perfect hash.
 SHARD = 1 << 18
 #: Counters of a slice of the vectors, and first-level sums of each slice.
@@ -53,8 +53,9 @@ SLICE, BRANCHES = 1 << 16, 32
 BROADCAST_BYTES = 128 << 20
 
 _CUT = re.compile(r"(?<=\S) ")
-#: Parts that can be encoded side by side: no white space at either end.
-_PLAIN = re.compile(r"\S(?:.*\S)?", re.S)
+#: Where a text has none of these it is cut at every blank.
+_SPACED = [c + " " for c in map(chr, range(0x3001)) if c.isspace()]
+_SPACED_ASCII = [c for c in _SPACED if c.isascii()]
 
 
 @dataclass
@@ -113,13 +114,16 @@ class Tokenizers:
         raw = b" " + part.encode()
         return raw == b"".join(map(self.a_bytes.__getitem__, a)) == b"".join(map(self.b_bytes.__getitem__, b))
 
-    def aligned(self, parts: list[str]) -> tuple[Aligned, np.ndarray]:
+    def aligned(self, parts: list[str], plain: bool) -> tuple[Aligned, np.ndarray]:
         """The alignment of the parts, and which of them both tokenizers spell as
-        they are; the others have no tokens."""
-        sizes = np.array([len(p.encode()) + 1 for p in parts], np.int64)
+        they are; the others have no tokens. ``plain`` parts are encoded as one text."""
         text = " ".join(parts)
-        ((a,), (b,)) = self.encoded([text]) if all(map(_PLAIN.fullmatch, parts)) else ([None], [None])
-        if a is not None and self.spells(text, a, b):
+        if text.isascii():
+            sizes = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
+        else:
+            sizes = np.array([len(p.encode()) for p in parts], np.int64) + 1
+        ((a,), (b,)) = self.encoded([text]) if plain else ([None], [None])
+        if plain and self.spells(text, a, b):
             a, b, fine = np.array(a, np.int64), np.array(b, np.int64), np.ones(len(parts), bool)
         else:
             many_a, many_b = self.encoded(parts)
@@ -147,6 +151,8 @@ def _byte_characters() -> list[str]:
 def parts_of(text: str) -> list[str]:
     """The text cut at each blank that follows a character other than white space;
     with a blank before each part they are a blank and the text."""
+    if text[0] != " " and not any(c in text for c in (_SPACED_ASCII if text.isascii() else _SPACED)):
+        return text.split(" ")
     return _CUT.split(text)
 
 
@@ -161,53 +167,63 @@ def loaded(a_path: str, b_path: str) -> Tokenizers:
     return _LOADED[a_path, b_path]
 
 
-def _calls(parts: list[str]) -> Iterator[list[str]]:
-    """Parts for one call each; those that need a call for themselves come last."""
-    plain, other = [], []
-    for p in parts:
-        (plain if _PLAIN.fullmatch(p) else other).append(p)
-    for group in (plain, other):
-        call, size = [], 0
-        for p in group:
-            if call and size + len(p) > CALL:
-                yield call
-                call, size = [], 0
-            call.append(p)
-            size += len(p) + 1
-        if call:
-            yield call
+def _calls(parts: set[str]) -> Iterator[tuple[list[str], bool]]:
+    """Parts for one call each, and whether they can be encoded side by side, which
+    takes that they have no white space at their ends."""
+    plain = [p for p in parts if p and not p[0].isspace() and not p[-1].isspace()]
+    for group, side_by_side in ((plain, True), (list(parts.difference(plain)), False)):
+        ends = np.cumsum(np.fromiter(map(len, group), np.int64, len(group)) + 1)
+        cuts = np.flatnonzero(np.diff(ends // CALL)) + 1
+        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(group)]):
+            if j > i:
+                yield group[i:j], side_by_side
 
 
 class Parts:
-    """Results of the distinct parts of texts a task has met, as long as they are
-    no more than ``PARTS``."""
+    """The distinct parts of texts a worker has met, as long as they are no more
+    than ``PARTS``, and what ``derive`` made of their alignments."""
 
-    def __init__(self, tools: Tokenizers):
-        self.tools = tools
+    def __init__(self, tools: Tokenizers, derive: Callable[[Aligned], tuple]):
+        self.tools, self.derive = tools, derive
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.bad: set[str] = set()
+        self.made: list[tuple] = []
 
     def full(self) -> bool:
         return len(self.index) >= PARTS
 
-    def add(self, texts: list[list[str]]) -> Iterator[tuple[int, Aligned]]:
-        """Number the parts that are new and give their alignments, with the
-        number of the first part of each."""
-        new = list(dict.fromkeys(p for words in texts for p in words if p not in self.index))
-        for call in _calls(new):
+    def add(self, texts: list[list[str]]) -> None:
+        """Number the parts that are new."""
+        new: set[str] = set()
+        for words in texts:
+            new.update(words)
+        new.difference_update(self.index.keys())
+        for call, side_by_side in _calls(new):
             since = len(self.index)
-            aligned, fine = self.tools.aligned(call)
+            aligned, fine = self.tools.aligned(call, side_by_side)
             self.index.update(zip(call, range(since, since + len(call))))
             self.bad.update(p for p, f in zip(call, fine.tolist()) if not f)
-            yield since, aligned
+            aligned.part += since
+            self.made.append(self.derive(aligned))
 
     def spelled(self, words: list[str]) -> bool:
         return not self.bad or self.bad.isdisjoint(words)
 
 
+#: What a worker keeps from task to task, of the pass it ran last.
+_KEPT: dict[object, Parts] = {}
+
+
+def _parts(of: object, a_path: str, b_path: str, derive: Callable[[Aligned], tuple]) -> Parts:
+    if of not in _KEPT:
+        _KEPT.clear()
+        _KEPT[of] = Parts(loaded(a_path, b_path), derive)
+    return _KEPT[of]
+
+
 def _groups(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[list[str]]]]:
     """Slices of a batch of about so many characters, and their texts in parts."""
     texts, size, since = [], 0, 0
@@ -227,31 +243,30 @@ def counted_pairs(docs: DataFrame, text: str, a_path: str, b_path: str) -> DataF
     each task. A text with a part that is not spelled as it is has no links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = Parts(loaded(a_path, b_path))
+        parts = _parts("pairs", a_path, b_path, lambda found: (found.part, found.pairs))
         times: Counter[str] = Counter()
-        of_part: list[np.ndarray] = []
-        pairs: list[np.ndarray] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if pairs:
-                often = np.array([times[p] for p in parts.index], np.int64)
-                keys, at = np.unique(np.concatenate(pairs), return_inverse=True)
+            if times:
+                often = np.zeros(len(parts.index), np.int64)
+                often[[parts.index[p] for p in times]] = list(times.values())
+                of_part, pairs = (np.concatenate(x) for x in zip(*parts.made))
+                weights = often[of_part]
+                keys, at = np.unique(pairs[weights > 0], return_inverse=True)
                 sums = np.zeros(len(keys), np.int64)
-                np.add.at(sums, at, often[np.concatenate(of_part)])
-                yield pa.RecordBatch.from_arrays([pa.array(keys[sums > 0]), pa.array(sums[sums > 0])], ["pair", "n"])
-            for x in (parts, times, of_part, pairs):
-                x.clear()
+                np.add.at(sums, at, weights[weights > 0])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums)], ["pair", "n"])
+                times.clear()
 
         for batch in batches:
             for _, texts in _groups(batch):
-                for since, aligned in parts.add(texts):
-                    of_part.append(aligned.part + since)
-                    pairs.append(aligned.pairs)
+                if parts.full():
+                    yield from flush()
+                    parts.clear()
+                parts.add(texts)
                 for words in texts:
                     if parts.spelled(words):
                         times.update(words)
-                if parts.full():
-                    yield from flush()
         yield from flush()
 
     rows = docs.select(F.col(text).alias("text"))
@@ -367,17 +382,18 @@ _COLUMNS = ", ".join(f"{c} bigint" for c in [*_SIZES, "n_best", "count_sum"]) +
 def _group_strings(found: Aligned) -> list[str]:
     """`a1,a2|b1` for each group, in order."""
     a, b = list(map(str, found.a.tolist())), list(map(str, found.b.tolist()))
-    out, i, j = [], 0, 0
-    for i_to, j_to in zip((found.a_at + 1).tolist(), (found.b_at + 1).tolist()):
-        out.append(f"{a[i] if i_to - i == 1 else ','.join(a[i:i_to])}|{b[j] if j_to - j == 1 else ','.join(b[j:j_to])}")
-        i, j = i_to, j_to
-    return out
+    a_to, b_to = (found.a_at + 1).tolist(), (found.b_at + 1).tolist()
+    return [
+        f"{a[i] if k - i == 1 else ','.join(a[i:k])}|{b[j] if m - j == 1 else ','.join(b[j:m])}"
+        for i, k, j, m in zip([0, *a_to], a_to, [0, *b_to], b_to)
+    ]
 
 
 def _part_results(found: Aligned, counts: PairCounts | None) -> tuple[np.ndarray, list[str]]:
     """A row of sizes, best links and counts for each part, and its groups."""
     n = len(found.a_to)
-    ends = np.searchsorted(found.part, np.arange(n), "right")
+    since = int(found.part[0]) if len(found.part) else 0
+    ends = np.searchsorted(found.part - since, np.arange(n), "right")
     sizes = np.zeros((n, 6), np.int64)
     sizes[:, 0], sizes[:, 1] = np.diff(found.a_to, prepend=0), np.diff(found.b_to, prepend=0)
     sizes[:, 2] = sizes[:, 3] = np.diff(ends, prepend=0)
@@ -385,8 +401,8 @@ def _part_results(found: Aligned, counts: PairCounts | None) -> tuple[np.ndarray
         number, best = counts.of(found.pairs)
         sizes[:, 4] = np.diff(np.concatenate([[0], np.cumsum(best)])[ends], prepend=0)
         sizes[:, 5] = np.diff(np.concatenate([[0], np.cumsum(number)])[ends], prepend=0)
-    strings, since = _group_strings(found), [0, *ends.tolist()]
-    return sizes, [";".join(strings[x:y]) for x, y in zip(since, since[1:])]
+    strings, ends = _group_strings(found), ends.tolist()
+    return sizes, [";".join(strings[x:y]) for x, y in zip([0, *ends], ends)]
 
 
 def _second_pass(rows: DataFrame, a_path: str, b_path: str, counts=None) -> DataFrame:
@@ -395,29 +411,30 @@ def _second_pass(rows: DataFrame, a_path: str, b_path: str, counts=None) -> Data
     links = counts is None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = Parts(loaded(a_path, b_path))
-        sizes: list[np.ndarray] = []
-        strings: list[str] = []
-        pairs: list[np.ndarray] = []
+        known = None if links else counts.value
+
+        def derive(found: Aligned) -> tuple:
+            own = np.split(found.pairs, np.cumsum(np.bincount(found.part - found.part[0], minlength=len(found.a_to)))[:-1]) if links and len(found.part) else []
+            return *_part_results(found, known), own
 
+        parts = _parts((a_path, b_path, id(known)), a_path, b_path, derive)
         for batch in batches:
             for piece, texts in _groups(batch):
                 if parts.full():
-                    for x in (parts, sizes, strings, pairs):
-                        x.clear()
-                for _, found in parts.add(texts):
-                    made, own = _part_results(found, None if links else counts.value)
-                    sizes.append(made)
-                    strings += own
-                    if links:
-                        pairs += np.split(found.pairs, np.searchsorted(found.part, np.arange(1, len(found.a_to))))
-                table = np.concatenate(sizes) if sizes else np.zeros((0, 6), np.int64)
-                sizes[:] = [table]
+                    parts.clear()
+                parts.add(texts)
+                if len(parts.made) > 1:
+                    _, strings, pairs = parts.made[0]
+                    for _, more_strings, more_pairs in parts.made[1:]:
+                        strings += more_strings
+                        pairs += more_pairs
+                    parts.made = [(np.concatenate([m[0] for m in parts.made]), strings, pairs)]
+                table, strings, pairs = parts.made[0] if parts.made else (np.zeros((0, 6), np.int64), [], [])
                 totals, digests, own_pairs = np.zeros((len(texts), 6), np.int64), [], []
                 for k, words in enumerate(texts):
-                    at = [parts.index[p] for p in words] if parts.spelled(words) else []
-                    totals[k] = table[at].sum(axis=0)
-                    digests.append(hashlib.sha256(";".join([strings[i] for i in at]).encode()).hexdigest() if at else "")
+                    at = list(map(parts.index.__getitem__, words)) if parts.spelled(words) else []
+                    totals[k] = table[np.array(at, np.int64)].sum(axis=0)
+                    digests.append(hashlib.sha256(";".join(map(strings.__getitem__, at)).encode()).hexdigest() if at else "")
                     if links:
                         own_pairs.append(np.unique(np.concatenate([pairs[i] for i in at]), return_counts=True) if at else ([], []))
                 columns = [piece.column(c) for c in piece.schema.names if c != "text"]
