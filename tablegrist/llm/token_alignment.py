@@ -151,7 +151,7 @@ def _byte_characters() -> list[str]:
 def parts_of(text: str) -> list[str]:
     """The text cut at each blank that follows a character other than white space;
     with a blank before each part they are a blank and the text."""
-    if text[0] != " " and not any(c in text for c in (_SPACED_ASCII if text.isascii() else _SPACED)):
+    if text[:1] != " " and not any(c in text for c in (_SPACED_ASCII if text.isascii() else _SPACED)):
         return text.split(" ")
     return _CUT.split(text)
 
