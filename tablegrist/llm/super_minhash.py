@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tablegrist.llm.components import UnionFind, components
 from tablegrist.llm.grams import mixed
 from tablegrist.llm.reuse import compacted
-from tablegrist.llm.shingles import alike, shingle_set, slices
+from tablegrist.llm.shingles import alike, shingle_sets, slices
 from tablegrist.llm.tidy import tidy
 from tablegrist.session import cut_lineage
 
@@ -98,7 +98,7 @@ def _signed(rows: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                sets = [shingle_set(t.as_py(), width) for t in part.column("text")]
+                sets = shingle_sets(part.column("text").to_pylist(), width)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 sign = signatures([sets[i] for i in full])
                 keys, brief = band_keys(sign), mixed(sign).astype(np.uint8)
@@ -171,7 +171,7 @@ def _sets_of(ids: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                sets = [shingle_set(t.as_py(), width).tobytes() for t in part.column("text")]
+                sets = [s.tobytes() for s in shingle_sets(part.column("text").to_pylist(), width)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), pa.array(sets, pa.binary())], ["id", "shingles"]
                 )

@@ -174,3 +174,13 @@ def test_words_of_a_regular_build_stay_apart(spark):
     assert H.word_hashes(ab)[0] != H.word_hashes(ba)[0]
     rows = [(1, ab, 1, "x"), (2, ba, 1, "x"), (3, ab, 1, "x")]
     assert got(spark.createDataFrame(rows, SCHEMA), width=2) == [(1, 1, 1, True), (2, 1, 2, True), (3, 1, 1, False)]
+
+
+def test_texts_side_by_side(monkeypatch):
+    rng = random.Random(4)
+    texts = ["".join(rng.choices(["a", "B ", "\n", "É", "  ", "word "], k=rng.randrange(40))) for _ in range(50)] + [None, "", " ", "x" * 300]
+    for window in (1 << 18, 100):
+        monkeypatch.setattr(H, "_WINDOW", window)
+        for width in (1, 3):
+            for got, text in zip(H.shingle_sets(texts, width), texts):
+                assert got.tolist() == H.shingle_set(text, width).tolist()
