@@ -21,7 +21,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,14 +29,15 @@ from tablegrist.llm.components import components
 from tablegrist.llm.grams import mixed
 from tablegrist.llm.reuse import compacted
 from tablegrist.llm.rows import FILE, ROW, located
-from tablegrist.llm.shingles import alike, shingle_set, slices
+from tablegrist.llm.shingles import alike, shingle_sets, slices
 from tablegrist.llm.tidy import tidy
 from tablegrist.session import cut_lineage
 
 #: Segments at the front whose one-deletion neighbourhoods are indexed, too.
 NEIGHBOURED = 2
-#: Members of a bucket that are compared with each other in one task.
-BLOCK = 1024
+#: Members of a bucket that are compared with each other in one task, and pairs
+#: (or words of their sketches) that are compared at once.
+BLOCK, PAIRS = 1024, 1 << 19
 #: Pairs of two components that are compared in full at first; eight times as many
 #: each time these did not settle it.
 AT_FIRST = 8
@@ -67,6 +67,10 @@ class Bands:
         #: By how much the lookups of a set exceed what it needs.
         self.spare = self.segments + self.neighboured - self.needed
 
+    def bits(self, band: int) -> int:
+        """The width of a band's sketches, not below the size of its sets."""
+        return 1 << max(6, int(self.first[band + 1] - 1).bit_length())
+
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, sizes, "right") - 1
 
@@ -77,8 +81,8 @@ class Bands:
 
 
 @lru_cache(8)
-def bands(percent: int, largest: int) -> Bands:
-    return Bands(percent, largest)
+def bands(percent: int) -> Bands:
+    return Bands(percent, LARGEST)
 
 
 def segment_keys(sets: list[np.ndarray], band: np.ndarray, of: Bands) -> list[tuple[np.ndarray, np.ndarray, int]]:
@@ -107,83 +111,108 @@ def segment_keys(sets: list[np.ndarray], band: np.ndarray, of: Bands) -> list[tu
     return list(zip(np.split(exact, since[1:]), np.split(without, ends[:-1]), firsts.tolist()))
 
 
-def odd_sketch(s: np.ndarray) -> np.ndarray:
-    """A field of at least as many bits as the set has shingles; each shingle turns
-    one bit over. Two fields differ in no more bits than the sets in shingles."""
-    bits = 1 << max(6, int(len(s) - 1).bit_length())
+def odd_sketch(s: np.ndarray, bits: int) -> np.ndarray:
+    """A field of ``bits`` (a power of two, 64 or more); each shingle turns one over.
+    Two fields differ in no more bits than the sets in shingles."""
     at = (mixed(s * _GOLD) & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits(np.bincount(at, minlength=bits) & 1 == 1, bitorder="little").view(np.uint64)
 
 
-def folded(sketch: np.ndarray, words: int) -> np.ndarray:
-    """The sketch as one of fewer bits."""
-    return np.bitwise_xor.reduce(sketch.reshape(-1, words), axis=0)
+#: Bands of sets of any size there can be.
+LARGEST = 1 << 40
 
-
-def _sized(rows: DataFrame, width: int) -> DataFrame:
-    """``node``, ``id``, ``n`` (size of the set) and ``class`` (digest, null if empty)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                sets = [shingle_set(t.as_py(), width) for t in part.column("text")]
-                digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("node"), part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary())],
-                    ["node", "id", "n", "class"],
-                )
-
-    return rows.mapInArrow(tidy(run), "node bigint, id bigint, n bigint, class binary")
+SIGNED = (
+    "node bigint, id bigint, n bigint, class binary, own boolean, band int, exact array<bigint>, "
+    "without array<bigint>, firsts int, sketch binary"
+)
 
 
 def _signed(rows: DataFrame, width: int, of: Bands) -> DataFrame:
-    """Two kinds of rows: with ``band`` the segment keys of ``id`` in it, without
-    it the odd sketch."""
+    """A row per row and band: size and digest of its set, its segment keys in that
+    band and an odd sketch as wide as the band's sets are large. ``own`` is its own
+    band; a row without shingles has no band and no digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                sets = [shingle_set(t.as_py(), width) for t in part.column("text")]
-                ids = part.column("id").to_numpy()
+                sets = shingle_sets(part.column("text").to_pylist(), width)
                 sizes = np.array([len(s) for s in sets], np.int64)
-                own = of.of(sizes)
-                below = np.flatnonzero(of.also_below(sizes))
-                chosen = np.concatenate([np.arange(len(sets)), below])
-                band = np.concatenate([own, own[below] - 1])
-                keys = segment_keys([sets[i] for i in chosen], band, of)
-                nothing = [None] * len(sets)
+                band = of.of(np.maximum(sizes, 1))
+                own = np.flatnonzero(sizes)
+                below = own[of.also_below(sizes[own])]
+                chosen, bands_of = np.concatenate([own, below]), np.concatenate([band[own], band[below] - 1])
+                keys = segment_keys([sets[i] for i in chosen], bands_of, of)
+                sketches = [odd_sketch(sets[i], of.bits(b)).tobytes() for i, b in zip(chosen.tolist(), bands_of.tolist())]
+                none = np.flatnonzero(sizes == 0)
+                digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+                at = np.concatenate([chosen, none])
+                nothing = [None] * len(none)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate([ids[chosen], ids])),
-                    pa.array([*band.tolist(), *nothing], pa.int32()),
+                    part.column("node").take(pa.array(at)), part.column("id").take(pa.array(at)), pa.array(sizes[at]),
+                    pa.array([digests[i] for i in at.tolist()], pa.binary()),
+                    pa.array(np.isin(np.arange(len(at)), np.arange(len(own), len(chosen)), invert=True)),
+                    pa.array([*bands_of.tolist(), *nothing], pa.int32()),
                     pa.array([*(k[0] for k in keys), *nothing], pa.list_(pa.int64())),
                     pa.array([*(k[1] for k in keys), *nothing], pa.list_(pa.int64())),
                     pa.array([*(k[2] for k in keys), *nothing], pa.int32()),
-                    pa.array([*sizes[chosen], *sizes], pa.int64()),
-                    pa.array([*[None] * len(chosen), *(odd_sketch(s).tobytes() for s in sets)], pa.binary()),
-                ], ["id", "band", "exact", "without", "firsts", "n", "sketch"])
+                    pa.array([*sketches, *nothing], pa.binary()),
+                ], ["node", "id", "n", "class", "own", "band", "exact", "without", "firsts", "sketch"])
 
-    return rows.mapInArrow(
-        tidy(run), "id bigint, band int, exact array<bigint>, without array<bigint>, firsts int, n bigint, sketch binary"
-    )
+    return rows.mapInArrow(tidy(run), SIGNED)
 
 
-def _members(signed: DataFrame) -> DataFrame:
+def _members(keyed: DataFrame) -> DataFrame:
     """``bucket``, ``id``, ``band``, ``unit`` (segment looked up, or -1 - segment of
-    its one-deletion neighbourhood), ``exacts`` (sets with exactly that segment)
-    and ``hub`` (the smallest of their ids), of all buckets in which two can meet."""
-    keyed = signed.filter("band is not null")
+    its one-deletion neighbourhood) and ``hub`` (the smallest id with exactly that
+    segment), of all buckets in which two can meet. A bucket's members come to one
+    task in order, which keeps no more of it than its hub."""
     exact = keyed.select("id", "band", F.posexplode("exact").alias("unit", "bucket"))
     without = keyed.select("id", "band", "firsts", F.posexplode("without").alias("at", "bucket")).select(
         "id", "band", F.when(F.col("at") < F.col("firsts"), -1).otherwise(-2).alias("unit"), "bucket"
     )
-    placed = exact.unionByName(without)
-    is_exact = F.col("unit") >= 0
-    # Sets with the segment are counted in the lower, all in the upper half.
-    counts = F.sum(F.when(is_exact, F.lit((1 << 32) + 1)).otherwise(F.lit(1 << 32)))
-    exacts, size = F.col("counts").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftright("counts", 32)
-    buckets = placed.groupBy("bucket").agg(counts.alias("counts"), F.min(F.when(is_exact, F.col("id"))).alias("hub"))
-    buckets = buckets.filter((size > 1) & (exacts > 0)).select("bucket", "hub", exacts.alias("exacts"))
-    return placed.join(buckets, "bucket")
+    # Band and unit as one number, with segments before neighbourhoods.
+    spot = F.when(F.col("unit") >= 0, F.col("unit")).otherwise(_NEIGHBOUR - 1 - F.col("unit"))
+    placed = exact.unionByName(without).select(
+        "bucket", "id", (F.shiftleft(spot.cast("bigint"), 16) + F.col("band")).alias("spot")
+    )
+    placed = placed.repartition("bucket").sortWithinPartitions("bucket", F.col("spot") >= _NEIGHBOUR << 16, "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: pa.RecordBatch | None = None  # the row whose successor is not known yet
+        before, hub = None, -1  # bucket of the row before it, and the bucket's hub
+        for batch in _with_end(batches):
+            rows = batch if last is None else pa.concat_batches([last, batch]) if batch is not None else last
+            if rows is None or not rows.num_rows:
+                continue
+            keep = rows.num_rows if batch is None else rows.num_rows - 1
+            bucket, ids, spots = (rows.column(c).to_numpy() for c in ("bucket", "id", "spot"))
+            new = np.ones(rows.num_rows, bool)
+            new[1:] = bucket[1:] != bucket[:-1]
+            new[0] = before is None or bucket[0] != before
+            last_of = np.append(new[1:], batch is None)
+            start = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
+            hubs = np.where(start < 0, hub, np.where(spots[start] < _NEIGHBOUR << 16, ids[start], -1))
+            fine = ((~new | ~last_of) & (hubs != -1))[:keep]
+            at = np.flatnonzero(fine)
+            unit = spots[at] >> 16
+            yield pa.RecordBatch.from_arrays([
+                pa.array(bucket[at]), pa.array(ids[at]), pa.array((spots[at] & 0xFFFF).astype(np.int32)),
+                pa.array(np.where(unit < _NEIGHBOUR, unit, _NEIGHBOUR - 1 - unit).astype(np.int32)), pa.array(hubs[at]),
+            ], ["bucket", "id", "band", "unit", "hub"])
+            if keep:
+                before, hub = bucket[keep - 1], hubs[keep - 1]
+            last = rows.slice(keep) if batch is not None else None
+
+    return placed.mapInArrow(tidy(run), "bucket bigint, id bigint, band int, unit int, hub bigint")
+
+
+#: Units from here on are neighbourhoods; no set has so many segments.
+_NEIGHBOUR = 1 << 45
+
+
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
 
 
 def _chosen(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -201,7 +230,7 @@ def _sets_of(wanted: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                sets = [shingle_set(t.as_py(), width).tobytes() for t in part.column("text")]
+                sets = [s.tobytes() for s in shingle_sets(part.column("text").to_pylist(), width)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(sets, pa.binary())], [*names, "shingles"])
 
     kinds = ", ".join(f"{c} bigint" for c in names)
@@ -244,10 +273,13 @@ def _apart(members: DataFrame, labels: DataFrame, of: Bands) -> DataFrame:
     labelled = compacted(labelled)
     several = labelled.groupBy("bucket").agg(
         F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"),
+        F.count_if(F.col("unit") >= 0).alias("exacts"),
         F.sum(F.xxhash64("id", "unit").cast("decimal(38,0)")).alias("list"),
     ).filter("low < high")
     # Buckets with the same members are one.
-    several = several.groupBy("list", "size", "low").agg(F.min("bucket").alias("bucket")).select("bucket", "size", F.col("low").alias("main"))
+    several = several.groupBy("list", "size", "exacts", "low").agg(F.min("bucket").alias("bucket")).select(
+        "bucket", "size", "exacts", F.col("low").alias("main")
+    )
     apart = labelled.join(several, "bucket")
     segment = F.when(F.col("unit") >= 0, F.col("unit")).otherwise(-1 - F.col("unit"))
     is_exact = F.col("unit") >= 0
@@ -267,7 +299,7 @@ def _apart(members: DataFrame, labels: DataFrame, of: Bands) -> DataFrame:
     dearest = Window.partitionBy("id", "band").orderBy(F.desc("cost"), is_exact, "unit", "nth")
     return apart.withColumns({"cost": cost, "weight": F.when(F.col("nth") == 1, weight).otherwise(0)}).withColumn(
         "given_up", F.sum("weight").over(dearest.rowsBetween(Window.unboundedPreceding, 0))
-    ).select("bucket", "id", "label", "size", "main", "unit", (F.col("given_up") > bound).alias("asks"))
+    ).select("bucket", "id", "band", "label", "size", "main", "unit", (F.col("given_up") > bound).alias("asks"))
 
 
 def _survivors(apart: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -287,36 +319,69 @@ def _survivors(apart: DataFrame, sketches: DataFrame, percent: int) -> DataFrame
     })
     at = lambda n: F.pmod(F.xxhash64("id", "bucket"), F.col(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    kept = ["bucket", "id", "label", "unit", "asks"]
+    kept = ["bucket", "id", "band", "label", "unit", "asks"]
     left = apart.filter("left").select(*kept, F.lit(True).alias("left"), at("lefts").alias("i"), upto("alls").alias("j"))
     every = apart.select(*kept, F.lit(False).alias("left"), upto("lefts").alias("i"), at("alls").alias("j"))
-    jobs = left.unionByName(every).join(sketches, "id")
+    jobs = left.unionByName(every).join(sketches, ["id", "band"])
+    jobs = jobs.select("bucket", "i", "j", "left", "id", "label", "unit", "asks", "n", "sketch")
+    jobs = jobs.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "left")
 
-    def compare(block: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(near_pairs(block, percent), columns=["a", "b", "far"], dtype="int64")
-
-    found = jobs.groupBy("bucket", "i", "j").applyInPandas(compare, "a bigint, b bigint, far bigint")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in _with_end(batches):
+            rows = [t for t in (held, None if batch is None else pa.Table.from_batches([batch])) if t is not None]
+            if not rows:
+                continue
+            rows = pa.concat_tables(rows)
+            if not rows.num_rows:
+                continue
+            group = np.stack([rows.column(c).to_numpy() for c in ("bucket", "i", "j")])
+            # The last group may go on in the next batch.
+            open_ = (group == group[:, -1:]).all(axis=0)
+            whole = rows.num_rows if batch is None else int(open_.argmax())
+            held = rows.slice(whole) if batch is not None else None
+            if whole:
+                found = near_pairs(rows.slice(0, whole), percent)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b", "far"])
+
+    found = jobs.mapInArrow(tidy(run), "a bigint, b bigint, far bigint")
     return compacted(found.distinct())
 
 
-def near_pairs(block: pd.DataFrame, percent: int) -> list[tuple[int, int, int]]:
-    """The pairs of a left and another row of the block that can be similar."""
-    fields = [np.frombuffer(s, np.uint64) for s in block["sketch"]]
-    words = min(len(f) for f in fields)
-    fields = np.stack([folded(f, words) for f in fields])
-    ids, n, labels = (block[c].to_numpy() for c in ("id", "n", "label"))
-    exact, asks, left = block["unit"].to_numpy() >= 0, block["asks"].to_numpy(bool), block["left"].to_numpy(bool)
-    others = np.flatnonzero(~left)
-    out = []
-    for x in np.flatnonzero(left):
-        y = others[
-            (labels[others] != labels[x]) & (asks[others] | asks[x]) & (exact[others] | exact[x])
-            & (100 * np.minimum(n[others], n[x]) >= percent * np.maximum(n[others], n[x]))
-        ]
-        far = np.bitwise_count(fields[y] ^ fields[x]).sum(axis=1, dtype=np.int64)
-        fine = far * (100 + percent) <= (n[y] + n[x]) * (100 - percent)
-        out += [(max(int(ids[x]), b), min(int(ids[x]), b), d) for b, d in zip(ids[y[fine]].tolist(), far[fine].tolist())]
-    return out
+def near_pairs(rows: pa.Table, percent: int) -> np.ndarray:
+    """``a`` (the larger id), ``b`` and distance of the pairs of a left and another
+    row of a group that can be similar. Groups are consecutive rows with equal
+    bucket, i and j, those that are not left first; the sketches of a group are of
+    one width."""
+    group = np.stack([rows.column(c).to_numpy() for c in ("bucket", "i", "j")])
+    ids, n, labels, unit = (rows.column(c).to_numpy() for c in ("id", "n", "label", "unit"))
+    asks, left = (np.asarray(rows.column(c).to_pylist(), bool) for c in ("asks", "left"))
+    exact = unit >= 0
+    begins = np.append(True, (group[:, 1:] != group[:, :-1]).any(axis=0))
+    since = np.maximum.accumulate(np.where(begins, np.arange(len(ids)), 0))
+    others = np.bincount(np.cumsum(begins) - 1, ~left).astype(np.int64)[np.cumsum(begins) - 1]
+    sketches = [s.as_buffer() for s in rows.column("sketch").combine_chunks()]
+    words = np.array([len(s) // 8 for s in sketches])
+    out = [np.zeros((3, 0), np.int64)]
+    for w in np.unique(words):
+        rank = np.cumsum(words == w) - 1
+        fields = np.stack([np.frombuffer(s, np.uint64) for s, own in zip(sketches, words == w) if own])
+        lefts = np.flatnonzero(left & (words == w))
+        ends = np.cumsum(others[lefts])
+        for chunk in np.split(lefts, np.flatnonzero(np.diff(ends // PAIRS)) + 1):
+            times = others[chunk]
+            x = np.repeat(chunk, times)
+            y = np.arange(len(x)) - np.repeat(np.cumsum(times) - times, times) + since[x]
+            fine = (labels[x] != labels[y]) & (asks[x] | asks[y]) & (exact[x] | exact[y])
+            fine &= 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
+            x, y = x[fine], y[fine]
+            for at in range(0, len(x), max(1, PAIRS // int(w))):
+                u, v = x[at : at + max(1, PAIRS // int(w))], y[at : at + max(1, PAIRS // int(w))]
+                far = np.bitwise_count(fields[rank[u]] ^ fields[rank[v]]).sum(axis=1, dtype=np.int64)
+                near = far * (100 + percent) <= (n[u] + n[v]) * (100 - percent)
+                a, b = ids[u[near]], ids[v[near]]
+                out.append(np.stack([np.maximum(a, b), np.minimum(a, b), far[near]]))
+    return np.unique(np.concatenate(out, axis=1), axis=1)
 
 
 def _settled(links: DataFrame, survivors: DataFrame, labels: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -338,17 +403,16 @@ def _settled(links: DataFrame, survivors: DataFrame, labels: DataFrame, texts: D
     return links
 
 
-def _all_links(texts: DataFrame, classes: DataFrame, of: Bands, width: int, percent: int) -> DataFrame:
+def _all_links(texts: DataFrame, keyed: DataFrame, of: Bands, width: int, percent: int) -> DataFrame:
     """Links (``a``, ``b``) that join the same nodes as all links do."""
-    signed = cut_lineage(_signed(_chosen(texts, classes.select("node")), width, of))
-    members = compacted(_members(signed))
+    members = compacted(_members(keyed))
     # Every set is compared with the hub it meets most often.
     often = members.filter("id <> hub").groupBy("id", "hub").agg(F.count("*").alias("times"))
     best = often.groupBy("id").agg(F.max(F.struct("times", (-F.col("hub")).alias("hub"))).alias("best"))
     first = best.select(F.col("id").alias("a"), (-F.col("best.hub")).alias("b"))
     links = _linked(first, texts, width, percent)
     labels = components(links)
-    sketches = signed.filter("band is null").select("id", "n", "sketch")
+    sketches = keyed.select("id", "band", "n", "sketch")
     survivors = _survivors(_apart(members, labels, of), sketches, percent)
     return _settled(links, survivors, labels, texts, width, percent)
 
@@ -372,12 +436,17 @@ def jaccard_components(
     rows = located(docs).select(
         F.xxhash64(FILE, ROW).alias("node"), F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")
     )
-    sized = cut_lineage(_sized(rows, width))
+    of = bands(percent)
+    signed = cut_lineage(_signed(rows, width, of))
+    sized = signed.filter("own").select("node", "id", "n", "class")
     known = sized.filter("class is not null and id is not null")
     classes = compacted(known.groupBy("class").agg(F.min("id").alias("rep"), F.min("node").alias("node")))
-    largest = sized.agg(F.max("n")).first()[0] or 0
     texts = rows.select("node", "text").filter("text is not null")
-    labels = components(_all_links(texts, classes, bands(percent, largest), width, percent))
+    # Sets are signed once a row; one row of each class goes on.
+    few = classes.count() <= BROADCAST_IDS
+    nodes = classes.select("node")
+    keyed = signed.filter("band is not null").join(F.broadcast(nodes) if few else nodes, "node", "left_semi")
+    labels = components(_all_links(texts, keyed.withColumn("id", F.col("node")), of, width, percent))
     named = classes.join(labels, "node", "left").select("class", "rep", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("rep").alias("component"))
     named = named.join(least, "label").select("class", "component")

@@ -2,7 +2,7 @@ import random
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import pytest
 
 from tablegrist.llm import segment_join as J
@@ -122,18 +122,23 @@ def test_sketches_are_below_the_distance():
     for _ in range(200):
         u = np.unique(rng.integers(0, 2**63, int(rng.integers(2, 700))).astype(np.uint64))
         a, b = u[rng.random(len(u)) < 0.8], u[rng.random(len(u)) < 0.8]
-        if len(a) and len(b):
-            x, y = J.odd_sketch(a), J.odd_sketch(b)
-            words = min(len(x), len(y))
-            far = np.bitwise_count(J.folded(x, words) ^ J.folded(y, words)).sum()
+        for bits in (64, 1024):
+            far = np.bitwise_count(J.odd_sketch(a, bits) ^ J.odd_sketch(b, bits)).sum()
             assert far <= len(np.setxor1d(a, b))
 
 
 def test_near_pairs_of_two_sides():
     sets = [np.arange(1, 101, dtype=np.uint64) * np.uint64(7919), np.arange(3, 103, dtype=np.uint64) * np.uint64(7919)]
-    row = lambda i, s, left, asks, unit: (i, i, 100, J.odd_sketch(sets[s]).tobytes(), left, asks, unit)
-    make = lambda *rows: pd.DataFrame(list(rows), columns=["id", "label", "n", "sketch", "left", "asks", "unit"])
-    both = lambda i, s, **k: [row(i, s, left, k.get("asks", True), k.get("unit", 0)) for left in (True, False)]
-    assert {p[:2] for p in J.near_pairs(make(*both(1, 0), *both(2, 1)), 90)} == {(2, 1)}
-    assert J.near_pairs(make(*both(1, 0, asks=False), *both(2, 1, asks=False)), 90) == []
-    assert J.near_pairs(make(*both(1, 0, unit=-1), *both(2, 1, unit=-1)), 90) == []
+
+    def both(group, *members, asks=True, unit=0):
+        for left in (False, True):
+            for i, s in members:
+                yield {"bucket": group, "i": 0, "j": 0, "left": left, "id": i, "label": i, "unit": unit, "asks": asks, "n": 100,
+                       "sketch": J.odd_sketch(sets[s], 128).tobytes()}
+
+    def pairs(*rows):
+        return [tuple(p[:2]) for p in J.near_pairs(pa.Table.from_pylist(list(rows)), 90).T.tolist()]
+
+    assert pairs(*both(7, (1, 0), (2, 1)), *both(8, (3, 0), (4, 1))) == [(2, 1), (4, 3)]
+    assert pairs(*both(7, (1, 0), (2, 1), asks=False)) == []
+    assert pairs(*both(7, (1, 0), (2, 1), unit=-1)) == []
