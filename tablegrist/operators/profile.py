@@ -224,7 +224,7 @@ def head_middle_tail(df: DataFrame, order_by: str) -> DataFrame:
     out = head.unionByName(tail)
     if n > 30:
         start = n // 2 - 2
-        at = F.lit(value_at(df, order_by, start))
+        at = value_at(df, order_by, start)
         # Rows that share the value but come before the middle are passed over.
         skip = start - df.filter(o < at).count()
         middle = df.filter(o >= at).orderBy(o.asc()).offset(skip).limit(5)

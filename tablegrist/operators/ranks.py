@@ -1,165 +1,142 @@
 """Exact order statistics without a global sort.
 
-A quantile sketch brackets every wanted rank between two values of the column.
-One pass counts the rows below and inside the brackets; a bracket with few
-distinct values is counted value by value, a larger one is bracketed again from
-its own rows, which makes it smaller by about half the sketch's accuracy each
-time. NaN and infinite values are counted apart, so brackets are finite.
+Values are taken as 64-bit numbers in the same order: doubles by their bits, whole
+numbers, days and moments as they are. A pass counts the rows by their first 22
+bits; the count says in which of these groups a rank lies, and the next pass looks
+at the next 21 bits inside such groups only. So any number of ranks of any number
+of columns takes three passes at most, and fewer where a group holds one value.
+Counts add up, so they are combined before the shuffle and skew does not matter.
+
+Other types have no such number. Their values are counted, dealt by range, and a
+rank is sought in the one range that holds it.
 """
 
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Sequence
-from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ACCURACY = 10_000
-#: Distinct values of all brackets of one pass that are counted one by one.
-COUNTED_VALUES = 200_000
+from tablegrist.session import cut_lineage
+
+#: Bits behind the digit of each pass.
+SHIFTS = (42, 21, 0)
+#: Groups of digits that are read before the digits themselves.
+COARSE = 11
+
+_MANTISSA = 1 << 52
+_NAN = 0x7FF8 << 48
+
+
+def ordered_bits(c: Column, kind: str) -> Column | None:
+    """A column as bigint in the order of its values, or None for other types. NaN
+    comes last, -0.0 is 0.0, NULL stays NULL."""
+    if kind in ("byte", "short", "integer", "long"):
+        return c.cast("bigint")
+    if kind == "date":
+        return F.unix_date(c).cast("bigint")
+    if kind == "timestamp":
+        return F.unix_micros(c)
+    if kind not in ("double", "float"):
+        return None
+    x = F.abs(c.cast("double"))
+    # The exponent by logarithm may be off by one next to a power of two.
+    guess = F.greatest(F.floor(F.log2(x)), F.lit(-1022).cast("bigint"))
+    low = F.pow(F.lit(2.0), guess)
+    exponent = guess + F.when(low > x, -1).when(x >= low * 2, 1).otherwise(0)
+    exponent = F.least(F.greatest(exponent, F.lit(-1022)), F.lit(1023))
+    part = ((x / F.pow(F.lit(2.0), exponent) - 1) * float(_MANTISSA)).cast("bigint")
+    tiny = (x * 2.0**537 * 2.0**537).cast("bigint")
+    bits = (
+        F.when(F.isnan(x), _NAN).when(x == float("inf"), 0x7FF << 52).when(x == 0, 0)
+        .when(x < 2.0**-1022, tiny).otherwise((exponent + 1023) * _MANTISSA + part)
+    ).cast("bigint")
+    return F.when(c.isNotNull(), F.when((c < 0) & ~F.isnan(c), -bits).otherwise(bits))
+
+
+def from_bits(bits: int) -> float:
+    """The double of its ordered bits."""
+    return math.copysign(struct.unpack("<d", struct.pack("<Q", abs(bits)))[0], bits)
+
+
+def select_ranks(cells: DataFrame, wanted: dict[int, list[int]]) -> dict[tuple[int, int], int]:
+    """The keys at 0-based ``ranks`` of each column of ``cells`` (``c`` int, ``key``
+    bigint without NULLs). The driver sees at most 2 * 2,048 counts for each group
+    that still holds a rank."""
+    found: dict[tuple[int, int], int] = {}
+    # (column, digits before) -> the ranks sought, counted from the group's start.
+    open_ = {(c, 0): [(r, r) for r in sorted(set(ranks))] for c, ranks in wanted.items() if ranks}
+    for level, shift in enumerate(SHIFTS):
+        if not open_:
+            break
+        rows = cells
+        if level:
+            before = SHIFTS[level - 1]
+            groups = [(F.col("c") == c) & (F.shiftright("key", before) == p) for c, p in open_]
+            any_group = groups[0]
+            for g in groups[1:]:
+                any_group = any_group | g
+            rows = rows.filter(any_group).withColumn("prefix", F.shiftright("key", before))
+        else:
+            rows = rows.withColumn("prefix", F.lit(0).cast("bigint"))
+        counts = cut_lineage(
+            rows.groupBy("c", "prefix", F.shiftright("key", shift).alias("digit"))
+            .agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
+        )
+        coarse = F.shiftright("digit", COARSE).alias("digit")
+        upper = counts.groupBy("c", "prefix", coarse).agg(
+            F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")
+        )
+        open_ = _descend(upper, open_, found)
+        if open_:
+            parts = [(F.col("c") == c) & (F.shiftright("digit", COARSE) == p) for c, p in open_]
+            some = parts[0]
+            for part in parts[1:]:
+                some = some | part
+            lower = counts.filter(some).select("c", F.shiftright("digit", COARSE).alias("prefix"), "digit", "n", "low", "high")
+            open_ = _descend(lower, open_, found)
+    return found
 
 
-@dataclass
-class _Bracket:
-    column: str
-    lo: float
-    hi: float
-    below: int  # finite rows of the column under lo
-    rank: int  # among the finite rows
+def _descend(counts: DataFrame, open_: dict, found: dict) -> dict:
+    """The groups one level down that hold the ranks; ranks in a group of one key
+    are found."""
+    listed: dict[tuple[int, int], list] = {}
+    for r in counts.collect():
+        listed.setdefault((r["c"], r["prefix"]), []).append((r["digit"], r["n"], r["low"], r["high"]))
+    out: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for (c, prefix), ranks in open_.items():
+        bins = iter(sorted(listed[c, prefix]))
+        digit, n, low, high = next(bins)
+        before = 0
+        for within, rank in ranks:
+            while within >= before + n:
+                before += n
+                digit, n, low, high = next(bins)
+            if low == high:
+                found[c, rank] = low
+            else:
+                out.setdefault((c, digit), []).append((within - before, rank))
+    return out
 
 
 def order_statistics(df: DataFrame, ranks: dict[str, list[int]]) -> dict[tuple[str, int], float]:
     """The values at 0-based ``ranks`` of each (numeric) column's non-NULL values
     as doubles, -inf first, inf and then NaN last."""
-    wanted = {c: sorted(set(r)) for c, r in ranks.items() if r}
-    if not wanted:
+    names = [c for c in ranks if ranks[c]]
+    if not names:
         return {}
-    rows = df.select(*[F.col(f"`{c}`").cast("double").alias(f"v{i}") for i, c in enumerate(wanted)])
-    named = {f"v{i}": c for i, c in enumerate(wanted)}
-    inf = float("inf")
-    ends = rows.agg(*[
-        F.struct(
-            F.count_if(F.col(v) == -inf).alias("low"), F.count_if(_finite(v)).alias("finite"),
-            F.count_if(F.col(v) == inf).alias("high"),
-            F.min(F.when(_finite(v), F.col(v))).alias("lo"), F.max(F.when(_finite(v), F.col(v))).alias("hi"),
-        ).alias(v)
-        for v in named
-    ]).first()
-    found: dict[tuple[str, int], float] = {}
-    open_: list[_Bracket] = []
-    for v, c in named.items():
-        e = ends[v]
-        for r in wanted[c]:
-            at = r - e["low"]
-            if at < 0:
-                found[c, r] = -inf
-            elif at < e["finite"]:
-                open_.append(_Bracket(v, e["lo"], e["hi"], 0, at))
-            else:
-                found[c, r] = inf if at < e["finite"] + e["high"] else math.nan
-    low = {v: ends[v]["low"] for v in named}
-    while open_:
-        open_ = _narrowed(rows, open_)
-        sizes = _sizes(rows, open_)
-        for b, (below, _) in zip(open_, sizes):
-            b.below = below
-        settled = [b for b in open_ if b.lo == b.hi]
-        few, held = [], 0
-        for b, (_, distinct) in sorted(zip(open_, sizes), key=lambda x: x[1][1]):
-            if b.lo < b.hi and held + distinct <= COUNTED_VALUES:
-                few.append(b)
-                held += distinct
-        for b in settled:
-            found[named[b.column], b.rank + low[b.column]] = b.lo
-        for b, value in zip(few, _counted(rows, few)):
-            found[named[b.column], b.rank + low[b.column]] = value
-        open_ = [b for b in open_ if b.lo < b.hi and b not in few]
-    return found
-
-
-def _finite(v: str) -> Column:
-    return F.col(v).isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
-
-
-def _narrowed(rows: DataFrame, brackets: list[_Bracket]) -> list[_Bracket]:
-    """Each bracket between the sketched values around its rank. A sketch may be
-    off by one part in ACCURACY, so a few parts are left on both sides; the counts
-    that follow tell whether the rank is inside."""
-    spans = sorted({(b.column, b.lo, b.hi) for b in brackets})
-    counts = rows.agg(*[
-        F.count_if(F.col(v).between(lo, hi)).alias(f"n{i}") for i, (v, lo, hi) in enumerate(spans)
-    ]).first()
-    size = {s: counts[f"n{i}"] for i, s in enumerate(spans)}
-    asked = []
-    for b in brackets:
-        n, at = size[b.column, b.lo, b.hi], b.rank - b.below
-        share = at / max(1, n - 1)
-        asked.append([min(1.0, max(0.0, share + d)) for d in (-4 / ACCURACY, 4 / ACCURACY)])
-    got = rows.agg(*[
-        F.percentile_approx(
-            F.when(F.col(b.column).between(b.lo, b.hi), F.col(b.column)), F.array(*map(F.lit, p)), ACCURACY
-        ).alias(f"q{i}")
-        for i, (b, p) in enumerate(zip(brackets, asked))
-    ]).first()
-    out = []
-    for i, (b, p) in enumerate(zip(brackets, asked)):
-        lo = b.lo if p[0] == 0 else got[f"q{i}"][0]
-        hi = b.hi if p[1] == 1 else got[f"q{i}"][1]
-        out.append(_Bracket(b.column, lo, hi, b.below, b.rank))
-    inside = _sizes(rows, out, distinct=False)
-    for b, new, (below, n) in zip(brackets, out, inside):
-        # A sketch that missed the rank leaves the part that holds it.
-        if b.rank < below:
-            new.lo, new.hi = b.lo, new.lo
-        elif b.rank >= below + n:
-            new.lo, new.hi = new.hi, b.hi
-    return out
-
-
-def _sizes(rows: DataFrame, brackets: list[_Bracket], distinct: bool = True) -> list[tuple[int, int]]:
-    """Finite rows below each bracket, and its distinct values or its rows."""
-    if not brackets:
-        return []
-    aggregates = []
-    for i, b in enumerate(brackets):
-        v = F.col(b.column)
-        inside = v.between(b.lo, b.hi)
-        aggregates.append(F.count_if((v < b.lo) & (v > -float("inf"))).alias(f"b{i}"))
-        aggregates.append(
-            (F.approx_count_distinct(F.when(inside, v)) if distinct else F.count_if(inside)).alias(f"n{i}")
-        )
-    got = rows.agg(*aggregates).first()
-    return [(got[f"b{i}"], got[f"n{i}"]) for i in range(len(brackets))]
-
-
-def _counted(rows: DataFrame, brackets: list[_Bracket]) -> list[float]:
-    """The value at each bracket's rank from the counts of its values."""
-    if not brackets:
-        return []
-    hits = [
-        F.when(F.col(b.column).between(b.lo, b.hi), F.struct(F.lit(k).alias("k"), F.col(b.column).alias("v")))
-        for k, b in enumerate(brackets)
-    ]
-    counts = (
-        rows.select(F.explode(F.array_compact(F.array(*hits))).alias("h"))
-        .groupBy("h.k", "h.v")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .collect()
-    )
-    listed: list[list[tuple[float, int]]] = [[] for _ in brackets]
-    for r in counts:
-        listed[r["k"]].append((r["v"], r["n"]))
-    out = []
-    for b, values in zip(brackets, listed):
-        at = b.below
-        for value, n in sorted(values):
-            at += n
-            if at > b.rank:
-                out.append(value)
-                break
-    return out
+    kinds = {c: df.schema[c].dataType.typeName() for c in names}
+    bits = [ordered_bits(F.col(f"`{c}`"), kinds[c]) for c in names]
+    # Decimals are ranked as the doubles they are given as.
+    bits = [ordered_bits(F.col(f"`{c}`").cast("double"), "double") if b is None else b for c, b in zip(names, bits)]
+    cells = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("c"), b.alias("key")) for i, b in enumerate(bits)])))
+    got = select_ranks(cells.filter("key is not null"), {i: ranks[c] for i, c in enumerate(names)})
+    whole = {c for c in names if kinds[c] in ("byte", "short", "integer", "long")}
+    return {(names[i], r): float(k) if names[i] in whole else from_bits(k) for (i, r), k in got.items()}
 
 
 def exact_quantiles(
@@ -192,24 +169,32 @@ def exact_quantiles(
     return out
 
 
-def value_at(df: DataFrame, column: str, rank: int):
-    """The value at a 0-based rank of a column without NULLs, in its own type.
-    Whole numbers, dates and moments are ranked by their upper 32 bits and then
-    by the lower ones, each exact as a double; other types by a bounded sort."""
+def value_at(df: DataFrame, column: str, rank: int) -> Column:
+    """The value at a 0-based rank of a column without NULLs, in its own type, as a
+    literal column."""
     c, kind = F.col(f"`{column}`"), df.schema[column].dataType
-    whole = {
-        "byte": c, "short": c, "integer": c, "long": c,
-        "date": F.unix_date(c) if kind.typeName() == "date" else c,
-        "timestamp": F.unix_micros(c) if kind.typeName() == "timestamp" else c,
-    }.get(kind.typeName())
-    if whole is None and kind.typeName() in ("double", "float"):
-        return order_statistics(df.select(c.alias("x")), {"x": [rank]})["x", rank]
-    if whole is None:
-        return df.select(c.alias("x")).orderBy("x").limit(rank + 1).orderBy(F.desc("x")).first()["x"]
-    whole = whole.cast("bigint")
-    halves = df.select(F.shiftright(whole, 32).alias("up"), whole.bitwiseAND(0xFFFFFFFF).alias("down"), c.alias("x"))
-    up = int(order_statistics(halves.select("up"), {"up": [rank]})["up", rank])
-    rank -= halves.filter(F.col("up") < up).count()
-    same = halves.filter(F.col("up") == up)
-    down = int(order_statistics(same.select("down"), {"down": [rank]})["down", rank])
-    return same.filter(F.col("down") == down).select("x").first()["x"]
+    bits = ordered_bits(c, kind.typeName())
+    if bits is None:
+        return F.lit(_value_by_range(df.select(c.alias("x")), rank))
+    found = select_ranks(df.select(F.lit(0).alias("c"), bits.alias("key")), {0: [rank]})[0, rank]
+    if kind.typeName() in ("double", "float"):
+        return F.lit(from_bits(found)).cast(kind)
+    key = F.lit(found).cast("bigint")
+    if kind.typeName() == "date":
+        return F.date_from_unix_date(key.cast("int"))
+    return F.timestamp_micros(key) if kind.typeName() == "timestamp" else key.cast(kind)
+
+
+def _value_by_range(df: DataFrame, rank: int):
+    """The value at a rank of ``x``: equal values are one row with their count, the
+    rows are dealt by range, and one range is sorted."""
+    counts = cut_lineage(
+        df.groupBy("x").agg(F.count(F.lit(1)).alias("n")).repartitionByRange("x").withColumn("part", F.spark_partition_id())
+    )
+    for part in sorted(counts.groupBy("part").agg(F.sum("n").alias("n")).collect(), key=lambda r: r["part"]):
+        if rank < part["n"]:
+            break
+        rank -= part["n"]
+    upto = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    here = counts.filter(F.col("part") == part["part"]).withColumn("upto", F.sum("n").over(upto))
+    return here.filter(F.col("upto") > rank).agg(F.min("x")).first()[0]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from tablegrist.operators import metrics as M
 from tablegrist.operators import profile as P
 from tablegrist.operators import timeseries as TS
 from tablegrist.operators.query import filter_rows, query_table, run_query_request
+from tablegrist.operators.ranks import from_bits, ordered_bits, select_ranks
 from tablegrist.operators.vectors import fit_scaler
 from tablegrist.plans.reports import report, sql_canonical, table
 from tablegrist.session import small_table
@@ -372,10 +375,55 @@ def lineitem_description(spark: SparkSession, sf: str) -> DataFrame:
 
 @report(_sql_describe("orders", ["o_totalprice", "o_custkey"]))
 def order_description_by_narrowing(spark: SparkSession, sf: str) -> DataFrame:
-    """The way of large tables, taken here whatever the size."""
-    return _rounded_description(
-        P.describe_numbers(table(spark, sf, "orders"), ["o_totalprice", "o_custkey"], direct_rows=0)
-    )
+    return _rounded_description(P.describe_numbers(table(spark, sf, "orders"), ["o_totalprice", "o_custkey"]))
+
+
+# Places among the sorted values, as shares of the last place.
+ODD_SHARES = (0.0, 0.001, 0.01, 0.25, 0.5, 0.9, 0.985, 1.0)
+
+
+def _odd_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items with infinities, NaN, NULL, ties and whole numbers beyond 2^53."""
+    k = F.col("l_orderkey")
+    odd = F.when(k % 50 == 0, float("nan")).when(k % 51 == 0, float("inf")).when(k % 52 == 0, float("-inf")).when(k % 53 != 0, F.col("l_extendedprice") - 20000)
+    whole = F.when(k % 2 == 0, -1).otherwise(1) * (F.lit(1 << 60) + k * 8 + F.col("l_linenumber"))
+    return table(spark, sf, "lineitem").select(odd.alias("odd"), whole.cast("bigint").alias("whole"), F.col("l_quantity").alias("tied"))
+
+
+_SQL_ODD = """
+    WITH v AS (SELECT CASE WHEN l_orderkey % 50 = 0 THEN 'nan'::DOUBLE WHEN l_orderkey % 51 = 0 THEN 'inf'::DOUBLE
+                           WHEN l_orderkey % 52 = 0 THEN '-inf'::DOUBLE WHEN l_orderkey % 53 <> 0 THEN l_extendedprice - 20000 END AS odd,
+                      (CASE WHEN l_orderkey % 2 = 0 THEN -1 ELSE 1 END * (1152921504606846976 + l_orderkey * 8 + l_linenumber))::BIGINT AS whole,
+                      l_quantity::DOUBLE AS tied
+               FROM lineitem),
+    s(share) AS (SELECT unnest([0.0, 0.001, 0.01, 0.25, 0.5, 0.9, 0.985, 1.0]::DOUBLE[])),
+    o AS (SELECT odd::VARCHAR AS value, row_number() OVER (ORDER BY odd) - 1 AS place, count(*) OVER () AS n FROM v WHERE odd IS NOT NULL),
+    w AS (SELECT whole::VARCHAR AS value, row_number() OVER (ORDER BY whole) - 1 AS place, count(*) OVER () AS n FROM v),
+    t AS (SELECT tied::BIGINT::VARCHAR AS value, row_number() OVER (ORDER BY tied) - 1 AS place, count(*) OVER () AS n FROM v)
+    SELECT 'odd' AS "column", share, CASE WHEN value IN ('nan', 'inf', '-inf') THEN value ELSE round(value::DOUBLE, 2)::DECIMAL(18,2)::VARCHAR END AS value
+    FROM s JOIN o ON place = floor(share * (n - 1))::BIGINT
+    UNION ALL SELECT 'whole', share, value FROM s JOIN w ON place = floor(share * (n - 1))::BIGINT
+    UNION ALL SELECT 'tied', share, value FROM s JOIN t ON place = floor(share * (n - 1))::BIGINT
+"""
+
+
+@report(_SQL_ODD)
+def values_at_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact values at given places of columns that sketches and doubles get wrong."""
+    df = _odd_values(spark, sf)
+    counts = df.agg(*[F.count(c).alias(c) for c in df.columns]).first()
+    place = {(c, s): math.floor(s * (counts[c] - 1)) for c in df.columns for s in ODD_SHARES}
+    kinds = {c: df.schema[c].dataType.typeName() for c in df.columns}
+    cells = df.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("c"), ordered_bits(F.col(c), kinds[c]).alias("key")) for i, c in enumerate(df.columns)
+    ])))
+    found = select_ranks(cells.filter("key is not null"), {i: [place[c, s] for s in ODD_SHARES] for i, c in enumerate(df.columns)})
+    show = {
+        "odd": lambda k: f"{from_bits(k):.2f}" if math.isfinite(from_bits(k)) else str(from_bits(k)),
+        "whole": str, "tied": lambda k: str(int(from_bits(k)) if kinds["tied"] == "double" else k),
+    }
+    rows = [(c, s, show[c](found[i, place[c, s]])) for i, c in enumerate(df.columns) for s in ODD_SHARES]
+    return small_table(spark, rows, "column string, share double, value string")
 
 
 def _sql_top(t: str, cols: tuple[str, ...], k: int) -> str:

@@ -251,3 +251,38 @@ def test_summary_and_synopsis(spark):
     text = C.summary_text(facts, "f.csv", {"rows_dropped": 1, "cols_dropped": 0, "numeric_coerced": ["nav"]})
     for part in ("Rows: 3, Columns: 3", "dropped 1 empty rows", "Alpha=2", "All rows:", "Date ranges:", "Coerced to numeric: nav"):
         assert part in text
+
+
+def test_ordered_bits_of_doubles(spark):
+    """The bits of the double itself, for values of every exponent."""
+    import random
+    import struct
+
+    from tablegrist.operators.ranks import from_bits, ordered_bits
+
+    rng = random.Random(2)
+    values = [struct.unpack("<d", struct.pack("<Q", rng.getrandbits(63)))[0] for _ in range(4000)]
+    values += [m * 2.0**e for e in range(-1074, 1024) for m in (1.0, 1 - 2**-53, 1 + 2**-52) if m * 2.0**e < float("inf")]
+    values += [0.0, 5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, float("inf"), 0.1, 3.0, 1e15 + 0.3]
+    values = [v for v in values if v == v]
+    df = spark.createDataFrame([(v,) for v in values] + [(-v,) for v in values] + [(float("nan"),), (None,)], "x double")
+    got = df.select("x", ordered_bits(F.col("x"), "double").alias("b")).collect()
+    for r in got[:-2]:
+        bits = struct.unpack("<Q", struct.pack("<d", abs(r["x"])))[0]
+        assert abs(r["b"]) == bits and (r["b"] < 0) == (r["x"] < 0), r
+        assert from_bits(r["b"]) == r["x"]
+    assert got[-2]["b"] == 0x7FF8 << 48 and got[-1]["b"] is None
+
+
+def test_values_at_ranks_of_any_type(spark):
+    from tablegrist.operators.ranks import value_at
+
+    df = spark.range(0, 5000).selectExpr(
+        "(id * 7919 % 5000) * 4 + 1152921504606846976 as whole", "date_add(date '1960-01-01', cast(id % 4999 as int)) as day",
+        "timestamp_micros(id * 1234567 - 1000000000) as moment", "concat('Customer#', lpad(id % 700, 6, '0')) as text",
+        "cast(id as decimal(30,4)) as number", "cast(id % 13 as float) as small",
+    )
+    for c in df.columns:
+        values = sorted(r[0] for r in df.select(c).collect())
+        for rank in (0, 1, 2500, 4999):
+            assert df.limit(1).select(value_at(df, c, rank)).first()[0] == values[rank], c
