@@ -442,13 +442,13 @@ def balances_across_tables(spark: SparkSession, sf: str) -> DataFrame:
 
 
 BALANCE_QUESTIONS = [
-    (1, BALANCE_QUESTION), (2, "balance below -900"), (3, "Which accounts have a balance above 5000?"), (4, "hello there"),
+    (1, BALANCE_QUESTION), (2, "balance below 100"), (3, "Which accounts have a balance above 5000?"), (4, "hello there"),
 ]
 
 
 @report(
     """
-    WITH q(query_id, low, high) AS (VALUES (1, 9000.0, NULL), (2, NULL, -900.0), (3, 5000.0, NULL))
+    WITH q(query_id, low, high) AS (VALUES (1, 9000.0, NULL), (2, NULL, 100.0), (3, 5000.0, NULL))
     SELECT query_id, 'customers.csv' AS "table", 'Account Balance (USD)' AS "column", c_name AS row, c_acctbal AS value
     FROM q JOIN customer ON c_acctbal > low OR c_acctbal < high
     UNION ALL
