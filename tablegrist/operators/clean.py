@@ -147,43 +147,79 @@ def _dated(name: str) -> bool:
     return any(h in name.lower() for h in DATE_HINTS)
 
 
-def infer_typing(df: DataFrame, share: float = PARSE_SHARE) -> Typing:
-    names = {c: c.strip() for c in df.columns}
-    tidy = tidy_cells(trim_names(df))
-    kinds = column_kinds(tidy)
-    some_cell = F.coalesce(*[F.col(f"`{c}`").cast("string") for c in tidy.columns])
-    texts = {n: i for i, (n, k) in enumerate(kinds.items()) if k == TEXT}
-    # Numbers are parsed in a projection of their own, once for both votes.
-    tidy = tidy.select("*", *[parse_number(F.col(f"`{n}`")).alias(f"_num{i}") for n, i in texts.items()])
-    votes = [F.count(F.lit(1)).alias("rows"), F.count(some_cell).alias("filled")]
+def _prepared(df: DataFrame, keys: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with trimmed names and tidy cells, its text cells parsed as numbers
+    next to it (once for both votes), and the kinds of its columns but ``keys``."""
+    held = [F.col(f"`{k}`") for k in keys]
+    cells = tidy_cells(trim_names(df))
+    kinds = {n: k for n, k in column_kinds(cells).items() if n not in keys}
+    numbers = [
+        parse_number(F.col(f"`{n}`")).alias(f"_num{i}") for i, (n, k) in enumerate(kinds.items()) if k == TEXT
+    ]
+    return cells.select(*held, *[F.col(f"`{n}`") for n in kinds], *numbers), kinds
+
+
+def _votes(kinds: dict[str, str]) -> list[Column]:
+    """The aggregates that decide a table's types: its rows, those with a cell, and
+    for each column its cells and how many of them read as number, whole number
+    and date. All of them are counts, so votes of parts of a table add up."""
+    some_cell = F.coalesce(*[F.col(f"`{c}`").cast("string") for c in kinds])
+    each = []
     for i, (name, kind) in enumerate(kinds.items()):
-        c = F.col(f"`{name}`")
-        votes.append(F.count(c).alias(f"n{i}"))
+        c, none = F.col(f"`{name}`"), F.lit(0).cast("bigint")
+        number = whole = date = none
         if kind == TEXT:
-            number = F.col(f"_num{i}")
-            whole = ~c.rlike(FRACTION_MARKS) & (F.length(_bare(c)) <= MAX_INTEGER_DIGITS)
-            votes.append(F.count(number).alias(f"num{i}"))
-            votes.append(F.count_if(number.isNotNull() & whole).alias(f"int{i}"))
-            if _dated(name):
-                votes.append(F.count(parse_date(c)).alias(f"date{i}"))
-    got = tidy.agg(*votes).first().asDict()
-
-    typing = Typing(names=names, keep=[], rows=got["filled"])
-    typing.rows_dropped = got["rows"] - got["filled"]
-    for i, (name, kind) in enumerate(kinds.items()):
-        n = got[f"n{i}"]
-        if n == 0:
-            typing.cols_dropped += 1
-            continue
-        typing.keep.append(name)
-        if kind != TEXT:
-            continue
-        if got[f"num{i}"] / n >= share:
-            whole = got[f"int{i}"] == got[f"num{i}"]
-            (typing.integers if whole else typing.decimals).append(name)
-        elif got.get(f"date{i}", 0) / n >= share:
-            typing.dates.append(name)
-    return typing
+            parsed = F.col(f"_num{i}")
+            fits = ~c.rlike(FRACTION_MARKS) & (F.length(_bare(c)) <= MAX_INTEGER_DIGITS)
+            number, whole = F.count(parsed), F.count_if(parsed.isNotNull() & fits)
+            date = F.count(parse_date(c)) if _dated(name) else none
+        each.append(F.struct(F.count(c).alias("n"), number.alias("number"), whole.alias("whole"), date.alias("date")))
+    return [F.count(F.lit(1)).alias("rows"), F.count(some_cell).alias("filled"), F.array(*each).alias("votes")]
+
+
+#: What a vote makes of a column of text; wider kinds come later.
+EMPTY, INTEGER, DECIMAL, DATE, PLAIN = "empty", "integer", "decimal", "date", "text"
+
+
+def decided(vote: Column, share: float = PARSE_SHARE) -> Column:
+    """The kind a column of text gets by its votes."""
+    n, number = vote["n"], vote["number"]
+    return (
+        F.when(n == 0, EMPTY)
+        .when(number / n >= share, F.when(vote["whole"] == number, INTEGER).otherwise(DECIMAL))
+        .when(vote["date"] / n >= share, DATE)
+        .otherwise(PLAIN)
+    )
+
+
+def typing_of(columns: list[str], kinds: list[str], rows: int = 0, filled: int = 0) -> Typing:
+    """The plan for columns of text with kinds as ``decided`` names them."""
+    out = Typing(names={c: c.strip() for c in columns}, keep=[], rows=filled)
+    out.rows_dropped = rows - filled
+    lists = {INTEGER: out.integers, DECIMAL: out.decimals, DATE: out.dates, PLAIN: []}
+    for c, kind in zip(columns, kinds):
+        if kind == EMPTY:
+            out.cols_dropped += 1
+        else:
+            out.keep.append(c.strip())
+            lists[kind].append(c.strip())
+    return out
+
+
+def votes_by(df: DataFrame, *keys: str) -> DataFrame:
+    """``keys``, ``rows``, ``filled`` and ``votes`` of each group of rows; all other
+    columns are text. One aggregate for any number of groups."""
+    tidy, kinds = _prepared(df, keys)
+    return tidy.groupBy(*keys).agg(*_votes(kinds))
+
+
+def infer_typing(df: DataFrame, share: float = PARSE_SHARE) -> Typing:
+    tidy, kinds = _prepared(df)
+    chosen = F.transform("votes", lambda v: decided(v, share))
+    got = tidy.agg(*_votes(kinds)).select("rows", "filled", "votes", chosen.alias("chosen")).first()
+    # Typed columns keep their type; an empty one goes as a text column does.
+    kept = [PLAIN if k != TEXT and v["n"] else c for c, k, v in zip(got["chosen"], kinds.values(), got["votes"])]
+    return typing_of(df.columns, kept, got["rows"], got["filled"])
 
 
 def apply_typing(df: DataFrame, typing: Typing) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,12 +16,14 @@ from tablegrist.operators import vectors as V
 from tablegrist.plans.ingest import Family, document_family, table_family
 from tablegrist.plans.reports import report, sql_canonical, sql_words, table
 from tablegrist.plans.reports.prose import SQL_CSV, document_grids
-from tablegrist.session import new_dir
+from tablegrist.session import new_dir, small_table
+from tablegrist.sources.folder import ORDINAL, SOURCE, scan_tables, text_lines
 from tablegrist.sources.grid_files import write_grids
 from tablegrist.sources.store import ChunkStore, load_aliases, save_aliases
+from tablegrist.sources.table_store import TableStore
 from tablegrist.sources.tables import read_tables
 from tablegrist.streaming.ingest import ingest_stream
-from tablegrist.session import small_table
+from tablegrist.streaming.tables import ingest_tables
 
 # --- families ---------------------------------------------------------------
 
@@ -355,6 +359,60 @@ def written_grid_files(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+SQL_FOLDER = """SELECT (o_orderkey % 200)::INT AS file, row_number() OVER (PARTITION BY o_orderkey % 200 ORDER BY o_orderkey) - 1 AS ordinal,
+           o_orderkey AS key, o_totalprice AS price,
+           CASE WHEN o_orderkey % 7 <> 0 THEN trim(o_orderpriority) || chr(10) || '"' || o_orderstatus || '", checked' END AS note
+    FROM orders"""
+
+
+def _order_folder(spark: SparkSession, sf: str) -> str:
+    """Orders as 200 CSV files with line breaks inside of cells, every third one
+    under two title rows, and some files without data."""
+    path = new_dir(spark, "folder")
+    orders = table(spark, sf, "orders")
+    note = F.concat(F.lit('"'), F.trim("o_orderpriority"), F.lit('\n""'), "o_orderstatus", F.lit('"", checked"'))
+    lines = orders.select(
+        (F.col("o_orderkey") % 200).cast("int").alias("f"), F.col("o_orderkey").alias("i"),
+        F.concat_ws(
+            ",", "o_orderkey", F.concat(F.lit("$"), F.col("o_totalprice").cast("decimal(18,2)").cast("string")),
+            F.when(F.col("o_orderkey") % 7 == 0, F.lit("n/a")).otherwise(note),
+        ).alias("value"),
+    )
+    numbers = spark.range(220).select(F.col("id").cast("int").alias("f"))
+    titles = numbers.filter("f % 3 = 0 and f < 200").select("f", F.inline(F.array(
+        F.struct(F.lit(-3).cast("bigint").alias("i"), F.lit("Orders,,").alias("value")),
+        F.struct(F.lit(-2).cast("bigint").alias("i"), F.lit(",,").alias("value")),
+    )))
+    header = numbers.select("f", F.lit(-1).cast("bigint").alias("i"), F.lit("key,price,note").alias("value"))
+    dealt = lines.unionByName(titles).unionByName(header).repartition("f").sortWithinPartitions("f", "i")
+    dealt.drop("i").write.partitionBy("f").text(path)
+    return path
+
+
+@report(SQL_FOLDER)
+def scanned_folder(spark: SparkSession, sf: str) -> DataFrame:
+    """All files of a folder in one scan."""
+    # A small file without a note has one column less.
+    groups = [g.df for g in scan_tables(spark, _order_folder(spark, sf)).groups]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), groups)
+    return rows.select(
+        F.regexp_extract(SOURCE, r"/f=(\d+)/", 1).cast("int").alias("file"), F.col(ORDINAL).alias("ordinal"), "key", "price", "note"
+    )
+
+
+@report(
+    """
+    SELECT (o_orderkey % 200)::INT AS file, count(*) AS rows, 0::BIGINT AS rows_dropped, 'key, price' AS numeric_coerced
+    FROM orders GROUP BY 1
+    """
+)
+def folder_report(spark: SparkSession, sf: str) -> DataFrame:
+    """What the scan says of each file with data."""
+    return scan_tables(spark, _order_folder(spark, sf)).files.select(
+        F.regexp_extract("file", r"/f=(\d+)/", 1).cast("int").alias("file"), "rows", "rows_dropped", "numeric_coerced"
+    )
+
+
 # --- stream -----------------------------------------------------------------
 
 
@@ -380,3 +438,51 @@ def streamed_document_chunks(spark: SparkSession, sf: str) -> DataFrame:
     for _ in range(2):
         ingest_stream(spark, drop, docs.schema, store, family, checkpoint, files_per_batch=2).awaitTermination()
     return store.read("chunks").groupBy("file").agg(F.count(F.lit(1)).alias("chunks"))
+
+
+def _drop_tables(spark: SparkSession, sf: str, folder: str, batch: int) -> None:
+    """The files of one of three batches: customers by remainder, with fewer and
+    fewer numbers in ``code`` and a text among the balances, and suppliers."""
+    own = table(spark, sf, "customer").filter(F.col("c_custkey") % 3 == batch)
+    code = F.when(F.lit(batch) == 0, F.col("c_nationkey").cast("string")).otherwise(F.concat(F.lit("N"), "c_nationkey"))
+    balance = F.when((F.lit(batch) > 0) & (F.col("c_custkey") % 50 == 1), F.lit("unknown")).otherwise(F.col("c_acctbal").cast("decimal(18,2)").cast("string"))
+    rows = own.select(F.col("c_custkey").alias("i"), F.concat_ws(",", "c_custkey", balance, code).alias("value"))
+    head = small_table(spark, [(-1, "key,balance,code")], "i bigint, value string")
+    rows.unionByName(head).repartition(1).sortWithinPartitions("i").select("value").write.mode("append").text(folder)
+    if batch != 1:
+        part = table(spark, sf, "supplier").filter((F.col("s_suppkey") % 2 == 0) == F.lit(batch == 0))
+        rows = part.select(F.col("s_suppkey").alias("i"), F.concat_ws(",", "s_suppkey", "s_name").alias("value"))
+        head = small_table(spark, [(-1, "key,name")], "i bigint, value string")
+        rows.unionByName(head).repartition(1).sortWithinPartitions("i").select("value").write.mode("append").text(folder)
+
+
+@report(
+    """
+    SELECT 'customers' AS "table", c_custkey AS key,
+           CASE WHEN NOT (c_custkey % 3 > 0 AND c_custkey % 50 = 1) THEN c_acctbal END AS balance,
+           CASE WHEN c_custkey % 3 = 0 THEN c_nationkey::VARCHAR ELSE 'N' || c_nationkey END AS label
+    FROM customer
+    UNION ALL SELECT 'suppliers', s_suppkey, NULL, s_name FROM supplier
+    """
+)
+def streamed_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of two headers that arrive in three batches. A late text leaves its
+    column a number, a column of codes becomes text with its early cells as they
+    stood; the last batch is taken in twice."""
+    top = new_dir(spark, "table-stream")
+    store = TableStore(spark, f"{top}/store")
+    seen: set[str] = set()
+    for batch in range(3):
+        _drop_tables(spark, sf, f"{top}/in", batch)
+        ingest_tables(spark, f"{top}/in", store, f"{top}/checkpoint").awaitTermination()
+        files = set(spark.read.text(f"{top}/in").inputFiles())
+        last, seen = files - seen, files
+    store.add(text_lines(spark.read.text(sorted(last))), 2)
+    names = {tuple(c): s for s, c in store.signatures().items()}
+    customers = store.read(names["key", "balance", "code"]).select(
+        F.lit("customers").alias("table"), "key", "balance", F.col("code").alias("label")
+    )
+    suppliers = store.read(names["key", "name"]).select(
+        F.lit("suppliers").alias("table"), "key", F.lit(None).cast("double").alias("balance"), F.col("name").alias("label")
+    )
+    return customers.unionByName(suppliers)

@@ -2,23 +2,12 @@
 
 from __future__ import annotations
 
-import csv
-import io
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablegrist.operators.clean import apply_typing, infer_typing
-
-HEADER_ROWS = 5
-MAX_BLANK_SHARE = 0.3
-ORDINAL = "_ordinal"
+from tablegrist.sources.folder import ORDINAL, SOURCE, scan_tables
 
 
 @dataclass
@@ -32,143 +21,32 @@ class LogicalTable:
     report: dict
 
 
-def _cells(line: str) -> list[str]:
-    return next(csv.reader(io.StringIO(line)), [])
-
-
-def _blank_share(cells: list[str]) -> float:
-    return sum(not c.strip() for c in cells) / len(cells) if cells else 1.0
-
-
-def choose_header(lines: list[str]) -> int:
-    """Index of the header among a file's first lines: row 0 unless more than
-    30 % of its cells are blank, then the first better one of rows 1-4 that has
-    data below, else row 0. The first row's width sets the number of cells."""
-    if not lines:
-        return 0
-    width = max(len(_cells(line)) for line in lines)
-
-    def blank(i: int) -> float:
-        cells = _cells(lines[i])
-        return _blank_share(cells + [""] * (width - len(cells)))
-
-    if len(lines) < 2 or blank(0) <= MAX_BLANK_SHARE:
-        return 0
-    good = (i for i in range(1, len(lines)) if i < HEADER_ROWS and i + 1 <= len(lines) - 1)
-    return next((i for i in good if blank(i) <= MAX_BLANK_SHARE), 0)
-
-
-def header_names(cells: list[str], width: int) -> list[str]:
-    """Column names: blanks get a placeholder, repeats a counter."""
-    out: list[str] = []
-    for i in range(max(width, len(cells))):
-        name = cells[i].strip() if i < len(cells) else ""
-        name = name or f"Unnamed: {i}"
-        base, n = name, 0
-        while name in out:
-            n += 1
-            name = f"{base}.{n}"
-        out.append(name)
-    return out
-
-
-def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Non-empty lines with file, block start and their number within the block.
-    Lines of one block arrive in order in one task; numbering them there needs
-    neither a shuffle nor a global index."""
-    lines = spark.read.text(path).select(
-        "value",
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-    )
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, following = None, 0  # block of the row before, next number in it
-        for b in batches:
-            b = b.filter(pc.greater(pc.binary_length(b.column(0)), 0))
-            n = b.num_rows
-            if not n:
-                continue
-            names = b.column(1).dictionary_encode()
-            file, block = names.indices.to_numpy(), b.column(2).to_numpy()
-            opens = np.ones(n, dtype=bool)
-            opens[1:] = (file[1:] != file[:-1]) | (block[1:] != block[:-1])
-            opens[0] = (b.column(1)[0].as_py(), int(block[0])) != last
-            at = np.arange(n)
-            first = np.maximum.accumulate(np.where(opens, at, -1))
-            place = np.where(first < 0, at + following, at - first)
-            last, following = (b.column(1)[n - 1].as_py(), int(block[-1])), int(place[-1]) + 1
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(place, pa.int64())], names=["value", "file", "block", "place"]
-            )
-
-    return lines.mapInArrow(number, "value string, file string, block bigint, place bigint")
-
-
 def read_tables(
-    spark: SparkSession,
-    path: str,
-    names: dict[str, tuple[str, str | None]] | None = None,
-    cleaned: bool = True,
+    spark: SparkSession, path: str, names: dict[str, tuple[str, str | None]] | None = None
 ) -> list[LogicalTable]:
-    """Every CSV under ``path`` (file, folder or glob) as a logical table, typed
-    by the cleaning vote; empty tables are left out.
-
-    Title rows above the header are found from the first lines of each file, so
-    only those lines reach the driver. ``names`` maps a base file name to
-    ``(logical name, sheet)``. Rows keep their file order in ``_ordinal``. Quoted
-    line breaks are not supported, so files stay splittable. The numbered lines
-    stay persisted on disk for the returned frames (``spark.catalog.clearCache``
-    lets them go)."""
-    numbered = _numbered_lines(spark, path).persist(StorageLevel.DISK_ONLY)
-    heads = numbered.filter((F.col("block") == 0) & (F.col("place") <= HEADER_ROWS)).groupBy("file").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("lines")
-    )
-    # Six lines per file and one count per block.
-    first = {r["file"]: r["lines"] for r in heads.collect()}
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        numbered.groupBy("file", "block")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        .select("file", "block", "start")
-    )
-    placed = numbered.join(starts, ["file", "block"]).select(
-        "value", "file", (F.col("start") + F.col("place")).alias("line")
-    )
+    """Every CSV under ``path`` (file, folder or glob) as a logical table of its
+    own, typed by the cleaning vote; empty tables are left out.
+
+    A view of ``scan_tables`` for few files: the frames of files with the same
+    header and types are parts of one. ``names`` maps a base file name to
+    ``(logical name, sheet)``. Rows keep their file order in ``_ordinal``."""
+    scan = scan_tables(spark, path)
+    if scan is None:
+        return []
     out = []
-    for file in sorted(first):
-        lines = first[file]
-        at = choose_header(lines)
-        width = max(len(_cells(line)) for line in lines[at:])
-        columns = header_names(_cells(lines[at]), width)
-        rows = placed.filter((F.col("file") == file) & (F.col("line") > at)).select(
-            F.from_csv("value", _ddl(columns)).alias("r"),
-            (F.col("line") - at - 1).alias(ORDINAL),
-        ).select("r.*", ORDINAL)
-        base = file.rsplit("/", 1)[-1]
+    for row in sorted(scan.files.collect(), key=lambda r: r["file"]):
+        group = scan.groups[row["group"]]
+        base = row["file"].rsplit("/", 1)[-1]
         logical, sheet = (names or {}).get(base, (base, None))
-        report: dict = {}
-        if cleaned:
-            typing = infer_typing(rows.drop(ORDINAL))
-            if typing.rows == 0 or not typing.keep:
-                continue
-            report = typing.report()
-            typing.keep.append(ORDINAL)
-            typing.names[ORDINAL] = ORDINAL
-            some = F.coalesce(*[F.col(f"`{c}`") for c in columns])
-            rows = apply_typing(rows.filter(some.isNotNull()), typing)
-            rows = rows.dropna("all", subset=[c for c in rows.columns if c != ORDINAL])
-        elif rows.isEmpty():
-            continue
-        out.append(LogicalTable(logical, sheet, rows, ORDINAL, report))
+        report = {
+            "rows_dropped": row["rows_dropped"], "cols_dropped": row["cols_dropped"],
+            "numeric_coerced": group.typing.numeric_coerced, "date_coerced": group.typing.dates,
+        }
+        df = group.df.filter(F.col(SOURCE) == row["file"]).drop(SOURCE)
+        out.append(LogicalTable(logical, sheet, df, ORDINAL, report))
     return out
 
 
-def _ddl(columns: list[str]) -> str:
-    return ", ".join(f"`{c.replace('`', '``')}` STRING" for c in columns)
-
-
 def sheet_name(workbook: str, sheet: str, sheets: int) -> str:
     """Logical name of a sheet: the workbook alone when it has only one."""
     return f"{workbook} :: {sheet}" if sheets > 1 else workbook
