@@ -3,13 +3,12 @@
 Search keeps a running top-k per query inside each task (NumPy on Arrow
 batches) and merges the k best per task by rank, so neither the corpus nor the
 full score matrix is ever shuffled. Queries are shipped to the tasks only while
-their number is within a checked bound; beyond it queries and corpus are cut
-into blocks that meet in ``cogroup`` tasks of bounded size.
+their number is within a checked bound; beyond it the tasks read them block by
+block (``vector_blocks``).
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -23,10 +22,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tablegrist.functions.vectors import l2_norm, l2_normalise
 from tablegrist.operators.kinds import NUMBER, columns_of
+from tablegrist.operators.vector_blocks import search_blocks
 from tablegrist.session import small_table
 
 MAX_SHIPPED_QUERIES = 2048
-CORPUS_ROWS_PER_BLOCK = 50_000
 MIN_STD = 1e-9
 COSINE, EUCLIDEAN = "cosine", "euclidean"
 
@@ -135,7 +134,7 @@ def top_k(
     if len(shipped) <= max_shipped:
         partial = _search_shipped(shipped, c, k, metric, schema)
     else:
-        partial = _search_blocks(q, c, k, metric, schema, max_shipped)
+        partial = search_blocks(q, c, k, metric == COSINE, schema, max_shipped, group is not None)
     better = F.desc("score") if metric == COSINE else F.asc("score")
     order = Window.partitionBy("query_id").orderBy(better, "chunk_id")
     return partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
@@ -167,36 +166,6 @@ def _search_shipped(
     return corpus.mapInArrow(scan, schema)
 
 
-def _search_blocks(
-    queries: DataFrame, corpus: DataFrame, k: int, metric: str, schema: str, per_block: int
-) -> DataFrame:
-    """Queries in hashed blocks, corpus in hashed shards; each pair of them is
-    one task that returns at most k rows per query."""
-    blocks = max(1, math.ceil(queries.count() / per_block))
-    shards = max(1, math.ceil(corpus.count() / CORPUS_ROWS_PER_BLOCK))
-    q = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn(
-        "shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    )
-    c = corpus.withColumn("shard", F.pmod(F.xxhash64("chunk_id"), F.lit(shards)).cast("int")).withColumn(
-        "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
-    )
-
-    def meet(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
-        if not len(qs) or not len(cs):
-            return pd.DataFrame(columns=["query_id", "chunk_id", "score"])
-
-        def unpack():
-            for at in range(0, len(cs), 4096):
-                part = cs.iloc[at : at + 4096]
-                yield part["grp"].to_numpy(), part["chunk_id"].to_numpy(), list(part["vec"])
-
-        return _table(_scan(unpack(), _by_group(qs), k, metric), metric)
-
-    return (
-        q.groupBy("block", "shard").cogroup(c.groupBy("block", "shard")).applyInPandas(meet, schema)
-    )
-
-
 # --- scaling ----------------------------------------------------------------
 
 

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +73,47 @@ def test_latest_rows(spark, series):
 # --- vectors ---
 
 
+@pytest.mark.parametrize("metric", [V.COSINE, V.EUCLIDEAN])
+def test_many_queries(spark, metric):
+    """20,000 queries in blocks against a corpus with structure, ties and groups."""
+    rng = np.random.default_rng(3)
+    means = rng.normal(size=(40, 8))
+    # Sixty-fourths, whose sums are exact and often tie.
+    corpus = ((means[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 8)) * 0.05) * 64).round() / 64
+    corpus[3000:3050] = corpus[:50]
+    queries = ((means[rng.integers(0, 40, 20_000)] + rng.normal(size=(20_000, 8)) * 0.05) * 64).round() / 64
+    c_group, q_group = np.where(rng.random(4000) < 0.8, "a", "b"), np.where(rng.random(20_000) < 0.6, "a", "b")
+    c = spark.createDataFrame(pd.DataFrame({"chunk_id": np.arange(4000), "vec": corpus.tolist(), "g": c_group})).repartition(5)
+    q = spark.createDataFrame(pd.DataFrame({"query_id": np.arange(20_000), "vec": queries.tolist(), "g": q_group}))
+    got = V.top_k(q, c, 4, metric, group="g", max_shipped=3000).toPandas().sort_values(["query_id", "rank"])
+    assert len(got) == 80_000
+    got = got["chunk_id"].to_numpy().reshape(-1, 4)
+    for g in "ab":
+        own, asked = np.flatnonzero(c_group == g), np.flatnonzero(q_group == g)
+        for at in range(0, len(asked), 500):
+            rows = asked[at : at + 500]
+            near = queries[rows] @ corpus[own].T if metric == V.COSINE else -((queries[rows][:, None] - corpus[own]) ** 2).sum(axis=2)
+            want = own[np.lexsort((np.broadcast_to(own, near.shape), -near), axis=1)[:, :4]]
+            assert (got[rows] == want).all()
+
+
+def test_clusters_are_passed_over():
+    """Far clusters are not compared, and what is found is the same."""
+    from tablegrist.operators import vector_blocks as B
+
+    rng = np.random.default_rng(1)
+    means = rng.normal(size=(30, 6)) * 10
+    x = means[rng.integers(0, 30, 20_000)] + rng.normal(size=(20_000, 6)) * 0.1
+    clusters, met = B.Clusters(x, np.arange(len(x))), []
+    meet = clusters._meet
+    clusters._meet = lambda j, active, *rest: (met.append(len(active)), meet(j, active, *rest))
+    q = means[rng.integers(0, 30, 500)]
+    best, ranks = clusters.search(q, 3, False)
+    d = ((q[:, None] - x) ** 2).sum(axis=2)
+    assert (ranks == np.argsort(d, axis=1)[:, :3]).all() and np.allclose(-best, np.sort(d, axis=1)[:, :3])
+    assert sum(met) < 0.3 * len(q) * len(clusters.ends)
+
+
 def vectors(spark, n, dim, seed, name, groups=1):
     rng = np.random.default_rng(seed)
     m = rng.normal(size=(n, dim)).round(1)  # coarse, so that scores tie
