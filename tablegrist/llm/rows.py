@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from tablegrist.session import cut_lineage
 
 FILE, ROW = "__file", "__row"
+#: Up to so many names of files, some 200 bytes each, are sent to every task.
+BROADCAST_FILES = 100_000
 
 
 def located(df: DataFrame) -> DataFrame:
@@ -36,7 +38,8 @@ def in_written_order(docs: DataFrame, name: str = "position") -> DataFrame:
     files = docs.groupBy(FILE).agg(F.count("*").alias("__rows")).withColumn("__part", part)
     before = Window.orderBy(F.col("__part").asc_nulls_first(), FILE).rowsBetween(Window.unboundedPreceding, -1)
     starts = files.select(FILE, F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__start"))
-    return docs.join(starts, FILE).withColumn(name, F.col("__start") + F.col(ROW)).drop(FILE, ROW, "__start")
+    few = len(docs.inputFiles()) <= BROADCAST_FILES
+    return docs.join(F.broadcast(starts) if few else starts, FILE).withColumn(name, F.col("__start") + F.col(ROW)).drop(FILE, ROW, "__start")
 
 
 def at_places(located_docs: DataFrame, places: DataFrame) -> DataFrame:

@@ -32,8 +32,8 @@ from tablegrist.llm.tidy import tidy
 BLANK = "▁"
 MODEL = "piece_bpe_32k.model"
 #: Words and pairs of pieces kept in memory by each Python worker.
-CACHED_WORDS = 100_000
-CACHED_PAIRS = 200_000
+CACHED_WORDS = 70_000
+CACHED_PAIRS = 80_000
 
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
