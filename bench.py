@@ -57,11 +57,16 @@ def main() -> None:
     reports = load_all()
     names = sys.argv[1:] or HEADLINE
     seconds: dict[str, float] = {}
+    failed: dict[str, str] = {}
     for name in names:
-        for _ in range(2):  # the first run warms the JVM up
-            start = time.perf_counter()
-            reports[name].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
-            seconds[name] = round(time.perf_counter() - start, 3)
+        try:
+            for _ in range(2):  # the first run warms the JVM up
+                start = time.perf_counter()
+                reports[name].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
+                seconds[name] = round(time.perf_counter() - start, 3)
+        except Exception as e:  # the others are timed all the same
+            seconds.pop(name, None)
+            failed[name] = f"{type(e).__name__}: {str(e).splitlines()[0][:200] if str(e) else ''}"
     print(
         json.dumps(
             {
@@ -71,6 +76,7 @@ def main() -> None:
                 "queries": seconds,
                 "sf": os.path.basename(sf_dir.rstrip("/")),
             }
+            | ({"failed": failed} if failed else {})
         )
     )
     spark.stop()

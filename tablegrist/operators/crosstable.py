@@ -5,14 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablegrist.functions import questions as Q
 from tablegrist.functions.text import name_tokens
 from tablegrist.operators.kinds import NUMBER, columns_of
 from tablegrist.operators.query import filter_rows, query_table
-from tablegrist.session import small_table
+from tablegrist.session import cut_lineage, small_table
 
 SOURCE = "Source File"
 
@@ -112,26 +112,47 @@ def threshold_hits(questions: DataFrame, tables: dict[str, DataFrame], order_by:
     """``(query_id, table, column, row, value)`` for every row that a question of
     ``questions(query_id, question)`` with a threshold asks for, in each table
     with a fitting column; ``row`` is the table's ``order_by`` value as text.
-    Numeric columns are made long once per table and met by equality on the
-    column, so any number of questions costs one pass over each table."""
+
+    The numeric cells of all tables are dealt into slices by column and value, with
+    the row to part equal values, so neither a long column nor a frequent value
+    fills a task. A question is compared with the ends of its column's slices and
+    then with the cells of those slices only that its threshold leaves open."""
     plans = questions.select("query_id", *[c.alias(n) for n, c in Q.plan_columns("question").items()])
     plans = plans.filter("intent = 'numeric_threshold'").select("query_id", "threshold_op", "threshold_value")
-    asked = resolve_columns(questions, column_catalogue(tables)).join(plans, "query_id")
-    long = []
+    asked = resolve_columns(questions, column_catalogue(tables)).join(plans, "query_id").drop("score")
+    cells = sliced_cells(tables, order_by)
+    low, high = F.col("low"), F.col("high")
+    ends = cells.groupBy("slice", "table", "column").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    # A slice has a hit only if its better end is one.
+    best = F.when(F.col("threshold_op").isin(">", ">="), high).when(F.col("threshold_op").isin("<", "<="), low)
+    limit = F.col("threshold_value")
+    reached = F.when(F.col("threshold_op") == "==", limit.between(low, high)).otherwise(_holds(best))
+    open_slices = asked.join(ends, ["table", "column"]).filter(reached).drop("low", "high")
+    return cells.join(open_slices, ["slice", "table", "column"]).filter(_holds(F.col("value"))).select(
+        "query_id", "table", "column", "row", "value"
+    )
+
+
+def _holds(v: Column) -> Column:
+    """Whether a value meets the threshold beside it."""
+    limit, op = F.col("threshold_value"), F.col("threshold_op")
+    return (
+        ((op == ">") & (v > limit)) | ((op == ">=") & (v >= limit)) | ((op == "<") & (v < limit))
+        | ((op == "<=") & (v <= limit)) | ((op == "==") & (v == limit))
+    )
+
+
+def sliced_cells(tables: dict[str, DataFrame], order_by: dict[str, str]) -> DataFrame:
+    """``slice``, ``table``, ``column``, ``row`` and ``value`` of the filled cells of
+    all numeric columns, written in slices of consecutive values."""
+    spark = next(iter(tables.values())).sparkSession
+    cells = small_table(spark, [], "table string, row string, column string, value double")
     for t, df in tables.items():
         numbers = columns_of(df, NUMBER)
         if numbers:
-            cells = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("value")) for c in numbers]
-            long.append(df.select(
-                F.lit(t).alias("table"), F.col(f"`{order_by[t]}`").cast("string").alias("row"),
-                F.inline(F.array(*cells)),
+            parts = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("value")) for c in numbers]
+            cells = cells.unionByName(df.select(
+                F.lit(t).alias("table"), F.col(f"`{order_by[t]}`").cast("string").alias("row"), F.inline(F.array(*parts))
             ))
-    v, limit, op = F.col("value"), F.col("threshold_value"), F.col("threshold_op")
-    holds = (
-        ((op == ">") & (v > limit)) | ((op == ">=") & (v >= limit)) | ((op == "<") & (v < limit)) | ((op == "<=") & (v <= limit))
-        | ((op == "==") & (v == limit))
-    )
-    cells = reduce(DataFrame.unionByName, long)
-    return cells.join(asked.drop("score"), ["table", "column"]).filter(holds).select(
-        "query_id", "table", "column", "row", "value"
-    )
+    dealt = cells.filter("value is not null").repartitionByRange("table", "column", "value", "row")
+    return cut_lineage(dealt.withColumn("slice", F.spark_partition_id()))

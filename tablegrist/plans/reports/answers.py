@@ -462,6 +462,30 @@ def balance_questions_across_tables(spark: SparkSession, sf: str) -> DataFrame:
     return CT.threshold_hits(questions, tables, order_by)
 
 
+@report(
+    """
+    WITH q AS (SELECT i AS query_id, i % 2 = 0 AS above, CASE WHEN i % 2 = 0 THEN 9000 + (i * 7919) % 1000 ELSE (i * 7919) % 300 END AS bound
+               FROM range(10000) AS t(i)),
+    v AS (SELECT 'customers.csv' AS t, c_acctbal AS x FROM customer UNION ALL SELECT 'suppliers.csv', s_acctbal FROM supplier)
+    SELECT query_id, t AS "table", count(*) AS rows, min(x) AS least, max(x) AS most
+    FROM q JOIN v ON CASE WHEN above THEN x > bound ELSE x < bound END GROUP BY ALL
+    """
+)
+def ten_thousand_balance_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """How many rows each of many questions finds in each table."""
+    tables, order_by = _balance_tables(spark, sf)
+    i = F.col("id")
+    bound = F.pmod(i * 7919, F.when(i % 2 == 0, 1000).otherwise(300))
+    asked = spark.range(10_000).select(
+        i.alias("query_id"),
+        F.when(i % 2 == 0, F.format_string("balance above %d", 9000 + bound)).otherwise(F.format_string("balance below %d", bound)).alias("question"),
+    )
+    found = CT.threshold_hits(asked, tables, order_by)
+    return found.groupBy("query_id", "table").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("value").alias("least"), F.max("value").alias("most")
+    )
+
+
 @report(
     """
     SELECT 'customers.csv' AS "table", 'Account Balance (USD)' AS "column",
