@@ -38,27 +38,27 @@ MAX_INTEGER_DIGITS = 18
 ISO_DATE = (
     r"^\d{4}-\d{1,2}(?:-\d{1,2}(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?(?:Z|[+-]\d{2}:?\d{2})?)?)?$"
 )
-# A day that cannot be a month, so the day comes first.
-DAY = r"(?:1[3-9]|2\d|3[01])"
-# Shape of a cell and the format that reads it; the shape is tested first since
-# a failed parse costs an exception per cell.
-DATE_SHAPES = (
-    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
-    (rf"^{DAY}/\d{{1,2}}/\d{{4}}$", "d/M/yyyy"),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
-    (rf"^{DAY}/\d{{1,2}}/\d{{2}}$", "d/M/yy"),
-    (r"^\d{1,2}/\d{1,2}/\d{2}$", "M/d/yy"),
-    (rf"^{DAY}-\d{{1,2}}-\d{{4}}$", "d-M-yyyy"),
-    (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-yyyy"),
-    (r"^\d{8}$", "yyyyMMdd"),
-    (r"^\d{1,2}-[A-Z][a-z]{2}-\d{4}$", "d-MMM-yyyy"),
-    (r"^\d{1,2} [A-Z][a-z]{2} \d{4}$", "d MMM yyyy"),
-    (r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$", "MMM d, yyyy"),
-    (r"^[A-Z][a-z]{2} \d{4}$", "MMM yyyy"),
-    (r"^[A-Z][a-z]{2}-\d{4}$", "MMM-yyyy"),
-    (r"^\d{1,2} [A-Z][a-z]{3,8} \d{4}$", "d MMMM yyyy"),
-    (r"^[A-Z][a-z]{3,8} \d{1,2}, \d{4}$", "MMMM d, yyyy"),
-    (r"^[A-Z][a-z]{3,8} \d{4}$", "MMMM yyyy"),
+# A time behind a date: hours and minutes, seconds, half of the day, zone.
+TIME_PART = (
+    r"(?:[ ,]+|(?<=\d)t)(\d{1,2}):(\d{2})(?::(\d{2}(?:\.\d{1,6})?)\d*)?(?: *([ap])\.?m\.?)?(?: *(z|utc|gmt|[+-]\d{2}:?\d{2}))?$"
+)
+# The months as they are written, in full or short.
+MONTH = (
+    "(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|"
+    "oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
+)
+MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+NTH = "(?:st|nd|rd|th)?"
+# What is left of a date when its separators are blanks, and which of its groups
+# are year, month and day (0: the first of the month).
+DATE_FORMS = (
+    (r"^(\d{1,2}) (\d{1,2}) (\d{4}|\d{2})$", None),
+    (r"^(\d{4}) (\d{1,2}) (\d{1,2})$", (1, 2, 3)),
+    (r"^(\d{4})(\d{2})(\d{2})$", (1, 2, 3)),
+    (rf"^(\d{{1,2}}){NTH} {MONTH} (\d{{4}}|\d{{2}})$", (3, 2, 1)),
+    (rf"^{MONTH} (\d{{1,2}}){NTH} (\d{{4}})$", (3, 1, 2)),
+    (rf"^(\d{{4}}) {MONTH} (\d{{1,2}})$", (1, 2, 3)),
+    (rf"^{MONTH} (\d{{4}})$", (2, 1, 0)),
 )
 
 
@@ -137,12 +137,42 @@ def parse_integer(c: Column) -> Column:
 
 
 def parse_date(c: Column) -> Column:
-    out = F.when(c.rlike(ISO_DATE), c.try_cast("timestamp"))
-    for shape, fmt in DATE_SHAPES:
-        out = out.when(c.rlike(shape), F.try_to_timestamp(c, F.lit(fmt)))
+    """Moment in a text cell, or NULL. A cell is an ISO date, or a date with a time
+    behind it: numbers and a month's name in any case, parted by blanks, commas,
+    dots, slashes or dashes. Of two numbers before a year the month comes first
+    unless it exceeds 12; two digits of a year are of this century."""
+    cell = F.lower(c)
+    date = F.trim(F.regexp_replace(F.regexp_replace(cell, TIME_PART, ""), r"[ ,./-]+", " "))
+    part = lambda shape, g: F.regexp_extract(date, shape, g)
+    # Cells that hold no digit or begin with a sign are no dates.
+    out = F.when(c.rlike(ISO_DATE), c.try_cast("timestamp")).when(~cell.rlike(r"^[a-z0-9][^:]*\d"), None)
+    for shape, places in DATE_FORMS:
+        if places is None:
+            one, two, year = (part(shape, g).cast("int") for g in (1, 2, 3))
+            found = _moment(cell, year, F.when(one > 12, two).otherwise(one), F.when(one > 12, one).otherwise(two))
+        else:
+            year, month, day = (part(shape, g) if g else F.lit("1") for g in places)
+            if MONTH in shape:
+                month = (F.instr(F.lit(MONTHS), F.left(month, F.lit(3))) + 2) / 3
+            found = _moment(cell, year.cast("int"), month.cast("int"), day.cast("int"))
+        out = out.when(date.rlike(shape), found)
     return out
 
 
+def _moment(cell: Column, year: Column, month: Column, day: Column) -> Column:
+    """A date with the time that stands behind it in the cell."""
+    part = lambda g: F.regexp_extract(cell, TIME_PART, g)
+    number = lambda g, kind="int": F.coalesce(part(g).try_cast(kind), F.lit(0)).cast(kind)
+    hour, half = number(1), part(4)
+    hour = F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(half == "p", 12).otherwise(0))
+    year = F.when(year < 100, year + 2000).otherwise(year)
+    at = F.try_make_timestamp(year, month, day, hour, number(2), number(3, "decimal(8,6)"))
+    zone = F.regexp_replace(part(5), "[^0-9+-]", "")
+    minutes = F.substring(zone, 2, 2).cast("int") * 60 + F.substring(zone, 4, 2).cast("int")
+    off = F.when(zone.rlike(r"^[+-]\d{4}$"), minutes * F.when(zone.startswith("-"), -1).otherwise(1)).otherwise(0)
+    return at - F.make_dt_interval(mins=off)
+
+
 def _dated(name: str) -> bool:
     return any(h in name.lower() for h in DATE_HINTS)
 

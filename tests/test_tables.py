@@ -286,3 +286,19 @@ def test_values_at_ranks_of_any_type(spark):
         values = sorted(r[0] for r in df.select(c).collect())
         for rank in (0, 1, 2500, 4999):
             assert df.limit(1).select(value_at(df, c, rank)).first()[0] == values[rank], c
+
+
+def test_date_cells(spark):
+    want = {
+        "25/12/2024 14:30": "2024-12-25 14:30:00", "01/05/2024 14:30": "2024-01-05 14:30:00", "5 JAN 2024": "2024-01-05 00:00:00",
+        "Jan 5, 2024 2:30 PM": "2024-01-05 14:30:00", "Sept 2024": "2024-09-01 00:00:00", "12:00 AM": None,
+        "12/31/2023 12:05 am": "2023-12-31 00:05:00", "3-Feb-24": "2024-02-03 00:00:00", "1st March 2024": "2024-03-01 00:00:00",
+        "2024/2/3 04:05:06.5": "2024-02-03 04:05:06.500000", "20240203": "2024-02-03 00:00:00", "2024-02-03T04:05:06Z": "2024-02-03 04:05:06",
+        "05.06.2024, 7:08": "2024-05-06 07:08:00", "MAY 7 2024 10:00 +02:00": "2024-05-07 08:00:00", "June 2024": "2024-06-01 00:00:00",
+        "2024 aug 9": "2024-08-09 00:00:00", "1/2/24": "2024-01-02 00:00:00", "2024-01": "2024-01-01 00:00:00",
+        "13/13/2024": None, "31/02/2024": None, "Janus 2024": None, "13:30 PM 1/2/2024": None, "1/2/2024 13:30 PM": None, "-5": None,
+        "12": None, "hello": None, "": None, "1/2/2024 25:00": None, "Q1 2024": None,
+    }
+    rows = spark.createDataFrame([(k,) for k in want], "c string").select("c", CL.parse_date(F.col("c")).cast("string").alias("t")).collect()
+    got = {r["c"]: r["t"] for r in rows}
+    assert {k: v and v.replace(".500000", ".5") for k, v in want.items()} == got
