@@ -54,24 +54,24 @@ class Page:
 def read_page(html: str) -> Page:
     page, stack = Page(), [0]
     at, size = 0, len(html)
+    #: Where in the stack elements of each name are open, so that no tag walks it.
+    open_at: dict[str, list[int]] = {"": [0]}
+    last_end = html.rfind(">")
 
     def close(down_to: int) -> None:
         """Close open elements until ``down_to`` of them are left."""
         while len(stack) > down_to:
             i = stack.pop()
+            open_at[page.tag[i]].pop()
             page.end[i] = len(page.tag)
             if page.tag[i] in BLOCKS:
                 page.flow.append(None)
 
     def open_place(names, bounds) -> int:
         """Number of open elements before the innermost one of ``names``, or 0."""
-        for k in range(len(stack) - 1, 0, -1):
-            tag = page.tag[stack[k]]
-            if tag in names:
-                return k
-            if tag in bounds:
-                return 0
-        return 0
+        innermost = lambda among: max((open_at[t][-1] for t in among if open_at.get(t)), default=0)
+        k = innermost(names)
+        return k if k and k >= innermost(bounds) else 0
 
     def begin(name: str, attributes: dict[str, str]) -> int:
         if name in BLOCKS:
@@ -82,6 +82,7 @@ def read_page(html: str) -> Page:
         page.end.append(i + 1)
         page.attributes.append(attributes)
         if name not in VOID:
+            open_at.setdefault(name, []).append(len(stack))
             stack.append(i)
         return i
 
@@ -104,7 +105,10 @@ def read_page(html: str) -> Page:
     search = 0
     while True:
         start = html.find("<", search)
-        if start < 0:
+        if start > last_end and html.startswith("<!--", start):
+            text(start)  # a comment that nothing ends
+            break
+        if start < 0 or start > last_end:
             text(size)
             break
         m = _MARKUP.match(html, start)
@@ -154,7 +158,7 @@ def read_page(html: str) -> Page:
                 page.flow.append((i, " "))
             continue
         if name in RAW:
-            stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
+            stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at, last_end + 1)
             upto = stop.start() if stop else size
             if name not in HIDDEN:
                 text(upto)

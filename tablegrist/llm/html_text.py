@@ -31,9 +31,14 @@ from tablegrist.session import cut_lineage
 #: Pages whose paragraphs are used for fitting, the number and size of paragraphs
 #: taken from each, and the number of pages composed of them.
 SAMPLE_PAGES, SAMPLE_BLOCKS, SAMPLE_CHARS = 300, 12, 600
-COMPOSED = 700
+COMPOSED = 1300
 
-MAIN_ODDS, CUT_ODDS = 1.0, -1.0
+#: Elements inside a line of text. They have no label of their own: without a block
+#: inside they share that of the block they stand in.
+PHRASING = frozenset(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span "
+    "strike strong sub sup time tt u var wbr".split()
+)
 
 
 def parts_of(page: Page) -> list[tuple[str, ...]]:
@@ -99,19 +104,45 @@ def features(page: Page, odds: dict[str, float]) -> np.ndarray:
     ])
 
 
+#: Parts of a list, table or figure go with the whole one, unless they hold blocks
+#: of another kind, as cells of a layout do.
+PARTS = frozenset("li dt dd tr td th thead tbody tfoot caption colgroup col figcaption".split())
+IN_PARTS = PHRASING | PARTS | frozenset("ul ol dl".split())
+
+
+def follows(page: Page) -> np.ndarray:
+    """For each element whether it has the label of the element around it: parts of
+    a line, with nothing else below, and plain parts of a list, table or figure."""
+    n = len(page.tag)
+    end = np.array(page.end)
+
+    def only(names: frozenset[str]) -> np.ndarray:
+        before = np.concatenate([[0], np.cumsum([t not in names for t in page.tag])])
+        return before[end] == before[np.arange(n)]
+
+    found = only(PHRASING) | np.array([t in PARTS for t in page.tag]) & only(IN_PARTS)
+    found[0] = False
+    return found
+
+
 def decoded(page: Page, log_odds: np.ndarray) -> np.ndarray:
     """For each element whether it is main text. The best labelling of every
     subtree is found from the leaves up: cut (nothing below is main), container
-    (not main, anything below) or main (below main or cut)."""
+    (not main, anything below) or main (below main or cut). What ``follows`` the
+    element around it has its label."""
     n = len(page.tag)
     yes, no = -np.logaddexp(0, -log_odds), -np.logaddexp(0, log_odds)
     for i, tag in enumerate(page.tag):
         if tag in HIDDEN or tag in ("head", "title"):
             yes[i] = -1e9
+    in_line = follows(page)
+    yes[in_line] = no[in_line] = 0.0
     cut, container, main = no.tolist(), no.tolist(), yes.tolist()
     parent = page.parent
     for i in range(n - 1, 0, -1):
         p = parent[i]
+        if in_line[i]:
+            continue
         cut[p] += cut[i]
         container[p] += max(container[i], main[i], cut[i])
         main[p] += max(main[i], cut[i])
@@ -119,7 +150,9 @@ def decoded(page: Page, log_odds: np.ndarray) -> np.ndarray:
     state[0] = 1
     for i in range(1, n):
         up = state[parent[i]]
-        if up == 2:
+        if in_line[i]:
+            state[i] = up
+        elif up == 2:
             state[i] = 2 if main[i] >= cut[i] else 0
         elif up == 1:
             best = max(container[i], main[i], cut[i])
@@ -206,13 +239,30 @@ class _Composer:
     def paragraph(self) -> str:
         r = self.rng
         text = escape(r.choice(self.paragraphs)) if r.random() < 0.7 else self.words(25)
-        if r.random() < 0.2:
-            text = f"<b>{text}</b>" if r.random() < 0.5 else f"{text} <a href='#'>{self.words(4)}</a> {self.words(8)}"
+        if r.random() < 0.25:
+            text = r.choice([
+                f"<b>{text}</b>", f"{text} <a href='#'>{self.words(4)}</a> {self.words(8)}",
+                f"{self.words(5)} <em>{self.words(3)}</em>, <code>{self.words(2)}</code> <a href='/x'>{self.words(4)}</a>.",
+                f"<span>{text}</span> <sup>1</sup>", f"<a href='/y'>{self.words(6)}</a>",
+            ])
         kind = r.random()
-        if kind < 0.75:
-            return f"<p>{text}</p>"
-        if kind < 0.85:
+        if kind < 0.6:
+            return f"<p>{text if r.random() < 0.85 else self.words(5)}</p>"
+        if kind < 0.7:
             return f"<p><b>{text}<br>"
+        if kind < 0.85:
+            item = lambda: f"<a href='/z'>{self.words(5)}</a>" if links else self.words(8)
+            links, rows = r.random() < 0.65, r.randint(1, 5)
+            return r.choice([
+                lambda: "<ul>" + "".join(f"<li>{item()}</li>" for _ in range(rows)) + "</ul>",
+                lambda: "<ol>" + "".join(f"<li>{item()}" for _ in range(rows)) + "</ol>",
+                lambda: "<ul>" + "".join(f"<li>{item()}</li>" for _ in range(rows)) + "</ul>",
+                lambda: f"<table><caption>{self.words(5)}</caption><tr><th>{self.words(2)}</th><th>{self.words(2)}</th></tr>"
+                + "".join(f"<tr><td>{item()}</td><td>{r.randrange(999)}</td></tr>" for _ in range(rows)) + "</table>",
+                lambda: f"<figure><img src=i.png><figcaption>{self.words(9)}</figcaption></figure>",
+                lambda: "<dl>" + "".join(f"<dt>{self.words(2)}</dt><dd>{item()}</dd>" for _ in range(rows)) + "</dl>",
+                lambda: f"<h3>{self.words(5)}</h3>", lambda: f"<pre><code>{self.words(12)}</code></pre>",
+            ])()
         return r.choice(["<h2>{}</h2>", "<blockquote>{}</blockquote>", "<ul><li>{}</li><li>x</li></ul>", "<div>{}</div>",
                          "<pre>{}</pre>", "<table><tr><td>{}</td></tr></table>"]).format(text)
 
@@ -236,7 +286,7 @@ class _Composer:
         if start.startswith("p "):
             body = self.words(30)
         else:
-            body = r.choice([self.words(30), self.paragraph(), f"<p>{self.words(40)}</p><a href='#'>{self.words(3)}</a>",
+            body = r.choice([self.words(30), self.paragraph(), f"<h1>{self.words(3)}</h1>", f"<h1><a href='/'>{self.words(3)}</a></h1>", f"<p>{self.words(40)}</p><a href='#'>{self.words(3)}</a>",
                              f"<h3>{self.words(4)}</h3><ul><li>{self.words(5)}</li><li>{self.words(5)}</li></ul>",
                              f"&copy; {self.words(20)}"])
         return self.tagged(start, body, "cut")
@@ -245,6 +295,11 @@ class _Composer:
         """A page or fragment with main text in the body itself."""
         r = self.rng
         own = lambda: escape(r.choice(self.paragraphs)) if r.random() < 0.6 else self.words(25)
+        if r.random() < 0.35:  # nothing but a few words
+            few = self.words(8) + r.choice(["", " &amp; more", "<br>"])
+            for _ in range(r.choice([0, 0, 1, 1, 2])):
+                few = r.choice([f"{few} <p>{self.words(4)}</p> {self.words(4)}", f"<p>{self.words(3)}</p>{few}", f"<h2>{self.words(3)}</h2>{few}"])
+            return f'<html><body data-part="main">{few}</body></html>'
         inner = [own() + r.choice(["", "\n", "<br><br>"])]
         for _ in range(r.choice([0, 0, 1, 2, 4, 8])):
             inner.insert(r.randrange(len(inner) + 1), r.choice([own, self.paragraph])() + r.choice(["", "\n", "<br>"]))
@@ -259,7 +314,10 @@ class _Composer:
             return self.loose()
         inner = [self.paragraph() for _ in range(r.choice([0, 1, 1, 2, 3, 5, 8, 14]))]
         if r.random() < 0.7:
-            inner.insert(0, f"<h1>{self.words(10)}</h1>")
+            title = f"<h1>{self.words(10)}</h1>"
+            if r.random() < 0.35:
+                title = f"<header>{title}{r.choice(['', f'<p>{self.words(6)}</p>', f'<time>{self.words(2)}</time>'])}</header>"
+            inner.insert(0, title)
         for _ in range(r.choice([0, 0, 0, 1, 2])):
             inner.insert(r.randrange(len(inner) + 1), self.other())
         core = self.tagged(r.choice(self.MAIN), "".join(inner), "main")
@@ -273,6 +331,9 @@ class _Composer:
             before, after = before[1:], after[1:]
         if r.random() < 0.1:
             before.insert(0, f"{self.words(4)} ")
+        if r.random() < 0.3:
+            name = r.choice(["{}", "<a href='/'>{}</a>"]).format(self.words(3))
+            before.insert(0, self.tagged(r.choice(self.SHORT["header"]), f"<h1>{name}</h1>", "cut"))
         head = f"<head><title>{self.words(9)}</title><style>p{{}}</style><script>var t='</p>';</script></head>"
         return f"<!DOCTYPE html><html>{head}<body>{''.join(before)}{core}{''.join(after)}</body></html>"
 

@@ -80,3 +80,37 @@ def test_text_outside_elements_is_main(model):
 def test_one_html_and_one_body_are_open():
     for html in ("a <p>b</p> c", "<p>a</p><body class=x>b</body> c", "<head><title>t</title><p>a</html>b", "<html><html><body><body>a"):
         assert [t for t in read_page(html).tag if t in ("html", "body")] == ["html", "body"]
+
+
+@pytest.mark.parametrize(("html", "want"), [
+    ("<article><h1>Title of it</h1><p>A first line of the report that was asked for. See <a href=x>the full report</a> for <em>details</em> and "
+     "<code>x=1</code>.</p></article>",
+     "Title of it\nA first line of the report that was asked for. See the full report for details and x=1."),
+    ("<article><p>Some links that belong to the text of this page:</p><ul><li><a href=1>First thing to read</a></li><li><a href=2>Second thing</a></li></ul>"
+     "<p>And a last paragraph, which closes the article.</p></article>",
+     "Some links that belong to the text of this page:\nFirst thing to read\nSecond thing\nAnd a last paragraph, which closes the article."),
+    ("<article><p>The table shows what was found in the last years.</p><table><tr><th>Year</th><th>Found</th></tr><tr><td>2001</td><td>17</td></tr></table></article>",
+     "The table shows what was found in the last years.\nYear\nFound\n2001\n17"),
+    ("<article><p>A picture of the town, taken in winter.</p><figure><img src=x><figcaption>The town in winter.</figcaption></figure></article>",
+     "A picture of the town, taken in winter.\nThe town in winter."),
+    ("<body><nav><ul><li><a href=/>Home</a></li></ul></nav><article><header><h1>Real headline</h1></header><p>The text below the headline, of some length.</p></article></body>",
+     "Real headline\nThe text below the headline, of some length."),
+    ("<body><header class=site-header><h1>Site</h1></header><article><p>A short article.</p></article><footer>&copy; 2024 Site</footer></body>", "A short article."),
+    ("Just plain text & more", "Just plain text & more"),
+    ("Intro <p>para</p> more text", "Intro\npara\nmore text"),
+])
+def test_main_text_is_whole(model, html, want):
+    assert model.texts([html]) == [want]
+
+
+@pytest.mark.parametrize("piece", ["<div>", "<div></x>", "<a ", "<p>", "</p>", "<li>", "<script></script ", "<b ", '<a "', "<table><td>", "<!--", "<td></div>"])
+def test_broken_pages_are_read_in_proportion(piece):
+    import time
+
+    took = []
+    for size in (1 << 17, 1 << 20):
+        html = piece * (size // len(piece))
+        began = time.process_time()
+        read_page(html)
+        took.append(time.process_time() - began)
+    assert took[1] < 15 and took[1] < 40 * max(took[0], 0.02)
