@@ -38,6 +38,11 @@ NEIGHBOURED = 2
 #: Members of a bucket that are compared with each other in one task, and pairs
 #: (or words of their sketches) that are compared at once.
 BLOCK, PAIRS = 1024, 1 << 19
+#: Odd sketches of a set.
+SKETCHES = 4
+#: Of the members of one component that a set may be similar to, so many meet it at
+#: first; thirty-two times as many each time none of them was.
+NEAREST = 8
 #: Pairs of two components that are compared in full at first; eight times as many
 #: each time these did not settle it.
 AT_FIRST = 8
@@ -68,8 +73,8 @@ class Bands:
         self.spare = self.segments + self.neighboured - self.needed
 
     def bits(self, band: int) -> int:
-        """The width of a band's sketches, not below the size of its sets."""
-        return 1 << max(6, int(self.first[band + 1] - 1).bit_length())
+        """The width of a band's sketches, at least twice the size of its sets."""
+        return 1 << max(9, int(self.first[band + 1] - 1).bit_length() + 1)
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, sizes, "right") - 1
@@ -112,10 +117,14 @@ def segment_keys(sets: list[np.ndarray], band: np.ndarray, of: Bands) -> list[tu
 
 
 def odd_sketch(s: np.ndarray, bits: int) -> np.ndarray:
-    """A field of ``bits`` (a power of two, 64 or more); each shingle turns one over.
-    Two fields differ in no more bits than the sets in shingles."""
-    at = (mixed(s * _GOLD) & np.uint64(bits - 1)).astype(np.int64)
-    return np.packbits(np.bincount(at, minlength=bits) & 1 == 1, bitorder="little").view(np.uint64)
+    """SKETCHES fields of ``bits`` (a power of two, 64 or more), a row each; a shingle
+    turns one bit of each over. Two fields differ in no more bits than the sets in
+    shingles, and seldom all of them in fewer."""
+    value, out = mixed(s * _GOLD), []
+    for k in range(SKETCHES):
+        at = (value >> np.uint64(16 * k) if bits <= 1 << 16 else mixed(value + np.uint64(k))) & np.uint64(bits - 1)
+        out.append(np.packbits(np.bincount(at.astype(np.int64), minlength=bits) & 1 == 1, bitorder="little"))
+    return np.concatenate(out).view(np.uint64).reshape(SKETCHES, -1)
 
 
 #: Bands of sets of any size there can be.
@@ -302,10 +311,11 @@ def _apart(members: DataFrame, labels: DataFrame, of: Bands) -> DataFrame:
     ).select("bucket", "id", "band", "label", "size", "main", "unit", (F.col("given_up") > bound).alias("asks"))
 
 
-def _survivors(apart: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+def _survivors(apart: DataFrame, sketches: DataFrame, percent: int, most: int) -> DataFrame:
     """``a``, ``b`` and ``far`` (the sketches' distance) of the pairs of different
     components that meet in a bucket, one of them asking, and whose sketches do
-    not rule out that they are similar. The askers, or those outside the smallest
+    not rule out that they are similar; of one set and one component the ``most``
+    nearest, with ``more`` if there are others. The askers, or those outside the smallest
     component if they are fewer, are one side, all members the other; blocks of
     both meet as groups of their own."""
     apart = cut_lineage(apart)
@@ -341,16 +351,17 @@ def _survivors(apart: DataFrame, sketches: DataFrame, percent: int) -> DataFrame
             whole = rows.num_rows if batch is None else int(open_.argmax())
             held = rows.slice(whole) if batch is not None else None
             if whole:
-                found = near_pairs(rows.slice(0, whole), percent)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b", "far"])
+                found = near_pairs(rows.slice(0, whole), percent, most)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in found[:3]), pa.array(found[3] == 1)], ["a", "b", "far", "more"])
 
-    found = jobs.mapInArrow(tidy(run), "a bigint, b bigint, far bigint")
-    return compacted(found.distinct())
+    found = jobs.mapInArrow(tidy(run), "a bigint, b bigint, far bigint, more boolean")
+    return compacted(found.groupBy("a", "b").agg(F.min("far").alias("far"), F.bool_or("more").alias("more")))
 
 
-def near_pairs(rows: pa.Table, percent: int) -> np.ndarray:
-    """``a`` (the larger id), ``b`` and distance of the pairs of a left and another
-    row of a group that can be similar. Groups are consecutive rows with equal
+def near_pairs(rows: pa.Table, percent: int, most: int) -> np.ndarray:
+    """``a`` (the larger id), ``b``, distance and 1 if there are more, of the pairs of
+    a left and another row of a group that can be similar, the ``most`` nearest of
+    each left row and label. Groups are consecutive rows with equal
     bucket, i and j, those that are not left first; the sketches of a group are of
     one width."""
     group = np.stack([rows.column(c).to_numpy() for c in ("bucket", "i", "j")])
@@ -362,7 +373,7 @@ def near_pairs(rows: pa.Table, percent: int) -> np.ndarray:
     others = np.bincount(np.cumsum(begins) - 1, ~left).astype(np.int64)[np.cumsum(begins) - 1]
     sketches = [s.as_buffer() for s in rows.column("sketch").combine_chunks()]
     words = np.array([len(s) // 8 for s in sketches])
-    out = [np.zeros((3, 0), np.int64)]
+    out = [np.zeros((4, 0), np.int64)]
     for w in np.unique(words):
         rank = np.cumsum(words == w) - 1
         fields = np.stack([np.frombuffer(s, np.uint64) for s, own in zip(sketches, words == w) if own])
@@ -375,25 +386,41 @@ def near_pairs(rows: pa.Table, percent: int) -> np.ndarray:
             fine = (labels[x] != labels[y]) & (asks[x] | asks[y]) & (exact[x] | exact[y])
             fine &= 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
             x, y = x[fine], y[fine]
-            for at in range(0, len(x), max(1, PAIRS // int(w))):
-                u, v = x[at : at + max(1, PAIRS // int(w))], y[at : at + max(1, PAIRS // int(w))]
-                far = np.bitwise_count(fields[rank[u]] ^ fields[rank[v]]).sum(axis=1, dtype=np.int64)
-                near = far * (100 + percent) <= (n[u] + n[v]) * (100 - percent)
-                a, b = ids[u[near]], ids[v[near]]
-                out.append(np.stack([np.maximum(a, b), np.minimum(a, b), far[near]]))
+            far, near, step = np.zeros(len(x), np.int64), np.zeros(len(x), bool), max(1, PAIRS // int(w))
+            for at in range(0, len(x), step):
+                u, v = x[at : at + step], y[at : at + step]
+                bits = np.bitwise_count(fields[rank[u]] ^ fields[rank[v]]).reshape(len(u), SKETCHES, -1)
+                far[at : at + step] = bits.sum(axis=2, dtype=np.int64).max(axis=1)
+                near[at : at + step] = far[at : at + step] * (100 + percent) <= (n[u] + n[v]) * (100 - percent)
+            x, y, far = x[near], y[near], far[near]
+            order = np.lexsort((ids[y], far, labels[y], x))
+            x, y, far = x[order], y[order], far[order]
+            same = np.append(False, (x[1:] == x[:-1]) & (labels[y[1:]] == labels[y[:-1]]))
+            begin = np.flatnonzero(~same)
+            sizes = np.diff(np.append(begin, len(x)))
+            place = np.arange(len(x)) - np.repeat(begin, sizes)
+            kept = place < most
+            a, b = ids[x[kept]], ids[y[kept]]
+            out.append(np.stack([np.maximum(a, b), np.minimum(a, b), far[kept], np.repeat(sizes > most, sizes)[kept]]))
     return np.unique(np.concatenate(out, axis=1), axis=1)
 
 
+def _apart_pairs(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Those of the pairs that are in different components, with ``label_a`` and
+    ``label_b``."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
+    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").withColumns({
+        "label_a": F.coalesce("label_a", "a"), "label_b": F.coalesce("label_b", "b"),
+    }).filter("label_a <> label_b")
+
+
 def _settled(links: DataFrame, survivors: DataFrame, labels: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """``links`` and what is needed of the survivors' links: of two components the
     nearest pairs first, until one holds or all are compared."""
     most = AT_FIRST
     while not survivors.isEmpty():
-        of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
         low, high = F.least("label_a", "label_b"), F.greatest("label_a", "label_b")
-        open_pairs = survivors.join(of("a"), "a", "left").join(of("b"), "b", "left").withColumns({
-            "label_a": F.coalesce("label_a", "a"), "label_b": F.coalesce("label_b", "b"),
-        }).filter("label_a <> label_b").withColumns({"low": low, "high": high})
+        open_pairs = _apart_pairs(survivors, labels).withColumns({"low": low, "high": high})
         order = Window.partitionBy("low", "high").orderBy("far", "a", "b")
         ranked = compacted(open_pairs.select("a", "b", "far", F.row_number().over(order).alias("place")))
         links = compacted(links.unionByName(_linked(ranked.filter(F.col("place") <= most).select("a", "b"), texts, width, percent)))
@@ -411,10 +438,17 @@ def _all_links(texts: DataFrame, keyed: DataFrame, of: Bands, width: int, percen
     best = often.groupBy("id").agg(F.max(F.struct("times", (-F.col("hub")).alias("hub"))).alias("best"))
     first = best.select(F.col("id").alias("a"), (-F.col("best.hub")).alias("b"))
     links = _linked(first, texts, width, percent)
-    labels = components(links)
     sketches = keyed.select("id", "band", "n", "sketch")
-    survivors = _survivors(_apart(members, labels, of), sketches, percent)
-    return _settled(links, survivors, labels, texts, width, percent)
+    most = NEAREST
+    while True:
+        labels = components(links)
+        survivors = _survivors(_apart(members, labels, of), sketches, percent, most)
+        links = _settled(links, survivors.drop("more"), labels, texts, width, percent)
+        # Where the nearest of many were not similar after all, the others may be.
+        left = _apart_pairs(survivors.filter("more"), components(links))
+        if left.isEmpty():
+            return links
+        most *= 32
 
 
 def jaccard_components(
