@@ -165,14 +165,21 @@ def fit(labelled: DataFrame, key: str, text: str, lang: str, sample: int = SAMPL
         row[np.frombuffer(slots, np.uint16)] = np.frombuffer(counted, np.float32)
     # The order in which tasks end must not matter.
     order = np.array(sorted(range(len(langs)), key=lambda i: (langs[i], table[i].tobytes())), dtype=np.int64)
-    return trained(langs[order], table[order])
+    del found
+    model = trained(langs[order], table[order])
+    del table
+    give_back()
+    return model
 
 
 def trained(langs: np.ndarray, table: np.ndarray) -> LanguageModel:
     if not len(langs):
         return LanguageModel([], np.zeros((0, BUCKETS)), np.zeros(BUCKETS), np.zeros(0))
     idf = np.log((1 + len(table)) / (1 + (table > 0).sum(axis=0))).astype(np.float32) + 1
-    x = unit(np.log1p(table) * idf)
+    # One array of this size at a time besides the counts.
+    x = np.log1p(table)
+    x *= idf
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], 1e-12)
     names, centers, bounds = [], [], []
     for name in sorted(set(langs)):
         own = x[langs == name]

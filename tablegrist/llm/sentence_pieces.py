@@ -32,8 +32,8 @@ from tablegrist.llm.tidy import tidy
 BLANK = "▁"
 MODEL = "piece_bpe_32k.model"
 #: Words and pairs of pieces kept in memory by each Python worker.
-CACHED_WORDS = 70_000
-CACHED_PAIRS = 80_000
+CACHED_WORDS = 100_000
+CACHED_PAIRS = 200_000
 
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
@@ -245,10 +245,9 @@ def _loaded(serialized: bytes) -> PieceModel:
 
 
 def _forget() -> None:
-    """What a task leaves to the next one are the words it met last."""
+    """What a task leaves to the next one are pairs and the words it met last."""
     for model in _MODELS.values():
         model.words.older = {}
-        model.pairs.clear()
 
 
 Derive = Callable[[list[bytes], list[str]], list[pa.Array]]
