@@ -6,14 +6,20 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablegrist.functions.text import canonical_name
 from tablegrist.operators.kinds import DATETIME, columns_of
+from tablegrist.session import small_table
 
 # Window labels and their days; growth only on the longest.
 WINDOWS = {"30d": 30, "90d": 90, "365d": 365}
 GROWTH_WINDOW = "365d"
 DAYS_PER_YEAR = 365.25
+WINDOW_SCHEMA = (
+    "canonical_id string, window string, column string, position int, mean double, std double, min double, max double, "
+    "count bigint, cagr double"
+)
 
 
 def detect_timeseries(df: DataFrame, name_col: str) -> str | None:
@@ -61,9 +67,13 @@ def trailing_windows(
     """``(canonical_id, window, column, mean, std, min, max, count, cagr)``.
 
     Windows end at the latest moment of the whole table (cutoff included) and
-    need two rows. All three come from one conditional aggregate per entity, so
-    rows are neither copied per window nor shuffled more than once; the longest
-    cutoff is a scan filter."""
+    need two rows. Rows within the longest cutoff, which is a scan filter, become
+    a row per value column; all windows of an entity and column are one hash
+    aggregate, so any number of columns has the same plan. An integral ordinal is
+    put behind the moment in one number, which orders first and last value; an
+    ordinal of another type is compared as it is."""
+    if not value_cols:
+        return small_table(df.sparkSession, [], WINDOW_SCHEMA)
     columns = list(dict.fromkeys([date_col, order_by, *value_cols]))
     d = F.col(f"`{date_col}`")
     # One value, put into the plan as a literal so that the cutoff prunes files.
@@ -81,51 +91,53 @@ def trailing_windows(
     recent = _entity_rows(df.filter(within(max(WINDOWS.values()))), name_col, columns).select(
         "*", *[within(days).alias(f"in_{w}") for w, days in WINDOWS.items()]
     )
-    aggs = [F.count_if(F.col(f"in_{w}")).alias(f"rows_{w}") for w in WINDOWS]
-    for i, c in enumerate(value_cols):
-        v = F.col(f"`{c}`").cast("double")
-        for w in WINDOWS:
-            x = F.when(F.col(f"in_{w}"), v)
-            aggs += [
-                F.count(x).alias(f"n{i}_{w}"),
-                F.avg(x).alias(f"mean{i}_{w}"),
-                F.stddev_pop(x).alias(f"std{i}_{w}"),
-                F.min(x).alias(f"min{i}_{w}"),
-                F.max(x).alias(f"max{i}_{w}"),
-            ]
-        seen = v.isNotNull() & d.isNotNull()
-        moment = F.when(seen, F.struct(d, F.col(f"`{order_by}`")))
+    values = F.array(*[
+        F.struct(F.lit(i).alias("position"), F.col(f"`{c}`").cast("double").alias("v")) for i, c in enumerate(value_cols)
+    ])
+    moment = F.unix_micros(d.cast("timestamp"))
+    o = F.col(f"`{order_by}`")
+    if isinstance(df.schema[order_by].dataType, T.IntegralType):
+        at = moment.cast("decimal(20,0)") * F.lit(str(2**64)).cast("decimal(20,0)") + o.cast("decimal(20,0)")
+    else:
+        at = F.struct(moment, o)
+    long = recent.select(
+        "canonical_id", moment.alias("moment"), at.alias("at"), *[f"in_{w}" for w in WINDOWS], F.inline(values)
+    )
+    seen = F.col("v").isNotNull() & F.col("moment").isNotNull()
+    when_seen = lambda c: F.when(seen, F.col(c))
+    aggs = [
+        F.min_by("v", when_seen("at")).alias("first"),
+        F.max_by("v", when_seen("at")).alias("last"),
+        F.floor((F.max(when_seen("moment")) - F.min(when_seen("moment"))) / F.lit(86_400_000_000)).alias("days"),
+    ]
+    for w in WINDOWS:
+        x = F.when(F.col(f"in_{w}"), F.col("v"))
         aggs += [
-            F.min_by(v, moment).alias(f"first{i}"),
-            F.max_by(v, moment).alias(f"last{i}"),
-            F.floor(
-                (F.unix_micros(F.max(F.when(seen, d)).cast("timestamp"))
-                 - F.unix_micros(F.min(F.when(seen, d)).cast("timestamp"))) / F.lit(86_400_000_000)
-            ).alias(f"days{i}"),
+            F.count_if(F.col(f"in_{w}")).alias(f"rows_{w}"),
+            F.count(x).alias(f"n_{w}"),
+            F.avg(x).alias(f"mean_{w}"),
+            F.stddev_pop(x).alias(f"std_{w}"),
+            F.min(x).alias(f"min_{w}"),
+            F.max(x).alias(f"max_{w}"),
         ]
-    wide = recent.groupBy("canonical_id").agg(*aggs)
+    per = long.groupBy("canonical_id", "position").agg(*aggs)
     parts = []
     for w in WINDOWS:
-        for i, c in enumerate(value_cols):
-            n = F.col(f"n{i}_{w}")
-            growth = (
-                _growth(n, F.col(f"first{i}"), F.col(f"last{i}"), F.col(f"days{i}"))
-                if w == GROWTH_WINDOW
-                else F.lit(None)
-            )
-            entry = F.struct(
-                F.lit(w).alias("window"),
-                F.lit(c).alias("column"),
-                F.lit(i).alias("position"),
-                F.col(f"mean{i}_{w}").alias("mean"),
-                F.col(f"std{i}_{w}").alias("std"),
-                F.col(f"min{i}_{w}").alias("min"),
-                F.col(f"max{i}_{w}").alias("max"),
-                n.alias("count"),
-                growth.cast("double").alias("cagr"),
-            )
-            parts.append(F.when((F.col(f"rows_{w}") >= 2) & (n > 0), entry))
-    return wide.select("canonical_id", F.inline(F.array_compact(F.array(*parts))))
+        n = F.col(f"n_{w}")
+        growth = _growth(n, F.col("first"), F.col("last"), F.col("days")) if w == GROWTH_WINDOW else F.lit(None)
+        entry = F.struct(
+            F.lit(w).alias("window"),
+            F.get(F.array(*[F.lit(c) for c in value_cols]), F.col("position")).alias("column"),
+            "position",
+            F.col(f"mean_{w}").alias("mean"),
+            F.col(f"std_{w}").alias("std"),
+            F.col(f"min_{w}").alias("min"),
+            F.col(f"max_{w}").alias("max"),
+            n.alias("count"),
+            growth.cast("double").alias("cagr"),
+        )
+        parts.append(F.when((F.col(f"rows_{w}") >= 2) & (n > 0), entry))
+    return per.select("canonical_id", F.inline(F.array_compact(F.array(*parts))))
 
 
 def window_stats(windows: DataFrame, file: str) -> DataFrame:

@@ -55,6 +55,33 @@ def test_trailing_windows(series):
     assert got["b", "365d"]["cagr"] is None  # ends below zero
 
 
+def test_windows_of_many_columns(spark):
+    """Ordinals that no double tells apart order equal moments; the plan stays one hash
+    aggregate whatever the number of columns."""
+    rows = [("Fund Z", day("2023-12-31"), 2**62 + i, 10.0 + i) for i in (1, 0, 2)] + [("Fund Z", day("2023-01-31"), 5, 4.0)]
+    df = spark.createDataFrame(rows, "name string, d timestamp, o bigint, v0 double")
+    names = [f"v{i}" for i in range(200)]
+    wide = df.select("name", "d", "o", *[(F.col("v0") + i).alias(n) for i, n in enumerate(names)])
+    got = TS.trailing_windows(wide, "name", "d", names, "o")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+    year = {r["column"]: r for r in got.filter("window = '365d'").collect()}
+    assert len(year) == 200
+    days = (day("2023-12-31") - day("2023-01-31")).days
+    assert year["v7"]["cagr"] == pytest.approx((19 / 11) ** (365.25 / days) - 1, abs=1e-9)
+    text = df.withColumn("o", F.col("o").cast("string"))
+    assert TS.trailing_windows(text, "name", "d", ["v0"], "o").filter("window = '365d'").first()["max"] == 12.0
+    assert TS.trailing_windows(df, "name", "d", [], "o").count() == 0
+
+
+def test_far_pages_and_like_file_ids(spark):
+    pages = spark.createDataFrame([("f", 2**31 + i, f"one {i}") for i in range(3)] + [("f", None, "two")], "file string, page bigint, text string")
+    got = document_family(pages, C.Source("docs"), "file", "page", "text").chunks.collect()
+    assert {r["page"] for r in got} == {None, 2**31, 2**31 + 1, 2**31 + 2} and len({r["chunk_id"] for r in got}) == 4
+    one = spark.range(1).select(C.chunk_id("f", "row", F.lit(1)).alias("a"), C.chunk_id(F.lit("f"), "row", F.lit(1)).alias("b")).first()
+    assert one["a"] == one["b"]
+
+
 def test_window_text(series):
     got = TS.window_stats(TS.trailing_windows(series, "name", "d", ["nav"], "o"), "f.csv").filter("canonical_id = 'b' and window = '30d'").first()
     assert got["text"] == "Time window 30d for b in f.csv: nav mean=0.0000 std=5.0000 min=-5.0000 max=5.0000."
