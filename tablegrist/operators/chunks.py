@@ -37,7 +37,7 @@ FIELDS = {
     "ingestion_time": "timestamp",
     "version": "int",
     "text": "string",
-    "page": "int",
+    "page": "bigint",
     "aliases": "array<string>",
     "column_names": "array<string>",
     "numeric_columns": "array<string>",
@@ -59,8 +59,11 @@ def file_id(file: Column | str) -> Column:
     return F.substring(F.sha2(file, 256), 1, 12)
 
 
-def chunk_id(fid: Column, chunk_type: str, place: Column) -> Column:
-    return F.sha2(F.concat_ws("|", fid, F.lit(chunk_type), place.cast("string")), 256)
+def chunk_id(file: Column | str, chunk_type: str, place: Column) -> Column:
+    """Hash of the whole file name's hash (the short ``file_id`` may be shared by two
+    of very many files), type and place."""
+    name = F.lit(hashlib.sha256(file.encode()).hexdigest()) if isinstance(file, str) else F.sha2(file, 256)
+    return F.sha2(F.concat_ws("|", name, F.lit(chunk_type), place.cast("string")), 256)
 
 
 @dataclass
@@ -90,11 +93,10 @@ def as_chunks(
 ) -> DataFrame:
     """``df`` as chunk rows: the mandatory fields plus the given ones."""
     name = F.lit(source.file) if file is None else file
-    fid = file_id(source.file if file is None else file)
     given = {
-        "chunk_id": chunk_id(fid, chunk_type, place),
+        "chunk_id": chunk_id(source.file if file is None else file, chunk_type, place),
         "file": name,
-        "file_id": fid,
+        "file_id": file_id(source.file if file is None else file),
         "sheet": F.lit(source.sheet),
         "chunk_type": F.lit(chunk_type),
         "ingestion_time": source.moment,
@@ -128,7 +130,7 @@ def text_chunks(
     cut inside its own row, so nothing is shuffled."""
     named = docs.select(
         file.alias("_file"),
-        (page if page is not None else F.lit(None).cast("int")).alias("_page"),
+        (page if page is not None else F.lit(None)).cast("bigint").alias("_page"),
         (header if header is not None else F.lit(None).cast("string")).alias("_header"),
         X.words(text).alias("_words"),
     )
@@ -279,7 +281,7 @@ def row_frame(
         entity = F.when(F.col(f"`{name_col}`").isNotNull(), entity)
     return rows.select(
         "*",
-        chunk_id(file_id(source.file), "row", F.col(f"`{order_by}`")).alias("chunk_id"),
+        chunk_id(source.file, "row", F.col(f"`{order_by}`")).alias("chunk_id"),
         entity.alias("canonical_id"),
     )
 
@@ -323,7 +325,7 @@ def numeric_vectors(
     framed = df.select(o.alias("_o"), entity.alias("_entity"), scaled_vector(df, scaler).alias("_vec"))
     fid = file_id(source.file)
     return framed.select(
-        chunk_id(fid, "numeric_vector", F.col("_o")).alias("chunk_id"),
+        chunk_id(source.file, "numeric_vector", F.col("_o")).alias("chunk_id"),
         fid.alias("file_id"), F.col("_o").alias("row_number"), F.col("_entity").alias("canonical_id"),
         F.col("_vec").alias("vec"),
     )

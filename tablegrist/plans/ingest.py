@@ -136,7 +136,7 @@ def document_family(
         header = F.concat(header, F.lit(" page "), F.col(page).cast("string"))
     chunks = C.text_chunks(
         tidy, source, name, text, header=header,
-        page=F.col(page).try_cast("int") if paged else None, size=size, overlap=overlap,
+        page=F.col(page).try_cast("bigint") if paged else None, size=size, overlap=overlap,
     )
     return Family(
         chunks, small_table(spark, [], POSTING_SCHEMA), _of_chunks(chunks, vectors), small_table(spark, [], VECTOR_SCHEMA),

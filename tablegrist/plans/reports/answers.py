@@ -184,14 +184,14 @@ def part_postings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SQL_POSTINGS = f"""
-    src AS (SELECT *, sha256(left(sha256('part.parquet'), 12) || '|row|' || p_partkey) AS chunk_id FROM part),
+    src AS (SELECT *, sha256(sha256('part.parquet') || '|row|' || p_partkey) AS chunk_id FROM part),
     cells AS (
       {' UNION ALL '.join(f"SELECT '{c}' AS key, {sql_canonical(c + '::VARCHAR')} AS value, chunk_id FROM src WHERE {c} IS NOT NULL" for c in PART_COLUMNS)}),
     posts AS (
       SELECT 'cell' AS kind, key, value, chunk_id FROM cells WHERE value <> ''
       UNION ALL SELECT 'id', {sql_canonical('p_name')}, '', chunk_id FROM src WHERE {sql_canonical('p_name')} <> ''
       UNION ALL
-      {' UNION ALL '.join(f"SELECT 'enum', '{c}', '', sha256(left(sha256('part.parquet'), 12) || '|enumeration|{c}') FROM (SELECT count(DISTINCT {c}) AS d FROM part) WHERE d > 1" for c in ('p_name', 'p_brand', 'p_type'))})
+      {' UNION ALL '.join(f"SELECT 'enum', '{c}', '', sha256(sha256('part.parquet') || '|enumeration|{c}') FROM (SELECT count(DISTINCT {c}) AS d FROM part) WHERE d > 1" for c in ('p_name', 'p_brand', 'p_type'))})
 """
 
 
@@ -295,7 +295,8 @@ def retrieval_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame
     return questions, chunks, postings, vectors
 
 
-SQL_RETRIEVAL = f"""
+def _sql_retrieval(k: int) -> str:
+    return f"""
     {SQL_POSTINGS}, {SQL_LABEL_QUERIES},
     about AS (SELECT label, arg_min(p_name, p_partkey) AS name, arg_min(p_type, p_partkey) AS type
               FROM embeddings JOIN part ON vec_id = p_partkey GROUP BY 1),
@@ -306,7 +307,7 @@ SQL_RETRIEVAL = f"""
                   CASE WHEN label % 3 <> 1 THEN {sql_canonical('type')} END AS cell FROM about),
     sim AS (SELECT qv.query_id, src.chunk_id, list_dot_product(q, e) AS s
             FROM qv, emb JOIN src ON vec_id = p_partkey
-            QUALIFY row_number() OVER (PARTITION BY qv.query_id ORDER BY list_dot_product(q, e) DESC, src.chunk_id) <= 20),
+            QUALIFY row_number() OVER (PARTITION BY qv.query_id ORDER BY list_dot_product(q, e) DESC, src.chunk_id) <= {max(4 * k, 20)}),
     sig AS (SELECT query_id, chunk_id, true AS id, false AS cell, NULL::DOUBLE AS s FROM posts JOIN qs ON kind = 'id' AND key = canonical_id
             UNION ALL SELECT query_id, chunk_id, false, true, NULL FROM posts JOIN qs ON kind = 'cell' AND key = 'p_type' AND value = qs.cell
             UNION ALL SELECT query_id, chunk_id, false, false, s FROM sim),
@@ -319,16 +320,20 @@ SQL_RETRIEVAL = f"""
                  || '; p_type=' || p_type || '; p_size=' || p_size || '; p_retailprice=' || p_retailprice || '.' AS text
                FROM cand JOIN qs USING (query_id) JOIN src USING (chunk_id)),
     linear AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored),
-    placed AS (SELECT *, row_number() OVER (PARTITION BY query_id, exact_id ORDER BY score DESC, chunk_id) AS place,
-                 CASE WHEN NOT exact_id THEN len(list_intersect(string_split(lower(question), ' '), string_split(lower(text), ' '))) END AS ce
+    placed AS (SELECT *, row_number() OVER (PARTITION BY query_id, exact_id ORDER BY score DESC, chunk_id) AS place
                FROM scored),
+    judged AS (SELECT *, CASE WHEN NOT exact_id AND place <= 20
+                 THEN len(list_intersect(string_split(lower(question), ' '), string_split(lower(text), ' '))) END AS ce FROM placed),
     final AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY exact_id DESC, ce DESC NULLS LAST, place) AS rank
-              FROM placed WHERE exact_id OR place <= 20),
+              FROM judged),
     top AS (SELECT *, CASE WHEN exact_id THEN 1.0 WHEN exact_cell THEN 0.95 ELSE round(text_sim, 3) END AS shown
-            FROM final WHERE rank <= {K})
+            FROM final WHERE rank <= {k})
 """
 
 
+SQL_RETRIEVAL = _sql_retrieval(K)
+
+
 @report(
     f"""WITH {SQL_RETRIEVAL}
     SELECT query_id, chunk_id, exact_id, exact_cell, round(text_sim, 4) AS text_sim FROM cand"""
@@ -340,9 +345,9 @@ def merged_candidates(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def scored_candidates(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def scored_candidates(spark: SparkSession, sf: str, k: int = K) -> tuple[DataFrame, DataFrame, DataFrame]:
     questions, chunks, postings, vectors = retrieval_inputs(spark, sf)
-    found = R.candidates(questions, postings, vectors, K)
+    found = R.candidates(questions, postings, vectors, k)
     return R.score_candidates(found, chunks), questions, chunks
 
 
@@ -362,11 +367,12 @@ def final_ranking(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return questions, R.second_stage(scored, questions, chunks, K)
 
 
-@report(
-    f"""WITH {SQL_RETRIEVAL}
+SQL_RANKED = """
     SELECT query_id, chunk_id, ce::DOUBLE AS ce_score, rank::INT AS rank, shown::DOUBLE AS source_score,
            CASE WHEN exact_id THEN 'exact' WHEN exact_cell THEN 'field' ELSE 'semantic' END AS match FROM top"""
-)
+
+
+@report(f"WITH {SQL_RETRIEVAL} {SQL_RANKED}")
 def second_stage_ranking(spark: SparkSession, sf: str) -> DataFrame:
     _, ranked = final_ranking(spark, sf)
     return R.with_source_score(ranked).select(
@@ -374,6 +380,15 @@ def second_stage_ranking(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@report(f"WITH {_sql_retrieval(60)} {SQL_RANKED}")
+def second_stage_ranking_of_sixty(spark: SparkSession, sf: str) -> DataFrame:
+    """More results than the second stage judges: the others follow in linear order."""
+    scored, questions, chunks = scored_candidates(spark, sf, 60)
+    return R.with_source_score(R.second_stage(scored, questions, chunks, 60)).select(
+        "query_id", "chunk_id", "ce_score", "rank", "source_score", "match"
+    )
+
+
 @report(
     f"""WITH {SQL_RETRIEVAL},
     t AS (SELECT query_id, bool_and(exact_id) AS ex, avg(shown) AS a FROM top WHERE rank <= 3 GROUP BY 1)

@@ -66,7 +66,7 @@ def normalised_documents(spark: SparkSession, sf: str) -> DataFrame:
     f"""
     WITH w AS (SELECT doc_id, lang, source, {sql_words('text')} AS words FROM documents),
     s AS (SELECT doc_id, source, words, unnest(range(0, len(words), 140)) AS start FROM w)
-    SELECT sha256(left(sha256(doc_id::VARCHAR), 12) || '|text|' || (start // 140)) AS chunk_id,
+    SELECT sha256(sha256(doc_id::VARCHAR) || '|text|' || (start // 140)) AS chunk_id,
            doc_id::VARCHAR AS file, start // 140 AS row_number, 'text' AS chunk_type,
            '[' || source || '] ' || doc_id || chr(10) || array_to_string(words[start + 1 : start + 180], ' ') AS text
     FROM s

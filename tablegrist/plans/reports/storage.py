@@ -45,7 +45,7 @@ def _sql_family(t: str, key: str, name: str, texts: list[str]) -> str:
         for c in texts
     )
     return f"""
-    SELECT sha256({fid} || '|' || chunk_type || '|' || place) AS chunk_id, '{t}.parquet' AS file, {fid} AS file_id,
+    SELECT sha256(sha256('{t}.parquet') || '|' || chunk_type || '|' || place) AS chunk_id, '{t}.parquet' AS file, {fid} AS file_id,
            chunk_type, row_number, canonical_id
     FROM (SELECT 'synopsis' AS chunk_type, '0' AS place, NULL::BIGINT AS row_number, NULL::VARCHAR AS canonical_id
           UNION ALL SELECT 'tabular_summary', '0', NULL, NULL
@@ -128,6 +128,27 @@ def document_chunk_family(spark: SparkSession, sf: str) -> DataFrame:
     return family.chunks.select("chunk_id", "file", "page", "row_number", "text")
 
 
+SQL_FAR_PAGES = f"""
+    w AS (SELECT source, 6000000000 + doc_id AS page, {sql_words('text')} AS words FROM documents),
+    s AS (SELECT source, page, words, unnest(range(0, len(words), 140)) AS start FROM w)
+"""
+
+
+@report(
+    f"""WITH {SQL_FAR_PAGES}
+    SELECT sha256(sha256(source) || '|text|' || page || '.' || (start // 140)) AS chunk_id, source AS file, page,
+           (start // 140)::BIGINT AS row_number,
+           '[' || source || '] page ' || page || chr(10) || array_to_string(words[start + 1 : start + 180], ' ') AS text
+    FROM s"""
+)
+def windows_of_far_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages beyond 2^31: each keeps its number and chunk ids of its own."""
+    docs = table(spark, sf, "documents", costly=True).withColumn("page", F.lit(6_000_000_000) + F.col("doc_id"))
+    header = F.concat(F.lit("["), "source", F.lit("] page "), F.col("page").cast("string"))
+    chunks = C.text_chunks(docs, C.Source("documents"), F.col("source"), "text", header=header, page=F.col("page"))
+    return chunks.select("chunk_id", "file", "page", "row_number", "text")
+
+
 # --- catalogue --------------------------------------------------------------
 
 
@@ -155,7 +176,7 @@ def document_list(spark: SparkSession, sf: str) -> DataFrame:
 
 @report(
     f"""WITH {SQL_FAMILIES},
-    wanted AS (SELECT 2 * c_custkey AS position, sha256(left(sha256('customer.parquet'), 12) || '|numeric_vector|' || c_custkey) AS chunk_id FROM customer
+    wanted AS (SELECT 2 * c_custkey AS position, sha256(sha256('customer.parquet') || '|numeric_vector|' || c_custkey) AS chunk_id FROM customer
                UNION ALL SELECT 2 * c_custkey + 1, 'missing-' || c_custkey FROM customer)
     SELECT position, chunk_id, chunk_type, canonical_id FROM wanted JOIN chunks USING (chunk_id)"""
 )
@@ -163,9 +184,8 @@ def fetched_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Every numeric-vector chunk of the customers asked for by id, each second
     id unknown."""
     customers = table(spark, sf, "customer")
-    fid = C.file_id("customer.parquet")
     known = customers.select(
-        (F.col("c_custkey") * 2).alias("position"), C.chunk_id(fid, "numeric_vector", F.col("c_custkey")).alias("chunk_id")
+        (F.col("c_custkey") * 2).alias("position"), C.chunk_id("customer.parquet", "numeric_vector", F.col("c_custkey")).alias("chunk_id")
     )
     unknown = customers.select(
         (F.col("c_custkey") * 2 + 1).alias("position"), F.concat(F.lit("missing-"), "c_custkey").alias("chunk_id")
@@ -241,7 +261,7 @@ def replaced_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Documents are stored with a vector for each chunk, then every second one
     comes again cut to ten words: no chunk and no vector of the longer form stays."""
     docs = table(spark, sf, "documents", costly=True).select(
-        F.col("doc_id").cast("string").alias("file"), F.lit(None).cast("int").alias("page"), "text"
+        F.col("doc_id").cast("string").alias("file"), F.lit(None).cast("bigint").alias("page"), "text"
     )
     short = docs.filter(F.col("file").cast("bigint") % 2 == 0).withColumn(
         "text", F.array_join(F.slice(F.filter(F.split("text", SPARK_BLANKS), lambda w: w != ""), 1, 10), " ")
@@ -432,7 +452,7 @@ def streamed_document_chunks(spark: SparkSession, sf: str) -> DataFrame:
     store, checkpoint = _store(spark), new_dir(spark, "checkpoint")
 
     def family(batch: DataFrame) -> Family:
-        tidy = batch.withColumn("page", F.lit(None).cast("int"))
+        tidy = batch.withColumn("page", F.lit(None).cast("bigint"))
         return document_family(tidy, C.Source("documents"), "file", "page", "text", paged=False)
 
     for _ in range(2):

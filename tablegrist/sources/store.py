@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from tablegrist.plans.ingest import TABLES, Family
 from tablegrist.session import small_table
 
-FILES_SCHEMA = "file string, seq bigint, ingest string"
+# ``vec_size``: the length of the text vectors written with the file.
+FILES_SCHEMA = "file string, seq bigint, ingest string, vec_size int"
 # How each table is laid out: directories to prune by, columns to sort by so
 # that Parquet min/max statistics narrow point look-ups.
 PARTITIONS = {"chunks": ["chunk_type"], "postings": ["kind"]}
@@ -55,11 +56,11 @@ class ChunkStore:
             return empty
 
     def _in_force(self) -> DataFrame:
-        """``_file`` and ``_ingest`` of every file that is not deleted."""
+        """``_file``, ``_ingest`` and ``vec_size`` of every file that is not deleted."""
         last = self._stored("files", FILES_SCHEMA).groupBy(F.col("file").alias(FILE)).agg(
-            F.max(F.struct("seq", "ingest")).alias("last")
+            F.max(F.struct("seq", "ingest", "vec_size")).alias("last")
         )
-        return last.select(FILE, F.col("last.ingest").alias(INGEST)).filter(F.col(INGEST).isNotNull())
+        return last.select(FILE, F.col("last.ingest").alias(INGEST), "last.vec_size").filter(F.col(INGEST).isNotNull())
 
     def read(self, table: str) -> DataFrame:
         """The rows of a table that are in force."""
@@ -86,34 +87,40 @@ class ChunkStore:
         in force, still to be written."""
         ingest, seq = uuid.uuid4().hex, time.time_ns()
         written = []
-        chunks = None
+        chunks = size = None
         for table in sorted(tables, key=lambda t: t != "chunks"):
             df = tables[table].select(*small_table(self.spark, [], TABLES[table]).columns)
             if table == "aliases":
                 self._append(table, df)
                 continue
-            if table == "text_vectors":
-                self._check_length(df)
             df = _with_file(table, df, chunks).withColumn(INGEST, F.lit(ingest))
             self._append(table, df)
             stored = self._stored(table, f"{TABLES[table]}, {FILE} string, {INGEST} string")
             stored = stored.filter(F.col(INGEST) == ingest)
             if table == "chunks":
                 chunks = stored
+            if table == "text_vectors":
+                size = self._checked_size(stored)
             if chunks is None or table in ("chunks", "file_stats"):
                 written.append(stored.select(FILE))
         files = small_table(self.spark, [], f"{FILE} string")
         for w in written:
             files = files.unionByName(w)
-        return files.distinct().select(F.col(FILE).alias("file"), F.lit(seq).alias("seq"), F.lit(ingest).alias("ingest"))
-
-    def _check_length(self, new: DataFrame) -> None:
-        """All text vectors of a store have one length, or none can be searched."""
-        lengths = new.select(F.size("vec").alias("n")).unionByName(
-            self.read("text_vectors").select(F.size("vec").alias("n"))
+        return files.distinct().select(
+            F.col(FILE).alias("file"), F.lit(seq).alias("seq"), F.lit(ingest).alias("ingest"),
+            F.lit(size).cast("int").alias("vec_size"),
         )
-        if lengths.distinct().count() > 1:
+
+    def _checked_size(self, new: DataFrame) -> int | None:
+        """The length of the vectors just written. All text vectors of a store have one
+        length, or none can be searched; those in force are known by their files, so
+        no other vectors are read."""
+        ends = lambda df, n: df.agg(F.min(n).alias("low"), F.max(n).alias("high")).first()
+        found = {n for r in (ends(new, F.size("vec")), ends(self._in_force(), F.col("vec_size"))) for n in r}
+        found.discard(None)
+        if len(found) > 1:
             raise ValueError("text vectors of different lengths")
+        return found.pop() if found else None
 
     def put(self, **tables: DataFrame) -> None:
         """Add rows to the given tables. They replace all rows of the files they
@@ -126,7 +133,7 @@ class ChunkStore:
     def delete_file(self, file: str) -> int:
         """Take a file out of every table; returns the number of its chunks."""
         removed = self.read("chunks").filter(F.col("file") == file).count()
-        gone = small_table(self.spark, [(file, time.time_ns(), None)], FILES_SCHEMA)
+        gone = small_table(self.spark, [(file, time.time_ns(), None, None)], FILES_SCHEMA)
         self._append("files", gone)
         return removed
 
@@ -141,7 +148,7 @@ class ChunkStore:
             except Exception as e:
                 failed.append((name, None, None, f"{type(e).__name__}: {e}"))
         old = self._in_force().select(F.col(FILE).alias("file")).join(fresh.select("file"), "file", "left_anti")
-        gone = old.select("file", F.lit(time.time_ns()).alias("seq"), F.lit(None).cast("string").alias("ingest"))
+        gone = old.select("file", F.lit(time.time_ns()).alias("seq"), F.lit(None).cast("string").alias("ingest"), F.lit(None).cast("int").alias("vec_size"))
         self._append("files", fresh.unionByName(gone))
         counts = self.read("chunks").groupBy("file", "chunk_type").agg(F.count(F.lit(1)).alias("chunks"))
         errors = small_table(self.spark, failed, "file string, chunk_type string, chunks bigint, error string")
